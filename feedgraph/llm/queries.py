@@ -6,11 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from feedgraph.llm import chat, warc
+from feedgraph.llm.chat import chat_format
 from feedgraph.llm.decontaminate import decontaminate
 from feedgraph.llm.packing import pack
 from feedgraph.llm.quality_gam import quality_gam
 from feedgraph.llm.quality_rules import quality_rules
 from feedgraph.llm.scratch import table
+from feedgraph.llm.sharding import shard_by_bytes
+from feedgraph.llm.warc import archive_pages
 
 
 def word_tokenizer() -> str:
@@ -19,10 +23,18 @@ def word_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_format(table(spark, sf_dir, "conversations"))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"))
 
 
+def op5_minimax_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard_by_bytes(table(spark, sf_dir, "documents"))
+
+
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), word_tokenizer())
 
@@ -31,15 +43,22 @@ def op7_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_gam(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op8_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archive_pages(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "history_pos")
+
+
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_chat_format": op1_chat_format,
     "op4_quality_rules": op4_quality_rules,
+    "op5_minimax_sharding": op5_minimax_sharding,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op7_quality_gam": op7_quality_gam,
+    "op8_warc_index": op8_warc_index,
     "op10_decontaminate": op10_decontaminate,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op1_chat_format": chat.ORACLE, "op8_warc_index": warc.ORACLE}
