@@ -14,6 +14,7 @@ from feedgraph.llm.quality_gam import quality_gam
 from feedgraph.llm.quality_rules import quality_rules
 from feedgraph.llm.scratch import table
 from feedgraph.llm.sharding import shard_by_bytes
+from feedgraph.llm.suffix_dedup import suffix_dedup
 from feedgraph.llm.warc import archive_pages
 
 
@@ -47,6 +48,10 @@ def op8_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive_pages(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "history_pos")
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup(table(spark, sf_dir, "documents"))
+
+
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -58,6 +63,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_best_fit_packing": op6_best_fit_packing,
     "op7_quality_gam": op7_quality_gam,
     "op8_warc_index": op8_warc_index,
+    "op9_suffix_dedup": op9_suffix_dedup,
     "op10_decontaminate": op10_decontaminate,
 }
 
