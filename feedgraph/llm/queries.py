@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from feedgraph.llm import chat, warc
 from feedgraph.llm.chat import chat_format
 from feedgraph.llm.decontaminate import decontaminate
+from feedgraph.llm.jaccard_join import jaccard_join
 from feedgraph.llm.packing import pack
 from feedgraph.llm.quality_gam import quality_gam
 from feedgraph.llm.quality_rules import quality_rules
@@ -28,6 +29,10 @@ def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format(table(spark, sf_dir, "conversations"))
 
 
+def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"))
 
@@ -58,6 +63,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_format": op1_chat_format,
+    "op2_jaccard_join": op2_jaccard_join,
     "op4_quality_rules": op4_quality_rules,
     "op5_minimax_sharding": op5_minimax_sharding,
     "op6_best_fit_packing": op6_best_fit_packing,
