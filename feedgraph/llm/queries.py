@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from feedgraph.llm import chat, warc
 from feedgraph.llm.chat import chat_format
+from feedgraph.llm.class_lm import class_lm_scores
 from feedgraph.llm.decontaminate import decontaminate
 from feedgraph.llm.jaccard_join import jaccard_join
 from feedgraph.llm.packing import pack
@@ -33,6 +34,10 @@ def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
+def op3_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return class_lm_scores(table(spark, sf_dir, "documents"))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"))
 
@@ -64,6 +69,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_format": op1_chat_format,
     "op2_jaccard_join": op2_jaccard_join,
+    "op3_class_lm": op3_class_lm,
     "op4_quality_rules": op4_quality_rules,
     "op5_minimax_sharding": op5_minimax_sharding,
     "op6_best_fit_packing": op6_best_fit_packing,
