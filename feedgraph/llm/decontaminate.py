@@ -161,3 +161,23 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
         last = k == len(todo) - 1
         frame = frame.mapInArrow(lambda it, b=block, end=last: _step(it, b, slop, end), SCHEMA if last else STATE)
     return frame
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = 200_000) -> DataFrame:
+    """The documents, with all their columns, that hold no window of any test item."""
+
+    def keep(batches: Iterator[pa.RecordBatch], block: Block) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = kernel.text_array(batch.column("text"))
+            for first, _, offsets in kernel.byte_chunks(texts):
+                n = len(offsets) - 1
+                index = Postings(block.terms, [words(t.as_py()) for t in texts.slice(first, n)], window + 1)
+                clean = np.ones(n, dtype=bool)
+                for windows, _ in block.windows.values():
+                    _, at = index.matches(windows, None)
+                    clean[np.searchsorted(index.starts, at, side="right") - 1] = False
+                yield batch.slice(first, n).filter(pa.array(clean))
+
+    for block in blocks(benchmark, window, block_words):
+        docs = docs.mapInArrow(lambda it, b=block: keep(it, b), docs.schema)
+    return docs

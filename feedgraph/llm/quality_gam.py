@@ -193,3 +193,15 @@ def quality_gam(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, thre
                 yield from kernel.batches(schema, [{"doc_id": own.column("doc_id"), "held_out": own.column("held_out"), "score": s, "predicted": (s >= threshold).astype(np.int32)}])
 
     return docs.select("doc_id", F.coalesce(fold() == HELD_OUT, F.lit(False)).alias("held_out"), "text").mapInArrow(score, SCHEMA)
+
+
+def drop_low_quality(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, threshold: float = THRESHOLD) -> DataFrame:
+    """The documents, with all their columns, that the model does not reject."""
+    model = fit_quality(docs, labels, max_rows)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first, data, offsets in kernel.byte_chunks(batch.column("text")):
+                yield batch.slice(first, len(offsets) - 1).filter(pa.array(model.scores(features(data, offsets)) >= threshold))
+
+    return docs.mapInArrow(keep, docs.schema)

@@ -255,27 +255,46 @@ def _merge(table: pa.Table, window: int) -> pa.Table:
     return pa.table({"anchor": found.column("anchor"), "c1": found.column("c1"), "c2": found.column("c2"), "runs": pa.array(runs, type=pa.binary())})
 
 
-def _finish(batches: Iterator[pa.RecordBatch], window: int, keep_text: bool) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([*kernel.arrow_schema(RESULT), *([pa.field("kept", pa.string())] if keep_text else [])])
+def covered(text: bytes, copied: bool | None, spans: list[dict] | None, window: int) -> np.ndarray:
+    """The maximal runs of a text that go."""
+    if copied and len(text) >= window:
+        return np.array([[0, len(text)]], dtype=np.int32)
+    if not spans:
+        return np.zeros((0, 2), dtype=np.int32)
+    at = np.concatenate([np.frombuffer(s["runs"], dtype=np.int32).reshape(-1, 2) + s["start"] for s in spans])
+    return runs_of(at[:, 0], at[:, 1])
+
+
+def without(text: bytes, runs: np.ndarray) -> bytes:
+    edges = [0, *runs.ravel().tolist(), len(text)]
+    return b"".join([text[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)])
+
+
+def _finish(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
+    schema = kernel.arrow_schema(RESULT)
     for batch in batches:
         out: dict[str, list] = {name: [] for name in schema.names if name != "doc_id"}
         for text, copied, spans in zip(kernel.text_array(batch.column("text")), batch.column("copied").to_pylist(), batch.column("spans").to_pylist(), strict=True):
             text = text.as_py()
-            if copied and len(text) >= window:
-                runs = np.array([[0, len(text)]], dtype=np.int32)
-            elif spans:
-                at = np.concatenate([np.frombuffer(s["runs"], dtype=np.int32).reshape(-1, 2) + s["start"] for s in spans])
-                runs = runs_of(at[:, 0], at[:, 1])
-            else:
-                runs = np.zeros((0, 2), dtype=np.int32)
-            edges = [0, *runs.ravel().tolist(), len(text)]
-            kept = b"".join([text[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)])
-            values = {"n_bytes": len(text), "n_removed": len(text) - len(kept), "n_spans": len(runs), "kept_sha256": hashlib.sha256(kept).hexdigest(), "kept": kept.decode(errors="ignore")}
-            for name, column in out.items():
-                column.append(values[name])
+            runs = covered(text, copied, spans, window)
+            kept = without(text, runs)
+            for column, value in zip(out.values(), (len(text), len(text) - len(kept), len(runs), hashlib.sha256(kept).hexdigest()), strict=True):
+                column.append(value)
         yield from kernel.batches(schema, [out | {"doc_id": batch.column("doc_id")}])
 
 
+def _rewrite(batches: Iterator[pa.RecordBatch], names: list[str], window: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        texts, keep = [], []
+        for text, copied, spans in zip(batch.column("text").to_pylist(), batch.column("_copied").to_pylist(), batch.column("_spans").to_pylist(), strict=True):
+            runs = covered(raw := (text or "").encode(), copied, spans, window)
+            kept = without(raw, runs).decode(errors="ignore") if len(runs) else text
+            texts.append(kept)
+            keep.append(not len(runs) or bool(kept))
+        columns = [pa.array(texts, type=batch.schema.field("text").type) if n == "text" else batch.column(n) for n in names]
+        yield pa.RecordBatch.from_arrays(columns, names=names).filter(pa.array(keep, type=pa.bool_()))
+
+
 def repeated_runs(docs: DataFrame, scratch: Scratch, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """digest (of a text), copied, spans (start and runs of its segments with repeated windows); docs: text, digest."""
     texts = docs.select("digest", "text").mapInArrow(lambda it: _segment_all(it, window, gram), TEXTS)
@@ -312,11 +331,24 @@ def repeated_runs(docs: DataFrame, scratch: Scratch, window: int = WINDOW, gram:
     return scratch.keep(copied.join(spans, "digest", "left").where("copied or spans is not null"), "spans")
 
 
-def suffix_dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, keep_text: bool = False) -> DataFrame:
-    """One row per document with what was removed; with keep_text also the text that is left (whole characters)."""
-    scratch = Scratch(docs.sparkSession, "suffix-dedup")
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    rows = rows.withColumn("digest", F.unhex(F.md5(F.col("text").cast("binary"))))
-    spans = repeated_runs(rows.withColumn("number", F.coalesce("doc_id", F.lit(-(2**63)))), scratch, window, gram)
-    ddl = RESULT + (", kept string" if keep_text else "")
-    return rows.join(spans, "digest", "left").select("doc_id", "text", "copied", "spans").mapInArrow(lambda it: _finish(it, window, keep_text), ddl)
+def digested(docs: DataFrame) -> DataFrame:
+    """doc_id, text (null: empty), digest (of the text) and number (doc_id, or the least number for null)."""
+    text = F.coalesce("text", F.lit(""))
+    return docs.select("doc_id", text.alias("text"), F.unhex(F.md5(text.cast("binary"))).alias("digest"), F.coalesce("doc_id", F.lit(-(2**63))).alias("number"))
+
+
+def suffix_dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
+    """One row per document with what was removed from it."""
+    rows = digested(docs)
+    spans = repeated_runs(rows, Scratch(docs.sparkSession, "suffix-dedup"), window, gram)
+    return rows.join(spans, "digest", "left").select("doc_id", "text", "copied", "spans").mapInArrow(lambda it: _finish(it, window), RESULT)
+
+
+def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
+    """The documents, with all their columns, with repeated bytes cut out of their texts; a character that a cut parts
+    goes whole. A document of which nothing is left goes."""
+    spans = repeated_runs(digested(docs), Scratch(docs.sparkSession, "suffix-dedup"), window, gram)
+    spans = spans.select(F.col("digest").alias("_digest"), F.col("copied").alias("_copied"), F.col("spans").alias("_spans"))
+    rows = docs.withColumn("_digest", F.unhex(F.md5(F.coalesce("text", F.lit("")).cast("binary")))).join(spans, "_digest", "left").drop("_digest")
+    names = docs.columns
+    return rows.mapInArrow(lambda it: _rewrite(it, names, window), docs.schema)
