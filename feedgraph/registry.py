@@ -6,13 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+from feedgraph.plans import queries as plans
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return QUERIES
+    return plans.QUERIES
 
 
 def oracles() -> dict[str, str]:
-    return ORACLES
+    return plans.ORACLES
