@@ -45,8 +45,8 @@ class PrefixGrid:
             out.append(self.find(out[-1] + capacity, high))
         return out
 
-    def smallest(self, total: int, shards: int, high: bool) -> int:
-        low, top = -(-total // shards) - 1, total
+    def smallest(self, total: int, shards: int, high: bool, low: int, top: int) -> int:
+        """The smallest capacity above low, at most top, that is enough. Between them the grid must be complete."""
         while top - low > 1:
             middle = (low + top) // 2
             if self.cuts(middle, shards, high)[-1] >= total:
@@ -71,12 +71,14 @@ def minimax_cuts(groups: DataFrame, total: int, shards: int, cells: int = CELLS)
     """Prefix sums at which the shards end, of a frame of prefix sums (upto)."""
     if not total:
         return [0] * shards
-    windows = [(1, total)]
+    cells = max(cells, 4 * shards * shards)  # brackets add up from cut to cut; so many cells make them shrink
+    windows, below, enough = [(1, total)], -(-total // shards) - 1, total
     while True:
         grid = _cells(groups, windows, cells)
-        least, most = grid.smallest(total, shards, True), grid.smallest(total, shards, False)
-        low, high = grid.cuts(least, shards, False), grid.cuts(most, shards, True)
-        if least == most and low == grid.cuts(most, shards, True):
+        least, enough = (grid.smallest(total, shards, high, below, enough) for high in (True, False))
+        below = least - 1
+        low, high = grid.cuts(least, shards, False), grid.cuts(enough, shards, True)
+        if least == enough and low == high:
             return low[1:]
         # Prefix sums below a bracket's low end matter only as its lower neighbour, which low itself is.
         windows = _merged([(a, b) for a, b in zip(low, high, strict=True) if b])
