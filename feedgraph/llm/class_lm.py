@@ -119,33 +119,33 @@ def neighbour_counts(texts: DataFrame, vocabulary: object, classes: np.ndarray,
 
 
 def exchange(stats: np.ndarray, classes: np.ndarray) -> np.ndarray:
-    """One sweep: every item, most frequent first, moves to the class that gains the class-bigram likelihood most."""
+    """One sweep: every item, most frequent first, moves to the class that gains most likelihood of the classes beside
+    its words. Those are the classes from before the sweep, so its counts stay true while items move."""
     classes = classes.copy()
-    right, left = stats[:, 0, :].astype(np.float64), stats[:, 1, :].astype(np.float64)
-    n = right.shape[1]
-    table = np.zeros((n, n))
-    np.add.at(table, classes, right)
-    rows, columns = table.sum(axis=1), table.sum(axis=0)
+    sides = []
+    for side in (0, 1):
+        own = stats[:, side, :].astype(np.float64)
+        table = np.zeros((own.shape[1], own.shape[1]))
+        np.add.at(table, classes, own)
+        sides.append((own, table, table.sum(axis=1)))
     f = lambda x: np.where(x > 1, x * np.log(np.maximum(x, 1)), 0.0)
-    weight = right.sum(axis=1)
+    weight = stats[:, 0, :].sum(axis=1)
     for item in np.argsort(-weight, kind="stable").tolist():
         if classes[item] == END_CLASS or weight[item] == 0:
             continue
-        own, after, before = classes[item], np.flatnonzero(right[item]), np.flatnonzero(left[item])
-        r, c = right[item, after], left[item, before]
-        table[own, after] -= r
-        table[before, own] -= c
-        rows[own] -= r.sum()
-        columns[own] -= c.sum()
-        gain = (f(table[:, after] + r) - f(table[:, after])).sum(axis=1) + (f(table[before, :] + c[:, None]) - f(table[before, :])).sum(axis=0)
-        gain -= f(rows + r.sum()) - f(rows) + f(columns + c.sum()) - f(columns)
+        gain, moves = np.zeros(stats.shape[2]), []
+        for own, table, rows in sides:
+            beside = np.flatnonzero(own[item])
+            n, total = own[item, beside], weight[item]
+            table[classes[item], beside] -= n
+            rows[classes[item]] -= total
+            gain += (f(table[:, beside] + n) - f(table[:, beside])).sum(axis=1) - (f(rows + total) - f(rows))
+            moves.append((table, rows, beside, n))
         gain[END_CLASS] = -np.inf
-        best = int(np.argmax(gain))
-        classes[item] = best
-        table[best, after] += r
-        table[before, best] += c
-        rows[best] += r.sum()
-        columns[best] += c.sum()
+        classes[item] = int(np.argmax(gain))
+        for table, rows, beside, n in moves:
+            table[classes[item], beside] += n
+            rows[classes[item]] += weight[item]
     return classes
 
 
