@@ -3,8 +3,8 @@
 The index is split by documents: each task stores, for a chunk of documents, the sorted positions of every term that a
 test item uses. A test window starts from the postings of its rarest term there and is intersected with the
 offset-adjusted postings of its other terms, rarest first; what is left are exact phrase matches. With a tolerance
-instead of an offset the same lists give proximity matches: all terms near the rarest one, in any order. Documents are
-not shuffled.
+instead of an offset the same lists give proximity matches: all terms near the one that the test set has least often
+(of equals the first), in any order. Documents are not shuffled.
 
 Test items are read in blocks of at most ``block_words`` words, so what reaches a task is bounded; a larger test set
 passes the documents through one step for each block.
@@ -48,6 +48,8 @@ class Block:
             n = min(window, len(ids))
             if n:
                 windows.setdefault(n, []).extend((ids[i : i + n], item) for i in range(len(ids) - n + 1))
+        n_uses = np.bincount(np.array([self.terms[t] for _, tokens in items for t in tokens], dtype=np.int64), minlength=len(self.terms))
+        self.uses = n_uses.astype(np.int64)
         self.windows = {n: (np.array([w for w, _ in rows], dtype=np.int64), np.array([i for _, i in rows], dtype=np.int64)) for n, rows in windows.items()}
 
 
@@ -84,9 +86,10 @@ class Postings:
         """Has the term a posting from low to high?"""
         return self.keys[np.searchsorted(self.keys, terms * self.length + low)] <= terms * self.length + high
 
-    def matches(self, windows: np.ndarray, slop: int | None) -> tuple[np.ndarray, np.ndarray]:
-        """(window, position): without slop of an exact match's first word, else of the rarest term with all others near."""
-        counts = self.counts[windows]
+    def matches(self, windows: np.ndarray, slop: int | None, uses: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(window, position): without slop of an exact match's first word, else of the term with fewest uses in the
+        test set, with all others near."""
+        counts = (self.counts if slop is None else uses)[windows]
         order = np.argsort(counts, axis=1, kind="stable")
         rarest = np.take_along_axis(windows, order[:, :1], axis=1)[:, 0]
         n = self.counts[rarest]
@@ -112,7 +115,7 @@ def search(block: Block, texts: list[list[bytes]], slop: int) -> list[tuple[np.n
         for d, i, start in zip(doc.tolist(), items[window].tolist(), (at - index.starts[doc]).tolist(), strict=True):
             found[d][0].append((start, start + n))
             found[d][1].add(i)
-        window, at = index.matches(windows, slop)
+        window, at = index.matches(windows, slop, block.uses)
         doc = np.searchsorted(index.starts, at, side="right") - 1
         for d, i in np.unique(np.stack((doc, items[window]), axis=1), axis=0).tolist():
             found[d][2].add(i)

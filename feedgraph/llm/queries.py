@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from feedgraph.llm import chat, warc
+from feedgraph.llm import chat, oracles, warc
 from feedgraph.llm.chat import chat_format
 from feedgraph.llm.class_lm import class_lm_scores
 from feedgraph.llm.decontaminate import decontaminate
@@ -39,7 +39,8 @@ def op3_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_rules(table(spark, sf_dir, "documents"))
+    found = quality_rules(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
 def op5_minimax_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,7 +64,7 @@ def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("n_near_items")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -79,4 +80,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_decontaminate": op10_decontaminate,
 }
 
-ORACLES: dict[str, str] = {"op1_chat_format": chat.ORACLE, "op8_warc_index": warc.ORACLE}
+ORACLES: dict[str, str] = {
+    "op1_chat_format": chat.ORACLE,
+    "op2_jaccard_join": oracles.JACCARD,
+    "op4_quality_rules": oracles.RULES,
+    "op8_warc_index": warc.ORACLE,
+    "op10_decontaminate": oracles.DECONTAMINATE,
+}
