@@ -9,7 +9,7 @@ A word's probability is that of its class after the class before it, times its o
 P(c | c') = (N(c', c) + a u(c)) / (N(c') + a) and P(w | c) = (c(w) + 1/2) / (N(c) + (V(c) + 1) / 2), u being the smoothed
 frequencies of classes. Words that training lacks have the share that is left for one unseen word of their class.
 
-Word counts cover the whole training corpus and stay a table; the most frequent ``known_words`` of at most 64 bytes
+Word counts cover the whole training corpus and stay a table; the most frequent, at most ``known_words``, of at most 64 bytes
 are sent to the tasks (a bound of some 15 MB), and what a document has of others is joined with the table.
 
 Defined results. Null text is empty: one (end) token. Null doc_id counts as training. Repeated rows are texts of their
@@ -173,6 +173,21 @@ def _score(batches: Iterator[pa.RecordBatch], vocabulary: Vocabulary, classes: n
             yield from kernel.batches(schema, [out | {k: batch.column(k).slice(first, n) for k in ("doc_id", "held_out")}])
 
 
+def most_frequent(counts: DataFrame, most: int) -> list:
+    """At most so many rows (word, n), the most frequent first. A histogram of the counts (some hundred steps) tells from
+    which count on they are few enough, so neither a task nor the driver gets more than that; words of the step that
+    would go beyond stay out together."""
+    step = F.when(F.col("n") <= 64, F.col("n")).otherwise(64 + F.floor(8 * F.log2("n")))
+    least, taken = None, 0
+    for row in sorted(counts.groupBy(step.alias("step")).agg(F.count("*").alias("c"), F.min("n").alias("low")).collect(), key=lambda r: -r["step"]):
+        taken += row["c"]
+        if taken > most:
+            break
+        least = row["low"]
+    rows = [] if least is None else counts.where(F.col("n") >= least).collect()
+    return sorted(rows, key=lambda r: (-r["n"], r["word"]))
+
+
 def class_lm_scores(
     docs: DataFrame, n_classes: int = CLASSES, n_items: int = ITEMS, endings: int = ENDINGS, known_words: int = KNOWN_WORDS, rounds: int = ROUNDS
 ) -> DataFrame:
@@ -187,7 +202,7 @@ def class_lm_scores(
     n_end = training.count()
     n_words, n_distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     n_tokens, n_types = n_words + n_end, n_distinct + (n_end > 0)
-    top = counts.where(F.length("word") <= WORD_BYTES).orderBy(F.desc("n"), "word").limit(known_words).collect()  # bounded
+    top = most_frequent(counts.where(F.length("word") <= WORD_BYTES), known_words)
     vocabulary = spark.sparkContext.broadcast(Vocabulary([bytes(r["word"]) for r in top], np.array([r["n"] for r in top], dtype=np.int64), n_items, endings))
     del top
 
