@@ -207,25 +207,27 @@ FOUND = "anchor long, c1 long, c2 long, shard long, spread boolean, runs binary,
 
 def _shard(table: pa.Table, window: int) -> pa.Table:
     """Repeated windows of one shard. Where an anchor is spread over shards, the hashes of single windows and of one
-    of each repeated kind go on to the merge."""
+    of each repeated kind (its place marked by its complement) go on to the merge."""
     schema = kernel.arrow_schema(FOUND)
     texts = table.column("content").to_pylist()
     data, last, repeated, whole = repeated_windows(texts, table.column("copies").to_numpy(), window)
     bounds = np.concatenate(([0], np.cumsum([len(t) for t in texts])))
     spread = table.column("spread").to_numpy(zero_copy_only=False)
-    hashes = np.zeros(0, dtype=np.uint64)
+    hashes, sent = np.zeros(len(data), dtype=np.uint64), np.zeros(len(data), dtype=bool)
     if spread.any():
-        where = np.flatnonzero(whole)
-        hashes = np.zeros(len(data), dtype=np.uint64)
+        where = np.flatnonzero(whole & np.repeat(spread, np.diff(bounds)))
         hashes[where] = kernel.span_hashes(data, where, where + window)
+        known = where[repeated[where]]
+        sent[where[~repeated[where]]] = True
+        sent[known[np.unique(hashes[known], return_index=True)[1]]] = True
     out: dict[str, list] = {name: [] for name in ("runs", "hashes", "places")}
     for k in range(len(texts)):
         own = slice(bounds[k], bounds[k + 1])
         starts = np.flatnonzero(repeated[own])
         out["runs"].append(runs_of(starts, starts + window).tobytes())
-        places = np.flatnonzero(whole[own]) if spread[k] else np.zeros(0, dtype=np.int64)
-        out["hashes"].append(hashes[own][places].tobytes() if spread[k] else b"")
-        out["places"].append(places.astype(np.int32).tobytes())
+        places = np.flatnonzero(sent[own])
+        out["hashes"].append(hashes[own][places].tobytes())
+        out["places"].append(np.where(repeated[own][places], ~places, places).astype(np.int32).tobytes())
     columns = {name: table.column(name).combine_chunks() for name in ("anchor", "c1", "c2", "shard", "spread")}
     return pa.Table.from_batches(kernel.batches(schema, [columns | out]), schema=schema)
 
@@ -240,12 +242,13 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _merge(table: pa.Table, window: int) -> pa.Table:
-    """Of one range of window hashes from several shards: each shard's sorted hashes are searched in the others'."""
+    """Of one range of window hashes from several shards: each shard's sorted hashes are searched in the others'. Only
+    windows that are single in their own shard are found anew."""
     shard, hashes = table.column("shard").to_numpy(), table.column("hash").to_numpy()
     sorted_runs = {s: np.sort(hashes[shard == s]) for s in np.unique(shard)}
-    hit = np.zeros(len(hashes), dtype=bool)
+    single, hit = table.column("place").to_numpy() >= 0, np.zeros(len(hashes), dtype=bool)
     for s in sorted_runs:
-        own = np.flatnonzero(shard == s)
+        own = np.flatnonzero((shard == s) & single)
         for other, run in sorted_runs.items():
             if other != s:
                 at = np.minimum(np.searchsorted(run, hashes[own]), len(run) - 1)
