@@ -1,6 +1,6 @@
 """WARC archives and their external index.
 
-Pages are written as WARC/1.1 files: a record is one line of Spark's text writer, whose line separator is the blank
+Pages are written as gzipped WARC/1.1 files: a record is one line of Spark's text writer, whose line separator is the blank
 lines that end a record, so the files are ordinary archives on any file system that Spark can write. Of equal payloads
 the smallest page is a response and the others revisit it. The archives are then read back, each file whole (their size
 is bounded by ``archive_bytes`` plus one record), and parsed by Content-Length.
@@ -17,6 +17,7 @@ page_id are archived without an id, as responses. Extra columns are ignored; an
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 from collections.abc import Iterator
 
@@ -41,12 +42,17 @@ def digest32(payload: Column) -> Column:
 
 
 def with_types(pages: DataFrame, min_revisit_bytes: int = 0) -> DataFrame:
-    """Adds payload_bytes, payload_digest, record_type and refers_to."""
+    """Adds payload_bytes, payload_digest, record_type and refers_to. Which page comes first is found on digests alone;
+    the pages move once, by page, so that a payload of very many pages is spread as any other."""
     html = F.coalesce("html", F.lit("")).cast("binary")
-    rows = pages.select("page_id", F.coalesce("url", F.lit("")).alias("url"), F.coalesce("html", F.lit("")).alias("html"), F.length(html).cast("long").alias("payload_bytes"), digest32(html).alias("payload_digest"))
+    rows = pages.select(
+        "page_id", F.coalesce("url", F.lit("")).alias("url"), F.coalesce("html", F.lit("")).alias("html"), F.length(html).cast("long").alias("payload_bytes"),
+        digest32(html).alias("payload_digest"), F.coalesce("page_id", F.lit(-(2**63))).alias("key"),
+    )
     first = rows.groupBy("payload_digest").agg(F.min("page_id").alias("first_page"))
+    known = rows.select("key", "payload_digest").distinct().join(first, "payload_digest")
     revisit = (F.col("payload_bytes") >= min_revisit_bytes) & (F.col("page_id") > F.col("first_page"))
-    return rows.join(first, "payload_digest").select(
+    return rows.join(known, ["key", "payload_digest"]).select(
         "page_id", "url", "html", "payload_bytes", "payload_digest", F.when(revisit, "revisit").otherwise("response").alias("record_type"), F.when(revisit, F.col("first_page")).alias("refers_to")
     )
 
@@ -68,10 +74,10 @@ def record(min_second: int = 1_700_000_000) -> Column:
 
 
 def write_archives(pages: DataFrame, path: str, archive_bytes: int = 32 << 20) -> None:
-    """Write typed pages as archives of about archive_bytes. Rows are dealt by page, and a large archive is cut."""
-    total = pages.agg(F.sum(F.col("payload_bytes") + 600)).first()[0] or 0
-    n = max(1, -(-total // archive_bytes))
-    pages.select(record().alias("value"), "page_id").repartition(int(n), F.xxhash64("page_id", F.length("value"))).select("value").write.option("lineSep", END).text(path)
+    """Write typed pages as gzipped archives of about archive_bytes: as many records as are so long on average."""
+    mean = pages.agg(F.avg(F.col("payload_bytes") + 600)).first()[0]
+    records = max(1, int(archive_bytes / (mean or 600)))
+    pages.select(record().alias("value")).write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", records).text(path)
 
 
 def parse(archive: str, data: bytes) -> Iterator[tuple]:
@@ -99,7 +105,7 @@ def _parse_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     schema = kernel.arrow_schema(RECORDS)
     for batch in batches:
         for path, content in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
-            rows = list(parse(path.rsplit("/", 1)[-1], content.as_buffer().to_pybytes()))
+            rows = list(parse(path.rsplit("/", 1)[-1], gzip.decompress(content.as_buffer())))
             yield from kernel.batches(schema, [{f.name: [r[i] for r in rows] for i, f in enumerate(schema)}])
 
 
