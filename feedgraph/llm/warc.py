@@ -33,10 +33,10 @@ RECORDS = "page_id long, url string, captured string, payload_bytes long, payloa
 HISTORY = RECORDS + ", url_key string, run string, history_pos long"
 
 
-def digest32(payload: Column) -> Column:
-    """Bare upper-case base32 of the SHA-1, in built-in functions: five hexadecimal digits are four base32 digits."""
+def base32(digest: Column) -> Column:
+    """Bare upper-case base32 of a hexadecimal SHA-1, in built-in functions: five digits are four base32 digits."""
     alphabet = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
-    groups = [F.conv(F.substring(F.sha1(payload), 1 + 5 * i, 5), 16, 10).cast("int") for i in range(8)]
+    groups = [F.conv(F.substring(digest, 1 + 5 * i, 5), 16, 10).cast("int") for i in range(8)]
     letter = lambda g, by: F.substring(F.lit(alphabet), F.shiftright(g, by).bitwiseAND(31) + 1, F.lit(1))
     return F.concat(*[letter(g, by) for g in groups for by in (15, 10, 5, 0)])
 
@@ -47,13 +47,13 @@ def with_types(pages: DataFrame, min_revisit_bytes: int = 0) -> DataFrame:
     html = F.coalesce("html", F.lit("")).cast("binary")
     rows = pages.select(
         "page_id", F.coalesce("url", F.lit("")).alias("url"), F.coalesce("html", F.lit("")).alias("html"), F.length(html).cast("long").alias("payload_bytes"),
-        digest32(html).alias("payload_digest"), F.coalesce("page_id", F.lit(-(2**63))).alias("key"),
+        F.sha1(html).alias("digest"), F.coalesce("page_id", F.lit(-(2**63))).alias("key"),
     )
-    first = rows.groupBy("payload_digest").agg(F.min("page_id").alias("first_page"))
-    known = rows.select("key", "payload_digest").distinct().join(first, "payload_digest")
+    first = rows.groupBy("digest").agg(F.min("page_id").alias("first_page"))
+    known = rows.select("key", "digest").distinct().join(first, "digest")
     revisit = (F.col("payload_bytes") >= min_revisit_bytes) & (F.col("page_id") > F.col("first_page"))
-    return rows.join(known, ["key", "payload_digest"]).select(
-        "page_id", "url", "html", "payload_bytes", "payload_digest", F.when(revisit, "revisit").otherwise("response").alias("record_type"), F.when(revisit, F.col("first_page")).alias("refers_to")
+    return rows.join(known, ["key", "digest"]).select(
+        "page_id", "url", "html", "payload_bytes", base32(F.col("digest")).alias("payload_digest"), F.when(revisit, "revisit").otherwise("response").alias("record_type"), F.when(revisit, F.col("first_page")).alias("refers_to")
     )
 
 
