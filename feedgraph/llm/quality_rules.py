@@ -67,9 +67,11 @@ def measure(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
     per_text = lambda marks, weights=None: np.bincount(owner[marks], weights=None if weights is None else weights[marks], minlength=n).astype(np.int64)
 
     breaks = np.flatnonzero(data == 0x0A)
-    line_starts = np.sort(np.concatenate((offsets[:-1], breaks + 1)))
+    line_starts = np.concatenate((offsets[:-1], breaks + 1))
     line_owner = np.concatenate((np.arange(n), np.searchsorted(offsets, breaks, side="right") - 1))
-    line_owner = line_owner[np.argsort(np.concatenate((offsets[:-1], breaks + 1)), kind="stable")]
+    # The empty last line of a text that ends in a newline starts where the next text does, and comes before it.
+    order = np.lexsort((line_starts, line_owner))
+    line_starts, line_owner = line_starts[order], line_owner[order]
     line_ends = np.empty_like(line_starts)
     line_ends[:-1] = np.where(line_owner[1:] == line_owner[:-1], line_starts[1:] - 1, offsets[line_owner[:-1] + 1])
     line_ends[-1:] = offsets[-1]

@@ -67,6 +67,13 @@ def test_quality_measures(texts):
             assert got["rep8_chars"][k] == sum(len(w[i]) for i in inside)
 
 
+def test_lines_of_texts_that_end_in_newlines():
+    texts = ["x\n", "l\nm\nl\nl", "x\nx\n", "y\ny\n\n", "", "z\nz"]
+    got = quality_rules.measure(*chunk(texts))
+    assert got["n_dup_lines"].tolist() == [0, 2, 1, 1, 0, 1]
+    assert got["dup_line_chars"].tolist() == [0, 3, 2, 2, 0, 2]
+
+
 @given(st.lists(st.binary(min_size=1, max_size=40), min_size=1, max_size=5), st.integers(2, 4))
 @settings(max_examples=100, deadline=None)
 def test_suffix_arrays(texts, letters):
