@@ -1,13 +1,18 @@
 """Language-model scoring by a Brown class-based bigram model.
 
-Exchange clustering assigns words to classes so that class bigrams are as telling as they can be. Each round is one
-pass over all training texts: tasks count, for every item, the classes to its left and right, and the counts (items x
-classes, bounded by parameters) are summed by Spark. The items, most frequent first, then move to the class that
-raises the likelihood most. Items are the most frequent words one by one, and all other words by their last bytes.
+Exchange clustering assigns words to classes so that class bigrams are as telling as they can be. Each round counts, for
+every word of the training texts, the classes to its left and right; every word then moves, in tasks, to the class whose
+neighbours fit its own best. The neighbours' classes and the class bigrams are those from before the round, so a word's
+choice depends on no other word's, and all that goes to the driver or to all tasks is the table of class bigrams.
+
+Words have numbers. The most frequent ("listed") have the first ones; their classes are sent to the tasks, which count
+pairs of them by themselves. All others ("rare") have theirs in a table; pairs with such a word are rows, and meet the
+words' classes by a join. Which words are listed changes no result.
 
 A word's probability is that of its class after the class before it, times its own share in its class, both smoothed:
 P(c | c') = (N(c', c) + a u(c)) / (N(c') + a) and P(w | c) = (c(w) + 1/2) / (N(c) + (V(c) + 1) / 2), u being the smoothed
-frequencies of classes. Words that training lacks have the share that is left for one unseen word of their class.
+frequencies of classes. Words that training lacks are taken to be of the class that most words seen once have, and have
+the share that is left for one unseen word of it.
 
 Word counts cover the whole training corpus and stay a table; the most frequent, at most ``known_words``, of at most 64 bytes
 are sent to the tasks (a bound of some 15 MB), and what a document has of others is joined with the table.
@@ -19,7 +24,6 @@ ignored; an empty table gives an empty result.
 
 from __future__ import annotations
 
-import zlib
 from collections import Counter
 from collections.abc import Iterator
 from itertools import repeat
@@ -33,9 +37,11 @@ from feedgraph.llm import kernel
 from feedgraph.llm.scratch import Scratch
 
 FOLDS, HELD_OUT = 5, 1
-CLASSES, ITEMS, ENDINGS, KNOWN_WORDS, WORD_BYTES, ROUNDS, PRIOR = 64, 16_384, 4096, 131_072, 64, 3, 10.0
+CLASSES, KNOWN_WORDS, WORD_BYTES, ROUNDS, PRIOR = 64, 131_072, 64, 3, 10.0
 END_CLASS, STATS_BLOCK = 0, 256
-SCORED = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, transitions double, shares double, logs double, others array<binary>"
+STATS = "block long, cells array<int>, counts array<long>"
+SCORED = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, transitions double, shares double, logs double, others array<binary>, lefts array<long>, rights array<long>"
+MORE = "row long, more_known long, more_transitions double, more_shares double, more_logs double"
 
 
 def words(text: bytes) -> list[bytes]:
@@ -44,26 +50,20 @@ def words(text: bytes) -> list[bytes]:
 
 
 class Vocabulary:
-    """The most frequent words with their counts, and every word's item."""
-
-    def __init__(self, listed: list[bytes], counts: np.ndarray, items: int, endings: int) -> None:
-        self.listed, self.counts, self.n_items, self.endings = listed, counts, items, endings
-        self.end_item = items + endings
-        self.item = np.array([k if k < items else items + self.ending(w) for k, w in enumerate(listed)] + [0], dtype=np.int64)
+    """The listed words, most frequent first, with their counts. A word's place is its number; the end has the next
+    one, and rare words' numbers begin at a block of their own."""
 
-    def ending(self, word: bytes) -> int:
-        return zlib.crc32(word[-3:]) % self.endings
+    def __init__(self, listed: list[bytes], counts: np.ndarray) -> None:
+        self.listed, self.counts, self.end = listed, counts, len(listed)
+        self.first_rare = -(-(self.end + 1) // STATS_BLOCK) * STATS_BLOCK
 
     def index(self) -> dict[bytes, int]:
         return {w: k for k, w in enumerate(self.listed)}
 
-    def ranks_and_items(self, index: dict[bytes, int], tokens: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Of each word: its rank (-1: not listed) and item."""
-        ranks = np.fromiter(map(index.get, tokens, repeat(-1)), dtype=np.int64, count=len(tokens))
-        items = self.item[ranks]
-        other = np.flatnonzero(ranks < 0)
-        items[other] = [self.n_items + self.ending(tokens[k]) for k in other.tolist()]
-        return ranks, items
+
+def numbers(index: dict[bytes, int], tokens: list[bytes]) -> np.ndarray:
+    """Of each word: its number, or -1 where it is not listed."""
+    return np.fromiter(map(index.get, tokens, repeat(-1)), dtype=np.int64, count=len(tokens))
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -79,82 +79,157 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _neighbours(batches: Iterator[pa.RecordBatch], vocabulary: Vocabulary, classes: np.ndarray, n_classes: int) -> Iterator[pa.RecordBatch]:
-    """How often each class stands right (side 0) and left (side 1) of each item, by blocks of items."""
-    schema = pa.schema([pa.field("block", pa.int32()), pa.field("cells", pa.binary()), pa.field("counts", pa.binary())])
-    index, total = vocabulary.index(), np.zeros((vocabulary.end_item + 1) * 2 * n_classes, dtype=np.int64)
-    end = np.array([vocabulary.end_item])
+    """How often each class of listed words stands right (side 0) and left (side 1) of each listed word, by blocks."""
+    schema, index = stats_schema(), vocabulary.index()
+    total = np.zeros(vocabulary.first_rare * 2 * n_classes, dtype=np.int64)
+    end = np.array([vocabulary.end])
     for batch in batches:
         texts = kernel.text_array(batch.column("text"))
         for first, _, offsets in kernel.byte_chunks(texts):
             parts = [end]
             for text in texts.slice(first, len(offsets) - 1):
-                parts += [vocabulary.ranks_and_items(index, words(text.as_py()))[1], end]
-            items = np.concatenate(parts)
-            left, right = items[:-1], items[1:]
-            cells = np.concatenate((left * 2 * n_classes + classes[right], (right * 2 + 1) * n_classes + classes[left]))
-            total += np.bincount(cells, minlength=len(total))
+                parts += [numbers(index, words(text.as_py())), end]
+            found = np.concatenate(parts)
+            both = np.flatnonzero((found[:-1] >= 0) & (found[1:] >= 0))
+            left, right = found[both], found[both + 1]
+            np.add.at(total, left * 2 * n_classes + classes[right], 1)
+            np.add.at(total, (right * 2 + 1) * n_classes + classes[left], 1)
     size = STATS_BLOCK * 2 * n_classes
-    for block in range(-(-len(total) // size)):
+    for block in range(len(total) // size):
         own = total[block * size : (block + 1) * size]
         cells = np.flatnonzero(own)
         if len(cells):
-            yield from kernel.batches(schema, [{"block": [block], "cells": [cells.astype(np.int32).tobytes()], "counts": [own[cells].tobytes()]}])
+            yield from kernel.batches(schema, [{"block": [block], "cells": [cells], "counts": [own[cells]]}])
+
+
+def stats_schema() -> pa.Schema:
+    return pa.schema([pa.field("block", pa.int64()), pa.field("cells", pa.list_(pa.int32())), pa.field("counts", pa.list_(pa.int64()))])
+
+
+def _rare_pairs(batches: Iterator[pa.RecordBatch], vocabulary: Vocabulary) -> Iterator[pa.RecordBatch]:
+    """Neighbours of whom one at least is rare: numbers of listed words, rare words as they are."""
+    schema = pa.schema([pa.field("a", pa.int64()), pa.field("a_word", pa.binary()), pa.field("b", pa.int64()), pa.field("b_word", pa.binary())])
+    index = vocabulary.index()
+    for batch in batches:
+        texts = kernel.text_array(batch.column("text"))
+        for first, _, offsets in kernel.byte_chunks(texts):
+            tokens: list[bytes] = [b""]
+            ends = [0]
+            for text in texts.slice(first, len(offsets) - 1):
+                tokens += words(text.as_py())
+                ends.append(len(tokens))
+                tokens.append(b"")
+            found = numbers(index, tokens)
+            found[ends] = vocabulary.end
+            at = np.flatnonzero((found[:-1] < 0) | (found[1:] < 0))
+            word = [None if n >= 0 else t for n, t in zip(found.tolist(), tokens, strict=True)]
+            yield from kernel.batches(schema, [{"a": found[at], "a_word": [word[k] for k in at.tolist()], "b": found[at + 1], "b_word": [word[k + 1] for k in at.tolist()]}])
+
+
+def numbered(pairs: DataFrame, rare: DataFrame, side: str) -> DataFrame:
+    """Puts the number in the place of a rare word."""
+    word = f"{side}_word"
+    joined = pairs.where(F.col(word).isNotNull()).drop(side).join(rare.select(F.col("word").alias(word), F.col("id").alias(side)), word)
+    return pairs.where(F.col(word).isNull()).drop(word).unionByName(joined.drop(word))
 
 
 def _sum_block(table: pa.Table, size: int) -> pa.Table:
     total = np.zeros(size, dtype=np.int64)
-    for cells, counts in zip(table.column("cells").to_pylist(), table.column("counts").to_pylist(), strict=True):
-        total[np.frombuffer(cells, dtype=np.int32)] += np.frombuffer(counts, dtype=np.int64)
-    return pa.table({"block": pa.array([table.column("block")[0].as_py()], type=pa.int32()), "counts": pa.array([total.tobytes()], type=pa.binary())})
+    for k in range(len(table)):
+        np.add.at(total, table.column("cells")[k].values.to_numpy(), table.column("counts")[k].values.to_numpy())
+    cells = np.flatnonzero(total)
+    return pa.table([[table.column("block")[0].as_py()], [cells], [total[cells]]], schema=stats_schema())
+
+
+def neighbour_counts(texts: DataFrame, pairs: DataFrame, classes: DataFrame, vocabulary: object, listed: np.ndarray, n_classes: int) -> DataFrame:
+    """One row for each block of words: word x (right, left) x classes, then each word's own class plus 1."""
+    size, first_rare = STATS_BLOCK * 2 * n_classes, vocabulary.value.first_rare
+    packed = texts.mapInArrow(lambda it: _neighbours(it, vocabulary.value, listed, n_classes), STATS)
+    sided = pairs.select(F.col("a").alias("word"), F.lit(0).alias("side"), F.col("b").alias("id")).unionAll(pairs.select("b", F.lit(1), "a"))
+    beside = sided.where(F.col("id") < first_rare).join(F.broadcast(classes.where(F.col("id") < first_rare)), "id")
+    beside = beside.unionByName(sided.where(F.col("id") >= first_rare).join(classes.where(F.col("id") >= first_rare), "id"))
+    within = lambda c: F.col(c).bitwiseAND(STATS_BLOCK - 1)
+    block = lambda c: F.floor(F.col(c) / STATS_BLOCK).alias("block")
+    cell = ((within("word") * 2 + F.col("side")) * n_classes + F.col("class")).cast("int").alias("cell")
+    rows = beside.groupBy(block("word"), cell).agg(F.count("*").alias("n"))
+    rows = rows.unionAll(classes.select(block("id"), (size + within("id")).cast("int"), F.col("class") + 1))
+    rows = rows.groupBy("block").agg(F.collect_list("cell").alias("cells"), F.collect_list("n").alias("counts"))
+    return packed.unionAll(rows).groupBy("block").applyInArrow(lambda t: _sum_block(t, size + STATS_BLOCK), STATS)
+
+
+def _blocks(batches: Iterator[pa.RecordBatch], n_classes: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Numbers, neighbour counts and classes of the words of each block."""
+    size = STATS_BLOCK * 2 * n_classes
+    for batch in batches:
+        for k in range(batch.num_rows):
+            total = np.zeros(size + STATS_BLOCK, dtype=np.int64)
+            total[batch.column("cells")[k].values.to_numpy()] = batch.column("counts")[k].values.to_numpy()
+            there = np.flatnonzero(total[size:])
+            yield batch.column("block")[k].as_py() * STATS_BLOCK + there, total[:size].reshape(STATS_BLOCK, 2, n_classes)[there], total[size:][there] - 1
 
 
-def neighbour_counts(texts: DataFrame, vocabulary: object, classes: np.ndarray, n_classes: int, n_items: int) -> np.ndarray:
-    """items x (right, left) x classes; its size depends on parameters only."""
-    size = STATS_BLOCK * 2 * n_classes
-    counted = texts.mapInArrow(lambda it: _neighbours(it, vocabulary.value, classes, n_classes), "block int, cells binary, counts binary")
-    out = np.zeros((-(-n_items // STATS_BLOCK), size), dtype=np.int64)
-    for row in counted.groupBy("block").applyInArrow(lambda t: _sum_block(t, size), "block int, counts binary").collect():
-        out[row["block"]] = np.frombuffer(row["counts"], dtype=np.int64)
-    return out.reshape(-1, 2, n_classes)[:n_items]
-
-
-def exchange(stats: np.ndarray, classes: np.ndarray) -> np.ndarray:
-    """One sweep: every item, most frequent first, moves to the class that gains most likelihood of the classes beside
-    its words. Those are the classes from before the sweep, so its counts stay true while items move."""
-    classes = classes.copy()
-    sides = []
-    for side in (0, 1):
-        own = stats[:, side, :].astype(np.float64)
-        table = np.zeros((own.shape[1], own.shape[1]))
-        np.add.at(table, classes, own)
-        sides.append((own, table, table.sum(axis=1)))
-    f = lambda x: np.where(x > 1, x * np.log(np.maximum(x, 1)), 0.0)
-    weight = stats[:, 0, :].sum(axis=1)
-    for item in np.argsort(-weight, kind="stable").tolist():
-        if classes[item] == END_CLASS or weight[item] == 0:
-            continue
-        gain, moves = np.zeros(stats.shape[2]), []
-        for own, table, rows in sides:
-            beside = np.flatnonzero(own[item])
-            n, total = own[item, beside], weight[item]
-            table[classes[item], beside] -= n
-            rows[classes[item]] -= total
-            gain += (f(table[:, beside] + n) - f(table[:, beside])).sum(axis=1) - (f(rows + total) - f(rows))
-            moves.append((table, rows, beside, n))
-        gain[END_CLASS] = -np.inf
-        classes[item] = int(np.argmax(gain))
-        for table, rows, beside, n in moves:
-            table[classes[item], beside] += n
-            rows[classes[item]] += weight[item]
-    return classes
+def class_bigrams(stats: np.ndarray, classes: np.ndarray) -> np.ndarray:
+    out = np.zeros((stats.shape[2], stats.shape[2]), dtype=np.int64)
+    np.add.at(out, classes, stats[:, 0, :])
+    return out
+
+
+def smoothed(bigrams: np.ndarray) -> np.ndarray:
+    """Of each class after the class before it: its probability."""
+    tokens = bigrams.sum(axis=0)
+    usual = (tokens + 0.5) / (tokens.sum() + 0.5 * len(tokens))
+    return (bigrams + PRIOR * usual) / (bigrams.sum(axis=1, keepdims=True) + PRIOR)
+
+
+def exchange(stats: np.ndarray, classes: np.ndarray, bigrams: np.ndarray | None = None) -> np.ndarray:
+    """Every word moves to the class that makes the classes beside it likeliest, the end stays. bigrams: those of all
+    words, where the stats are of some."""
+    if bigrams is None:
+        bigrams = class_bigrams(stats, classes)
+    gain = stats[:, 0, :] @ np.log(smoothed(bigrams)).T + stats[:, 1, :] @ np.log(smoothed(bigrams.T)).T
+    gain[:, END_CLASS] = -np.inf
+    return np.where(classes == END_CLASS, END_CLASS, np.argmax(np.round(gain, 6), axis=1))
+
+
+def total_bigrams(stats: DataFrame, n_classes: int) -> np.ndarray:
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((n_classes, n_classes), dtype=np.int64)
+        for _, own, classes in _blocks(batches, n_classes):
+            total += class_bigrams(own, classes)
+        cells = np.flatnonzero(total)
+        yield from kernel.batches(kernel.arrow_schema("cell long, n long"), [{"cell": cells, "n": total.ravel()[cells]}])
+
+    out = np.zeros(n_classes * n_classes, dtype=np.int64)
+    for row in stats.mapInArrow(add, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect():  # one for each two classes
+        out[row["cell"]] = row["n"]
+    return out.reshape(n_classes, n_classes)
+
+
+def moved(stats: DataFrame, bigrams: np.ndarray) -> DataFrame:
+    """(id, class) of every word after the round."""
+
+    def move(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, own, classes in _blocks(batches, len(bigrams)):
+            yield from kernel.batches(kernel.arrow_schema("id long, class long"), [{"id": ids, "class": exchange(own, classes, bigrams)}])
+
+    return stats.mapInArrow(move, "id long, class long")
+
+
+def listed_classes(classes: DataFrame, vocabulary: Vocabulary) -> np.ndarray:
+    out = np.zeros(vocabulary.first_rare, dtype=np.int64)
+    found = classes.where(F.col("id") < vocabulary.first_rare).toArrow()
+    out[found.column("id").to_numpy()] = found.column("class").to_numpy()
+    return out
 
 
 def _score(batches: Iterator[pa.RecordBatch], vocabulary: Vocabulary, classes: np.ndarray, transition: np.ndarray, share: np.ndarray, end_count: int) -> Iterator[pa.RecordBatch]:
-    """What the known words give a text's scores; its other words go on to the join."""
+    """What the listed words give a text's scores; its other words go on to the join, with the classes beside them (-1:
+    the neighbour is such a word, too)."""
     from pyspark import TaskContext
 
-    schema = pa.schema([*kernel.arrow_schema(SCORED.rpartition(", ")[0]), pa.field("others", pa.list_(pa.binary()))])
-    index, logs = vocabulary.index(), np.append(np.log10(vocabulary.counts + 0.5), 0.0)
+    longs = pa.list_(pa.int64())
+    schema = pa.schema([*kernel.arrow_schema(SCORED.partition(", others")[0]), pa.field("others", pa.list_(pa.binary())), pa.field("lefts", longs), pa.field("rights", longs)])
+    index, logs = vocabulary.index(), np.log10(vocabulary.counts + 0.5)
     row = TaskContext.get().partitionId() << 40
     for batch in batches:
         texts = kernel.text_array(batch.column("text"))
@@ -163,16 +238,34 @@ def _score(batches: Iterator[pa.RecordBatch], vocabulary: Vocabulary, classes: n
             out: dict[str, list] = {f.name: [] for f in schema if f.name not in ("doc_id", "held_out")}
             for text in texts.slice(first, n):
                 tokens = words(text.as_py())
-                ranks, items = vocabulary.ranks_and_items(index, tokens)
-                c = np.concatenate(([END_CLASS], classes[items], [END_CLASS]))
-                others = [tokens[k] for k in np.flatnonzero(ranks < 0).tolist()]
-                values = (row, len(tokens) + 1, len(tokens) - len(others) + (end_count > 0), transition[c[:-1], c[1:]].sum(), share[c[1:]].sum(), logs[ranks].sum() + np.log10(end_count + 0.5), others)
+                found = numbers(index, tokens)
+                known, other = found[found >= 0], np.flatnonzero(found < 0)
+                c = np.full(len(tokens) + 2, END_CLASS)
+                c[1:-1] = np.where(found >= 0, classes[found], -1)
+                both = np.flatnonzero((c[:-1] >= 0) & (c[1:] >= 0))
+                values = (
+                    row, len(tokens) + 1, len(known) + (end_count > 0), transition[c[both], c[both + 1]].sum(), share[classes[known]].sum() + share[END_CLASS],
+                    logs[known].sum() + np.log10(end_count + 0.5), [tokens[k] for k in other.tolist()], c[other], c[other + 2],
+                )
                 for name, value in zip(out, values, strict=True):
                     out[name].append(value)
                 row += 1
             yield from kernel.batches(schema, [out | {k: batch.column(k).slice(first, n) for k in ("doc_id", "held_out")}])
 
 
+def _score_others(batches: Iterator[pa.RecordBatch], transition: np.ndarray, share: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """What the words that are not listed give the scores of their texts, whose order they are in."""
+    for batch in batches:
+        flat = batch.column("o").flatten()
+        left, right, own, n = (flat.field(k).to_numpy(zero_copy_only=False) for k in ("left", "right", "class", "n"))
+        owner = np.repeat(np.arange(batch.num_rows), np.diff(batch.column("o").offsets.to_numpy()))
+        left = np.where(left >= 0, left, np.roll(own, 1))
+        steps = transition[left, own] + np.where(right >= 0, transition[own, right], 0.0)
+        add = lambda values: np.bincount(owner, weights=values, minlength=batch.num_rows)  # noqa: B023, E731
+        columns = {"row": batch.column("row"), "more_known": add(n > 0).astype(np.int64), "more_transitions": add(steps), "more_shares": add(share[own]), "more_logs": add(np.log10(n + 0.5))}
+        yield from kernel.batches(kernel.arrow_schema(MORE), [columns])
+
+
 def most_frequent(counts: DataFrame, most: int) -> list:
     """At most so many rows (word, n), the most frequent first. A histogram of the counts (some hundred steps) tells from
     which count on they are few enough, so neither a task nor the driver gets more than that; words of the step that
@@ -189,9 +282,10 @@ def most_frequent(counts: DataFrame, most: int) -> list:
 
 
 def class_lm_scores(
-    docs: DataFrame, n_classes: int = CLASSES, n_items: int = ITEMS, endings: int = ENDINGS, known_words: int = KNOWN_WORDS, rounds: int = ROUNDS
+    docs: DataFrame, n_classes: int = CLASSES, n_items: int | None = None, endings: int | None = None, known_words: int = KNOWN_WORDS, rounds: int = ROUNDS
 ) -> DataFrame:
-    """Score every document by unigrams (base_score) and by the class model (score), as log10 probabilities."""
+    """Score every document by unigrams (base_score) and by the class model (score), as log10 probabilities. Every word
+    has its own class: n_items and endings, which once bounded that, are taken and have no effect."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "class-lm")
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % FOLDS == HELD_OUT, F.lit(False))
@@ -203,42 +297,56 @@ def class_lm_scores(
     n_words, n_distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     n_tokens, n_types = n_words + n_end, n_distinct + (n_end > 0)
     top = most_frequent(counts.where(F.length("word") <= WORD_BYTES), known_words)
-    vocabulary = spark.sparkContext.broadcast(Vocabulary([bytes(r["word"]) for r in top], np.array([r["n"] for r in top], dtype=np.int64), n_items, endings))
+    vocabulary = spark.sparkContext.broadcast(Vocabulary([bytes(r["word"]) for r in top], np.array([r["n"] for r in top], dtype=np.int64)))
+    end, first_rare = vocabulary.value.end, vocabulary.value.first_rare
+    is_rare = (F.length("word") > WORD_BYTES) | (F.col("n") < top[-1]["n"]) if top else F.lit(True)
     del top
+    rare = scratch.keep(counts.where(is_rare).withColumn("id", first_rare + F.monotonically_increasing_id()), "rare")
+    pairs = scratch.keep(training.mapInArrow(lambda it: _rare_pairs(it, vocabulary.value), "a long, a_word binary, b long, b_word binary"), "word-pairs")
+    pairs = scratch.keep(numbered(numbered(pairs, rare, "a"), rare, "b").select("a", "b"), "pairs")
+    scratch.drop("word-pairs")
 
     # The most frequent words begin in classes of their own, all others together; the end has its class for good.
-    total_items = n_items + endings + 1
-    classes = np.full(total_items, n_classes - 1, dtype=np.int64)
-    classes[: n_classes - 2] = np.arange(1, n_classes - 1)
-    classes[-1] = END_CLASS
-    for _ in range(rounds):
-        classes = exchange(neighbour_counts(training, vocabulary, classes, n_classes, total_items), classes)
-
-    stats = neighbour_counts(training, vocabulary, classes, n_classes, total_items)
-    bigrams = np.zeros((n_classes, n_classes))
-    np.add.at(bigrams, classes, stats[:, 0, :])
-    class_tokens = bigrams.sum(axis=0)
-    usual = (class_tokens + 0.5) / (class_tokens.sum() + 0.5 * n_classes)
-    transition = np.log10((bigrams + PRIOR * usual) / (bigrams.sum(axis=1, keepdims=True) + PRIOR))
-
-    def typed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index, n = vocabulary.value.index(), np.zeros(n_classes, dtype=np.int64)
-        for batch in batches:
-            n += np.bincount(classes[vocabulary.value.ranks_and_items(index, batch.column("word").to_pylist())[1]], minlength=n_classes)
-        yield from kernel.batches(kernel.arrow_schema("class long, n long"), [{"class": np.arange(n_classes), "n": n}])
-
+    seeds = {bytes(r["word"]): k for k, r in enumerate(counts.orderBy(F.desc("n"), "word").limit(n_classes - 2).collect(), 1)}
+    listed = np.array([*[seeds.get(w, n_classes - 1) for w in vocabulary.value.listed], END_CLASS], dtype=np.int64)
+    first = F.coalesce(*[F.when(F.col("word") == F.lit(w), k) for w, k in seeds.items()], F.lit(n_classes - 1)).cast("long")
+    classes = spark.createDataFrame(pa.table({"id": np.arange(end + 1), "class": listed})).unionAll(rare.select("id", first))
+    classes = scratch.keep(classes, "classes-0")
+    for k in range(rounds + 1):
+        listed = listed_classes(classes, vocabulary.value)
+        stats = scratch.keep(neighbour_counts(training, pairs, classes, vocabulary, listed, n_classes), f"stats-{k}")
+        bigrams = total_bigrams(stats, n_classes)
+        if k < rounds:
+            classes = scratch.keep(moved(stats, bigrams), f"classes-{k + 1}")
+            scratch.drop(f"classes-{k}")
+        scratch.drop(f"stats-{k}")
+    scratch.drop("pairs")
+
+    transition = np.log10(smoothed(bigrams))
     class_types = np.zeros(n_classes)
-    for row in counts.select("word").mapInArrow(typed, "class long, n long").groupBy("class").agg(F.sum("n").alias("n")).collect():
-        class_types[row["class"]] = row["n"]
+    for row in classes.groupBy("class").count().collect():
+        class_types[row["class"]] = row["count"]
     class_types[END_CLASS] = 1
-    share = -np.log10(class_tokens + 0.5 * (class_types + 1))
-
-    scored = scratch.keep(rows.mapInArrow(lambda it: _score(it, vocabulary.value, classes, transition, share, n_end), SCORED), "scored")
-    others = scored.select("row", F.explode("others").alias("word")).join(counts, "word", "left")
-    others = others.groupBy("row").agg(F.count("n").alias("more_known"), F.sum(F.log10(F.coalesce("n", F.lit(0)) + 0.5)).alias("more_logs"))
-    logs = F.col("logs") + F.coalesce("more_logs", F.lit(0.0))
-    score = F.col("transitions") + F.col("shares") + logs
-    return scored.drop("others").join(others, "row", "left").select(
+    share = -np.log10(bigrams.sum(axis=0) + 0.5 * (class_types + 1))
+
+    others = scratch.keep(rare.join(classes, "id").select("word", "n", "class"), "others")
+    once = np.zeros(n_classes)
+    once[n_classes - 1] = 0.5
+    np.add.at(once, listed[: end][vocabulary.value.counts == 1], 1)
+    for row in others.where("n = 1").groupBy("class").count().collect():
+        once[row["class"]] += row["count"]
+    unseen = int(np.argmax(once))
+
+    scored = scratch.keep(rows.mapInArrow(lambda it: _score(it, vocabulary.value, listed, transition, share, n_end), SCORED), "scored")
+    each = scored.select("row", F.posexplode(F.arrays_zip("others", "lefts", "rights")).alias("pos", "o"))
+    each = each.select("row", "pos", F.col("o.others").alias("word"), F.col("o.lefts").alias("left"), F.col("o.rights").alias("right")).join(others, "word", "left")
+    each = each.withColumns({"class": F.coalesce("class", F.lit(unseen).cast("long")), "n": F.coalesce("n", F.lit(0).cast("long"))})
+    each = each.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("pos", "left", "right", "class", "n"))).alias("o"))
+    more = each.mapInArrow(lambda it: _score_others(it, transition, share), MORE)
+    plus = lambda name: F.col(name) + F.coalesce(f"more_{name}", F.lit(0.0))
+    logs = plus("logs")
+    score = plus("transitions") + plus("shares") + logs
+    return scored.drop("others", "lefts", "rights").join(more, "row", "left").select(
         "doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("more_known", F.lit(0))).alias("n_known"), F.lit(n_tokens).cast("long").alias("train_tokens"),
         (logs - F.col("n_tokens") * float(np.log10(n_tokens + 0.5 * (n_types + 1)))).alias("base_score"), score.alias("score"), F.pow(F.lit(10.0), -score / F.col("n_tokens")).alias("perplexity"),
     )

@@ -135,6 +135,18 @@ def test_class_lm_beats_unigrams_on_two_languages(spark):
     assert np.allclose(found.perplexity, 10 ** (-found.score / found.n_tokens))
 
 
+def test_class_lm_gives_every_word_its_own_class(spark):
+    """Words of two languages, all with one ending, keep apart however few are listed."""
+    rng = random.Random(4)
+    tongues = [[f"{a}{k}xyz" for k in range(60)] for a in "pq"]
+    docs = frame(spark, [*[(i, " ".join(rng.choices(tongues[i % 2], k=60))) for i in range(200)], (900, " ".join(w + "!" * 70 for w in tongues[0])), (901, "new p1xyz newer newest")])
+    few, all_listed = (
+        class_lm_scores(docs, n_classes=8, n_items=n, endings=1, known_words=n, rounds=2).orderBy("doc_id").toPandas() for n in (10, 1000)
+    )
+    assert few.n_known.tolist() == all_listed.n_known.tolist()
+    assert np.allclose(few.score, all_listed.score, atol=1e-6)
+
+
 def test_sharding(spark):
     rows = corpus()
     found = shard_by_bytes(frame(spark, rows), 4).toPandas()
