@@ -7,7 +7,8 @@ equally filled sequences. Tasks then number the pieces of a length and look thei
 
 Planning: best-fit decreasing gives the incumbent. Where it misses the lower bound, a branch and bound goes on: it takes
 the largest open length, enumerates undominated fillings of the room beside it, prunes by the waste that the bound
-leaves, and keeps the better plan. Its nodes are limited; the incumbent is a whole plan at any time.
+leaves, and keeps the better plan. Its nodes and the steps of an enumeration are limited, whatever the number of lengths;
+the incumbent is a whole plan at any time.
 
 Defined results. Null text is empty and is one piece of one (end) id. Repeated rows are packed each on its own. Extra
 columns are ignored. An empty table gives an empty result.
@@ -15,6 +16,7 @@ columns are ignored. An empty table gives an empty result.
 
 from __future__ import annotations
 
+import bisect
 import os
 import zlib
 from collections.abc import Iterator
@@ -30,6 +32,7 @@ from feedgraph.llm.scratch import Scratch
 
 CAPACITY, END_ID = 4096, 1
 CACHE_PARTS = 1_000_000
+FILLING_STEPS = 500
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, row long"
 
 
@@ -113,18 +116,16 @@ def _pieces(batches: Iterator[pa.RecordBatch], path: str, capacity: int) -> Iter
 
 def lower_bound(counts: np.ndarray, capacity: int) -> int:
     """Sequences that any packing needs: by volume, and with lengths over a half that nothing of k or more fits beside."""
-    lengths = np.arange(len(counts))
-    total = int((counts * lengths).sum())
-    best = -(-total // capacity)
-    n_from = np.cumsum(counts[::-1])[::-1]
-    sum_from = np.cumsum((counts * lengths)[::-1])[::-1]
-    for k in range(1, capacity // 2 + 1):
-        full = int(n_from[capacity - k + 1]) if capacity - k + 1 < len(counts) else 0
-        large = int(n_from[capacity // 2 + 1]) - full
-        large_sum = int(sum_from[capacity // 2 + 1]) - (int(sum_from[capacity - k + 1]) if capacity - k + 1 < len(counts) else 0)
-        small_sum = int(sum_from[k] - sum_from[capacity // 2 + 1])
-        best = max(best, full + large + max(0, -(-(small_sum - (large * capacity - large_sum)) // capacity)))
-    return best
+    padded = np.zeros(max(len(counts), capacity + 1) + 1, dtype=np.int64)
+    padded[: len(counts)] = counts
+    n_from = np.cumsum(padded[::-1])[::-1]
+    sum_from = np.cumsum((padded * np.arange(len(padded)))[::-1])[::-1]
+    k, half = np.arange(1, capacity // 2 + 1), capacity // 2 + 1
+    full = n_from[capacity - k + 1]
+    large = n_from[half] - full
+    large_sum = sum_from[half] - sum_from[capacity - k + 1]
+    needed = full + large + np.maximum(0, -(-(sum_from[k] - sum_from[half] - (large * capacity - large_sum)) // capacity))
+    return max(-(-int(sum_from[0]) // capacity), int(needed.max(initial=0)))
 
 
 Plan = list[tuple[tuple[int, ...], int]]
@@ -152,78 +153,101 @@ def best_fit_decreasing(counts: np.ndarray, capacity: int) -> Plan:
     return plan
 
 
-def fillings(left: np.ndarray, room: int, waste: int, limit: int) -> list[tuple[int, ...]]:
-    """Undominated fillings of a room that waste at most so much, the fullest first. A filling is dominated where one
-    longer open length could take the place of its items."""
-    sizes = np.flatnonzero(left[: room + 1])[::-1].tolist()
+def fillings(left: np.ndarray, room: int, waste: int, steps: int = FILLING_STEPS) -> list[tuple[int, ...]]:
+    """Undominated fillings of a room that waste at most so much, the fullest first, as far as so many steps lead. A
+    filling is dominated where one longer open length could take the place of an item, or of nothing."""
+    sizes = np.flatnonzero(left[: room + 1])[::-1]
+    volume = np.append(np.cumsum((left[sizes] * sizes)[::-1])[::-1], 0).tolist()
+    upward, sizes = sizes[::-1].tolist(), sizes.tolist()
     out: list[tuple[int, tuple[int, ...]]] = []
-
-    def extend(at: int, room: int, chosen: tuple[int, ...]) -> None:
-        if len(out) >= limit:
-            return
-        smaller = [k for k in range(at, len(sizes)) if sizes[k] <= room]
-        fits = [k for k in smaller if chosen.count(sizes[k]) < left[sizes[k]]]
-        if not fits:
-            if room <= waste and not any(left[s] > chosen.count(s) and s > c and s - c <= room for c in set(chosen) for s in sizes):
-                out.append((room, chosen))
-            return
-        for k in fits[:12]:
-            extend(k, room - sizes[k], (*chosen, sizes[k]))
-
-    extend(0, room, ())
+    stack: list[tuple[int, int, tuple[tuple[int, int], ...], int]] = [(0, room, (), -1)]
+    while stack and steps:
+        steps -= 1
+        at, free, chosen, n = stack.pop()
+        if n < 0:  # the next length that fits
+            at = max(at, len(sizes) - bisect.bisect_right(upward, free))
+            if free - volume[at] > waste:
+                continue
+            if at == len(sizes):
+                used = dict(chosen)
+                longer = (s for c in (0, *used) for s in upward[bisect.bisect_right(upward, c) : bisect.bisect_right(upward, c + free)])
+                if not any(left[s] > used.get(s, 0) for s in longer):
+                    out.append((free, tuple(s for s, k in chosen for _ in range(k))))
+                continue
+            n = int(min(left[sizes[at]], free // sizes[at]))
+        if n:
+            stack.append((at, free, chosen, n - 1))
+        stack.append((at + 1, free - n * sizes[at], (*chosen, (sizes[at], n)) if n else chosen, -1))
     return [chosen for _, chosen in sorted(out, key=lambda x: (x[0], len(x[1])))]
 
 
-def bin_completion(counts: np.ndarray, capacity: int, nodes: int = 4000) -> Plan:
-    """The best plan found: the incumbent where it meets the bound, else branch and bound for as many nodes."""
-    incumbent = best_fit_decreasing(counts, capacity)
-    bound, best = lower_bound(counts, capacity), sum(n for _, n in incumbent)
-    spent = 0
-
-    def search(left: np.ndarray, plan: Plan, used: int, waste: int) -> None:
-        nonlocal incumbent, best, spent
-        spent += 1
-        if best == bound or spent > nodes:
-            return
-        open_sizes = np.flatnonzero(left)
-        if not len(open_sizes):
-            if used < best:
-                incumbent, best = plan, used
-            return
-        largest, room_left = int(open_sizes[-1]), (best - 1) * capacity - int((counts * np.arange(len(counts))).sum())
-        if waste > room_left or used + lower_bound(left, capacity) >= best:
-            return
-        for chosen in fillings(left - (np.arange(len(left)) == largest), capacity - largest, room_left - waste, 64)[:4]:
+def plan_size(plan: Plan) -> int:
+    return sum(n for _, n in plan)
+
+
+def complete(counts: np.ndarray, capacity: int, plan: Plan, nodes: int) -> Plan:
+    """Branch and bound from a whole plan, for as many nodes beyond one for each length (enough to reach a first leaf).
+    A node fills one sequence, or as many alike as there can be; what is put off waits in an explicit stack."""
+    bound, best = lower_bound(counts, capacity), plan_size(plan)
+    volume = int((counts * np.arange(len(counts))).sum())
+    nodes += len(np.flatnonzero(counts))
+
+    def options(left: np.ndarray, wasted: int) -> Iterator[tuple[tuple[int, ...], int]]:
+        largest = int(np.flatnonzero(left)[-1])
+        rest = left.copy()
+        rest[largest] -= 1
+        for chosen in fillings(rest, capacity - largest, (best - 1) * capacity - volume - wasted):
             filling = (largest, *chosen)
-            need = {s: filling.count(s) for s in filling}
-            times = min(int(left[s]) // n for s, n in need.items())
-            rest = left.copy()
-            for s, n in need.items():
-                rest[s] -= n * times
-            search(rest, [*plan, (filling, times)], used + times, waste + times * (capacity - sum(filling)))
-
-    if best > bound and len(np.flatnonzero(counts)) * 3 < 900:
-        search(counts.copy(), [], 0, 0)
-    elif best > bound:
-        incumbent, best = _improve(counts, capacity, incumbent, best, bound, nodes)
-    return incumbent
-
-
-def _improve(counts: np.ndarray, capacity: int, plan: Plan, best: int, bound: int, nodes: int) -> tuple[Plan, int]:
-    """Many open lengths: the plan's wasteful tail is completed anew, beside the fillings that waste nothing."""
-    tail = [(f, n) for f, n in plan if sum(f) < capacity]
-    kept = [(f, n) for f, n in plan if sum(f) == capacity]
-    spread = sorted(tail, key=lambda x: sum(x[0]))[:60]
-    own = np.zeros_like(counts)
-    for f, n in spread:
-        for s in f:
-            own[s] += n
-    if len(np.flatnonzero(own)) * 3 >= 900 or not spread:
-        return plan, best
-    again = bin_completion(own, capacity, nodes)
-    new = kept + [x for x in tail if x not in spread] + again
-    total = sum(n for _, n in new)
-    return (new, total) if total < best else (plan, best)
+            times = min(int(left[s]) // filling.count(s) for s in set(filling))
+            yield filling, times
+            if times > 1:
+                yield filling, 1
+
+    # left, the way here, sequences used, room wasted, what is still to be tried
+    stack: list[tuple] = [(counts, None, 0, 0, options(counts, 0))] if counts.any() else []
+    while stack and best > bound and nodes > 0:
+        left, way, used, wasted, tries = stack[-1]
+        filling, times = next(tries, (None, 0))
+        if filling is None:
+            stack.pop()
+            continue
+        nodes -= 1
+        rest = left.copy()
+        for s in set(filling):
+            rest[s] -= filling.count(s) * times
+        way, used, wasted = (way, filling, times), used + times, wasted + times * (capacity - sum(filling))
+        if used + lower_bound(rest, capacity) >= best or wasted > (best - 1) * capacity - volume:
+            continue
+        if rest.any():
+            stack.append((rest, way, used, wasted, options(rest, wasted)))
+            continue
+        plan, best = [], used
+        while way:
+            way, filling, times = way
+            plan.append((filling, times))
+        plan.reverse()
+    return plan
+
+
+def bin_completion(counts: np.ndarray, capacity: int, nodes: int = 4000) -> Plan:
+    """The best plan found: the incumbent where it meets the bound, else completed by branch and bound, and then its
+    wasteful tail again and again beside the sequences that waste nothing, until a pass gains nothing. Each search has so
+    many nodes; how many lengths there are switches nothing off."""
+    bound, plan = lower_bound(counts, capacity), best_fit_decreasing(counts, capacity)
+    if plan_size(plan) > bound:
+        plan = complete(counts, capacity, plan, nodes)
+    while plan_size(plan) > bound:
+        full = [x for x in plan if sum(x[0]) == capacity]
+        tail = [x for x in plan if sum(x[0]) < capacity]
+        own = np.zeros_like(counts)
+        for filling, times in tail:
+            for size in filling:
+                own[size] += times
+        again = min(complete(own, capacity, tail, nodes), best_fit_decreasing(own, capacity), key=plan_size)
+        if plan_size(again) >= plan_size(tail):
+            break
+        plan = full + again
+    return plan
 
 
 def places(plan: Plan) -> list[tuple[int, int, int, int, int, int]]:

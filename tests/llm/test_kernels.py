@@ -226,6 +226,24 @@ def test_small_packings_are_optimal(lengths):
     assert sum(n for _, n in plan) == optimum(lengths, 20)
 
 
+def test_many_lengths_are_searched_too():
+    """300 lengths or more, where best-fit decreasing misses the bound."""
+    rng = np.random.default_rng(1)
+    lengths = []
+    for _ in range(150):
+        a, b = rng.integers(1030, 1900, 2)
+        lengths += [a, b, 4096 - a - b] if 4096 - a - b > 400 else [a, 4096 - a]
+    counts = np.bincount(lengths, minlength=4097)
+    assert np.count_nonzero(counts) >= 300
+    plan = packing.bin_completion(counts, 4096)
+    used = Counter()
+    for filling, times in plan:
+        assert sum(filling) <= 4096
+        used.update({s: n * times for s, n in Counter(filling).items()})
+    assert used == Counter(lengths)
+    assert packing.lower_bound(counts, 4096) <= packing.plan_size(plan) < packing.plan_size(packing.best_fit_decreasing(counts, 4096))
+
+
 def test_token_ids_are_the_tokenizers():
     tokenizers = pytest.importorskip("tokenizers")
     path = pytest.importorskip("public_tokenizers").path("word_bpe_49k.json")
