@@ -7,7 +7,8 @@ longest text and never by the Arrow batch or the partition.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+import ctypes
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -140,7 +141,23 @@ def batches(schema: pa.Schema, rows: Iterable[dict[str, object]]) -> Iterator[pa
         yield pa.RecordBatch.from_arrays([pa.array(columns[f.name], type=f.type) if not isinstance(columns[f.name], pa.Array) else columns[f.name].cast(f.type) for f in schema], schema=schema)
 
 
+def release() -> None:
+    """Give freed memory back to the system, so that a worker that serves task after task stays small."""
+    pa.default_memory_pool().release_unused()
+    _trim(0)
+
+
+def _trimmer() -> Callable[[int], object]:
+    try:
+        return ctypes.CDLL(None).malloc_trim
+    except (AttributeError, OSError):  # a C library without it
+        return lambda _: None
+
+
+_trim = _trimmer()
+
+
 def arrow_schema(ddl: str) -> pa.Schema:
     """The Arrow schema of a Spark DDL string of plain types."""
-    kinds = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "boolean": pa.bool_(), "string": pa.string(), "binary": pa.binary(), "array<long>": pa.list_(pa.int64())}
+    kinds = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "boolean": pa.bool_(), "string": pa.string(), "binary": pa.binary(), "array<long>": pa.list_(pa.int64()), "array<int>": pa.list_(pa.int32())}
     return pa.schema([(name, kinds[kind]) for name, kind in (part.split() for part in ddl.split(", "))])

@@ -19,6 +19,18 @@ def shared_dir(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+def unused(taken: list[str], *names: str) -> dict[str, str]:
+    """Each name, or a longer one where a column of the table has it already (names differ in more than case)."""
+    low, out = {t.lower() for t in taken}, {}
+    for name in names:
+        free = name
+        while free.lower() in low:
+            free += "_"
+        out[name] = free
+        low.add(free.lower())
+    return out
+
+
 class Scratch:
     """Named tables of one run of an operator. ``keep`` writes a frame and returns it as read back; ``drop`` frees one
     that later tables no longer need. What a returned frame still reads stays until its owner clears the folder."""

@@ -1,20 +1,26 @@
 """Removal of repeated 200-byte strings by suffix arrays over content-routed shards.
 
 Every window of ``window`` bytes is owned by its smallest k-gram (its *anchor*), which depends on the window's bytes
-alone, so equal windows have equal anchors. The windows with one anchor place are a segment. Only anchors that occur
-twice or more can own a repeated window; their segments are cut out of the texts, equal segments are merged with their
-number (so copies, however many, are one), and all segments of an anchor meet in one shard.
+alone, so equal windows have equal anchors, at the same place of the window. The windows with one anchor place are a
+segment; two of its own windows are never equal. Segments are known by their anchor and a 128-bit digest: equal ones
+(*kinds*) are merged with their number before they meet, so copies, however many, are one. A kind that is alone with
+its anchor is repeated wholly or not at all. Of anchors with several kinds one segment of each kind is cut out of the
+texts, and they meet in one shard.
 
-A shard sorts the suffixes of its segments by Larsson-Sadakane refinement, doubling the compared length and touching
-unsorted groups only, until ``window`` bytes are told apart; Kasai's common prefixes then show the windows that occur
-elsewhere. An anchor with very many distinct segments (a passage in very many contexts) is spread over several shards;
-their sorted windows are merged by binary search, each shard's in the union of the others'.
+A shard sorts the suffixes of its segments by Larsson-Sadakane refinement, doubling the compared length, touching
+unsorted groups only, and dropping in the last rounds the suffixes that start no window; Kasai's common prefixes then
+show the windows that occur elsewhere.
+
+An anchor with very many kinds (a passage in very many contexts) is spread over several shards. Of their suffix arrays
+the windows that are still single, and one of each repeated kind, go on to the cross-shard merge: those that one shard
+alone has are left out by a hash of the window, the others are compared as bytes, each shard's sorted suffixes being
+searched for in the others' by binary search. The hash only tells which windows meet; bytes decide.
 
 Results go back as covered runs; a document's runs are united and its remaining bytes hashed.
 
 Defined results. Null text is empty. Matches never cross documents; repeated rows are documents of their own (a row's
-number tells them apart), so both copies are removed. Texts shorter than a window stay whole. Extra columns are kept
-out; an empty table gives an empty result.
+number tells them apart), so both copies are removed. Texts shorter than a window stay whole. Extra columns, whatever
+their names, are left out of the results and kept in the rewritten documents; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -28,12 +34,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from feedgraph.llm import kernel
-from feedgraph.llm.scratch import Scratch
+from feedgraph.llm.scratch import Scratch, unused
 
 WINDOW, GRAM = 200, 40
 SEGMENTS_PER_SHARD = 2048
-SHARD_BYTES = 2 << 20
+SHARD_BYTES = 1 << 20
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+KIND = ("anchor", "k1", "k2")
 
 
 def sliding_minimum(values: np.ndarray, width: int) -> np.ndarray:
@@ -73,60 +80,88 @@ def segments(data: np.ndarray, offsets: np.ndarray, window: int = WINDOW, gram:
     return text, starts - offsets[text], ends - starts + window - 1, grams[owner[starts].astype(np.int64)].view(np.int64)
 
 
-def suffix_order(data: np.ndarray, last: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """Suffixes by their first depth bytes (less where their text, whose end is last, ends sooner), and ranks.
+def suffix_order(data: np.ndarray, last: np.ndarray, depth: int, wanted: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Suffixes by their first depth bytes (less where their text, whose end is last, ends sooner), and ranks. wanted:
+    which suffixes are to be ordered; others are followed only as far as those need their ranks.
 
     Larsson-Sadakane: groups of equal ranks are refined by the rank h further on, h doubling; sorted groups rest."""
     n = len(data)
     h = 7
+    room = last - np.arange(n)
+    padded = np.concatenate((data.astype(np.int64) + 1, np.zeros(h, dtype=np.int64)))
     key = np.zeros(n, dtype=np.int64)
-    position = np.arange(n)
     for k in range(h):
-        inside = position + k < last
         key <<= 9
-        key[inside] += data[np.minimum(position + k, n - 1)[inside]].astype(np.int64) + 1
+        key += np.where(room > k, padded[k : k + n], 0)
+    steps = [h]
+    while steps[-1] < depth:
+        steps.append(2 * steps[-1])
+    needed = [np.ones(n, dtype=bool) if wanted is None else wanted]
+    for step in reversed(steps[:-1]):  # a suffix's rank and that of the one so much further on make its next rank
+        more = needed[0].copy()
+        more[step:] |= needed[0][:-step]
+        needed.insert(0, more)
     order = np.argsort(key, kind="stable")
-    new = np.concatenate(([True], key[order][1:] != key[order][:-1]))
-    rank = np.empty(n, dtype=np.int64)
-    rank[order] = np.maximum.accumulate(np.where(new, np.arange(n), 0)) + 1
-    while h < depth:
+    key = key[order]
+    new = np.concatenate(([True], key[1:] != key[:-1]))
+    rank = np.zeros(n, dtype=np.int64)
+    rank[order] = np.cumsum(new)
+    for h, need in zip(steps[:-1], needed[1:], strict=True):
+        if not need.all():
+            order = order[need[order]]
+            own = rank[order]
+            new = np.concatenate(([True], own[1:] != own[:-1])) if len(order) else np.zeros(0, dtype=bool)
         single = new & np.concatenate((new[1:], [True]))
         where = np.flatnonzero(~single)
         if not len(where):
             break
         suffix = order[where]
-        after = np.where(suffix + h < last[suffix], rank[np.minimum(suffix + h, n - 1)], 0)
-        composite = rank[suffix] * np.int64(n + 1) + after
-        refined = np.argsort(composite, kind="stable")
+        after = np.where(room[suffix] > h, rank[np.minimum(suffix + h, n - 1)], 0)
+        composite = np.cumsum(new)[where] * np.int64(n + 1) + after
+        if n < 1 << 21:  # with the place in the list it still fits one number
+            packed = composite * len(where) + np.arange(len(where))
+            packed.sort()
+            refined = packed % len(where)
+        else:
+            refined = np.argsort(composite, kind="stable")
         order[where] = suffix[refined]
         composite = composite[refined]
         new[where] = np.concatenate(([True], composite[1:] != composite[:-1]))
-        rank[order[where]] = np.maximum.accumulate(np.where(new, np.arange(n), 0))[where] + 1
-        h *= 2
+        rank[order] = np.cumsum(new)
     return order, rank
 
 
-def common_prefixes(data: np.ndarray, last: np.ndarray, order: np.ndarray) -> np.ndarray:
-    """Kasai's common prefixes: of each suffix, by place in the text, with the suffix before it in order.
+def common_prefixes(data: np.ndarray, last: np.ndarray, order: np.ndarray, most: int | None = None) -> np.ndarray:
+    """Kasai's common prefixes: of each suffix, by place in the text, with the suffix before it in order (at most so
+    many bytes). order may leave suffixes out.
 
     A prefix loses at most one byte from a suffix to the next. Places are taken by halving strides, so each starts from
     the bound of one already known; what is missing is compared eight bytes at a time, for all places of a stride."""
-    n = len(order)
-    before = np.full(n, -1, dtype=np.int64)
+    n = len(data)
+    before, place = np.full(n, -1, dtype=np.int64), np.full(n, n, dtype=np.int64)
     before[order[1:]] = order[:-1]
-    padded = np.concatenate((data, np.zeros(8, dtype=np.uint8))).astype(np.uint64)
+    place[order] = np.arange(len(order))
+    padded = np.concatenate((data, np.zeros(8, dtype=np.uint8)))
     eight = np.zeros(n, dtype=np.uint64)
     for k in range(8):
-        eight |= padded[k : k + n] << np.uint64(8 * k)
+        eight |= padded[k : k + n].astype(np.uint64) << np.uint64(8 * k)
     prefix = np.zeros(n, dtype=np.int64)
+    listed = np.flatnonzero(before >= 0)
     stride = 256
-    places = np.arange(0, n, stride)
     while True:
-        a = places[before[places] >= 0]
+        a = listed[listed % (2 * stride) == stride] if stride < 256 else listed[listed % 256 == 0]
         b = before[a]
         room = np.minimum(last[a] - a, last[b] - b)
-        known = np.minimum(np.maximum(prefix[a - stride] - stride, 0) if stride < 256 else 0, room)
-        known = np.where(last[a - stride] == last[a], known, 0) if stride < 256 else np.zeros(len(a), dtype=np.int64)
+        if most is not None:
+            room = np.minimum(room, most)
+        known = np.zeros(len(a), dtype=np.int64)
+        if stride < 256:
+            # The bound holds where the earlier pair, moved on by the stride, is in the order in that order, in its texts.
+            earlier = a - stride
+            other = before[earlier]
+            moved = np.minimum(other + stride, n - 1)
+            good = (other >= 0) & (last[earlier] == last[a]) & (place[moved] < place[a]) & (last[np.maximum(other, 0)] == last[moved])
+            known = np.minimum(np.where(good, np.maximum(prefix[earlier] - stride, 0), 0), room)
         open_ = np.flatnonzero(known < room)
         while len(open_):
             at = known[open_]
@@ -139,35 +174,32 @@ def common_prefixes(data: np.ndarray, last: np.ndarray, order: np.ndarray) -> np
         if stride == 1:
             return prefix
         stride //= 2
-        places = np.arange(stride, n, 2 * stride)
 
 
-def repeated_windows(texts: list[bytes], copies: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of a shard's distinct texts: their bytes, each byte's text end, which places start a repeated window, and which
-    a whole one."""
+def repeated_windows(texts: list[bytes], copies: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of a shard's distinct texts: their bytes, which places start a repeated window, and which a whole one."""
     data = np.frombuffer(b"".join(texts), dtype=np.uint8)
     lengths = np.array([len(t) for t in texts], dtype=np.int64)
     last = np.repeat(np.cumsum(lengths), lengths)
-    order, _ = suffix_order(data, last, int(lengths.max()))
-    prefix = common_prefixes(data, last, order)
-    reach = prefix[order] >= window
+    whole = last - np.arange(len(data)) >= window
+    order, _ = suffix_order(data, last, window, whole)
+    reach = common_prefixes(data, last, order, window)[order] >= window
     repeated = np.zeros(len(data), dtype=bool)
     repeated[order] = reach | np.concatenate((reach[1:], [False]))
-    whole = last - np.arange(len(data)) >= window
-    return data, last, (repeated | (np.repeat(copies, lengths) > 1)) & whole, whole
+    return data, (repeated | (np.repeat(copies, lengths) > 1)) & whole, whole
 
 
 def runs_of(starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """The union of [start, end) spans as sorted maximal runs, one in each row."""
     if not len(starts):
-        return np.zeros((0, 2), dtype=np.int32)
+        return np.zeros((0, 2), dtype=np.int64)
     order = np.argsort(starts, kind="stable")
     starts, reach = starts[order], np.maximum.accumulate(ends[order])
     new = np.concatenate(([True], starts[1:] > reach[:-1]))
-    return np.stack((starts[new], reach[np.concatenate((new[1:], [True]))]), axis=1).astype(np.int32)
+    return np.stack((starts[new], reach[np.concatenate((new[1:], [True]))]), axis=1)
 
 
-TEXTS = "digest binary, n_bytes long, anchors array<long>, starts array<long>, sizes array<long>"
+TEXTS = "d1 long, d2 long, anchors array<long>, k1 array<long>, k2 array<long>, starts array<int>, sizes array<int>"
 
 
 def _segment_all(batches: Iterator[pa.RecordBatch], window: int, gram: int) -> Iterator[pa.RecordBatch]:
@@ -176,96 +208,111 @@ def _segment_all(batches: Iterator[pa.RecordBatch], window: int, gram: int) -> I
         for first, data, offsets in kernel.byte_chunks(batch.column("text")):
             n = len(offsets) - 1
             text, starts, sizes, anchors = segments(data, offsets, window, gram)
-            at = pa.array(np.searchsorted(text, np.arange(n + 1)), type=pa.int32())
-            lists = {k: pa.ListArray.from_arrays(at, pa.array(v, type=pa.int64())) for k, v in (("anchors", anchors), ("starts", starts), ("sizes", sizes))}
-            yield from kernel.batches(schema, [lists | {"digest": batch.column("digest").slice(first, n), "n_bytes": np.diff(offsets)}])
+            raw, at = data.tobytes(), offsets[text] + starts
+            names = b"".join([hashlib.blake2b(raw[a:b], digest_size=16).digest() for a, b in zip(at.tolist(), (at + sizes).tolist(), strict=True)])
+            names = np.frombuffer(names, dtype=np.int64).reshape(-1, 2)
+            own = pa.array(np.searchsorted(text, np.arange(n + 1)), type=pa.int32())
+            values = {"anchors": anchors, "k1": names[:, 0].copy(), "k2": names[:, 1].copy(), "starts": starts.astype(np.int32), "sizes": sizes.astype(np.int32)}
+            lists = {k: pa.ListArray.from_arrays(own, pa.array(v)) for k, v in values.items()}
+            yield from kernel.batches(schema, [lists | {k: batch.column(k).slice(first, n) for k in ("d1", "d2")}])
+    kernel.release()
 
 
-SLICES = "digest binary, anchor long, start long, copies long, content binary"
+SLICES = "anchor long, k1 long, k2 long, copies long, n long, content binary"
 
 
 def _slice_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     schema = kernel.arrow_schema(SLICES)
     for batch in batches:
-        out: dict[str, list] = {f.name: [] for f in schema}
-        size = 0
-        for digest, text, own in zip(batch.column("digest").to_pylist(), kernel.text_array(batch.column("text")), batch.column("own").to_pylist(), strict=True):
-            text = text.as_py()
-            for s in own:
-                content = text[s["start"] : s["start"] + s["size"]]
-                size += len(content)
-                for name, value in zip(out, (digest, s["anchor"], s["start"], s["copies"], content), strict=True):
-                    out[name].append(value)
-            if size > 4 * kernel.CHUNK_BYTES:
-                yield from kernel.batches(schema, [out])
-                out, size = {f.name: [] for f in schema}, 0
-        yield from kernel.batches(schema, [out])
-
-
-FOUND = "anchor long, c1 long, c2 long, shard long, spread boolean, runs binary, hashes binary, places binary"
+        own = batch.column("own")
+        parts = own.flatten()
+        columns = {k: parts.field(k) for k in ("anchor", "k1", "k2", "copies", "n")}
+        starts, ends = parts.field("start").to_numpy(), parts.field("start").to_numpy() + parts.field("size").to_numpy()
+        at = own.offsets.to_numpy() - own.offsets[0].as_py()
+        first, contents, size = 0, [], 0
+        for k, text in enumerate(kernel.text_array(batch.column("text"))):
+            raw = text.as_buffer()
+            for a, b in zip(starts[at[k] : at[k + 1]].tolist(), ends[at[k] : at[k + 1]].tolist(), strict=True):
+                contents.append(raw[a:b].to_pybytes())
+                size += b - a
+            if size > kernel.CHUNK_BYTES or k == batch.num_rows - 1:
+                yield from kernel.batches(schema, [{c: v.slice(first, len(contents)) for c, v in columns.items()} | {"content": contents}])
+                first, contents, size = first + len(contents), [], 0
+    kernel.release()
+
+
+FOUND = "anchor long, k1 long, k2 long, a int, b int, shard long, hash long"
 
 
 def _shard(table: pa.Table, window: int) -> pa.Table:
-    """Repeated windows of one shard. Where an anchor is spread over shards, the hashes of single windows and of one
-    of each repeated kind (its place marked by its complement) go on to the merge."""
+    """Repeated runs [a, b) of a shard's segments. Where an anchor is spread over shards, its windows that are single
+    here, and one of each repeated kind, are listed for the merge with their hashes (b: 0 if single, else -1)."""
     schema = kernel.arrow_schema(FOUND)
+    names = np.stack([table.column(c).to_numpy() for c in KIND], axis=1)
+    _, distinct = np.unique(names, axis=0, return_index=True)  # rows that share doc_id and text are cut out twice
+    table = table.take(pa.array(np.sort(distinct)))
     texts = table.column("content").to_pylist()
-    data, last, repeated, whole = repeated_windows(texts, table.column("copies").to_numpy(), window)
+    data, repeated, whole = repeated_windows(texts, table.column("copies").to_numpy(), window)
     bounds = np.concatenate(([0], np.cumsum([len(t) for t in texts])))
-    spread = table.column("spread").to_numpy(zero_copy_only=False)
-    hashes, sent = np.zeros(len(data), dtype=np.uint64), np.zeros(len(data), dtype=bool)
+    starts = np.flatnonzero(repeated)
+    owner = np.searchsorted(bounds, starts, side="right") - 1
+    new = np.flatnonzero(np.concatenate(([True], (np.diff(starts) > window) | (owner[1:] != owner[:-1])))) if len(starts) else starts
+    ends = np.concatenate((new[1:] - 1, [len(starts) - 1])).astype(np.int64) if len(starts) else starts
+    rows, a, b = owner[new], starts[new] - bounds[owner[new]], starts[ends] + window - bounds[owner[new]]
+    shard = table.column("shard").to_numpy()
+    hashes = np.zeros(0, dtype=np.int64)
+    spread = table.column("spread").to_numpy()
     if spread.any():
         where = np.flatnonzero(whole & np.repeat(spread, np.diff(bounds)))
-        hashes[where] = kernel.span_hashes(data, where, where + window)
-        known = where[repeated[where]]
-        sent[where[~repeated[where]]] = True
-        sent[known[np.unique(hashes[known], return_index=True)[1]]] = True
-    out: dict[str, list] = {name: [] for name in ("runs", "hashes", "places")}
-    for k in range(len(texts)):
-        own = slice(bounds[k], bounds[k + 1])
-        starts = np.flatnonzero(repeated[own])
-        out["runs"].append(runs_of(starts, starts + window).tobytes())
-        places = np.flatnonzero(sent[own])
-        out["hashes"].append(hashes[own][places].tobytes())
-        out["places"].append(np.where(repeated[own][places], ~places, places).astype(np.int32).tobytes())
-    columns = {name: table.column(name).combine_chunks() for name in ("anchor", "c1", "c2", "shard", "spread")}
-    return pa.Table.from_batches(kernel.batches(schema, [columns | out]), schema=schema)
-
-
-def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = kernel.arrow_schema("anchor long, c1 long, c2 long, shard long, hash long, place int")
-    for batch in batches:
-        for anchor, c1, c2, shard, hashes, places in zip(*[batch.column(c).to_pylist() for c in ("anchor", "c1", "c2", "shard", "hashes", "places")], strict=True):
-            values = np.frombuffer(hashes, dtype=np.int64)
-            n = len(values)
-            yield from kernel.batches(schema, [{"anchor": [anchor] * n, "c1": [c1] * n, "c2": [c2] * n, "shard": [shard] * n, "hash": values, "place": np.frombuffer(places, dtype=np.int32)}])
+        hashed = kernel.span_hashes(data, where, where + window)
+        known = repeated[where]
+        one = np.flatnonzero(known)[np.unique(hashed[known], return_index=True)[1]]
+        sent = np.sort(np.concatenate((np.flatnonzero(~known), one)))
+        owner = np.searchsorted(bounds, where[sent], side="right") - 1
+        rows, a, b = np.concatenate((rows, owner)), np.concatenate((a, where[sent] - bounds[owner])), np.concatenate((b, np.where(known[sent], -1, 0)))
+        hashes = hashed[sent].view(np.int64)
+    columns = {c: table.column(c).to_numpy()[rows] for c in KIND} | {"a": a, "b": b, "shard": shard[rows]}
+    columns["hash"] = pa.concat_arrays([pa.nulls(len(rows) - len(hashes), pa.int64()), pa.array(hashes)])
+    out = pa.Table.from_batches(kernel.batches(schema, [columns]), schema=schema)
+    kernel.release()
+    return out
 
 
 def _merge(table: pa.Table, window: int) -> pa.Table:
-    """Of one range of window hashes from several shards: each shard's sorted hashes are searched in the others'. Only
-    windows that are single in their own shard are found anew."""
-    shard, hashes = table.column("shard").to_numpy(), table.column("hash").to_numpy()
-    sorted_runs = {s: np.sort(hashes[shard == s]) for s in np.unique(shard)}
-    single, hit = table.column("place").to_numpy() >= 0, np.zeros(len(hashes), dtype=bool)
-    for s in sorted_runs:
+    """The sorted windows of each shard are searched in every other's, as bytes. Only windows that are single in their
+    own shard are found anew."""
+    shard, single = table.column("shard").to_numpy(), table.column("b").to_numpy() == 0
+    windows = np.array(table.column("content").to_pylist(), dtype=object)
+    order = sorted(range(len(windows)), key=windows.__getitem__)
+    number = np.zeros(len(windows), dtype=np.int64)  # of distinct windows, in their order
+    number[order] = np.cumsum([k > 0 and windows[i] != windows[order[k - 1]] for k, i in enumerate(order)])
+    runs = {s: np.sort(number[shard == s]) for s in np.unique(shard)}
+    hit = np.zeros(len(number), dtype=bool)
+    for s in runs:
         own = np.flatnonzero((shard == s) & single)
-        for other, run in sorted_runs.items():
+        for other, run in runs.items():
             if other != s:
-                at = np.minimum(np.searchsorted(run, hashes[own]), len(run) - 1)
-                hit[own] |= run[at] == hashes[own]
+                hit[own] |= run[np.minimum(np.searchsorted(run, number[own]), len(run) - 1)] == number[own]
     found = table.filter(pa.array(hit))
-    runs = [np.array([[p, p + window]], dtype=np.int32).tobytes() for p in found.column("place").to_pylist()]
-    return pa.table({"anchor": found.column("anchor"), "c1": found.column("c1"), "c2": found.column("c2"), "runs": pa.array(runs, type=pa.binary())})
-
-
-def covered(text: bytes, copied: bool | None, spans: list[dict] | None, window: int) -> np.ndarray:
-    """The maximal runs of a text that go."""
-    if copied and len(text) >= window:
-        return np.array([[0, len(text)]], dtype=np.int32)
-    if not spans:
-        return np.zeros((0, 2), dtype=np.int32)
-    at = np.concatenate([np.frombuffer(s["runs"], dtype=np.int32).reshape(-1, 2) + s["start"] for s in spans])
-    return runs_of(at[:, 0], at[:, 1])
+    a = found.column("a").to_numpy()
+    return pa.table({c: found.column(c) for c in KIND} | {"a": pa.array(a), "b": pa.array((a + window).astype(np.int32))})
+
+
+def covered(batch: pa.RecordBatch, texts: pa.Array, copied: str, spans: str, window: int) -> list[np.ndarray]:
+    """Of each text the maximal runs that go: all of it if it has a copy, else the union of its spans."""
+    lengths = np.diff(np.frombuffer(texts.buffers()[1], dtype=np.int64)[texts.offset : texts.offset + len(texts) + 1])
+    whole = batch.column(copied).fill_null(False).to_numpy(zero_copy_only=False) & (lengths >= window)
+    listed = batch.column(spans)
+    flat = listed.flatten()
+    counts = np.array([len(v) if v.is_valid else 0 for v in listed], dtype=np.int64)
+    row = np.repeat(np.arange(len(texts)), counts)
+    base = np.concatenate(([0], np.cumsum(lengths + 1)))  # a byte between texts keeps their runs apart
+    a, b = (flat.field(k).to_numpy(zero_copy_only=False).astype(np.int64) + base[row] for k in ("a", "b"))
+    keep = ~whole[row]
+    a, b = np.concatenate((a[keep], base[:-1][whole])), np.concatenate((b[keep], (base[:-1] + lengths)[whole]))
+    runs = runs_of(a, b)
+    cuts = np.searchsorted(runs[:, 0], base)
+    return [runs[cuts[k] : cuts[k + 1]] - base[k] for k in range(len(texts))]
 
 
 def without(text: bytes, runs: np.ndarray) -> bytes:
@@ -276,82 +323,102 @@ def without(text: bytes, runs: np.ndarray) -> bytes:
 def _finish(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
     schema = kernel.arrow_schema(RESULT)
     for batch in batches:
+        texts = kernel.text_array(batch.column("text"))
         out: dict[str, list] = {name: [] for name in schema.names if name != "doc_id"}
-        for text, copied, spans in zip(kernel.text_array(batch.column("text")), batch.column("copied").to_pylist(), batch.column("spans").to_pylist(), strict=True):
-            text = text.as_py()
-            runs = covered(text, copied, spans, window)
-            kept = without(text, runs)
-            for column, value in zip(out.values(), (len(text), len(text) - len(kept), len(runs), hashlib.sha256(kept).hexdigest()), strict=True):
+        for text, runs in zip(texts, covered(batch, texts, "copied", "spans", window), strict=True):
+            raw = text.as_py()
+            kept = without(raw, runs) if len(runs) else raw
+            for column, value in zip(out.values(), (len(raw), len(raw) - len(kept), len(runs), hashlib.sha256(kept).hexdigest()), strict=True):
                 column.append(value)
         yield from kernel.batches(schema, [out | {"doc_id": batch.column("doc_id")}])
+    kernel.release()
 
 
-def _rewrite(batches: Iterator[pa.RecordBatch], names: list[str], window: int) -> Iterator[pa.RecordBatch]:
+def _rewrite(batches: Iterator[pa.RecordBatch], names: list[str], text_name: str, copied: str, spans: str, window: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
+        column = batch.column(text_name)
+        raw = kernel.text_array(column)
         texts, keep = [], []
-        for text, copied, spans in zip(batch.column("text").to_pylist(), batch.column("_copied").to_pylist(), batch.column("_spans").to_pylist(), strict=True):
-            runs = covered(raw := (text or "").encode(), copied, spans, window)
-            kept = without(raw, runs).decode(errors="ignore") if len(runs) else text
+        for k, runs in enumerate(covered(batch, raw, copied, spans, window)):
+            kept = without(raw[k].as_py(), runs).decode(errors="ignore") if len(runs) else column[k].as_py()
             texts.append(kept)
             keep.append(not len(runs) or bool(kept))
-        columns = [pa.array(texts, type=batch.schema.field("text").type) if n == "text" else batch.column(n) for n in names]
+        columns = [pa.array(texts, type=column.type) if n == text_name else batch.column(n) for n in names]
         yield pa.RecordBatch.from_arrays(columns, names=names).filter(pa.array(keep, type=pa.bool_()))
+    kernel.release()
 
 
 def repeated_runs(docs: DataFrame, scratch: Scratch, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """digest (of a text), copied, spans (start and runs of its segments with repeated windows); docs: text, digest."""
-    texts = docs.select("digest", "text").mapInArrow(lambda it: _segment_all(it, window, gram), TEXTS)
+    """d1, d2 (the digest of a text), copied, spans ([a, b) of repeated bytes); docs: d1, d2, number, text."""
+    digest = ["d1", "d2"]
+    found = docs.select(*digest, "text").mapInArrow(lambda it: _segment_all(it, window, gram), TEXTS)
     # Equal texts become one, with their number.
-    texts = scratch.keep(texts.groupBy("digest").agg(F.count("*").alias("copies"), *[F.first(c).alias(c) for c in ("n_bytes", "anchors", "starts", "sizes")]), "texts")
-    own = texts.select("digest", "copies", F.explode(F.arrays_zip(F.col("anchors").alias("anchor"), F.col("starts").alias("start"), F.col("sizes").alias("size"))).alias("s")).select("digest", "copies", "s.*")
-    often = own.groupBy("anchor").agg(F.sum("copies").alias("n")).where("n > 1").select("anchor")
-    listed = own.join(often, "anchor").groupBy("digest").agg(F.collect_list(F.struct("anchor", "start", "size", "copies")).alias("own"))
-    one = docs.groupBy("digest").agg(F.min("number").alias("number"))
-    chosen = listed.join(one, "digest")
-    slices = docs.select("digest", "number", "text").join(chosen, ["digest", "number"]).select("digest", "text", "own").mapInArrow(_slice_all, SLICES)
-    slices = scratch.keep(slices.withColumns({"c1": F.xxhash64("content"), "c2": F.xxhash64(F.lit(1), "content")}), "slices")
-
-    distinct = slices.groupBy("anchor", "c1", "c2").agg(F.sum("copies").alias("copies"), F.first("content").alias("content"))
-    contents = scratch.keep(distinct, "contents")
-    kinds = contents.groupBy("anchor").agg(F.count("*").alias("n"), F.sum(F.length("content")).alias("bytes"))
-    sizes = kinds.agg(F.sum("bytes")).first()[0] or 0
+    names = ("anchors", "k1", "k2", "starts", "sizes")
+    texts = scratch.keep(found.groupBy(*digest).agg(F.count("*").alias("copies"), *[F.first(c).alias(c) for c in names]), "texts")
+    zipped = F.arrays_zip(*[F.col(a).alias(b) for a, b in zip(names, (*KIND, "start", "size"), strict=True)])
+    own = texts.select(*digest, "copies", F.explode(zipped).alias("s")).select(*digest, "copies", "s.*")
+    # A kind keeps one of its places, whichever comes first.
+    place = (*digest, "start", "size")
+    kinds = scratch.keep(own.groupBy(*KIND).agg(F.sum("copies").alias("copies"), *[F.first(c).alias(c) for c in place]), "kinds")
+    anchors = kinds.groupBy("anchor").agg(F.count("*").alias("n"), F.sum("copies").alias("total"), F.sum("size").alias("bytes"))
+    anchors = scratch.keep(anchors.where("total > 1"), "anchors")
+    alone = kinds.where("copies > 1").join(anchors.where("n = 1").select("anchor"), "anchor", "left_semi")
+    runs = alone.select(*KIND, F.lit(0).alias("a"), F.col("size").alias("b"))
+
+    several = anchors.where("n > 1").select("anchor", "n")
+    several = kinds.join(several, "anchor").groupBy(*digest).agg(F.collect_list(F.struct(*KIND, "copies", "n", "start", "size")).alias("own"))
+    one = docs.groupBy(*digest).agg(F.min("number").alias("number"))
+    chosen = several.join(one, digest)
+    cut = docs.select(*digest, "number", "text").join(chosen, [*digest, "number"]).select("text", "own").mapInArrow(_slice_all, SLICES)
+    sizes = anchors.where("n > 1").agg(F.sum("bytes")).first()[0] or 0
     n_shards = max(1, -(-sizes // SHARD_BYTES))
-    large = kinds.where(F.col("n") > SEGMENTS_PER_SHARD).select("anchor", F.ceil(F.col("n") / SEGMENTS_PER_SHARD).alias("parts"))
-    dealt = contents.join(large, "anchor", "left").select(
-        "anchor", "c1", "c2", "copies", "content", F.col("parts").isNotNull().alias("spread"),
-        F.pmod(F.xxhash64("anchor", F.when(F.col("parts").isNotNull(), F.pmod("c1", "parts"))), F.lit(n_shards)).cast("long").alias("shard"),
-    )
-    found = scratch.keep(dealt.groupBy("shard").applyInArrow(lambda t: _shard(t, window), FOUND), "found")
-    runs = found.select("anchor", "c1", "c2", "runs")
-    if not large.isEmpty():
-        windows = found.where("spread").select("anchor", "c1", "c2", "shard", "hashes", "places").mapInArrow(_windows, "anchor long, c1 long, c2 long, shard long, hash long, place int")
-        windows = windows.withColumn("part", F.pmod(F.xxhash64("hash"), F.lit(16 * n_shards)))
-        merged = windows.groupBy("part").applyInArrow(lambda t: _merge(t, window), "anchor long, c1 long, c2 long, runs binary")
-        runs = runs.union(merged)
-    spans = slices.select("digest", "start", "anchor", "c1", "c2").join(runs.where(F.length("runs") > 0), ["anchor", "c1", "c2"])
-    spans = spans.groupBy("digest").agg(F.collect_list(F.struct("start", "runs")).alias("spans"))
-    copied = texts.select("digest", (F.col("copies") > 1).alias("copied"))
-    return scratch.keep(copied.join(spans, "digest", "left").where("copied or spans is not null"), "spans")
+    is_spread = F.col("n") > SEGMENTS_PER_SHARD
+    part = F.when(is_spread, F.pmod("k1", F.ceil(F.col("n") / SEGMENTS_PER_SHARD)))
+    dealt = cut.withColumns({"spread": is_spread, "shard": F.pmod(F.xxhash64("anchor", part), F.lit(n_shards)).cast("long")})
+    large = not anchors.where(is_spread).isEmpty()
+    if large:
+        dealt = scratch.keep(dealt, "slices")
+    found = dealt.drop("n").groupBy("shard").applyInArrow(lambda t: _shard(t, window), FOUND)
+    found = scratch.keep(found, "found")
+    runs = runs.unionAll(found.where("hash is null").select(*KIND, "a", "b"))
+    if large:
+        windows = found.where("hash is not null")
+        shared = windows.groupBy("hash").agg(F.min("shard").alias("low"), F.max("shard").alias("high"), F.max("b").alias("b")).where("low < high and b = 0").select("hash")
+        windows = windows.join(shared, "hash", "left_semi").join(dealt.where("spread").select(*KIND, "content").dropDuplicates(KIND), list(KIND))
+        windows = windows.withColumns({"content": F.substring("content", F.col("a") + 1, F.lit(window)), "part": F.pmod(F.xxhash64("hash"), F.lit(16 * n_shards))})
+        runs = runs.unionAll(windows.groupBy("part").applyInArrow(lambda t: _merge(t, window), "anchor long, k1 long, k2 long, a int, b int"))
+    # Copied texts go whole; spans are for the others.
+    spans = own.where("copies = 1").select(*digest, *KIND, "start").join(runs, list(KIND))
+    spans = spans.groupBy(*digest).agg(F.collect_list(F.struct((F.col("start") + F.col("a")).alias("a"), (F.col("start") + F.col("b")).alias("b"))).alias("spans"))
+    copied = texts.select(*digest, (F.col("copies") > 1).alias("copied"))
+    return scratch.keep(copied.join(spans, digest, "left").where("copied or spans is not null"), "spans")
+
+
+def digest_columns(text: str) -> dict[str, F.Column]:
+    """Two numbers of 60 bits each from a text's MD5 (null: empty)."""
+    md5 = F.md5(F.coalesce(text, F.lit("")).cast("binary"))
+    return {f"d{k + 1}": F.conv(F.substring(md5, 1 + 15 * k, 15), 16, 10).cast("long") for k in (0, 1)}
 
 
 def digested(docs: DataFrame) -> DataFrame:
-    """doc_id, text (null: empty), digest (of the text) and number (doc_id, or the least number for null)."""
-    text = F.coalesce("text", F.lit(""))
-    return docs.select("doc_id", text.alias("text"), F.unhex(F.md5(text.cast("binary"))).alias("digest"), F.coalesce("doc_id", F.lit(-(2**63))).alias("number"))
+    """doc_id, text (null: empty), its digest (d1, d2) and number (doc_id, or the least number for null)."""
+    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.coalesce("doc_id", F.lit(-(2**63))).alias("number"), *[c.alias(k) for k, c in digest_columns("text").items()])
 
 
 def suffix_dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """One row per document with what was removed from it."""
     rows = digested(docs)
     spans = repeated_runs(rows, Scratch(docs.sparkSession, "suffix-dedup"), window, gram)
-    return rows.join(spans, "digest", "left").select("doc_id", "text", "copied", "spans").mapInArrow(lambda it: _finish(it, window), RESULT)
+    return rows.join(spans, ["d1", "d2"], "left").select("doc_id", "text", "copied", "spans").mapInArrow(lambda it: _finish(it, window), RESULT)
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """The documents, with all their columns, with repeated bytes cut out of their texts; a character that a cut parts
     goes whole. A document of which nothing is left goes."""
+    names, text_name = docs.columns, next(c for c in docs.columns if c.lower() == "text")
     spans = repeated_runs(digested(docs), Scratch(docs.sparkSession, "suffix-dedup"), window, gram)
-    spans = spans.select(F.col("digest").alias("_digest"), F.col("copied").alias("_copied"), F.col("spans").alias("_spans"))
-    rows = docs.withColumn("_digest", F.unhex(F.md5(F.coalesce("text", F.lit("")).cast("binary")))).join(spans, "_digest", "left").drop("_digest")
-    names = docs.columns
-    return rows.mapInArrow(lambda it: _rewrite(it, names, window), docs.schema)
+    own = unused(names, "d1", "d2", "copied", "spans")
+    spans = spans.select(*[F.col(c).alias(own[c]) for c in ("d1", "d2", "copied", "spans")])
+    rows = docs.withColumns({own[k]: c for k, c in digest_columns("text").items()}).join(spans, [own["d1"], own["d2"]], "left").drop(own["d1"], own["d2"])
+    copied, listed = own["copied"], own["spans"]
+    return rows.mapInArrow(lambda it: _rewrite(it, names, text_name, copied, listed, window), docs.schema)
