@@ -83,12 +83,60 @@ def _powers(base: int, n: int) -> np.ndarray:
 POWERS = Powers()
 
 
+#: Prime modulus and bases of the rolling hash of spans (fixed values). A power of two as modulus would give equal
+#: values to some strings of 2,048 bytes whatever the base.
+PRIME, BASES = 2**31 - 1, (1_191_785_641, 748_932_582)
+REDUCE_EVERY = 1 << 22
+
+
+class PrimePowers:
+    """Powers of a base and of its inverse modulo PRIME, grown as longer chunks come."""
+
+    def __init__(self, base: int) -> None:
+        self.bases = base, pow(base, -1, PRIME)
+        self.tables = [np.ones(1, dtype=np.int64), np.ones(1, dtype=np.int64)]
+
+    def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if len(self.tables[0]) < n:
+            self.tables = [_prime_powers(b, max(n, CHUNK_BYTES + 1)) for b in self.bases]
+        return self.tables[0], self.tables[1]
+
+
+def _prime_powers(base: int, n: int) -> np.ndarray:
+    out = np.ones(n, dtype=np.int64)
+    size = 1
+    while size < n:
+        more = min(size, n - size)
+        out[size : size + more] = out[:more] * pow(base, size, PRIME) % PRIME
+        size += more
+    return out
+
+
+PRIME_POWERS = tuple(PrimePowers(b) for b in BASES)
+
+
+def _residues(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, powers: PrimePowers, wide: bool = False) -> np.ndarray:
+    """Of each span of values (bytes, or wide: below PRIME): its polynomial modulo PRIME. Sums are reduced before they
+    can overflow."""
+    up, down = powers.upto(len(values) + 1)
+    sums = np.zeros(len(values) + 1, dtype=np.int64)
+    carry = 0
+    for at in range(0, len(values), REDUCE_EVERY):
+        part = sums[at + 1 : at + 1 + REDUCE_EVERY]
+        terms = values[at : at + REDUCE_EVERY] * up[at : at + len(part)]
+        np.cumsum(terms % PRIME if wide else terms, out=part)
+        part += carry
+        if len(values) > REDUCE_EVERY:
+            part %= PRIME
+            carry = int(part[-1])
+    return (sums[ends] - sums[starts]) % PRIME * down[starts] % PRIME
+
+
 def span_hashes(symbols: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Rolling-hash value of symbols[start:end] for each span; equal spans have equal values wherever they lie."""
-    up, down = POWERS.upto(len(symbols) + 1)
-    sums = np.zeros(len(symbols) + 1, dtype=np.uint64)
-    np.cumsum((symbols.astype(np.uint64) + np.uint64(1)) * up[: len(symbols)], out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+    """Rolling-hash value of symbols[start:end] for each span of bytes; equal spans have equal values wherever they lie."""
+    values = symbols.astype(np.int64) + 1
+    first, second = (_residues(values, starts, ends, p).astype(np.uint64) for p in PRIME_POWERS)
+    return mix(((first << np.uint64(31)) | second) + (ends - starts).astype(np.uint64) * np.uint64(BASE))
 
 
 def word_spans(data: np.ndarray, offsets: np.ndarray, white: np.ndarray = WHITE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -112,10 +160,11 @@ def window_hashes(words: np.ndarray, n: int) -> np.ndarray:
     """A hash of each run of n consecutive word hashes (len(words) - n + 1 of them), blind to text borders."""
     if len(words) < n:
         return np.zeros(0, dtype=np.uint64)
-    up, down = POWERS.upto(len(words) + 1)
-    sums = np.zeros(len(words) + 1, dtype=np.uint64)
-    np.cumsum(words * up[: len(words)], out=sums[1:])
-    return mix((sums[n:] - sums[:-n]) * down[: len(words) - n + 1] + np.uint64(n))
+    starts = np.arange(len(words) - n + 1)
+    first, second = (
+        _residues(((words >> np.uint64(shift)) % np.uint64(PRIME)).astype(np.int64), starts, starts + n, p, True).astype(np.uint64) for shift, p in zip((0, 31), PRIME_POWERS, strict=True)
+    )
+    return mix(((first << np.uint64(31)) | second) + np.uint64(n << 56))
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, n: int = 5) -> list[np.ndarray]:

@@ -25,16 +25,23 @@ from judged
 
 DECONTAMINATE = rf"""
 with items as (select item_id, regexp_extract_all({LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as ws from benchmark where item_id is not null),
-tests as (select distinct item_id, n, array_to_string(ws[p:p + n - 1], ' ') as win
+tests as (select distinct item_id, ws[p:p + n - 1] as terms
           from (select item_id, ws, least(10, len(ws)) as n, unnest(range(1, len(ws) - least(10, len(ws)) + 2)) as p from items where len(ws) > 0)),
 docs as (select row_number() over () as r, doc_id, regexp_extract_all({LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as ws from documents),
-windows as (select r, n, p, array_to_string(ws[p:p + n - 1], ' ') as win
-            from (select r, ws, n, unnest(range(1, len(ws) - n + 2)) as p from docs, (select distinct n from tests) where len(ws) >= n)),
-found as (select r, n, p, item_id from windows join tests using (n, win)),
+windows as (select r, n, p, ws[p:p + n - 1] as terms
+            from (select r, ws, n, unnest(range(1, len(ws) - n + 2)) as p from docs, (select distinct len(terms) as n from tests) where len(ws) >= n)),
+found as (select r, n, p, item_id from windows join tests using (terms)),
 hits as (select r, count(distinct q) as n_hit from (select r, unnest(range(p, p + n)) as q from found) group by r),
-named as (select r, count(*) as n_items, sha256(string_agg(item, ',' order by item)) as listed from (select distinct r, item_id::varchar as item from found) group by r)
-select doc_id, len(ws) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items, coalesce(listed, sha256('')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
-from docs left join hits using (r) left join named using (r)
+named as (select r, count(*) as n_items, sha256(string_agg(item, ',' order by item)) as listed from (select distinct r, item_id::varchar as item from found) group by r),
+uses as (select term, count(*) as uses from (select unnest(ws) as term from items) group by term),
+placed as (select terms, unnest(terms) as term, generate_subscripts(terms, 1) as k from (select distinct terms from tests)),
+anchors as (select terms, term from (select *, row_number() over (partition by terms order by uses, k) as nth from placed join uses using (term)) where nth = 1),
+places as (select r, unnest(ws) as term, generate_subscripts(ws, 1) as p from docs),
+close as (select distinct r, terms from places join anchors using (term) join docs using (r) where list_has_all(ws[greatest(1, p - 15):p + 15], terms)),
+near as (select r, count(distinct item_id) as n_near from close join tests using (terms) group by r)
+select doc_id, len(ws) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items, coalesce(listed, sha256('')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated,
+  coalesce(n_near, 0) as n_near_items
+from docs left join hits using (r) left join named using (r) left join near using (r)
 """
 
 JACCARD = rf"""

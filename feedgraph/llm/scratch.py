@@ -9,7 +9,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -31,6 +32,13 @@ def unused(taken: list[str], *names: str) -> dict[str, str]:
     return out
 
 
+def text_digest(column: str) -> tuple[Column, Column]:
+    """Two numbers of 60 bits each from a text's MD5 (null: as the empty text)."""
+    md5 = F.md5(F.coalesce(column, F.lit("")).cast("binary"))
+    first, second = (F.conv(F.substring(md5, at, 15), 16, 10).cast("long") for at in (1, 16))
+    return first, second
+
+
 class Scratch:
     """Named tables of one run of an operator. ``keep`` writes a frame and returns it as read back; ``drop`` frees one
     that later tables no longer need. What a returned frame still reads stays until its owner clears the folder."""

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from feedgraph.llm import kernel
-from feedgraph.llm.scratch import Scratch, unused
+from feedgraph.llm.scratch import Scratch, text_digest, unused
 
 WINDOW, GRAM = 200, 40
 SEGMENTS_PER_SHARD = 2048
@@ -394,15 +394,10 @@ def repeated_runs(docs: DataFrame, scratch: Scratch, window: int = WINDOW, gram:
     return scratch.keep(copied.join(spans, digest, "left").where("copied or spans is not null"), "spans")
 
 
-def digest_columns(text: str) -> dict[str, F.Column]:
-    """Two numbers of 60 bits each from a text's MD5 (null: empty)."""
-    md5 = F.md5(F.coalesce(text, F.lit("")).cast("binary"))
-    return {f"d{k + 1}": F.conv(F.substring(md5, 1 + 15 * k, 15), 16, 10).cast("long") for k in (0, 1)}
-
-
 def digested(docs: DataFrame) -> DataFrame:
     """doc_id, text (null: empty), its digest (d1, d2) and number (doc_id, or the least number for null)."""
-    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.coalesce("doc_id", F.lit(-(2**63))).alias("number"), *[c.alias(k) for k, c in digest_columns("text").items()])
+    d1, d2 = text_digest("text")
+    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.coalesce("doc_id", F.lit(-(2**63))).alias("number"), d1.alias("d1"), d2.alias("d2"))
 
 
 def suffix_dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
@@ -419,6 +414,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> D
     spans = repeated_runs(digested(docs), Scratch(docs.sparkSession, "suffix-dedup"), window, gram)
     own = unused(names, "d1", "d2", "copied", "spans")
     spans = spans.select(*[F.col(c).alias(own[c]) for c in ("d1", "d2", "copied", "spans")])
-    rows = docs.withColumns({own[k]: c for k, c in digest_columns("text").items()}).join(spans, [own["d1"], own["d2"]], "left").drop(own["d1"], own["d2"])
+    d1, d2 = text_digest("text")
+    rows = docs.withColumns({own["d1"]: d1, own["d2"]: d2}).join(spans, [own["d1"], own["d2"]], "left").drop(own["d1"], own["d2"])
     copied, listed = own["copied"], own["spans"]
     return rows.mapInArrow(lambda it: _rewrite(it, names, text_name, copied, listed, window), docs.schema)

@@ -156,22 +156,90 @@ def naive_hits(doc, items, window):
     return hit, found
 
 
-@given(st.lists(st.lists(st.sampled_from([b"a", b"b", b"c"]), max_size=30), min_size=1, max_size=4), st.lists(st.lists(st.sampled_from([b"a", b"b", b"z"]), max_size=14), min_size=1, max_size=4))
+def found_in(docs, items, window, slop):
+    """Of each document its number of hit words, its items with exact matches, and those with proximity matches."""
+    data, offsets = chunk([b" ".join(d).decode() for d in docs])
+    terms, bounds, places, begins, n_words = decontaminate.postings(data, offsets, max(window, slop) + 1)
+    assert n_words.tolist() == [len(d) for d in docs]
+    uses = Counter(t for _, tokens in items for t in tokens)
+    number = {t: k for k, t in enumerate(uses)}
+    lists = {number[t]: places[bounds[k] : bounds[k + 1]] for k, t in enumerate(terms) if t in number}
+    windows, members = [], []
+    for item, tokens in items:
+        n = min(window, len(tokens))
+        for i in range(len(tokens) - n + 1 if n else 0):
+            own = tokens[i : i + n]
+            least = min(range(n), key=lambda k: (uses[own[k]], k))
+            windows += [(len(members), [number[t] for t in own], 0, True), (len(members), [number[t] for t in own], least, False)]
+            members.append(item)
+    got = decontaminate.search(list(lists), list(lists.values()), begins.astype(np.int64), windows, slop)
+    named = {(d, members[w], bool(e)) for d, w, e in zip(got["doc"].tolist(), got["win"].tolist(), got["exact"].tolist(), strict=True)}
+    return [(got["n_hit"][k], *({i for d, i, e in named if d == k and e == exact} for exact in (True, False))) for k in range(len(docs))]
+
+
+def naive_near(doc, items, window, slop):
+    uses = Counter(t for _, tokens in items for t in tokens)
+    found = set()
+    for item, tokens in items:
+        n = min(window, len(tokens))
+        for i in range(len(tokens) - n + 1 if n else 0):
+            own = tokens[i : i + n]
+            anchor = min(own, key=lambda t: (uses[t], own.index(t)))
+            found |= {item for p, t in enumerate(doc) if t == anchor and set(own) <= set(doc[max(0, p - slop) : p + slop + 1])}
+    return found
+
+
+@pytest.mark.parametrize("step", [1, 1 << 18])
+@given(
+    docs=st.lists(st.lists(st.sampled_from([b"a", b"b", b"c"]), max_size=30), min_size=1, max_size=4),
+    tests=st.lists(st.lists(st.sampled_from([b"a", b"b", b"z"]), max_size=14), min_size=1, max_size=4), slop=st.integers(0, 15),
+)
 @settings(max_examples=100, deadline=None)
-def test_phrases(docs, tests):
+def test_phrases(step, docs, tests, slop):
     items = list(enumerate(tests))
-    block = decontaminate.Block(items, 10)
-    for doc, (runs, exact, near) in zip(docs, decontaminate.search(block, docs, 15), strict=True):
+    decontaminate.STEP, before = step, decontaminate.STEP
+    for doc, (n_hit, exact, near) in zip(docs, found_in(docs, items, 10, slop), strict=True):
         hit, found = naive_hits(doc, items, 10)
-        assert exact == found
-        assert found <= near
-        assert (decontaminate.covered(len(doc), runs) if len(runs) else 0) == len(hit)
+        assert (exact, n_hit) == (found, len(hit))
+        assert near == naive_near(doc, items, 10, slop)
+    decontaminate.STEP = before
 
 
 def test_proximity():
-    block = decontaminate.Block([(1, [b"x", b"y", b"z"])], 10)
-    found = decontaminate.search(block, [[b"z", b"-", b"x", b"y"], [b"x", *[b"-"] * 20, b"y", b"z"]], 3)
-    assert [(e, n) for _, e, n in found] == [(set(), {1}), (set(), set())]
+    found = found_in([[b"z", b"q", b"x", b"y"], [b"x", *[b"q"] * 20, b"y", b"z"]], [(1, [b"x", b"y", b"z"])], 10, 3)
+    assert [f[1:] for f in found] == [(set(), {1}), (set(), set())]
+
+
+def test_equal_windows_of_many_items_are_one_in_the_index():
+    """8,000 places of a window that 2,000 items share: the window is searched once."""
+    words = [b"w%d" % k for k in range(10)]
+    data, offsets = chunk([b" ".join(words * 8000).decode()])
+    terms, bounds, places, begins, _ = decontaminate.postings(data, offsets, 16)
+    number = {t: k for k, t in enumerate(terms)}
+    lists = [places[bounds[k] : bounds[k + 1]] for k in range(len(terms))]
+    got = decontaminate.search(list(range(len(terms))), lists, begins.astype(np.int64), [(7, [number[w] for w in words], 0, True)], 15)
+    assert (got["doc"].tolist(), got["win"].tolist(), got["n_hit"].tolist()) == ([0], [7], [80_000])
+
+
+def test_hash_tells_thue_morse_strings_apart():
+    a = b"a"
+    while len(a) < 2048:
+        a += bytes(195 - c for c in a)
+    data = np.frombuffer(a + bytes(195 - c for c in a), dtype=np.uint8)
+    one, other = kernel.span_hashes(data, np.array([0, 2048]), np.array([2048, 4096]))
+    assert one != other
+    lines = quality_rules.measure(*chunk([a.decode() + "\n" + bytes(195 - c for c in a).decode()]))
+    assert lines["n_dup_lines"].tolist() == [0]
+
+
+def test_hashes_of_long_chunks(monkeypatch):
+    rng = np.random.default_rng(9)
+    data = rng.integers(0, 256, 3000).astype(np.uint8)
+    starts = rng.integers(0, 2900, 200)
+    ends = starts + rng.integers(0, 100, 200)
+    whole = kernel.span_hashes(data, starts, ends)
+    monkeypatch.setattr(kernel, "REDUCE_EVERY", 64)
+    assert (kernel.span_hashes(data, starts, ends) == whole).all()
 
 
 @given(st.lists(st.lists(st.integers(0, 50), max_size=8), max_size=6))

@@ -13,10 +13,11 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
+from feedgraph.llm import decontaminate as decontaminate_module
 from feedgraph.llm import suffix_dedup as suffix_module
 from feedgraph.llm.chat import chat_format
 from feedgraph.llm.class_lm import class_lm_scores
-from feedgraph.llm.decontaminate import decontaminate, drop_contaminated
+from feedgraph.llm.decontaminate import contamination_matches, decontaminate, drop_contaminated
 from feedgraph.llm.jaccard_join import drop_near_copies, jaccard_join
 from feedgraph.llm.packing import bin_completion, lower_bound, pack
 from feedgraph.llm.quality_gam import drop_low_quality, quality_gam
@@ -55,7 +56,8 @@ def frame(spark, rows):
 
 def clashing(docs):
     """Extra columns whose names the operators use inside."""
-    extra = ("digest", "n", "band", "group", "component_id", "score", "size", "row", "own", "first", "anchor", "copies", "number", "spans", "held_out", "words", "length")
+    extra = ("digest", "n", "band", "group", "component_id", "score", "size", "row", "own", "first", "anchor", "copies", "number", "spans", "held_out", "words", "length",
+        "_digest", "_copied", "_spans", "_nth", "d1", "d2", "k1", "k2", "copied", "block", "doc", "win", "term", "places", "text_")
     return docs.selectExpr("*", *[f"'x' as {c}" for c in extra])
 
 
@@ -219,7 +221,7 @@ def test_suffix_dedup(spark, monkeypatch, per_shard):
     assert rewritten == Counter((i, t if not b[1] else b[4].decode(errors="ignore")) for (i, t), b in zip(rows, brute, strict=True) if not b[1] or b[4])
 
 
-def test_decontamination(spark):
+def test_decontamination(spark, monkeypatch):
     rng = random.Random(5)
     items = [(1, words(rng, 30)), (2, words(rng, 4)), (3, ""), (4, None), (None, "a"), (5, "Solo!"), (1, words(rng, 12))]
     leak = " ".join(items[0][1].split()[5:20])
@@ -238,10 +240,15 @@ def test_decontamination(spark):
                 named |= {item} if at else set()
         expected[(i, len(doc), len(hit), len(named), hashlib.sha256(",".join(sorted(map(str, named))).encode()).hexdigest(), bool(hit))] += 1
         clean[i] += not hit
-    for block_words in (200_000, 8):
-        found = decontaminate(frame(spark, rows), tests, block_words=block_words).collect()
+    for size in (4 << 20, 300):
+        monkeypatch.setattr(decontaminate_module, "BLOCK_BYTES", size)
+        found = decontaminate(clashing(frame(spark, rows)), tests).collect()
         assert Counter((r.doc_id, r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in found) == expected
-    assert Counter(r.doc_id for r in drop_contaminated(clashing(frame(spark, rows)), tests, block_words=8).collect()) == +clean
+        assert all(r.n_near_items >= r.n_items for r in found)
+    listed = contamination_matches(frame(spark, rows), tests).where("exact").groupBy("doc_id").count().collect()
+    by = {r.doc_id: r.n_items for r in found if r.doc_id is not None and r.n_items}
+    assert {r.doc_id: r["count"] for r in listed} == by
+    assert Counter(r.doc_id for r in drop_contaminated(clashing(frame(spark, rows)), tests).collect()) == +clean
     assert decontaminate(frame(spark, rows), tests.limit(0)).where("contaminated").count() == 0
     assert decontaminate(frame(spark, []), tests).count() == 0
 
