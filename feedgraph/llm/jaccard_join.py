@@ -1,21 +1,27 @@
 """N-gram Jaccard join by PartEnum signatures, and the groups that its links form.
 
 Two sets of sizes r and s with Jaccard similarity of at least 0.8 differ in at most (r + s) / 9 elements. Within a size
-band, the feature domain is partitioned by hash into one part more than the largest such difference, so similar sets
-have a part in common where they agree wholly; the signature of a part is a hash of all that a set has there. A set of
-its own size needs fewer parts to be sure of one: it enumerates its k + 1 fullest parts only, by a level that depends
-on the signature alone, so of two similar sets the one with the higher level always finds a shared signature.
-
-Rows of (signature, document) are sorted by Spark and read as a stream, so a bucket of any size needs no memory. A small
-bucket yields its pairs of fitting sizes. Equal sets are one from there on. Pairs are compared by odd sketches: parity
-bits whose Hamming distance never exceeds the true difference, so a rejected pair surely is no link. What passes is
-verified on the whole texts. To keep a family of thousands of near copies from yielding all its pairs, a large bucket
-proposes a spanning forest of passing pairs; the verified links are united, and a second round proposes every passing
-pair across what is still apart, so no link between different groups is lost. Its rows are dealt as pairs of blocks.
+band the feature domain is partitioned by hash on two levels: into half as many first-level parts as the largest such
+difference, and each of them into three second-level parts. Similar sets have a first-level part where they differ in
+at most one element, so two of its second-level parts agree wholly: every pair of second-level parts is enumerated,
+and its signature is a hash of all that a set has in both. A set of its own size needs fewer signatures to be sure of a
+shared one: it keeps the fullest ones only, by a level that depends on the signature alone, so of two similar sets the
+one with the higher level always finds a shared signature.
+
+Equal sets are one from there on: signature rows name sets by a hash, so copies meet as one row, and the names are
+resolved to documents before anything is decided. Rows are sorted by Spark and read as a stream, so a bucket of any
+size needs no memory. Pairs are compared by odd sketches: parity bits whose Hamming distance never exceeds the true
+difference, so a rejected pair surely is no link. What passes is verified on the whole texts.
+
+A family of thousands of near copies must not yield all its pairs. In a first round every bucket ties its members to
+its first one; the verified links are united. A second round takes every fitting pair of a bucket whose documents are
+still apart, so no link between different groups is lost: the pairs of small buckets, and large ones by pairs of blocks
+where they hold more than one group.
 
 Defined results. Null and wordless texts have an empty set and link with nothing. Rows without doc_id link with
-nothing; rows that share a doc_id are one document for links. Repeated rows get one result row each. Extra columns are
-ignored; an empty table gives an empty result.
+nothing; rows that share a doc_id are one document for links. Repeated rows get one result row each. Extra columns,
+whatever their names, are left out of the results and kept with the remaining documents; an empty table gives an empty
+result.
 """
 
 from __future__ import annotations
@@ -24,17 +30,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from feedgraph.llm import kernel
 from feedgraph.llm.components import components
-from feedgraph.llm.scratch import Scratch
+from feedgraph.llm.scratch import Scratch, text_digest, unused
 
 WORDS, BLOCK, SMALL = 5, 1024, 24
+SECOND = 3  # second-level parts in a first-level one
 FEATURES = "doc_id long, n long, d1 long, d2 long, band int, main boolean, sketch binary"
-SIGNED = "signature long, doc_id long, n int, band int"
-BUCKETS = "signature long, a long, b long, band int, block long"
+SIGNED = "signature long, id long, n int, band int"
+BUCKETS = "signature long, a long, b long, band int, block long, star boolean"
 
 
 def most_different(n: np.ndarray | int) -> np.ndarray | int:
@@ -53,16 +60,26 @@ def bands(n: int) -> list[int]:
 
 
 def signatures(elements: np.ndarray, band: int) -> np.ndarray:
-    """The fullest parts' signatures of a sorted set, enough to share one with every similar set of the band."""
-    parts = int(most_different(5 * band - 1)) + 1
-    part = (((elements >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)).astype(np.int64)
-    counts = np.bincount(part, minlength=parts)
+    """The fullest signatures of a sorted set, enough to share one with every similar set of the band.
+
+    Of each first-level part the sums of its elements without those of one second-level part. A differing element
+    spoils two of a part's three signatures, a second one there the third."""
+    most = int(most_different(5 * band - 1))
+    first = most // 2 + 1
+    part = (((elements >> np.uint64(32)) * np.uint64(SECOND * first)) >> np.uint64(32)).astype(np.int64)
+    counts = np.bincount(part, minlength=SECOND * first)
     ends = np.cumsum(counts)
     sums = np.concatenate((np.zeros(1, dtype=np.uint64), np.cumsum(kernel.mix(elements))))
-    values = kernel.mix(sums[ends] - sums[ends - counts] + np.arange(parts, dtype=np.uint64) * np.uint64(kernel.BASE) + np.uint64(band))
-    level = np.minimum(counts, 15) * 16 + (values >> np.uint64(60)).astype(np.int64)
-    kept = np.cumsum(np.bincount(level, minlength=256)[::-1])
-    return values[level >= 255 - np.searchsorted(kept, int(most_different(len(elements))) + 1)]
+    own = (sums[ends] - sums[ends - counts]).reshape(first, SECOND)
+    values = own.sum(axis=1, dtype=np.uint64, keepdims=True) - own
+    held = (counts.reshape(first, SECOND).sum(axis=1, keepdims=True) - counts.reshape(first, SECOND)).ravel()
+    values = kernel.mix(values.ravel() + np.arange(SECOND * first, dtype=np.uint64) * np.uint64(kernel.BASE) + np.uint64(band))
+    level = np.minimum(held, 31) * 64 + (values >> np.uint64(58)).astype(np.int64)
+    different = int(most_different(len(elements)))
+    spoilt = min(different, first) + different  # at most, of two in each part, then of the third
+    kept = np.cumsum(np.bincount(level, minlength=2048)[::-1])
+    chosen = values[level >= 2047 - np.searchsorted(kept, min(spoilt + 1, SECOND * first))]
+    return chosen >> np.uint64(16)  # collisions only add candidates, and shorter rows are shuffled
 
 
 def odd_sketch(elements: np.ndarray, band: int) -> np.ndarray:
@@ -80,57 +97,72 @@ def _features(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.Reco
             out: dict[str, list] = {f.name: [] for f in schema}
             for doc_id, elements in zip(ids, kernel.shingle_sets(data, offsets, words), strict=True):
                 n = len(elements)
-                mixed = kernel.mix(elements + np.uint64(1))
-                d1, d2 = (int(np.sum(m, dtype=np.uint64).view(np.int64)) if n else 0 for m in (mixed, kernel.mix(mixed + np.uint64(2))))
+                d1, d2 = set_names(elements)
                 for k, band in enumerate(bands(n) or [0]):
                     sketch = odd_sketch(elements, band).tobytes() if band else b""
                     for name, value in zip(out, (doc_id, n, d1, d2, band, k == 0, sketch), strict=True):
                         out[name].append(value)
             yield from kernel.batches(schema, [out])
+    kernel.release()
+
+
+def set_names(elements: np.ndarray) -> tuple[int, int]:
+    """Two hashes of a set."""
+    mixed = kernel.mix(elements + np.uint64(1))
+    return tuple(int(np.sum(m, dtype=np.uint64).view(np.int64)) if len(m) else 0 for m in (mixed, kernel.mix(mixed + np.uint64(2))))
 
 
 def _sign(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
     schema = kernel.arrow_schema(SIGNED)
     for batch in batches:
-        for first, data, offsets in kernel.byte_chunks(batch.column("text")):
-            ids = batch.column("doc_id").slice(first, len(offsets) - 1).to_numpy(zero_copy_only=False)
-            found = [(k, len(e), band, signatures(e, band)) for k, e in enumerate(kernel.shingle_sets(data, offsets, words)) for band in bands(len(e))]
+        for _, data, offsets in kernel.byte_chunks(batch.column("text")):
+            found = [(set_names(e)[0], len(e), band, signatures(e, band)) for e in kernel.shingle_sets(data, offsets, words) for band in bands(len(e))]
             if found:
                 lengths = [len(f[3]) for f in found]
-                doc, n, band = (np.repeat(np.array([f[c] for f in found]), lengths) for c in range(3))
-                yield from kernel.batches(schema, [{"signature": np.concatenate([f[3] for f in found]).view(np.int64), "doc_id": ids[doc].astype(np.int64), "n": n.astype(np.int32), "band": band.astype(np.int32)}])
+                name, n, band = (np.repeat(np.array([f[c] for f in found], dtype=np.int64), lengths) for c in range(3))
+                yield from kernel.batches(schema, [{"signature": np.concatenate([f[3] for f in found]).view(np.int64), "id": name, "n": n.astype(np.int32), "band": band.astype(np.int32)}])
+    kernel.release()
+
+
+def fits(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    return 5 * np.minimum(x, y) >= 4 * np.maximum(x, y)
 
 
 def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by signature -> the pairs of small buckets (a, b), and the rows of large ones (a) with their block.
+    """Rows sorted by signature, size and set -> pairs (a, b) of sets: those of each bucket's first with the others
+    (star), and of small buckets the rest; and the rows of large ones (a) with their block.
 
     Only the open bucket is held, and no more than SMALL rows of it: a longer one passes through row by row."""
     schema = kernel.arrow_schema(BUCKETS)
-    names = ("signature", "doc_id", "n", "band")
-    held, passed = [np.zeros(0, dtype=np.int64)] * 4, 0
+    names = ("signature", "id", "n", "band")
+    held, passed, pivot = [np.zeros(0, dtype=np.int64)] * 4, 0, (0, 0)
+    before = None  # the last row's signature and set
+
+    def paired(a: np.ndarray, b: np.ndarray, band: np.ndarray, star: np.ndarray) -> dict[str, np.ndarray]:
+        both = np.unique(np.stack((np.minimum(a, b), np.maximum(a, b), band, star), axis=1), axis=0)
+        none = pa.nulls(len(both), pa.int64())
+        return {"signature": none, "a": both[:, 0], "b": both[:, 1], "band": both[:, 2], "block": none, "star": both[:, 3] > 0}
 
-    def pairs(columns: list[np.ndarray], bucket: np.ndarray, small: np.ndarray) -> dict[str, np.ndarray]:
-        _, docs, n, band = columns
+    def pairs(columns: list[np.ndarray], bucket: np.ndarray, number: np.ndarray, small: np.ndarray) -> dict[str, np.ndarray]:
+        _, sets, n, band = columns
         first, second = [], []
         for step in range(1, SMALL):
-            i = np.flatnonzero(small[:-step] & (bucket[:-step] == bucket[step:])) if len(docs) > step else []
+            i = np.flatnonzero(small[:-step] & (bucket[:-step] == bucket[step:])) if len(sets) > step else []
             if not len(i):
                 break
-            low, high = np.minimum(n[i], n[i + step]), np.maximum(n[i], n[i + step])
-            i = i[(5 * low >= 4 * high) & (docs[i] != docs[i + step])]
+            i = i[fits(n[i], n[i + step])]
             first.append(i)
             second.append(i + step)
         i, j = (np.concatenate(x) if x else np.zeros(0, dtype=np.int64) for x in (first, second))
-        both = np.unique(np.stack((np.minimum(docs[i], docs[j]), np.maximum(docs[i], docs[j]), band[i]), axis=1), axis=0)
-        none = pa.nulls(len(both), pa.int64())
-        return {"signature": none, "a": both[:, 0], "b": both[:, 1], "band": both[:, 2], "block": none}
+        return paired(sets[i], sets[j], band[i], number[i] == 0)
 
     def large(columns: list[np.ndarray], rows: np.ndarray, number: np.ndarray) -> dict[str, object]:
-        return {"signature": columns[0][rows], "a": columns[1][rows], "b": pa.nulls(len(rows), pa.int64()), "band": columns[3][rows], "block": number // BLOCK}
+        nothing = pa.nulls(len(rows), pa.int64())
+        return {"signature": columns[0][rows], "a": columns[1][rows], "b": nothing, "band": columns[3][rows], "block": number // BLOCK, "star": pa.nulls(len(rows), pa.bool_())}
 
-    def close(columns: list[np.ndarray], passed: int, last: bool) -> tuple[list[dict[str, object]], list[np.ndarray], int]:
-        """What can go on, the rows still held, and how many rows of the open bucket have passed."""
-        signature = columns[0]
+    def close(columns: list[np.ndarray], passed: int, pivot: tuple[int, int], last: bool) -> tuple[list[dict[str, object]], list[np.ndarray], int, tuple[int, int]]:
+        """What can go on, the rows still held, how many rows of the open bucket have passed, and its first one."""
+        signature, sets, n, band = columns
         starts = np.concatenate(([0], np.flatnonzero(signature[1:] != signature[:-1]) + 1)).astype(np.int64)
         counts = np.diff(np.concatenate((starts, [len(signature)])))
         bucket = np.repeat(np.arange(len(starts)), counts)
@@ -139,59 +171,53 @@ def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = counts + np.where(np.arange(len(starts)) == 0, passed, 0)
         is_large = (total > SMALL)[bucket]
         open_ = (bucket == len(starts) - 1) & ~is_large if not last else np.zeros(len(signature), dtype=bool)
-        out = [pairs(columns, bucket, ~is_large & ~open_), large(columns, np.flatnonzero(is_large), number[is_large])]
+        firsts, sizes = sets[starts], n[starts]
+        if passed:
+            firsts[0], sizes[0] = pivot
+        tied = np.flatnonzero(is_large & (number > 0))
+        tied = tied[fits(sizes[bucket[tied]], n[tied])]
+        out = [
+            pairs(columns, bucket, number, ~is_large & ~open_), large(columns, np.flatnonzero(is_large), number[is_large]),
+            paired(firsts[bucket[tied]], sets[tied], band[tied], np.ones(len(tied), dtype=np.int64)),
+        ]
         after = int(total[-1]) if total[-1] > SMALL and not last else 0
-        return out, [c[open_] for c in columns], after
+        return out, [c[open_] for c in columns], after, (int(firsts[-1]), int(sizes[-1]))
 
     for batch in batches:
-        if batch.num_rows:
-            new = [batch.column(c).to_numpy() for c in names]
-            if passed and new[0][0] != open_signature:
-                passed = 0
-            columns = [np.concatenate(x) for x in zip(held, new, strict=True)]
-            out, held, passed = close(columns, passed, False)
-            open_signature = columns[0][-1]
+        new = [batch.column(c).to_numpy().astype(np.int64) for c in names]
+        if not len(new[0]):
+            continue
+        fresh = np.concatenate(([before != (new[0][0], new[1][0])], (new[0][1:] != new[0][:-1]) | (new[1][1:] != new[1][:-1])))
+        if passed and new[0][0] != before[0]:
+            passed = 0
+        before = int(new[0][-1]), int(new[1][-1])
+        columns = [np.concatenate((x, y[fresh])) for x, y in zip(held, new, strict=True)]
+        if len(columns[0]):
+            out, held, passed, pivot = close(columns, passed, pivot, False)
             yield from kernel.batches(schema, out)
     if len(held[0]):
-        yield from kernel.batches(schema, close(held, 0, True)[0])
-
-
-class Forest:
-    def __init__(self) -> None:
-        self.parent: dict[int, int] = {}
-
-    def find(self, x: int) -> int:
-        while (up := self.parent.setdefault(x, x)) != x:
-            self.parent[x] = self.parent[up]
-            x = up
-        return x
-
-    def unite(self, a: int, b: int) -> bool:
-        a, b = self.find(a), self.find(b)
-        self.parent[max(a, b)] = min(a, b)
-        return a != b
+        yield from kernel.batches(schema, close(held, 0, pivot, True)[0])
+    kernel.release()
 
 
-def bucket_pairs(docs: np.ndarray, groups: np.ndarray, blocks: np.ndarray | None, sizes: np.ndarray, sketches: np.ndarray, forest: bool) -> Iterator[tuple[int, int]]:
-    """Pairs of a bucket whose sizes and sketches allow a link: a spanning forest of them, or all across groups."""
+def bucket_pairs(docs: np.ndarray, groups: np.ndarray, blocks: np.ndarray | None, sizes: np.ndarray, sketches: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Pairs of a bucket across groups whose sizes and sketches allow a link."""
     order = np.argsort(sizes, kind="stable")
     docs, groups, sizes, sketches = docs[order], groups[order], sizes[order], sketches[order]
     blocks = blocks[order] if blocks is not None else None
     upto = np.searchsorted(sizes, (5 * sizes) // 4, side="right")
-    trees = Forest()
     for i in range(len(docs)):
         j = np.arange(i + 1, upto[i])
-        j = j[(docs[j] != docs[i]) & (groups[j] != groups[i])]
+        j = j[groups[j] != groups[i]]
         if blocks is not None:
             j = j[blocks[j] != blocks[i]]
         if len(j):
             apart = np.bitwise_count(sketches[j] ^ sketches[i]).sum(axis=1, dtype=np.int64)
             for k in j[9 * apart <= sizes[j] + sizes[i]].tolist():
-                if not forest or trees.unite(i, k):
-                    yield min(docs[i], docs[k]), max(docs[i], docs[k])
+                yield min(docs[i], docs[k]), max(docs[i], docs[k])
 
 
-def _propose(batches: Iterator[pa.RecordBatch], forest: bool) -> Iterator[pa.RecordBatch]:
+def _propose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by bucket (signature and blocks) -> pairs, each once for a task."""
     schema = kernel.arrow_schema("a long, b long")
     held: list[pa.RecordBatch] = []
@@ -207,7 +233,7 @@ def _propose(batches: Iterator[pa.RecordBatch], forest: bool) -> Iterator[pa.Rec
             if end - start > 1 and (groups[start:end] != groups[start]).any():
                 bits = np.stack([np.frombuffer(s.as_buffer(), dtype=np.uint64) for s in sketches.slice(start, end - start)])
                 across = block[start:end] if keys[start, 1] != keys[start, 2] else None
-                pairs += [p for p in bucket_pairs(docs[start:end], groups[start:end], across, sizes[start:end], bits, forest) if p not in seen]
+                pairs += [p for p in bucket_pairs(docs[start:end], groups[start:end], across, sizes[start:end], bits) if p not in seen]
                 seen.update(pairs[-BLOCK:])
                 if len(seen) > 200_000:
                     seen.clear()
@@ -246,12 +272,13 @@ def _verify(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.Record
                 linked.append(both > 0 and 100 * both >= 80 * (len(x) + len(y) - both))
             good = own.filter(pa.array(linked, type=pa.bool_()))
             yield from kernel.batches(schema, [{"a": good.column("a"), "b": good.column("b")}])
+    kernel.release()
 
 
-def propose(members: DataFrame, forest: bool) -> DataFrame:
+def propose(members: DataFrame) -> DataFrame:
     dealt = members.repartition("signature", "low", "high").sortWithinPartitions("signature", "low", "high", "doc_id")
     columns = ("signature", "low", "high", "block", "doc_id", "group", "n", "sketch")
-    return dealt.select(*columns).mapInArrow(lambda it: _propose(it, forest), "a long, b long").distinct()
+    return dealt.select(*columns).mapInArrow(_propose, "a long, b long").distinct()
 
 
 def verify(pairs: DataFrame, texts: DataFrame, words: int) -> DataFrame:
@@ -259,73 +286,86 @@ def verify(pairs: DataFrame, texts: DataFrame, words: int) -> DataFrame:
     return pairs.join(a, "a").join(b, "b").select("a", "b", "text_a", "text_b").mapInArrow(lambda it: _verify(it, words), "a long, b long")
 
 
-def passing(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
-    """The pairs (a, b, band) whose sketches allow a link."""
-    a, b = (sketches.select(F.col("doc_id").alias(k), "band", F.col("n").alias(f"n_{k}"), F.col("sketch").alias(f"sketch_{k}")) for k in "ab")
+def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     schema = kernel.arrow_schema("a long, b long")
+    for batch in batches:
+        bits = [[np.frombuffer(v.as_buffer(), dtype=np.uint64) for v in batch.column(c)] for c in ("sketch_a", "sketch_b")]
+        apart = np.array([int(np.bitwise_count(x ^ y).sum()) for x, y in zip(*bits, strict=True)], dtype=np.int64)
+        good = batch.filter(pa.array(9 * apart <= batch.column("n_a").to_numpy() + batch.column("n_b").to_numpy()))
+        yield from kernel.batches(schema, [{"a": good.column("a"), "b": good.column("b")}])
+
+
+def passing(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The pairs (a, b, band) of documents whose sketches allow a link."""
+    a, b = (nodes.select(F.col("doc_id").alias(k), "band", F.col("n").alias(f"n_{k}"), F.col("sketch").alias(f"sketch_{k}")) for k in "ab")
+    return pairs.join(a, ["a", "band"]).join(b, ["b", "band"]).select("a", "b", "n_a", "n_b", "sketch_a", "sketch_b").mapInArrow(_compare, "a long, b long").distinct()
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            bits = [[np.frombuffer(v.as_buffer(), dtype=np.uint64) for v in batch.column(c)] for c in ("sketch_a", "sketch_b")]
-            apart = np.array([int(np.bitwise_count(x ^ y).sum()) for x, y in zip(*bits, strict=True)], dtype=np.int64)
-            good = batch.filter(pa.array(9 * apart <= batch.column("n_a").to_numpy() + batch.column("n_b").to_numpy()))
-            yield from kernel.batches(schema, [{"a": good.column("a"), "b": good.column("b")}])
 
-    return pairs.join(a, ["a", "band"]).join(b, ["b", "band"]).select("a", "b", "n_a", "n_b", "sketch_a", "sketch_b").mapInArrow(compare, "a long, b long").distinct()
+def named(pairs: DataFrame, names: DataFrame) -> DataFrame:
+    """Pairs of sets (a, b) as pairs of documents of different groups; names: id, doc_id, group. A hash that several
+    sets share stands for all of them."""
+    a, b = (names.select(F.col("id").alias(k), F.col("doc_id").alias(f"doc_{k}"), F.col("group").alias(f"group_{k}")) for k in "ab")
+    rows = pairs.join(a, "a").join(b, "b").where("group_a <> group_b")
+    return rows.select(F.least("doc_a", "doc_b").alias("a"), F.greatest("doc_a", "doc_b").alias("b"), "band").distinct()
 
 
 def jaccard_join(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """doc_id, n_shingles, component_id and n_links (verified links that hold the document's group together)."""
+    """doc_id, n_shingles, component_id and n_verified (links that were verified on the way to the groups; a family of
+    near copies has more, which its group implies and nothing counts)."""
     scratch = Scratch(docs.sparkSession, "jaccard-join")
     texts = docs.select("doc_id", "text")
     features = scratch.keep(texts.mapInArrow(lambda it: _features(it, words), FEATURES), "features")
     key = ["n", "d1", "d2"]
-    sets = features.where("main and n > 0 and doc_id is not null").groupBy(*key).agg(F.min("doc_id").alias("first"))
-    firsts = features.where("main and n > 0 and doc_id is not null").join(sets, key).where("doc_id <> first").groupBy("doc_id").agg(F.min("first").alias("first"))
-    firsts = scratch.keep(firsts, "firsts")  # of documents that are not the first of their set
+    usable = features.where("n > 0 and doc_id is not null")
+    sets = scratch.keep(usable.where("main").groupBy(*key).agg(F.min("doc_id").alias("first")), "sets")
+    nodes = usable.join(sets, key).where("doc_id = first").select("doc_id", "band", "n", "sketch").dropDuplicates(["doc_id", "band"])
+    nodes = scratch.keep(nodes, "nodes")
 
-    signed = texts.where("doc_id is not null").mapInArrow(lambda it: _sign(it, words), SIGNED)
-    buckets = signed.repartition("signature").sortWithinPartitions("signature", "doc_id").mapInArrow(_buckets, BUCKETS)
+    signed = texts.mapInArrow(lambda it: _sign(it, words), SIGNED)
+    buckets = signed.repartition("signature").sortWithinPartitions("signature", "n", "id").mapInArrow(_buckets, BUCKETS)
     buckets = scratch.keep(buckets, "buckets")
-    sketches = features.where("n > 0").select("doc_id", "band", "n", "sketch").dropDuplicates(["doc_id", "band"])
-
-    small = buckets.where("b is not null").select("a", "b", "band").distinct()
-    for k in "ab":
-        small = small.join(firsts.withColumnsRenamed({"doc_id": k, "first": f"first_{k}"}), k, "left").withColumn(k, F.coalesce(f"first_{k}", k)).drop(f"first_{k}")
-    small = small.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "band").distinct()
-
-    rows = buckets.where("b is null").select("signature", F.col("a").alias("doc_id"), "band", "block").join(firsts, "doc_id", "left_anti")
-    blocks = rows.where("block > 0").groupBy("signature").agg((F.max("block") + 1).alias("n_blocks"))
-    rows = rows.join(blocks, "signature", "left").join(sketches, ["doc_id", "band"])
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("n_blocks", F.lit(1)) - 1)))
-    rows = rows.select("signature", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "doc_id", "n", "sketch")
-    members = scratch.keep(rows, "members")
-
-    pairs = passing(small, sketches).union(propose(members.withColumn("group", F.col("doc_id")), True)).distinct()
+    pairs = buckets.where("b is not null").groupBy("a", "b", "band").agg(F.max("star").alias("star"))
     pairs = scratch.keep(pairs, "pairs")
-    scratch.drop("buckets")
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    wanted = scratch.keep(texts.join(ids, "doc_id", "left_semi"), "texts")
-    links = scratch.keep(verify(pairs, wanted, words), "links")
+    members = buckets.where("b is null").select("signature", F.col("a").alias("id"), "band", "block")
+
+    names = sets.select(F.col("d1").alias("id"), F.col("first").alias("doc_id"))
+    stars = scratch.keep(passing(named(pairs.where("star").drop("star"), names.withColumn("group", F.col("doc_id"))), nodes), "stars")
+    links = scratch.keep(verify(stars, texts_of(texts, stars, scratch, "texts-1"), words), "links")
+    scratch.drop("texts-1")
     united = components(links, scratch, "united")
-    # Only what passed a sketch with something can be in a link that is still missing.
-    apart = members.join(ids, "doc_id", "left_semi").join(united.withColumnsRenamed({"node": "doc_id", "root": "group"}), "doc_id", "left")
-    more = propose(apart.withColumn("group", F.coalesce("group", "doc_id")), False).join(pairs, ["a", "b"], "left_anti")
-    more = scratch.keep(more, "more")
-    links = scratch.keep(links.union(verify(more, wanted, words)), "all-links")
-    scratch.drop("members", "pairs", "more", "texts")
+
+    names = names.join(united.withColumnsRenamed({"node": "doc_id", "root": "group"}), "doc_id", "left").withColumn("group", F.coalesce("group", "doc_id"))
+    names = scratch.keep(names, "names")
+    more = passing(named(pairs.drop("star"), names), nodes)
+    # Of large buckets only those that still hold several groups.
+    rows = members.join(names, "id")
+    mixed = rows.groupBy("signature").agg(F.min("group").alias("low"), F.max("group").alias("high"), F.max("block").alias("last")).where("low < high").select("signature", "last")
+    rows = rows.join(mixed, "signature").join(nodes, ["doc_id", "band"])
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("last"))))
+    rows = rows.select("signature", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "doc_id", "group", "n", "sketch")
+    more = scratch.keep(more.union(propose(rows)).distinct().join(stars, ["a", "b"], "left_anti"), "more")
+    scratch.drop("buckets", "pairs")
+    links = scratch.keep(links.union(verify(more, texts_of(texts, more, scratch, "texts-2"), words)), "all-links")
+    scratch.drop("texts-2", "more", "stars", "nodes", "names", "links")
     groups = components(links, scratch, "groups")
-    degree = links.select(F.explode(F.array("a", "b")).alias("first")).groupBy("first").agg(F.count("*").alias("n_links"))
+    degree = links.select(F.explode(F.array("a", "b")).alias("first")).groupBy("first").agg(F.count("*").alias("n_verified"))
     classes = sets.join(groups.withColumnRenamed("node", "first"), "first", "left").join(degree, "first", "left")
     found = features.where("main").select("doc_id", *key).join(classes, key, "left")
     own = F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "first", "doc_id"))
-    return found.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    return found.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"), F.coalesce("n_verified", F.lit(0)).alias("n_verified"))
+
+
+def texts_of(texts: DataFrame, pairs: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    return scratch.keep(texts.join(ids, "doc_id", "left_semi"), name)
 
 
 def drop_near_copies(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """The documents, with all their columns, less all but the first of each linked group. Rows that share a doc_id
-    are one document, of which the smallest text stays; rows without doc_id stay."""
-    first = jaccard_join(docs, words).where("doc_id = component_id").select("doc_id").distinct()
-    one = Window.partitionBy("doc_id").orderBy(F.col("text").asc_nulls_last())
-    kept = docs.join(first, "doc_id", "left_semi").withColumn("_nth", F.row_number().over(one)).where("_nth = 1").select(*docs.columns)
-    return kept.union(docs.where("doc_id is null"))
+    """The documents, with all their columns, less all but the first of each linked group. Rows that share a doc_id are
+    one document and stay together, each different text once; rows without doc_id stay."""
+    names, own = docs.columns, unused(docs.columns, "d1", "d2", "kept")
+    first = jaccard_join(docs, words).where("doc_id = component_id").select(F.col("doc_id").alias(own["kept"])).distinct()
+    d1, d2 = text_digest("text")
+    with_id = docs.where("doc_id is not null").withColumns({own["d1"]: d1, own["d2"]: d2})
+    kept = with_id.join(first, with_id["doc_id"] == F.col(own["kept"]), "left_semi").dropDuplicates(["doc_id", own["d1"], own["d2"]])
+    return kept.select(*names).union(docs.where("doc_id is null"))

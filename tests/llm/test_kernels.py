@@ -138,12 +138,34 @@ def test_buckets_as_a_stream(sizes, cut):
     out_schema = kernel.arrow_schema(jaccard_join.BUCKETS)
     out = rows_of(jaccard_join._buckets(whole.slice(i, cut) for i in range(0, n_rows, cut)), out_schema)
     at = np.concatenate(([0], np.cumsum(sizes)))
-    pairs = {p for k, n in enumerate(sizes) if n <= jaccard_join.SMALL for p in combinations(range(at[k], at[k + 1]), 2)}
-    assert sorted((r["a"], r["b"]) for r in out if r["b"] is not None) == sorted(pairs)
+    pairs = {p: p[0] == at[k] for k, n in enumerate(sizes) for p in combinations(range(at[k], at[k + 1]), 2) if n <= jaccard_join.SMALL or p[0] == at[k]}
+    assert sorted((r["a"], r["b"], r["star"]) for r in out if r["b"] is not None) == sorted((*p, s) for p, s in pairs.items())
     members = {(r["a"], r["block"]) for r in out if r["b"] is None}
+    assert len(members) == sum(r["b"] is None for r in out)
     assert members == {(at[k] + i, i // jaccard_join.BLOCK) for k, n in enumerate(sizes) if n > jaccard_join.SMALL for i in range(n)}
 
 
+def test_copies_are_one_row_of_a_bucket():
+    schema = kernel.arrow_schema(jaccard_join.SIGNED)
+    rows = pa.RecordBatch.from_arrays([pa.array(np.repeat([1, 2], 60)), pa.array(np.repeat([5, 6, 7, 5], 30)), pa.array(np.full(120, 50, np.int32)), pa.array(np.full(120, 16, np.int32))], schema=schema)
+    for cut in (1, 7, 120):
+        out = rows_of(jaccard_join._buckets(rows.slice(i, cut) for i in range(0, 120, cut)), kernel.arrow_schema(jaccard_join.BUCKETS))
+        assert sorted((r["a"], r["b"]) for r in out) == [(5, 6), (5, 7)]
+
+
+def test_sets_at_just_the_similarity_share_a_signature():
+    """9 of 10 elements common is 0.818..., 8 of 10 with sizes 8 and 10 is 0.8 exactly."""
+    rng = np.random.default_rng(8)
+    for n in (*range(8, 200, 8), 1000, 4000):
+        a = kernel.mix(rng.integers(1, 2**62, n + n // 4).astype(np.uint64))
+        b = a[: len(a) * 4 // 5]
+        assert 100 * len(b) >= 80 * len(a) - 80
+        if 100 * len(b) < 80 * len(a):
+            continue
+        a, b = np.sort(a), np.sort(b)
+        assert any(set(jaccard_join.signatures(a, k)) & set(jaccard_join.signatures(b, k)) for k in set(jaccard_join.bands(len(a))) & set(jaccard_join.bands(len(b))))
+
+
 def naive_hits(doc, items, window):
     hit, found = set(), set()
     for item, tokens in items:
