@@ -2,7 +2,7 @@
 
 Every window of ``window`` bytes is owned by its smallest k-gram (its *anchor*), which depends on the window's bytes
 alone, so equal windows have equal anchors, at the same place of the window. The windows with one anchor place are a
-segment; two of its own windows are never equal. Segments are known by their anchor and a 128-bit digest: equal ones
+segment; two of its own windows are never equal. Segments are known by their anchor and a 96-bit digest: equal ones
 (*kinds*) are merged with their number before they meet, so copies, however many, are one. A kind that is alone with
 its anchor is repeated wholly or not at all. Of anchors with several kinds one segment of each kind is cut out of the
 texts, and they meet in one shard.
@@ -199,7 +199,7 @@ def runs_of(starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return np.stack((starts[new], reach[np.concatenate((new[1:], [True]))]), axis=1)
 
 
-TEXTS = "d1 long, d2 long, anchors array<long>, k1 array<long>, k2 array<long>, starts array<int>, sizes array<int>"
+TEXTS = "d1 long, d2 long, anchors array<long>, k1 array<long>, k2 array<int>, starts array<int>, sizes array<int>"
 
 
 def _segment_all(batches: Iterator[pa.RecordBatch], window: int, gram: int) -> Iterator[pa.RecordBatch]:
@@ -209,16 +209,16 @@ def _segment_all(batches: Iterator[pa.RecordBatch], window: int, gram: int) -> I
             n = len(offsets) - 1
             text, starts, sizes, anchors = segments(data, offsets, window, gram)
             raw, at = data.tobytes(), offsets[text] + starts
-            names = b"".join([hashlib.blake2b(raw[a:b], digest_size=16).digest() for a, b in zip(at.tolist(), (at + sizes).tolist(), strict=True)])
-            names = np.frombuffer(names, dtype=np.int64).reshape(-1, 2)
+            names = b"".join([hashlib.blake2b(raw[a:b], digest_size=12).digest() for a, b in zip(at.tolist(), (at + sizes).tolist(), strict=True)])
+            names = np.frombuffer(names, dtype=[("k1", "<i8"), ("k2", "<i4")])
             own = pa.array(np.searchsorted(text, np.arange(n + 1)), type=pa.int32())
-            values = {"anchors": anchors, "k1": names[:, 0].copy(), "k2": names[:, 1].copy(), "starts": starts.astype(np.int32), "sizes": sizes.astype(np.int32)}
+            values = {"anchors": anchors, "k1": names["k1"].copy(), "k2": names["k2"].copy(), "starts": starts.astype(np.int32), "sizes": sizes.astype(np.int32)}
             lists = {k: pa.ListArray.from_arrays(own, pa.array(v)) for k, v in values.items()}
             yield from kernel.batches(schema, [lists | {k: batch.column(k).slice(first, n) for k in ("d1", "d2")}])
     kernel.release()
 
 
-SLICES = "anchor long, k1 long, k2 long, copies long, n long, content binary"
+SLICES = "anchor long, k1 long, k2 int, copies long, n long, content binary"
 
 
 def _slice_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -241,7 +241,7 @@ def _slice_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     kernel.release()
 
 
-FOUND = "anchor long, k1 long, k2 long, a int, b int, shard long, hash long"
+FOUND = "anchor long, k1 long, k2 int, a int, b int, shard long, hash long"
 
 
 def _shard(table: pa.Table, window: int) -> pa.Table:
@@ -352,23 +352,23 @@ def repeated_runs(docs: DataFrame, scratch: Scratch, window: int = WINDOW, gram:
     """d1, d2 (the digest of a text), copied, spans ([a, b) of repeated bytes); docs: d1, d2, number, text."""
     digest = ["d1", "d2"]
     found = docs.select(*digest, "text").mapInArrow(lambda it: _segment_all(it, window, gram), TEXTS)
-    # Equal texts become one, with their number.
+    # Equal texts become one, with their number and one of their own (t).
     names = ("anchors", "k1", "k2", "starts", "sizes")
-    texts = scratch.keep(found.groupBy(*digest).agg(F.count("*").alias("copies"), *[F.first(c).alias(c) for c in names]), "texts")
+    found = found.groupBy(*digest).agg(F.count("*").alias("copies"), *[F.first(c).alias(c) for c in names])
+    texts = scratch.keep(found.withColumn("t", F.monotonically_increasing_id()), "texts")
     zipped = F.arrays_zip(*[F.col(a).alias(b) for a, b in zip(names, (*KIND, "start", "size"), strict=True)])
-    own = texts.select(*digest, "copies", F.explode(zipped).alias("s")).select(*digest, "copies", "s.*")
+    own = texts.select("t", "copies", F.explode(zipped).alias("s")).select("t", "copies", "s.*")
     # A kind keeps one of its places, whichever comes first.
-    place = (*digest, "start", "size")
-    kinds = scratch.keep(own.groupBy(*KIND).agg(F.sum("copies").alias("copies"), *[F.first(c).alias(c) for c in place]), "kinds")
+    kinds = scratch.keep(own.groupBy(*KIND).agg(F.sum("copies").alias("copies"), *[F.first(c).alias(c) for c in ("t", "start", "size")]), "kinds")
     anchors = kinds.groupBy("anchor").agg(F.count("*").alias("n"), F.sum("copies").alias("total"), F.sum("size").alias("bytes"))
     anchors = scratch.keep(anchors.where("total > 1"), "anchors")
     alone = kinds.where("copies > 1").join(anchors.where("n = 1").select("anchor"), "anchor", "left_semi")
     runs = alone.select(*KIND, F.lit(0).alias("a"), F.col("size").alias("b"))
 
     several = anchors.where("n > 1").select("anchor", "n")
-    several = kinds.join(several, "anchor").groupBy(*digest).agg(F.collect_list(F.struct(*KIND, "copies", "n", "start", "size")).alias("own"))
+    several = kinds.join(several, "anchor").groupBy("t").agg(F.collect_list(F.struct(*KIND, "copies", "n", "start", "size")).alias("own"))
     one = docs.groupBy(*digest).agg(F.min("number").alias("number"))
-    chosen = several.join(one, digest)
+    chosen = several.join(texts.select("t", *digest), "t").drop("t").join(one, digest)
     cut = docs.select(*digest, "number", "text").join(chosen, [*digest, "number"]).select("text", "own").mapInArrow(_slice_all, SLICES)
     sizes = anchors.where("n > 1").agg(F.sum("bytes")).first()[0] or 0
     n_shards = max(1, -(-sizes // SHARD_BYTES))
@@ -386,12 +386,16 @@ def repeated_runs(docs: DataFrame, scratch: Scratch, window: int = WINDOW, gram:
         shared = windows.groupBy("hash").agg(F.min("shard").alias("low"), F.max("shard").alias("high"), F.max("b").alias("b")).where("low < high and b = 0").select("hash")
         windows = windows.join(shared, "hash", "left_semi").join(dealt.where("spread").select(*KIND, "content").dropDuplicates(KIND), list(KIND))
         windows = windows.withColumns({"content": F.substring("content", F.col("a") + 1, F.lit(window)), "part": F.pmod(F.xxhash64("hash"), F.lit(16 * n_shards))})
-        runs = runs.unionAll(windows.groupBy("part").applyInArrow(lambda t: _merge(t, window), "anchor long, k1 long, k2 long, a int, b int"))
+        runs = runs.unionAll(windows.groupBy("part").applyInArrow(lambda t: _merge(t, window), "anchor long, k1 long, k2 int, a int, b int"))
+    runs = scratch.keep(runs, "runs")
+    scratch.drop("kinds", "found", "slices")
     # Copied texts go whole; spans are for the others.
-    spans = own.where("copies = 1").select(*digest, *KIND, "start").join(runs, list(KIND))
-    spans = spans.groupBy(*digest).agg(F.collect_list(F.struct((F.col("start") + F.col("a")).alias("a"), (F.col("start") + F.col("b")).alias("b"))).alias("spans"))
-    copied = texts.select(*digest, (F.col("copies") > 1).alias("copied"))
-    return scratch.keep(copied.join(spans, digest, "left").where("copied or spans is not null"), "spans")
+    spans = own.where("copies = 1").select("t", *KIND, "start").join(runs, list(KIND))
+    spans = spans.groupBy("t").agg(F.collect_list(F.struct((F.col("start") + F.col("a")).alias("a"), (F.col("start") + F.col("b")).alias("b"))).alias("spans"))
+    copied = texts.select("t", *digest, (F.col("copies") > 1).alias("copied"))
+    spans = scratch.keep(copied.join(spans, "t", "left").drop("t").where("copied or spans is not null"), "spans")
+    scratch.drop("texts", "anchors", "runs")
+    return spans
 
 
 def digested(docs: DataFrame) -> DataFrame:
