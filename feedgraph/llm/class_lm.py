@@ -1,21 +1,25 @@
 """Language-model scoring by a Brown class-based bigram model.
 
 Exchange clustering assigns words to classes so that class bigrams are as telling as they can be. Each round counts, for
-every word of the training texts, the classes to its left and right; every word then moves, in tasks, to the class whose
-neighbours fit its own best. The neighbours' classes and the class bigrams are those from before the round, so a word's
-choice depends on no other word's, and all that goes to the driver or to all tasks is the table of class bigrams.
-
-Words have numbers. The most frequent ("listed") have the first ones; their classes are sent to the tasks, which count
-pairs of them by themselves. All others ("rare") have theirs in a table; pairs with such a word are rows, and meet the
-words' classes by a join. Which words are listed changes no result.
+every word of the training texts, the classes to its left and right; words then move, in tasks, to the class whose
+neighbours fit their own best. The neighbours' classes and the class bigrams are those from before the round, so a word's
+choice depends on no other word's, and all that goes to the driver or to all tasks is the table of class bigrams and the
+classes of listed words. All words move at once, until a round would make the training text less likely: it is taken back, and from there
+on the words take turns by shares (of their checksums), twice as many each time. So the likelihood never falls; rounds
+end when it stops rising, or after ``rounds``.
+
+Texts are read twice: for the counts of their words, and to be written as numbers. The most frequent words ("listed")
+have the first numbers; their classes are sent to the tasks, which count pairs of them by themselves. All others
+("rare") have theirs in a table, beside which the listed and rare words next to them are kept, so that a round needs
+joins by number for them only. Which words are listed changes no result.
 
 A word's probability is that of its class after the class before it, times its own share in its class, both smoothed:
 P(c | c') = (N(c', c) + a u(c)) / (N(c') + a) and P(w | c) = (c(w) + 1/2) / (N(c) + (V(c) + 1) / 2), u being the smoothed
-frequencies of classes. Words that training lacks are taken to be of the class that most words seen once have, and have
-the share that is left for one unseen word of it.
+frequencies of classes. A word that training lacks may be of any class and has the share that is left for one unseen
+word of it; the probability of a run of such words is the sum over all their classes.
 
-Word counts cover the whole training corpus and stay a table; the most frequent, at most ``known_words``, of at most 64 bytes
-are sent to the tasks (a bound of some 15 MB), and what a document has of others is joined with the table.
+Word counts cover the whole training corpus and stay a table; the most frequent, at most ``known_words``, of at most 64
+bytes are sent to the tasks (a bound of some 15 MB), and what a document has of others is joined with the table.
 
 Defined results. Null text is empty: one (end) token. Null doc_id counts as training. Repeated rows are texts of their
 own. Without training tokens the base score is zero a token and the model is uniform over classes. Extra columns are
@@ -24,12 +28,14 @@ ignored; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,10 +43,13 @@ from feedgraph.llm import kernel
 from feedgraph.llm.scratch import Scratch
 
 FOLDS, HELD_OUT = 5, 1
-CLASSES, KNOWN_WORDS, WORD_BYTES, ROUNDS, PRIOR = 64, 131_072, 64, 3, 10.0
+CLASSES, KNOWN_WORDS, WORD_BYTES, ROUNDS, PRIOR = 64, 131_072, 64, 8, 10.0
+LEAST_GAIN, MOST_SHARES = 5e-3, 8  # of the log-likelihood of a token, for another round; of words that take turns
 END_CLASS, STATS_BLOCK = 0, 256
 STATS = "block long, cells array<int>, counts array<long>"
-SCORED = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, transitions double, shares double, logs double, others array<binary>, lefts array<long>, rights array<long>"
+NEAR = "block long, id long, class long, crc long, cells array<int>, counts array<long>"
+TOKENS = "row long, doc_id long, held_out boolean, ids binary, others array<binary>, lefts array<int>, rights array<int>"
+ITEMS = "row long, held_out boolean, pos int, id long, n long, left int, right int, next long"
 MORE = "row long, more_known long, more_transitions double, more_shares double, more_logs double"
 
 
@@ -60,10 +69,10 @@ class Vocabulary:
     def index(self) -> dict[bytes, int]:
         return {w: k for k, w in enumerate(self.listed)}
 
-
-def numbers(index: dict[bytes, int], tokens: list[bytes]) -> np.ndarray:
-    """Of each word: its number, or -1 where it is not listed."""
-    return np.fromiter(map(index.get, tokens, repeat(-1)), dtype=np.int64, count=len(tokens))
+    def checksums(self) -> np.ndarray:
+        out = np.zeros(self.first_rare, dtype=np.int64)
+        out[: self.end] = [zlib.crc32(w) for w in self.listed]
+        return out
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -76,102 +85,134 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield from kernel.batches(schema, [{"word": list(counts), "n": list(counts.values())}])
                 counts.clear()
     yield from kernel.batches(schema, [{"word": list(counts), "n": list(counts.values())}])
+    kernel.release()
 
 
-def _neighbours(batches: Iterator[pa.RecordBatch], vocabulary: Vocabulary, classes: np.ndarray, n_classes: int) -> Iterator[pa.RecordBatch]:
-    """How often each class of listed words stands right (side 0) and left (side 1) of each listed word, by blocks."""
-    schema, index = stats_schema(), vocabulary.index()
-    total = np.zeros(vocabulary.first_rare * 2 * n_classes, dtype=np.int64)
-    end = np.array([vocabulary.end])
+def _encode(batches: Iterator[pa.RecordBatch], vocabulary: Vocabulary) -> Iterator[pa.RecordBatch]:
+    """Texts as numbers (-1: not listed), with the words that are not listed and the numbers beside each of them."""
+    from pyspark import TaskContext
+
+    schema, index = kernel.arrow_schema(TOKENS), vocabulary.index()
+    row = TaskContext.get().partitionId() << 40
     for batch in batches:
         texts = kernel.text_array(batch.column("text"))
         for first, _, offsets in kernel.byte_chunks(texts):
-            parts = [end]
-            for text in texts.slice(first, len(offsets) - 1):
-                parts += [numbers(index, words(text.as_py())), end]
-            found = np.concatenate(parts)
-            both = np.flatnonzero((found[:-1] >= 0) & (found[1:] >= 0))
-            left, right = found[both], found[both + 1]
-            np.add.at(total, left * 2 * n_classes + classes[right], 1)
-            np.add.at(total, (right * 2 + 1) * n_classes + classes[left], 1)
-    size = STATS_BLOCK * 2 * n_classes
-    for block in range(len(total) // size):
-        own = total[block * size : (block + 1) * size]
-        cells = np.flatnonzero(own)
-        if len(cells):
-            yield from kernel.batches(schema, [{"block": [block], "cells": [cells], "counts": [own[cells]]}])
-
-
-def stats_schema() -> pa.Schema:
-    return pa.schema([pa.field("block", pa.int64()), pa.field("cells", pa.list_(pa.int32())), pa.field("counts", pa.list_(pa.int64()))])
-
-
-def _rare_pairs(batches: Iterator[pa.RecordBatch], vocabulary: Vocabulary) -> Iterator[pa.RecordBatch]:
-    """Neighbours of whom one at least is rare: numbers of listed words, rare words as they are."""
-    schema = pa.schema([pa.field("a", pa.int64()), pa.field("a_word", pa.binary()), pa.field("b", pa.int64()), pa.field("b_word", pa.binary())])
-    index = vocabulary.index()
+            n = len(offsets) - 1
+            out: dict[str, list] = {f.name: [] for f in schema if f.name not in ("doc_id", "held_out")}
+            for text in texts.slice(first, n):
+                tokens = words(text.as_py())
+                ids = np.full(len(tokens) + 2, vocabulary.end, dtype=np.int32)
+                ids[1:-1] = np.fromiter(map(index.get, tokens, repeat(-1)), dtype=np.int32, count=len(tokens))
+                other = np.flatnonzero(ids[1:-1] < 0)
+                for name, value in zip(out, (row, ids[1:-1].tobytes(), [tokens[k] for k in other.tolist()], ids[other], ids[other + 2]), strict=True):
+                    out[name].append(value)
+                row += 1
+            yield from kernel.batches(schema, [out | {k: batch.column(k).slice(first, n) for k in ("doc_id", "held_out")}])
+    kernel.release()
+
+
+def _items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each word that is not listed, with the numbers beside it; next: of the right one if it is not listed."""
+    schema = kernel.arrow_schema(ITEMS)
     for batch in batches:
-        texts = kernel.text_array(batch.column("text"))
-        for first, _, offsets in kernel.byte_chunks(texts):
-            tokens: list[bytes] = [b""]
-            ends = [0]
-            for text in texts.slice(first, len(offsets) - 1):
-                tokens += words(text.as_py())
-                ends.append(len(tokens))
-                tokens.append(b"")
-            found = numbers(index, tokens)
-            found[ends] = vocabulary.end
-            at = np.flatnonzero((found[:-1] < 0) | (found[1:] < 0))
-            word = [None if n >= 0 else t for n, t in zip(found.tolist(), tokens, strict=True)]
-            yield from kernel.batches(schema, [{"a": found[at], "a_word": [word[k] for k in at.tolist()], "b": found[at + 1], "b_word": [word[k + 1] for k in at.tolist()]}])
-
-
-def numbered(pairs: DataFrame, rare: DataFrame, side: str) -> DataFrame:
-    """Puts the number in the place of a rare word."""
-    word = f"{side}_word"
-    joined = pairs.where(F.col(word).isNotNull()).drop(side).join(rare.select(F.col("word").alias(word), F.col("id").alias(side)), word)
-    return pairs.where(F.col(word).isNull()).drop(word).unionByName(joined.drop(word))
-
-
-def _sum_block(table: pa.Table, size: int) -> pa.Table:
-    total = np.zeros(size, dtype=np.int64)
-    for k in range(len(table)):
-        np.add.at(total, table.column("cells")[k].values.to_numpy(), table.column("counts")[k].values.to_numpy())
-    cells = np.flatnonzero(total)
-    return pa.table([[table.column("block")[0].as_py()], [cells], [total[cells]]], schema=stats_schema())
-
-
-def neighbour_counts(texts: DataFrame, pairs: DataFrame, classes: DataFrame, vocabulary: object, listed: np.ndarray, n_classes: int) -> DataFrame:
-    """One row for each block of words: word x (right, left) x classes, then each word's own class plus 1."""
-    size, first_rare = STATS_BLOCK * 2 * n_classes, vocabulary.value.first_rare
-    packed = texts.mapInArrow(lambda it: _neighbours(it, vocabulary.value, listed, n_classes), STATS)
-    sided = pairs.select(F.col("a").alias("word"), F.lit(0).alias("side"), F.col("b").alias("id")).unionAll(pairs.select("b", F.lit(1), "a"))
-    beside = sided.where(F.col("id") < first_rare).join(F.broadcast(classes.where(F.col("id") < first_rare)), "id")
-    beside = beside.unionByName(sided.where(F.col("id") >= first_rare).join(classes.where(F.col("id") >= first_rare), "id"))
-    within = lambda c: F.col(c).bitwiseAND(STATS_BLOCK - 1)
-    block = lambda c: F.floor(F.col(c) / STATS_BLOCK).alias("block")
-    cell = ((within("word") * 2 + F.col("side")) * n_classes + F.col("class")).cast("int").alias("cell")
-    rows = beside.groupBy(block("word"), cell).agg(F.count("*").alias("n"))
-    rows = rows.unionAll(classes.select(block("id"), (size + within("id")).cast("int"), F.col("class") + 1))
-    rows = rows.groupBy("block").agg(F.collect_list("cell").alias("cells"), F.collect_list("n").alias("counts"))
-    return packed.unionAll(rows).groupBy("block").applyInArrow(lambda t: _sum_block(t, size + STATS_BLOCK), STATS)
-
-
-def _blocks(batches: Iterator[pa.RecordBatch], n_classes: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Numbers, neighbour counts and classes of the words of each block."""
-    size = STATS_BLOCK * 2 * n_classes
+        flat = batch.column("o").flatten()
+        pos, ids, n, left, right = (flat.field(k).to_numpy(zero_copy_only=False) for k in ("pos", "id", "n", "left", "right"))
+        counts = np.diff(batch.column("o").offsets.to_numpy())
+        after = pa.array(np.roll(ids, -1), mask=right >= 0)
+        rows = {k: np.repeat(batch.column(k).to_numpy(zero_copy_only=False), counts) for k in ("row", "held_out")}
+        yield from kernel.batches(schema, [rows | {"pos": pos, "id": ids, "n": n, "left": left, "right": right, "next": after}])
+    kernel.release()
+
+
+class Cells:
+    """Counts of (word, side, class) of listed words: right neighbours are side 0. Given out by blocks of words."""
+
+    def __init__(self, n_words: int, n_classes: int) -> None:
+        self.n_classes, self.total = n_classes, np.zeros(n_words * 2 * n_classes, dtype=np.int32)
+
+    def add(self, word: np.ndarray, side: int, classes: np.ndarray, n: np.ndarray | int = 1) -> None:
+        np.add.at(self.total, (word.astype(np.int64) * 2 + side) * self.n_classes + classes, n)
+
+    def blocks(self) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        size = STATS_BLOCK * 2 * self.n_classes
+        for block in range(len(self.total) // size):
+            own = self.total[block * size : (block + 1) * size]
+            cells = np.flatnonzero(own)
+            if len(cells):
+                yield block, cells, own[cells]
+
+
+def _neighbours(batches: Iterator[pa.RecordBatch], vocabulary: Vocabulary, classes: np.ndarray, n_classes: int) -> Iterator[pa.RecordBatch]:
+    """How often each class of listed words stands beside each listed word."""
+    schema, cells, end = kernel.arrow_schema(STATS), Cells(vocabulary.first_rare, n_classes), np.array([vocabulary.end], dtype=np.int32)
     for batch in batches:
-        for k in range(batch.num_rows):
-            total = np.zeros(size + STATS_BLOCK, dtype=np.int64)
-            total[batch.column("cells")[k].values.to_numpy()] = batch.column("counts")[k].values.to_numpy()
-            there = np.flatnonzero(total[size:])
-            yield batch.column("block")[k].as_py() * STATS_BLOCK + there, total[:size].reshape(STATS_BLOCK, 2, n_classes)[there], total[size:][there] - 1
+        texts, held = batch.column("ids"), []
+        for k, text in enumerate(texts):
+            held += [end, np.frombuffer(text.as_buffer(), dtype=np.int32)]
+            if k % 500 == 499 or k == len(texts) - 1:
+                found = np.concatenate([*held, end])
+                both = np.flatnonzero((found[:-1] >= 0) & (found[1:] >= 0))
+                cells.add(found[both], 0, classes[found[both + 1]])
+                cells.add(found[both + 1], 1, classes[found[both]])
+                held = []
+    for block, at, n in cells.blocks():
+        yield from kernel.batches(schema, [{"block": [block], "cells": [at], "counts": [n]}])
+    del cells
+    kernel.release()
+
+
+def _rare(batches: Iterator[pa.RecordBatch], vocabulary: Vocabulary, classes: np.ndarray, n_classes: int) -> Iterator[pa.RecordBatch]:
+    """Of each rare word the classes beside it; and what rare words' classes give the listed words beside them."""
+    schema, cells, listed = kernel.arrow_schema(NEAR), Cells(vocabulary.first_rare, n_classes), vocabulary.first_rare
+    for batch in batches:
+        own = np.zeros((batch.num_rows, 2 * n_classes), dtype=np.int64)
+        of_class = batch.column("class").to_numpy()
+        for name in ("beside", "both"):
+            column = batch.column(name)
+            flat = column.flatten()
+            rows = np.repeat(np.arange(batch.num_rows), pc.fill_null(pc.list_value_length(column), 0).to_numpy())
+            code, n = flat.field("code").to_numpy(zero_copy_only=False), flat.field("n").to_numpy(zero_copy_only=False)
+            if name == "beside":  # listed neighbours: side and number
+                side, word = code // listed, code % listed
+                np.add.at(own, (rows, side * n_classes + classes[word]), n)
+                for k in (0, 1):
+                    at = np.flatnonzero(side == k)
+                    cells.add(word[at], 1 - k, of_class[rows[at]], n[at])
+            else:  # rare ones: side and class
+                np.add.at(own, (rows, code), n)
+        row, cell = np.nonzero(own)
+        offsets = pa.array(np.searchsorted(row, np.arange(batch.num_rows + 1)), type=pa.int32())
+        lists = {"cells": pa.ListArray.from_arrays(offsets, pa.array(cell.astype(np.int32))), "counts": pa.ListArray.from_arrays(offsets, pa.array(own[row, cell]))}
+        columns = {k: batch.column(k) for k in ("id", "class", "crc")} | lists
+        yield from kernel.batches(schema, [columns | {"block": pa.nulls(batch.num_rows, pa.int64())}])
+    for block, at, n in cells.blocks():
+        yield from kernel.batches(schema, [{"block": [block], "id": [None], "class": [None], "crc": [None], "cells": [at], "counts": [n]}])
+    del cells
+    kernel.release()
+
+
+def _sum_blocks(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by block -> one for each; only one block is held."""
+    schema, total, block = kernel.arrow_schema(STATS), np.zeros(size, dtype=np.int64), None
+
+    def done() -> Iterator[pa.RecordBatch]:
+        cells = np.flatnonzero(total)
+        yield from kernel.batches(schema, [{"block": [block], "cells": [cells], "counts": [total[cells]]}])
 
+    for batch in batches:
+        for at, cells, counts in zip(batch.column("block").to_pylist(), batch.column("cells"), batch.column("counts"), strict=True):
+            if at != block:
+                if block is not None:
+                    yield from done()
+                block = at
+                total[:] = 0
+            total[cells.values.to_numpy()] += counts.values.to_numpy()
+    if block is not None:
+        yield from done()
 
-def class_bigrams(stats: np.ndarray, classes: np.ndarray) -> np.ndarray:
-    out = np.zeros((stats.shape[2], stats.shape[2]), dtype=np.int64)
-    np.add.at(out, classes, stats[:, 0, :])
-    return out
+
+def summed(parts: DataFrame, size: int) -> DataFrame:
+    return parts.repartition("block").sortWithinPartitions("block").mapInArrow(lambda it: _sum_blocks(it, size), STATS)
 
 
 def smoothed(bigrams: np.ndarray) -> np.ndarray:
@@ -181,6 +222,19 @@ def smoothed(bigrams: np.ndarray) -> np.ndarray:
     return (bigrams + PRIOR * usual) / (bigrams.sum(axis=1, keepdims=True) + PRIOR)
 
 
+def likelihood(bigrams: np.ndarray) -> float:
+    """The log-likelihood of the training text by its classes, but for what no classes can change."""
+    part = lambda n: float((n[n > 0] * np.log(n[n > 0])).sum())
+    n = bigrams.astype(np.float64)
+    return part(n) - part(n.sum(axis=0)) - part(n.sum(axis=1))
+
+
+def class_bigrams(stats: np.ndarray, classes: np.ndarray) -> np.ndarray:
+    out = np.zeros((stats.shape[2], stats.shape[2]), dtype=np.int64)
+    np.add.at(out, classes, stats[:, 0, :])
+    return out
+
+
 def exchange(stats: np.ndarray, classes: np.ndarray, bigrams: np.ndarray | None = None) -> np.ndarray:
     """Every word moves to the class that makes the classes beside it likeliest, the end stays. bigrams: those of all
     words, where the stats are of some."""
@@ -191,79 +245,135 @@ def exchange(stats: np.ndarray, classes: np.ndarray, bigrams: np.ndarray | None
     return np.where(classes == END_CLASS, END_CLASS, np.argmax(np.round(gain, 6), axis=1))
 
 
-def total_bigrams(stats: DataFrame, n_classes: int) -> np.ndarray:
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((n_classes, n_classes), dtype=np.int64)
-        for _, own, classes in _blocks(batches, n_classes):
-            total += class_bigrams(own, classes)
+def dense(batch: pa.RecordBatch, n_rows: int) -> np.ndarray:
+    """The cells of each row of a batch."""
+    out = np.zeros((batch.num_rows, n_rows), dtype=np.int64)
+    cells, counts = batch.column("cells"), batch.column("counts")
+    rows = np.repeat(np.arange(batch.num_rows), np.diff(cells.offsets.to_numpy()))
+    out[rows, cells.flatten().to_numpy()] = counts.flatten().to_numpy()
+    return out
+
+
+def _by_block(batches: Iterator[pa.RecordBatch], n_classes: int) -> Iterator[tuple[int, np.ndarray]]:
+    for batch in batches:
+        for k in range(batch.num_rows):
+            one = batch.slice(k, 1)
+            yield one.column("block")[0].as_py(), dense(one, STATS_BLOCK * 2 * n_classes).reshape(STATS_BLOCK, 2, n_classes)
+
+
+def total_bigrams(stats: DataFrame, near: DataFrame, listed: np.ndarray, n_classes: int) -> np.ndarray:
+    """Class bigrams of all words, from listed ones' blocks and rare ones' rows; one row for each two classes comes."""
+
+    def given(total: np.ndarray) -> Iterator[pa.RecordBatch]:
         cells = np.flatnonzero(total)
         yield from kernel.batches(kernel.arrow_schema("cell long, n long"), [{"cell": cells, "n": total.ravel()[cells]}])
 
+    def of_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((n_classes, n_classes), dtype=np.int64)
+        for block, own in _by_block(batches, n_classes):
+            total += class_bigrams(own, listed[block * STATS_BLOCK : (block + 1) * STATS_BLOCK])
+        yield from given(total)
+
+    def of_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((n_classes, n_classes), dtype=np.int64)
+        for batch in batches:
+            total += class_bigrams(dense(batch, 2 * n_classes).reshape(-1, 2, n_classes), batch.column("class").to_numpy())
+        yield from given(total)
+
+    both = stats.mapInArrow(of_blocks, "cell long, n long").unionAll(near.mapInArrow(of_rows, "cell long, n long"))
     out = np.zeros(n_classes * n_classes, dtype=np.int64)
-    for row in stats.mapInArrow(add, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect():  # one for each two classes
+    for row in both.groupBy("cell").agg(F.sum("n").alias("n")).collect():
         out[row["cell"]] = row["n"]
     return out.reshape(n_classes, n_classes)
 
 
-def moved(stats: DataFrame, bigrams: np.ndarray) -> DataFrame:
-    """(id, class) of every word after the round."""
+def moving(crc: np.ndarray, turn: int, shares: int) -> np.ndarray:
+    """Is it a word's turn? One of so many shares moves at once."""
+    return crc % shares == turn % shares
 
-    def move(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, own, classes in _blocks(batches, len(bigrams)):
-            yield from kernel.batches(kernel.arrow_schema("id long, class long"), [{"id": ids, "class": exchange(own, classes, bigrams)}])
 
-    return stats.mapInArrow(move, "id long, class long")
+def moved_listed(stats: DataFrame, listed: np.ndarray, crc: np.ndarray, bigrams: np.ndarray, turn: int, shares: int) -> np.ndarray:
+    n_classes = len(bigrams)
 
-
-def listed_classes(classes: DataFrame, vocabulary: Vocabulary) -> np.ndarray:
-    out = np.zeros(vocabulary.first_rare, dtype=np.int64)
-    found = classes.where(F.col("id") < vocabulary.first_rare).toArrow()
+    def move(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block, own in _by_block(batches, n_classes):
+            at = slice(block * STATS_BLOCK, (block + 1) * STATS_BLOCK)
+            there = np.flatnonzero(own.any(axis=(1, 2)) & moving(crc[at], turn, shares))
+            new = exchange(own[there], listed[at][there], bigrams)
+            yield from kernel.batches(kernel.arrow_schema("id long, class long"), [{"id": block * STATS_BLOCK + there, "class": new}])
+
+    found = stats.mapInArrow(move, "id long, class long").toArrow()  # a row for each listed word at most
+    out = listed.copy()
     out[found.column("id").to_numpy()] = found.column("class").to_numpy()
     return out
 
 
-def _score(batches: Iterator[pa.RecordBatch], vocabulary: Vocabulary, classes: np.ndarray, transition: np.ndarray, share: np.ndarray, end_count: int) -> Iterator[pa.RecordBatch]:
-    """What the listed words give a text's scores; its other words go on to the join, with the classes beside them (-1:
-    the neighbour is such a word, too)."""
-    from pyspark import TaskContext
+def moved_rare(near: DataFrame, bigrams: np.ndarray, turn: int, shares: int) -> DataFrame:
+    n_classes = len(bigrams)
 
-    longs = pa.list_(pa.int64())
-    schema = pa.schema([*kernel.arrow_schema(SCORED.partition(", others")[0]), pa.field("others", pa.list_(pa.binary())), pa.field("lefts", longs), pa.field("rights", longs)])
-    index, logs = vocabulary.index(), np.log10(vocabulary.counts + 0.5)
-    row = TaskContext.get().partitionId() << 40
+    def move(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            classes = batch.column("class").to_numpy()
+            new = exchange(dense(batch, 2 * n_classes).reshape(-1, 2, n_classes), classes, bigrams)
+            new = np.where(moving(batch.column("crc").to_numpy(), turn, shares), new, classes)
+            yield from kernel.batches(kernel.arrow_schema("id long, class long, crc long"), [{"id": batch.column("id"), "class": new, "crc": batch.column("crc")}])
+
+    return near.mapInArrow(move, "id long, class long, crc long")
+
+
+def _score(batches: Iterator[pa.RecordBatch], vocabulary: Vocabulary, classes: np.ndarray, transition: np.ndarray, share: np.ndarray, end_count: int) -> Iterator[pa.RecordBatch]:
+    """What the listed words give a text's scores."""
+    schema = kernel.arrow_schema("row long, doc_id long, held_out boolean, n_tokens long, known long, transitions double, shares double, logs double")
+    logs = np.log10(vocabulary.counts + 0.5)
     for batch in batches:
-        texts = kernel.text_array(batch.column("text"))
-        for first, _, offsets in kernel.byte_chunks(texts):
-            n = len(offsets) - 1
-            out: dict[str, list] = {f.name: [] for f in schema if f.name not in ("doc_id", "held_out")}
-            for text in texts.slice(first, n):
-                tokens = words(text.as_py())
-                found = numbers(index, tokens)
-                known, other = found[found >= 0], np.flatnonzero(found < 0)
-                c = np.full(len(tokens) + 2, END_CLASS)
-                c[1:-1] = np.where(found >= 0, classes[found], -1)
-                both = np.flatnonzero((c[:-1] >= 0) & (c[1:] >= 0))
-                values = (
-                    row, len(tokens) + 1, len(known) + (end_count > 0), transition[c[both], c[both + 1]].sum(), share[classes[known]].sum() + share[END_CLASS],
-                    logs[known].sum() + np.log10(end_count + 0.5), [tokens[k] for k in other.tolist()], c[other], c[other + 2],
-                )
-                for name, value in zip(out, values, strict=True):
-                    out[name].append(value)
-                row += 1
-            yield from kernel.batches(schema, [out | {k: batch.column(k).slice(first, n) for k in ("doc_id", "held_out")}])
+        out: dict[str, list] = {f.name: [] for f in schema if f.name not in ("row", "doc_id", "held_out")}
+        for text in batch.column("ids"):
+            found = np.frombuffer(text.as_buffer(), dtype=np.int32)
+            known = found[found >= 0]
+            c = np.full(len(found) + 2, END_CLASS)
+            c[1:-1] = np.where(found >= 0, classes[found], -1)
+            both = np.flatnonzero((c[:-1] >= 0) & (c[1:] >= 0))
+            values = (len(found) + 1, len(known) + (end_count > 0), transition[c[both], c[both + 1]].sum(), share[classes[known]].sum() + share[END_CLASS], logs[known].sum() + np.log10(end_count + 0.5))
+            for name, value in zip(out, values, strict=True):
+                out[name].append(value)
+        yield from kernel.batches(schema, [out | {k: batch.column(k) for k in ("row", "doc_id", "held_out")}])
+    kernel.release()
+
+
+def unseen_runs(transition: np.ndarray, share: np.ndarray, lengths: np.ndarray, before: np.ndarray, after: np.ndarray) -> np.ndarray:
+    """log10 probabilities of runs of unseen words between two classes, with the step to the one after them."""
+    step = 10.0**transition
+    each = 0.5 * 10.0**share
+    each[END_CLASS] = 0
+    each = each[:, None] * step
+    out, so_far, scale, done = np.zeros(len(lengths)), step, 0.0, 0
+    for length in np.unique(lengths).tolist():
+        for _ in range(length - done):
+            so_far = so_far @ each
+            most = so_far.max()
+            so_far, scale = so_far / most, scale + np.log10(most)
+        done = length
+        at = np.flatnonzero(lengths == length)
+        out[at] = np.log10(so_far[before[at], after[at]]) + scale
+    return out
 
 
-def _score_others(batches: Iterator[pa.RecordBatch], transition: np.ndarray, share: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """What the words that are not listed give the scores of their texts, whose order they are in."""
+def _score_others(batches: Iterator[pa.RecordBatch], classes: np.ndarray, transition: np.ndarray, share: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """What the words that are not listed give the scores of their texts, whose order they are in (class -1: unseen)."""
     for batch in batches:
         flat = batch.column("o").flatten()
         left, right, own, n = (flat.field(k).to_numpy(zero_copy_only=False) for k in ("left", "right", "class", "n"))
         owner = np.repeat(np.arange(batch.num_rows), np.diff(batch.column("o").offsets.to_numpy()))
-        left = np.where(left >= 0, left, np.roll(own, 1))
-        steps = transition[left, own] + np.where(right >= 0, transition[own, right], 0.0)
+        before, after = np.where(left >= 0, classes[left], np.roll(own, 1)), np.where(right >= 0, classes[right], np.roll(own, -1))
+        known = own >= 0
+        steps = np.where(known & (before >= 0), transition[before, own], 0.0) + np.where(known & (right >= 0), transition[own, after], 0.0)
+        starts, ends = np.flatnonzero(~known & (before >= 0)), np.flatnonzero(~known & (after >= 0))
+        steps[starts] += unseen_runs(transition, share, ends - starts + 1, before[starts], after[ends])
+        shares = np.where(known, share[own], -np.log10(0.5))  # an unseen word's is in its run
         add = lambda values: np.bincount(owner, weights=values, minlength=batch.num_rows)  # noqa: B023, E731
-        columns = {"row": batch.column("row"), "more_known": add(n > 0).astype(np.int64), "more_transitions": add(steps), "more_shares": add(share[own]), "more_logs": add(np.log10(n + 0.5))}
+        columns = {"row": batch.column("row"), "more_known": add(n > 0).astype(np.int64), "more_transitions": add(steps), "more_shares": add(shares), "more_logs": add(np.log10(n + 0.5))}
         yield from kernel.batches(kernel.arrow_schema(MORE), [columns])
+    kernel.release()
 
 
 def most_frequent(counts: DataFrame, most: int) -> list:
@@ -281,11 +391,61 @@ def most_frequent(counts: DataFrame, most: int) -> list:
     return sorted(rows, key=lambda r: (-r["n"], r["word"]))
 
 
-def class_lm_scores(
-    docs: DataFrame, n_classes: int = CLASSES, n_items: int | None = None, endings: int | None = None, known_words: int = KNOWN_WORDS, rounds: int = ROUNDS
-) -> DataFrame:
-    """Score every document by unigrams (base_score) and by the class model (score), as log10 probabilities. Every word
-    has its own class: n_items and endings, which once bounded that, are taken and have no effect."""
+class Clustering:
+    """The exchange: classes of listed words (an array) and of rare words (a table), round by round."""
+
+    def __init__(self, scratch: Scratch, training: DataFrame, items: DataFrame, rare: DataFrame, vocabulary: object, n_classes: int) -> None:
+        self.scratch, self.training, self.vocabulary, self.n_classes = scratch, training, vocabulary, n_classes
+        first_rare = vocabulary.value.first_rare
+        items = items.where("not held_out")
+        sides = items.select("id", F.explode(F.array(F.when(F.col("right") >= 0, F.col("right")), F.when(F.col("left") >= 0, first_rare + F.col("left")))).alias("code")).where("code is not null")
+        beside = sides.groupBy("id", "code").agg(F.count("*").alias("n")).groupBy("id").agg(F.collect_list(F.struct("code", "n")).alias("beside"))
+        self.beside = scratch.keep(rare.select("id").join(beside, "id", "left"), "beside")
+        self.pairs = scratch.keep(items.where("next is not null").groupBy(F.col("id").alias("a"), F.col("next").alias("b")).agg(F.count("*").alias("n")), "rare-pairs")
+        self.levels: list[float] = []
+
+    def near(self, classes: DataFrame, listed: np.ndarray, name: str) -> DataFrame:
+        """Rare words with the classes beside them, and (without id) their part of listed words' counts."""
+        own, n_classes, vocabulary = classes.select("id", "class"), self.n_classes, self.vocabulary
+        right = self.pairs.join(own.withColumnRenamed("id", "b"), "b").select(F.col("a").alias("id"), F.col("class").alias("code"), "n")
+        left = self.pairs.join(own.withColumnRenamed("id", "a"), "a").select(F.col("b").alias("id"), (n_classes + F.col("class")).alias("code"), "n")
+        both = right.unionAll(left).groupBy("id", "code").agg(F.sum("n").alias("n")).groupBy("id").agg(F.collect_list(F.struct("code", "n")).alias("both"))
+        rows = self.beside.join(classes, "id").join(both, "id", "left").select("id", "class", "crc", "beside", "both")
+        return self.scratch.keep(rows.mapInArrow(lambda it: _rare(it, vocabulary.value, listed, n_classes), NEAR), name)
+
+    def stats(self, near: DataFrame, listed: np.ndarray, name: str) -> DataFrame:
+        vocabulary, n_classes = self.vocabulary, self.n_classes
+        parts = self.training.select("ids").mapInArrow(lambda it: _neighbours(it, vocabulary.value, listed, n_classes), STATS)
+        return self.scratch.keep(summed(parts.unionAll(near.where("id is null").select("block", "cells", "counts")), STATS_BLOCK * 2 * n_classes), name)
+
+    def run(self, classes: DataFrame, listed: np.ndarray, crc: np.ndarray, rounds: int) -> tuple[DataFrame, np.ndarray, np.ndarray]:
+        """(classes of rare words, classes of listed words, class bigrams) of the likeliest round."""
+        best, shares, turn, idle = None, 1, 0, 0
+        for k in range(rounds + 1):
+            near = self.near(classes, listed, f"near-{k}")
+            stats = self.stats(near, listed, f"stats-{k}")
+            bigrams = total_bigrams(stats, near.where("id is not null"), listed, self.n_classes)
+            level, gone = likelihood(bigrams), k
+            if best is None or level >= best[0]:
+                gain, gone = (level - best[0], best[6]) if best else (np.inf, None)
+                best = (level, classes, listed, bigrams, near, stats, k)
+                self.levels.append(level)
+                idle = idle + 1 if gain < LEAST_GAIN * bigrams.sum() else 0
+            else:
+                shares, idle = 2 * shares, 0
+            if gone is not None:
+                self.scratch.drop(f"near-{gone}", f"stats-{gone}", f"classes-{gone}")
+            if k == rounds or idle >= shares or shares > MOST_SHARES:
+                break
+            _, _, listed, bigrams, near, stats, _ = best
+            classes = self.scratch.keep(moved_rare(near.where("id is not null"), bigrams, turn, shares), f"classes-{k + 1}")
+            listed, turn = moved_listed(stats, listed, crc, bigrams, turn, shares), turn + 1
+        self.scratch.drop(f"near-{best[6]}", f"stats-{best[6]}")
+        return best[1], best[2], best[3]
+
+
+def class_lm_scores(docs: DataFrame, n_classes: int = CLASSES, known_words: int = KNOWN_WORDS, rounds: int = ROUNDS) -> DataFrame:
+    """Score every document by unigrams (base_score) and by the class model (score), as log10 probabilities."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "class-lm")
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % FOLDS == HELD_OUT, F.lit(False))
@@ -298,55 +458,43 @@ def class_lm_scores(
     n_tokens, n_types = n_words + n_end, n_distinct + (n_end > 0)
     top = most_frequent(counts.where(F.length("word") <= WORD_BYTES), known_words)
     vocabulary = spark.sparkContext.broadcast(Vocabulary([bytes(r["word"]) for r in top], np.array([r["n"] for r in top], dtype=np.int64)))
-    end, first_rare = vocabulary.value.end, vocabulary.value.first_rare
+    end, first_rare, crc = vocabulary.value.end, vocabulary.value.first_rare, vocabulary.value.checksums()
     is_rare = (F.length("word") > WORD_BYTES) | (F.col("n") < top[-1]["n"]) if top else F.lit(True)
     del top
-    rare = scratch.keep(counts.where(is_rare).withColumn("id", first_rare + F.monotonically_increasing_id()), "rare")
-    pairs = scratch.keep(training.mapInArrow(lambda it: _rare_pairs(it, vocabulary.value), "a long, a_word binary, b long, b_word binary"), "word-pairs")
-    pairs = scratch.keep(numbered(numbered(pairs, rare, "a"), rare, "b").select("a", "b"), "pairs")
-    scratch.drop("word-pairs")
+    rare = scratch.keep(counts.where(is_rare).withColumns({"id": first_rare + F.monotonically_increasing_id(), "crc": F.crc32("word")}), "rare")
+
+    tokens = scratch.keep(rows.mapInArrow(lambda it: _encode(it, vocabulary.value), TOKENS), "tokens")
+    each = tokens.select("row", "held_out", F.posexplode(F.arrays_zip("others", "lefts", "rights")).alias("pos", "o"))
+    each = each.select("row", "held_out", "pos", F.col("o.others").alias("word"), F.col("o.lefts").alias("left"), F.col("o.rights").alias("right"))
+    each = each.join(rare.select("word", "id", "n"), "word", "left").withColumns({k: F.coalesce(k, F.lit(v).cast("long")) for k, v in (("id", -1), ("n", 0))})
+    each = each.groupBy("row", "held_out").agg(F.sort_array(F.collect_list(F.struct("pos", "id", "n", "left", "right"))).alias("o"))
+    items = scratch.keep(each.mapInArrow(_items, ITEMS), "items")
 
     # The most frequent words begin in classes of their own, all others together; the end has its class for good.
     seeds = {bytes(r["word"]): k for k, r in enumerate(counts.orderBy(F.desc("n"), "word").limit(n_classes - 2).collect(), 1)}
-    listed = np.array([*[seeds.get(w, n_classes - 1) for w in vocabulary.value.listed], END_CLASS], dtype=np.int64)
-    first = F.coalesce(*[F.when(F.col("word") == F.lit(w), k) for w, k in seeds.items()], F.lit(n_classes - 1)).cast("long")
-    classes = spark.createDataFrame(pa.table({"id": np.arange(end + 1), "class": listed})).unionAll(rare.select("id", first))
-    classes = scratch.keep(classes, "classes-0")
-    for k in range(rounds + 1):
-        listed = listed_classes(classes, vocabulary.value)
-        stats = scratch.keep(neighbour_counts(training, pairs, classes, vocabulary, listed, n_classes), f"stats-{k}")
-        bigrams = total_bigrams(stats, n_classes)
-        if k < rounds:
-            classes = scratch.keep(moved(stats, bigrams), f"classes-{k + 1}")
-            scratch.drop(f"classes-{k}")
-        scratch.drop(f"stats-{k}")
-    scratch.drop("pairs")
+    listed = np.full(first_rare, END_CLASS, dtype=np.int64)
+    listed[:end] = [seeds.get(w, n_classes - 1) for w in vocabulary.value.listed]
+    seed = F.coalesce(*[F.when(F.col("word") == F.lit(w), k) for w, k in seeds.items()], F.lit(n_classes - 1)).cast("long")
+    classes = scratch.keep(rare.select("id", seed.alias("class"), "crc"), "classes-0")
+    clustering = Clustering(scratch, tokens.where("not held_out"), items, rare, vocabulary, n_classes)
+    classes, listed, bigrams = clustering.run(classes, listed, crc, rounds)
+    scratch.drop("beside", "rare-pairs", "counts")
 
     transition = np.log10(smoothed(bigrams))
-    class_types = np.zeros(n_classes)
+    class_types = np.bincount(listed[:end], minlength=n_classes)
     for row in classes.groupBy("class").count().collect():
-        class_types[row["class"]] = row["count"]
+        class_types[row["class"]] += row["count"]
     class_types[END_CLASS] = 1
     share = -np.log10(bigrams.sum(axis=0) + 0.5 * (class_types + 1))
 
-    others = scratch.keep(rare.join(classes, "id").select("word", "n", "class"), "others")
-    once = np.zeros(n_classes)
-    once[n_classes - 1] = 0.5
-    np.add.at(once, listed[: end][vocabulary.value.counts == 1], 1)
-    for row in others.where("n = 1").groupBy("class").count().collect():
-        once[row["class"]] += row["count"]
-    unseen = int(np.argmax(once))
-
-    scored = scratch.keep(rows.mapInArrow(lambda it: _score(it, vocabulary.value, listed, transition, share, n_end), SCORED), "scored")
-    each = scored.select("row", F.posexplode(F.arrays_zip("others", "lefts", "rights")).alias("pos", "o"))
-    each = each.select("row", "pos", F.col("o.others").alias("word"), F.col("o.lefts").alias("left"), F.col("o.rights").alias("right")).join(others, "word", "left")
-    each = each.withColumns({"class": F.coalesce("class", F.lit(unseen).cast("long")), "n": F.coalesce("n", F.lit(0).cast("long"))})
+    scored_ddl = "row long, doc_id long, held_out boolean, n_tokens long, known long, transitions double, shares double, logs double"
+    scored = tokens.select("row", "doc_id", "held_out", "ids").mapInArrow(lambda it: _score(it, vocabulary.value, listed, transition, share, n_end), scored_ddl)
+    each = items.select("row", "pos", "id", "n", "left", "right").join(classes.select("id", "class"), "id", "left").withColumn("class", F.coalesce("class", F.lit(-1).cast("long")))
     each = each.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("pos", "left", "right", "class", "n"))).alias("o"))
-    more = each.mapInArrow(lambda it: _score_others(it, transition, share), MORE)
+    more = each.mapInArrow(lambda it: _score_others(it, listed, transition, share), MORE)
     plus = lambda name: F.col(name) + F.coalesce(f"more_{name}", F.lit(0.0))
-    logs = plus("logs")
-    score = plus("transitions") + plus("shares") + logs
-    return scored.drop("others", "lefts", "rights").join(more, "row", "left").select(
-        "doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("more_known", F.lit(0))).alias("n_known"), F.lit(n_tokens).cast("long").alias("train_tokens"),
-        (logs - F.col("n_tokens") * float(np.log10(n_tokens + 0.5 * (n_types + 1)))).alias("base_score"), score.alias("score"), F.pow(F.lit(10.0), -score / F.col("n_tokens")).alias("perplexity"),
+    score = plus("transitions") + plus("shares") + plus("logs")
+    return scored.join(more, "row", "left").select(
+        "doc_id", "held_out", "n_tokens", (F.col("known") + F.coalesce("more_known", F.lit(0))).alias("n_known"), F.lit(n_tokens).cast("long").alias("train_tokens"),
+        (plus("logs") - F.col("n_tokens") * float(np.log10(n_tokens + 0.5 * (n_types + 1)))).alias("base_score"), score.alias("score"), F.pow(F.lit(10.0), -score / F.col("n_tokens")).alias("perplexity"),
     )

@@ -208,5 +208,5 @@ _trim = _trimmer()
 
 def arrow_schema(ddl: str) -> pa.Schema:
     """The Arrow schema of a Spark DDL string of plain types."""
-    kinds = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "boolean": pa.bool_(), "string": pa.string(), "binary": pa.binary(), "array<long>": pa.list_(pa.int64()), "array<int>": pa.list_(pa.int32())}
+    kinds = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "boolean": pa.bool_(), "string": pa.string(), "binary": pa.binary(), "array<long>": pa.list_(pa.int64()), "array<int>": pa.list_(pa.int32()), "array<binary>": pa.list_(pa.binary())}
     return pa.schema([(name, kinds[kind]) for name, kind in (part.split() for part in ddl.split(", "))])

@@ -64,7 +64,7 @@ def clashing(docs):
 OPERATORS = {
     "chat": None,
     "jaccard": jaccard_join,
-    "lm": lambda d: class_lm_scores(d, n_classes=8, n_items=64, endings=32, known_words=50, rounds=1),
+    "lm": lambda d: class_lm_scores(d, n_classes=8, known_words=50, rounds=1),
     "rules": quality_rules,
     "shards": lambda d: shard_by_bytes(d, 4),
     "packing": lambda d: pack(d, word_tokenizer(), 64),
@@ -132,18 +132,102 @@ def test_class_lm_beats_unigrams_on_two_languages(spark):
     rng = random.Random(3)
     tongues = [[f"{a}{k}" for k in range(60)] for a in "pq"]
     docs = frame(spark, [(i, " ".join(rng.choices(tongues[i % 2], k=60))) for i in range(300)])
-    found = class_lm_scores(docs, n_classes=8, n_items=200, endings=16, known_words=200, rounds=3).where("held_out").toPandas()
+    found = class_lm_scores(docs, n_classes=8, known_words=200, rounds=3).where("held_out").toPandas()
     assert found.score.sum() > found.base_score.sum() * 0.9
     assert np.allclose(found.perplexity, 10 ** (-found.score / found.n_tokens))
 
 
+def brute_lm(training, texts, n_classes, rounds):
+    """The class model in plain steps: all words move at once, or by shares of their checksums after a round that fails.
+    A text's probability is summed over the classes of its unseen words by the forward algorithm."""
+    counts = Counter(w for t in training for w in t)
+    ranked = sorted(counts, key=lambda w: (-counts[w], w))
+    classes = {w: k if k <= n_classes - 2 else n_classes - 1 for k, w in enumerate(ranked, 1)} | {None: 0}
+
+    def bigrams(of):
+        out = np.zeros((n_classes, n_classes))
+        for t in training:
+            for a, b in zip([None, *t], [*t, None], strict=True):
+                out[of[a], of[b]] += 1
+        return out
+
+    def smooth(b):
+        usual = (b.sum(axis=0) + 0.5) / (b.sum() + 0.5 * n_classes)
+        return (b + 10 * usual) / (b.sum(axis=1, keepdims=True) + 10)
+
+    def level(b):
+        return sum(x * math.log(x) for x in b.ravel() if x) - sum(x * math.log(x) for s in (b.sum(axis=0), b.sum(axis=1)) for x in s if x)
+
+    best, best_level, shares, turn, idle, levels = classes, level(bigrams(classes)), 1, 0, 0, []
+    levels.append(best_level)
+    for _ in range(rounds):
+        b = bigrams(best)
+        right, left = np.log(smooth(b)), np.log(smooth(b.T))
+        gain = {w: np.zeros(n_classes) for w in counts}
+        for t in training:
+            for x, y in zip([None, *t], [*t, None], strict=True):
+                if x is not None:
+                    gain[x] += right[:, best[y]]
+                if y is not None:
+                    gain[y] += left[:, best[x]]
+        new = dict(best)
+        for w, g in gain.items():
+            if zlib.crc32(w.encode()) % shares == turn % shares:
+                new[w] = 1 + int(np.argmax(np.round(g[1:], 6)))
+        turn += 1
+        now = level(bigrams(new))
+        if now >= best_level:
+            idle = idle + 1 if now - best_level < 5e-3 * b.sum() else 0
+            best, best_level = new, now
+            levels.append(now)
+        else:
+            shares, idle = 2 * shares, 0
+        if idle >= shares or shares > 8:
+            break
+    b = bigrams(best)
+    step, types = smooth(b), Counter(best.values())
+    size = np.array([b[:, c].sum() + 0.5 * (types[c] + 1) for c in range(n_classes)])
+    out = []
+    for t in texts:
+        at, total = np.eye(n_classes)[0], 0.0
+        for w in [*t, None]:
+            emit = np.zeros(n_classes)
+            if w is None or w in counts:
+                emit[best[w]] = ((len(training) if w is None else counts[w]) + 0.5) / size[best[w]]
+            else:
+                emit[1:] = 0.5 / size[1:]
+            at = at @ step * emit
+            total += math.log10(at.sum())
+            at /= at.sum()
+        out.append(total)
+    return out, levels
+
+
+@pytest.mark.parametrize("known", [5, 1000])
+def test_class_lm_scores_against_brute_force(spark, monkeypatch, known):
+    from feedgraph.llm import class_lm
+
+    kept = []
+    run = class_lm.Clustering.run
+    monkeypatch.setattr(class_lm.Clustering, "run", lambda self, *a: (run(self, *a), kept.append(self.levels))[0])
+    rng = random.Random(12)
+    tongues = [[f"{a}{k}" for k in range(25)] for a in "pqr"]
+    rows = [(i, " ".join(rng.choices(tongues[i % 3], k=rng.randint(0, 30)) + [f"x{rng.randint(0, 400)}"] * (i % 4))) for i in range(80)] + [(80, "never seen words p1 here"), (81, None)]
+    held = lambda i: zlib.crc32(str(i).encode()) % 5 == 1
+    split = [(t or "").split() for _, t in rows]
+    expected, levels = brute_lm([t for (i, _), t in zip(rows, split, strict=True) if not held(i)], split, 6, 5)
+    found = class_lm_scores(frame(spark, rows), n_classes=6, known_words=known, rounds=5).orderBy("doc_id").toPandas()
+    assert np.allclose(found.score, expected, atol=1e-6)
+    assert np.allclose(kept[0], levels) and kept[0] == sorted(kept[0]) and len(levels) > 2
+
+
 def test_class_lm_gives_every_word_its_own_class(spark):
     """Words of two languages, all with one ending, keep apart however few are listed."""
     rng = random.Random(4)
     tongues = [[f"{a}{k}xyz" for k in range(60)] for a in "pq"]
     docs = frame(spark, [*[(i, " ".join(rng.choices(tongues[i % 2], k=60))) for i in range(200)], (900, " ".join(w + "!" * 70 for w in tongues[0])), (901, "new p1xyz newer newest")])
     few, all_listed = (
-        class_lm_scores(docs, n_classes=8, n_items=n, endings=1, known_words=n, rounds=2).orderBy("doc_id").toPandas() for n in (10, 1000)
+        class_lm_scores(docs, n_classes=8, known_words=n, rounds=2).orderBy("doc_id").toPandas() for n in (10, 1000)
     )
     assert few.n_known.tolist() == all_listed.n_known.tolist()
     assert np.allclose(few.score, all_listed.score, atol=1e-6)
