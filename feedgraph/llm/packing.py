@@ -31,9 +31,9 @@ from feedgraph.llm import kernel
 from feedgraph.llm.scratch import Scratch
 
 CAPACITY, END_ID = 4096, 1
-CACHE_PARTS = 1_000_000
+CACHE_BYTES = 48 << 20
 FILLING_STEPS = 500
-PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, row long"
+PIECES = "doc_id long, piece int, start long, length long, ids binary, ids_crc32 long, row long"
 
 
 #: 1 for ASCII letters and digits, 2 for ASCII punctuation but the apostrophe: the tokenizer always splits where they meet.
@@ -52,14 +52,17 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.cache: dict[bytes, bytes] = {}
+        self.held = 0  # bytes of the cache, with a dictionary's cost for each entry
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
 
     def learn(self, parts: set[bytes]) -> None:
         """Put new parts into the cache."""
-        if len(self.cache) > CACHE_PARTS:
+        if self.held > CACHE_BYTES:
             self.cache.clear()
+            self.held = 0
+        self.held += sum(map(len, parts)) + 200 * len(parts)
         fresh = [p.decode() for p in parts]
         # A run of letters is one pretoken, whose last id alone carries the word end: many go through in one text.
         plain = [p for p in fresh if p.isalpha()]
@@ -108,10 +111,12 @@ def _pieces(batches: Iterator[pa.RecordBatch], path: str, capacity: int) -> Iter
                 ids += END_ID.to_bytes(4, "little")
                 for piece, at in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[at : at + 4 * capacity]
-                    for name, value in zip(out, (doc_id, piece, at // 4, len(part) // 4, zlib.crc32(part), row), strict=True):
+                    for name, value in zip(out, (doc_id, piece, at // 4, len(part) // 4, part, zlib.crc32(part), row), strict=True):
                         out[name].append(value)
                 row += 1
             yield from kernel.batches(schema, [out])
+    encoder.cache.clear()
+    kernel.release()
 
 
 def lower_bound(counts: np.ndarray, capacity: int) -> int:
@@ -266,7 +271,8 @@ def places(plan: Plan) -> list[tuple[int, int, int, int, int, int]]:
 
 
 def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFrame:
-    """One row per piece with its sequence and offset. tokenizer: path of a tokenizer file that all executors have."""
+    """One row per piece with its ids (little-endian, four bytes each), their checksum, its sequence and its offset.
+    tokenizer: path of a tokenizer file that all executors have. Who leaves out ids does not read them."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "packing")
     pieces = scratch.keep(docs.select("doc_id", "text").mapInArrow(lambda it: _pieces(it, tokenizer, capacity), PIECES), "pieces")
@@ -276,6 +282,15 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFrame
     return place(pieces, places(bin_completion(counts, capacity)), scratch)
 
 
+def sequences(packed: DataFrame) -> DataFrame:
+    """sequence_id, length, ids (little-endian) and spans (doc_id, piece, offset, length) of the packed sequences: what a
+    training job reads. A sequence is bounded by the capacity."""
+    piece = F.struct("offset", "doc_id", "piece", "length", "ids")
+    whole = packed.groupBy("sequence_id").agg(F.array_sort(F.collect_list(piece)).alias("o"), F.sum("length").alias("length"))
+    ids = F.aggregate("o", F.lit(b""), lambda so_far, o: F.concat(so_far, o["ids"]))
+    return whole.select("sequence_id", "length", ids.alias("ids"), F.transform("o", lambda o: F.struct(o["doc_id"], o["piece"], o["offset"], o["length"])).alias("spans"))
+
+
 def place(pieces: DataFrame, plan: list[tuple[int, int, int, int, int, int]], scratch: Scratch) -> DataFrame:
     """Ranks are dealt in two steps, so that a common length is never in one task: groups of a length's pieces are
     ranked by their counts, then the pieces in their group."""
@@ -294,7 +309,7 @@ def place(pieces: DataFrame, plan: list[tuple[int, int, int, int, int, int]], sc
     return (
         ranked.join(runs, "length").withColumn("run", run)
         .select(
-            "doc_id", "piece", "start", "length", "ids_crc32",
+            "doc_id", "piece", "start", "length", "ids", "ids_crc32",
             (F.col("run.sequence") + F.floor(nth / F.col("run.n")).cast("long")).alias("sequence_id"),
             (F.col("run.at") + F.pmod(nth, F.col("run.n")) * F.col("length")).cast("long").alias("offset"),
         )

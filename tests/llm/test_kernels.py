@@ -334,6 +334,20 @@ def test_many_lengths_are_searched_too():
     assert packing.lower_bound(counts, 4096) <= packing.plan_size(plan) < packing.plan_size(packing.best_fit_decreasing(counts, 4096))
 
 
+def test_over_a_thousand_open_lengths_are_searched_as_a_whole():
+    rng = np.random.default_rng(3)
+    counts = np.bincount(rng.integers(600, 2501, 5000), minlength=4097)
+    assert np.count_nonzero(counts) > 1000
+    first = packing.best_fit_decreasing(counts, 4096)
+    searched = packing.complete(counts, 4096, first, 1)
+    assert packing.lower_bound(counts, 4096) < packing.plan_size(searched) < packing.plan_size(first)
+    used = np.zeros_like(counts)
+    for filling, times in searched:
+        assert sum(filling) <= 4096
+        np.add.at(used, list(filling), times)
+    assert (used == counts).all()
+
+
 def test_token_ids_are_the_tokenizers():
     tokenizers = pytest.importorskip("tokenizers")
     path = pytest.importorskip("public_tokenizers").path("word_bpe_49k.json")

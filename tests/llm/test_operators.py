@@ -19,7 +19,7 @@ from feedgraph.llm.chat import chat_format
 from feedgraph.llm.class_lm import class_lm_scores
 from feedgraph.llm.decontaminate import contamination_matches, decontaminate, drop_contaminated
 from feedgraph.llm.jaccard_join import drop_near_copies, jaccard_join
-from feedgraph.llm.packing import bin_completion, lower_bound, pack
+from feedgraph.llm.packing import bin_completion, lower_bound, pack, sequences
 from feedgraph.llm.quality_gam import drop_low_quality, quality_gam
 from feedgraph.llm.quality_rules import quality_rules
 from feedgraph.llm.queries import QUERIES, word_tokenizer
@@ -67,7 +67,7 @@ OPERATORS = {
     "lm": lambda d: class_lm_scores(d, n_classes=8, known_words=50, rounds=1),
     "rules": quality_rules,
     "shards": lambda d: shard_by_bytes(d, 4),
-    "packing": lambda d: pack(d, word_tokenizer(), 64),
+    "packing": lambda d: pack(d, word_tokenizer(), 64).drop("ids"),
     "suffix": suffix_dedup,
 }
 OPERATORS.pop("chat")
@@ -265,7 +265,14 @@ def test_packing(spark):
     rows = corpus()
     whole = tokenizers.Tokenizer.from_file(word_tokenizer())
     ids = {i: [*whole.encode(t or "", add_special_tokens=False).ids, 1] for i, t in rows if i is not None}
-    found = pack(frame(spark, rows), word_tokenizer(), 64).toPandas()
+    packed = pack(frame(spark, rows), word_tokenizer(), 64)
+    found = packed.toPandas()
+    for r in sequences(packed).collect():
+        own = np.frombuffer(r.ids, dtype="<u4").tolist()
+        assert len(own) == r.length == sum(s.length for s in r.spans)
+        for s in r.spans:
+            if s.doc_id is not None:
+                assert own[s.offset : s.offset + s.length] == ids[s.doc_id][64 * s.piece : 64 * s.piece + s.length]
     for r in found[found.doc_id.notna()].itertuples():
         part = ids[int(r.doc_id)][r.start : r.start + r.length]
         assert (r.length, r.start) == (len(part), 64 * r.piece)
