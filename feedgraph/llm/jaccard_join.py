@@ -13,10 +13,10 @@ resolved to documents before anything is decided. Rows are sorted by Spark and r
 size needs no memory. Pairs are compared by odd sketches: parity bits whose Hamming distance never exceeds the true
 difference, so a rejected pair surely is no link. What passes is verified on the whole texts.
 
-A family of thousands of near copies must not yield all its pairs. In a first round every bucket ties its members to
-its first one; the verified links are united. A second round takes every fitting pair of a bucket whose documents are
-still apart, so no link between different groups is lost: the pairs of small buckets, and large ones by pairs of blocks
-where they hold more than one group.
+A family of thousands of near copies must not yield all its pairs. In a first round every document is tied to two at
+most of those that come first in its buckets; the verified links are united. A second round takes all pairs of small
+buckets that are still apart, and of each large one a spanning forest of pairs that pass. A third round takes every
+passing pair of large buckets that is apart even then, by pairs of blocks, so no link between different groups is lost.
 
 Defined results. Null and wordless texts have an empty set and link with nothing. Rows without doc_id link with
 nothing; rows that share a doc_id are one document for links. Repeated rows get one result row each. Extra columns,
@@ -83,8 +83,8 @@ def signatures(elements: np.ndarray, band: int) -> np.ndarray:
 
 
 def odd_sketch(elements: np.ndarray, band: int) -> np.ndarray:
-    """Parity bits of the set's elements over cells, 16 for each element of the band's least size."""
-    cells = max(64, 16 * band)
+    """Parity bits of the set's elements over cells, 4 for each element of the band's least size."""
+    cells = max(64, 4 * band)
     at = ((kernel.mix(elements) >> np.uint64(32)) * np.uint64(cells)) >> np.uint64(32)
     return np.packbits((np.bincount(at.astype(np.int64), minlength=cells) & 1).astype(np.uint8))
 
@@ -200,12 +200,31 @@ def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     kernel.release()
 
 
-def bucket_pairs(docs: np.ndarray, groups: np.ndarray, blocks: np.ndarray | None, sizes: np.ndarray, sketches: np.ndarray) -> Iterator[tuple[int, int]]:
-    """Pairs of a bucket across groups whose sizes and sketches allow a link."""
+class Forest:
+    """Groups that pairs unite."""
+
+    def __init__(self) -> None:
+        self.parent: dict[int, int] = {}
+
+    def find(self, x: int) -> int:
+        while (up := self.parent.setdefault(x, x)) != x:
+            self.parent[x] = self.parent[up]
+            x = up
+        return x
+
+    def unite(self, a: int, b: int) -> bool:
+        a, b = self.find(a), self.find(b)
+        self.parent[max(a, b)] = min(a, b)
+        return a != b
+
+
+def bucket_pairs(docs: np.ndarray, groups: np.ndarray, blocks: np.ndarray | None, sizes: np.ndarray, sketches: np.ndarray, forest: bool) -> Iterator[tuple[int, int]]:
+    """Pairs of a bucket across groups whose sizes and sketches allow a link: a spanning forest of the groups, or all."""
     order = np.argsort(sizes, kind="stable")
     docs, groups, sizes, sketches = docs[order], groups[order], sizes[order], sketches[order]
     blocks = blocks[order] if blocks is not None else None
     upto = np.searchsorted(sizes, (5 * sizes) // 4, side="right")
+    trees = Forest()
     for i in range(len(docs)):
         j = np.arange(i + 1, upto[i])
         j = j[groups[j] != groups[i]]
@@ -214,10 +233,11 @@ def bucket_pairs(docs: np.ndarray, groups: np.ndarray, blocks: np.ndarray | None
         if len(j):
             apart = np.bitwise_count(sketches[j] ^ sketches[i]).sum(axis=1, dtype=np.int64)
             for k in j[9 * apart <= sizes[j] + sizes[i]].tolist():
-                yield min(docs[i], docs[k]), max(docs[i], docs[k])
+                if not forest or trees.unite(int(groups[i]), int(groups[k])):
+                    yield min(docs[i], docs[k]), max(docs[i], docs[k])
 
 
-def _propose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _propose(batches: Iterator[pa.RecordBatch], forest: bool) -> Iterator[pa.RecordBatch]:
     """Rows sorted by bucket (signature and blocks) -> pairs, each once for a task."""
     schema = kernel.arrow_schema("a long, b long")
     held: list[pa.RecordBatch] = []
@@ -233,7 +253,7 @@ def _propose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if end - start > 1 and (groups[start:end] != groups[start]).any():
                 bits = np.stack([np.frombuffer(s.as_buffer(), dtype=np.uint64) for s in sketches.slice(start, end - start)])
                 across = block[start:end] if keys[start, 1] != keys[start, 2] else None
-                pairs += [p for p in bucket_pairs(docs[start:end], groups[start:end], across, sizes[start:end], bits) if p not in seen]
+                pairs += [p for p in bucket_pairs(docs[start:end], groups[start:end], across, sizes[start:end], bits, forest) if p not in seen]
                 seen.update(pairs[-BLOCK:])
                 if len(seen) > 200_000:
                     seen.clear()
@@ -275,10 +295,15 @@ def _verify(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.Record
     kernel.release()
 
 
-def propose(members: DataFrame) -> DataFrame:
-    dealt = members.repartition("signature", "low", "high").sortWithinPartitions("signature", "low", "high", "doc_id")
-    columns = ("signature", "low", "high", "block", "doc_id", "group", "n", "sketch")
-    return dealt.select(*columns).mapInArrow(_propose, "a long, b long").distinct()
+def propose(members: DataFrame, names: DataFrame, features: DataFrame, forest: bool) -> DataFrame:
+    """Pairs (a, b) of large buckets (signature, id, band, block) that still hold several groups."""
+    rows = members.join(names, "id")
+    mixed = rows.groupBy("signature").agg(F.min("group").alias("low"), F.max("group").alias("high"), F.max("block").alias("last")).where("low < high").select("signature", "last")
+    rows = rows.join(mixed, "signature").join(features.select("doc_id", "band", "n", "sketch"), ["doc_id", "band"])
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("last"))))
+    rows = rows.select("signature", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "doc_id", "group", "n", "sketch")
+    dealt = rows.repartition("signature", "low", "high").sortWithinPartitions("signature", "low", "high", "doc_id")
+    return dealt.mapInArrow(lambda it: _propose(it, forest), "a long, b long").distinct()
 
 
 def verify(pairs: DataFrame, texts: DataFrame, words: int) -> DataFrame:
@@ -295,9 +320,9 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from kernel.batches(schema, [{"a": good.column("a"), "b": good.column("b")}])
 
 
-def passing(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+def passing(pairs: DataFrame, features: DataFrame) -> DataFrame:
     """The pairs (a, b, band) of documents whose sketches allow a link."""
-    a, b = (nodes.select(F.col("doc_id").alias(k), "band", F.col("n").alias(f"n_{k}"), F.col("sketch").alias(f"sketch_{k}")) for k in "ab")
+    a, b = (features.select(F.col("doc_id").alias(k), "band", F.col("n").alias(f"n_{k}"), F.col("sketch").alias(f"sketch_{k}")) for k in "ab")
     return pairs.join(a, ["a", "band"]).join(b, ["b", "band"]).select("a", "b", "n_a", "n_b", "sketch_a", "sketch_b").mapInArrow(_compare, "a long, b long").distinct()
 
 
@@ -309,6 +334,12 @@ def named(pairs: DataFrame, names: DataFrame) -> DataFrame:
     return rows.select(F.least("doc_a", "doc_b").alias("a"), F.greatest("doc_a", "doc_b").alias("b"), "band").distinct()
 
 
+def grouped(names: DataFrame, united: DataFrame) -> DataFrame:
+    """id, doc_id and group of every set."""
+    found = names.select("id", "doc_id").join(united.withColumnsRenamed({"node": "doc_id", "root": "group"}), "doc_id", "left")
+    return found.withColumn("group", F.coalesce("group", "doc_id"))
+
+
 def jaccard_join(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """doc_id, n_shingles, component_id and n_verified (links that were verified on the way to the groups; a family of
     near copies has more, which its group implies and nothing counts)."""
@@ -318,35 +349,29 @@ def jaccard_join(docs: DataFrame, words: int = WORDS) -> DataFrame:
     key = ["n", "d1", "d2"]
     usable = features.where("n > 0 and doc_id is not null")
     sets = scratch.keep(usable.where("main").groupBy(*key).agg(F.min("doc_id").alias("first")), "sets")
-    nodes = usable.join(sets, key).where("doc_id = first").select("doc_id", "band", "n", "sketch").dropDuplicates(["doc_id", "band"])
-    nodes = scratch.keep(nodes, "nodes")
 
     signed = texts.mapInArrow(lambda it: _sign(it, words), SIGNED)
     buckets = signed.repartition("signature").sortWithinPartitions("signature", "n", "id").mapInArrow(_buckets, BUCKETS)
     buckets = scratch.keep(buckets, "buckets")
-    pairs = buckets.where("b is not null").groupBy("a", "b", "band").agg(F.max("star").alias("star"))
-    pairs = scratch.keep(pairs, "pairs")
+    pairs = scratch.keep(buckets.where("b is not null").groupBy("a", "b", "band").agg(F.max("star").alias("star")), "pairs")
     members = buckets.where("b is null").select("signature", F.col("a").alias("id"), "band", "block")
-
     names = sets.select(F.col("d1").alias("id"), F.col("first").alias("doc_id"))
-    stars = scratch.keep(passing(named(pairs.where("star").drop("star"), names.withColumn("group", F.col("doc_id"))), nodes), "stars")
-    links = scratch.keep(verify(stars, texts_of(texts, stars, scratch, "texts-1"), words), "links")
-    scratch.drop("texts-1")
-    united = components(links, scratch, "united")
-
-    names = names.join(united.withColumnsRenamed({"node": "doc_id", "root": "group"}), "doc_id", "left").withColumn("group", F.coalesce("group", "doc_id"))
-    names = scratch.keep(names, "names")
-    more = passing(named(pairs.drop("star"), names), nodes)
-    # Of large buckets only those that still hold several groups.
-    rows = members.join(names, "id")
-    mixed = rows.groupBy("signature").agg(F.min("group").alias("low"), F.max("group").alias("high"), F.max("block").alias("last")).where("low < high").select("signature", "last")
-    rows = rows.join(mixed, "signature").join(nodes, ["doc_id", "band"])
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("last"))))
-    rows = rows.select("signature", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "doc_id", "group", "n", "sketch")
-    more = scratch.keep(more.union(propose(rows)).distinct().join(stars, ["a", "b"], "left_anti"), "more")
-    scratch.drop("buckets", "pairs")
-    links = scratch.keep(links.union(verify(more, texts_of(texts, more, scratch, "texts-2"), words)), "all-links")
-    scratch.drop("texts-2", "more", "stars", "nodes", "names", "links")
+
+    stars = named(pairs.where("star").drop("star"), names.withColumn("group", F.col("doc_id"))).groupBy("b").agg(*[f(F.struct("a", "band")).alias(k) for k, f in (("low", F.min), ("high", F.max))])
+    stars = stars.select("b", F.explode(F.array_distinct(F.array("low", "high"))).alias("s")).select("s.a", "b", "s.band")
+    tried = [scratch.keep(passing(stars, usable), "tried-0")]
+    links = scratch.keep(verify(tried[0], texts_of(texts, tried[0], scratch, "texts-0"), words), "links-0")
+    for k, forest in ((1, True), (2, False)):
+        names = scratch.keep(grouped(names, components(links, scratch, f"united-{k}")), f"names-{k}")
+        found = propose(members, names, usable, forest)
+        if forest:
+            found = found.union(passing(named(pairs.drop("star"), names), usable)).distinct()
+        for before in tried:
+            found = found.join(before, ["a", "b"], "left_anti")
+        tried.append(scratch.keep(found, f"tried-{k}"))
+        links = scratch.keep(links.union(verify(tried[k], texts_of(texts, tried[k], scratch, f"texts-{k}"), words)), f"links-{k}")
+        scratch.drop(f"texts-{k - 1}", f"texts-{k}", f"links-{k - 1}", "pairs")
+    scratch.drop("buckets", "names-1", "names-2", "tried-0", "tried-1", "tried-2")
     groups = components(links, scratch, "groups")
     degree = links.select(F.explode(F.array("a", "b")).alias("first")).groupBy("first").agg(F.count("*").alias("n_verified"))
     classes = sets.join(groups.withColumnRenamed("node", "first"), "first", "left").join(degree, "first", "left")
