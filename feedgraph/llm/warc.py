@@ -2,12 +2,14 @@
 
 Pages are written as gzipped WARC/1.1 files: a record is one line of Spark's text writer, whose line separator is the blank
 lines that end a record, so the files are ordinary archives on any file system that Spark can write. Of equal payloads
-the smallest page is a response and the others revisit it. The archives are then read back, each file whole (their size
-is bounded by ``archive_bytes`` plus one record), and parsed by Content-Length.
+the smallest page is a response and the others revisit it. A task closes an archive as soon as it has ``archive_bytes``,
+so an archive is that long at most, and one record more. The archives are then read back, each file whole, and parsed by
+Content-Length.
 
 Each archive yields a capture run sorted by (URL key, time, page). A range of URL keys receives its stretch of every
-run and merges them by a loser tree, which gives globally ordered capture histories; a range bounds what a task holds,
-and it is split by time and page too, so one host or URL may fill many.
+run and merges them by a loser tree, which gives globally ordered capture histories. There are as many ranges as keep
+each at about ``range_rows`` captures, however large the index is, and they are split by time and page too, so one host
+or URL may fill many.
 
 Defined results. Null html is an empty payload; null url is the empty URL. Payloads below ``min_revisit_bytes`` are all
 responses. Repeated rows are records of their own; every record of the smallest page_id is a response. Rows without
@@ -24,10 +26,12 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from feedgraph.llm import kernel
 from feedgraph.llm.scratch import Scratch
 
+ARCHIVE_BYTES, HEAD_BYTES, RANGE_ROWS = 32 << 20, 600, 50_000
 CRLF, END = "\r\n", "\r\n\r\n"
 RECORDS = "page_id long, url string, captured string, payload_bytes long, payload_digest string, record_type string, refers_to long, archive string, place long"
 HISTORY = RECORDS + ", url_key string, run string, history_pos long"
@@ -73,11 +77,27 @@ def record(min_second: int = 1_700_000_000) -> Column:
     return F.concat(F.concat_ws(CRLF, *lines), F.lit(END), "html")
 
 
-def write_archives(pages: DataFrame, path: str, archive_bytes: int = 32 << 20) -> None:
-    """Write typed pages as gzipped archives of about archive_bytes: as many records as are so long on average."""
-    mean = pages.agg(F.avg(F.col("payload_bytes") + 600)).first()[0]
-    records = max(1, int(archive_bytes / (mean or 600)))
-    pages.select(record().alias("value")).write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", records).text(path)
+def _cut(batches: Iterator[pa.RecordBatch], archive_bytes: int) -> Iterator[pa.RecordBatch]:
+    """Adds the archive that a page goes to: a new one as soon as the last has enough bytes."""
+    from pyspark import TaskContext
+
+    task, number, size = TaskContext.get().partitionId(), 0, 0
+    for batch in batches:
+        names = []
+        for n in batch.column("payload_bytes").to_pylist():
+            if size >= archive_bytes:
+                number, size = number + 1, 0
+            names.append(f"{task:06d}-{number:06d}")
+            size += n + HEAD_BYTES
+        yield batch.append_column("archive", pa.array(names, type=pa.string()))
+    kernel.release()
+
+
+def write_archives(pages: DataFrame, path: str, archive_bytes: int = ARCHIVE_BYTES) -> None:
+    """Write typed pages as gzipped archives, each in a folder of its own."""
+    schema = StructType([*pages.schema.fields, StructField("archive", StringType())])
+    cut = pages.mapInArrow(lambda it: _cut(it, archive_bytes), schema)
+    cut.select(record().alias("value"), "archive").write.option("lineSep", END).option("compression", "gzip").partitionBy("archive").text(path)
 
 
 def parse(archive: str, data: bytes) -> Iterator[tuple]:
@@ -105,12 +125,13 @@ def _parse_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     schema = kernel.arrow_schema(RECORDS)
     for batch in batches:
         for path, content in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
-            rows = list(parse(path.rsplit("/", 1)[-1], gzip.decompress(content.as_buffer())))
+            rows = list(parse(path.split("/archive=", 1)[-1].split("/", 1)[0], gzip.decompress(content.as_buffer())))
             yield from kernel.batches(schema, [{f.name: [r[i] for r in rows] for i, f in enumerate(schema)}])
+    kernel.release()
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path)
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").option("recursiveFileLookup", "true").load(path)
     return files.select("path", "content").mapInArrow(_parse_all, RECORDS)
 
 
@@ -171,14 +192,14 @@ def _merge(batches: Iterator[pa.RecordBatch], schema: pa.Schema) -> Iterator[pa.
     yield from ordered.append_column("nth", pa.array(range(len(order)), type=pa.int64())).combine_chunks().to_batches()
 
 
-def capture_histories(records: DataFrame, scratch: Scratch) -> DataFrame:
+def capture_histories(records: DataFrame, scratch: Scratch, range_rows: int = RANGE_ROWS) -> DataFrame:
     """Records with url_key, the archive run they come from, and their place in the whole ordered index (from 0)."""
     from pyspark.sql import Window
 
     keyed = records.withColumns({"url_key": url_key(F.col("url")), "page": F.coalesce("page_id", F.lit(-1)), "run": F.col("archive")})
     in_run = Window.partitionBy("run").orderBy("url_key", "captured", "page", "place")
     runs = scratch.keep(keyed.withColumn("number", F.row_number().over(in_run)), "runs")
-    ranges = runs.repartitionByRange("url_key", "captured", "page")
+    ranges = runs.repartitionByRange(max(1, -(-runs.count() // range_rows)), "url_key", "captured", "page", "run", "number")
     schema = pa.schema([*kernel.arrow_schema(RECORDS + ", url_key string, page long, run string"), pa.field("number", pa.int32())])
     ddl = RECORDS + ", url_key string, page long, run string, number int"
     merged = ranges.select(*schema.names).mapInArrow(lambda it: _merge(it, schema), ddl + ", nth long")
@@ -189,12 +210,12 @@ def capture_histories(records: DataFrame, scratch: Scratch) -> DataFrame:
     return kept.join(before, "range").withColumn("history_pos", F.col("before") + F.col("nth")).select(*kernel.arrow_schema(HISTORY).names)
 
 
-def archive_pages(pages: DataFrame, min_revisit_bytes: int = 0) -> DataFrame:
+def archive_pages(pages: DataFrame, min_revisit_bytes: int = 0, archive_bytes: int = ARCHIVE_BYTES, range_rows: int = RANGE_ROWS) -> DataFrame:
     """Write pages as archives, read them back, and return every record with its place in the merged index."""
     spark = pages.sparkSession
     scratch = Scratch(spark, "warc")
-    write_archives(with_types(pages, min_revisit_bytes), scratch.path("archives"))
-    return capture_histories(read_archives(spark, scratch.path("archives")), scratch)
+    write_archives(with_types(pages, min_revisit_bytes), scratch.path("archives"), archive_bytes)
+    return capture_histories(read_archives(spark, scratch.path("archives")), scratch, range_rows)
 
 
 ORACLE = r"""

@@ -25,7 +25,7 @@ from feedgraph.llm.quality_rules import quality_rules
 from feedgraph.llm.queries import QUERIES, word_tokenizer
 from feedgraph.llm.sharding import PrefixGrid, minimax_cuts, shard_by_bytes
 from feedgraph.llm.suffix_dedup import remove_repeats, suffix_dedup
-from feedgraph.llm.warc import archive_pages
+from feedgraph.llm.warc import archive_pages, read_archives, with_types, write_archives
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -402,6 +402,25 @@ def test_warc(spark):
     assert archive_pages(frame.limit(0)).count() == 0
 
 
+def test_archives_are_cut_by_bytes_and_one_url_fills_many_ranges(spark, tmp_path):
+    rng = random.Random(2)
+    pages = [(i, "http://one.example/" if i % 3 else f"http://h{i}.example/a", words(rng, 6000 if i == 17 else 20)) for i in range(200)]
+    frame = spark.createDataFrame(pages, "page_id long, url string, html string").repartition(4)
+    found = archive_pages(frame, archive_bytes=20_000, range_rows=15).collect()
+    ordered = sorted(found, key=lambda r: r.history_pos)
+    assert [r.history_pos for r in ordered] == list(range(200))
+    assert [(r.url_key, r.captured, r.page_id) for r in ordered] == sorted((r.url_key, r.captured, r.page_id) for r in found)
+    write_archives(with_types(frame), str(tmp_path / "a"), 20_000)
+    records = Counter(r.archive for r in read_archives(spark, str(tmp_path / "a")).collect())
+    sizes = Counter()
+    for r in found:
+        sizes[r.archive] += r.payload_bytes + 600
+    assert len(records) == len(sizes) > 6
+    largest = max(r.payload_bytes for r in found) + 600
+    assert all(n < 20_000 + largest for n in sizes.values())
+    assert sum(n < 20_000 + 2000 for n in sizes.values()) >= len(sizes) - 1
+
+
 def test_pipeline_keeps_clean_documents(spark, tmp_path):
     pipeline = pytest.importorskip("corpus_pipeline")
     rows = corpus()
