@@ -8,7 +8,7 @@ Learning reads labels of rows outside the held-out fold, at most ``max_rows`` of
 documented bound: 20,000 rows x 16 features reach the driver). Everything is scored.
 
 Defined results. Null text is an empty text and gets a score. Null labels are not learnt from; of repeated labels of a
-document the smallest counts. Repeated rows get one result row each. Without both label values to learn from, the
+document the smallest counts, of different texts with one doc_id that with the smallest features. Repeated rows get one result row each. Without both label values to learn from, the
 score is the mean label (0.5 if there is none). Extra columns are ignored; an empty table gives an empty result.
 """
 
@@ -50,8 +50,9 @@ def features(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     newline = data == 0x0A
     n_lines = count(newline) + 1
     breaks = np.flatnonzero(newline)
-    line_start = np.sort(np.concatenate((offsets[:-1], breaks + 1)))
-    line_owner = np.minimum(np.searchsorted(offsets, line_start, side="right") - 1, max(n - 1, 0))
+    line_start, line_owner = np.concatenate((offsets[:-1], breaks + 1)), np.concatenate((np.arange(n), np.searchsorted(offsets, breaks, side="right") - 1))
+    order = np.lexsort((line_start, line_owner))  # an empty last line starts where the next text does
+    line_start, line_owner = line_start[order], line_owner[order]
     line_end = np.minimum(np.concatenate((line_start[1:], [len(data)])), offsets[line_owner + 1]) if n else line_start
     _, line_later = occurrences(line_owner, kernel.span_hashes(data, line_start, line_end))
     marked = lambda mask: np.bincount(owner[mask], minlength=n)
@@ -176,7 +177,9 @@ def fit_quality(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000) -> A
     )
     learnt = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")  # at most max_rows small rows
     schema = "doc_id long, quality int, " + ", ".join(f"{f} double" for f in FEATURES)
-    rows = learnt.select("doc_id", "quality", "text").mapInArrow(_features, schema).toPandas().drop_duplicates().sort_values(["doc_id", *FEATURES])
+    rows = learnt.select("doc_id", "quality", "text").mapInArrow(_features, schema)
+    # One row a document before anything is collected, however often it is repeated.
+    rows = rows.groupBy("doc_id", "quality").agg(F.min(F.struct(*FEATURES)).alias("x")).select("doc_id", "quality", "x.*").toPandas().sort_values("doc_id")
     return AdditiveModel().fit(rows[list(FEATURES)].to_numpy(), (rows["quality"].to_numpy() > 0).astype(float))
 
 

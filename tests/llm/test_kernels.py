@@ -358,6 +358,40 @@ def test_token_ids_are_the_tokenizers():
         assert np.frombuffer(ids, dtype="<u4").tolist() == whole.encode(text, add_special_tokens=False).ids
 
 
+def naive_features(text):
+    raw = text.encode()
+    words = re.findall(rb"[^\x20\x09-\x0d]+", raw)
+    n, size = max(len(words), 1), max(len(raw), 1)
+    lines = raw.split(b"\n")
+    count = lambda chars: sum(raw.count(bytes([c])) for c in chars)
+    windows = Counter(tuple(words[i : i + 6]) for i in range(len(words) - 5))
+    inside = {i + j for i in range(len(words) - 5) if windows[tuple(words[i : i + 6])] > 1 for j in range(6)}
+    # Lines count with their line end, so the last one never equals an earlier one that has it.
+    ended = [x + b"\n" for x in lines[:-1]] + [lines[-1]]
+    return [
+        np.log1p(len(words)), sum(map(len, words)) / n, sum(0x41 <= b <= 0x5A for b in raw) / size, sum(0x30 <= b <= 0x39 for b in raw) / size, count(b".,;:?'\"()-") / n,
+        count(b"#*$%&<>@^~\\/_=+{}[]") / n, count(b"!") / n, count(b"|") / n, sum(b >= 0x80 for b in raw) / size, 1 - (len(words) - len(set(words))) / n, len(inside) / n,
+        (len(ended) - len(set(ended))) / len(lines), len(words) / len(lines), sum(len(w) <= 2 for w in words) / n, sum(len(w) >= 12 for w in words) / n, len(lines) / n,
+    ]
+
+
+@given(TEXTS)
+@settings(max_examples=150, deadline=None)
+def test_quality_features(texts):
+    assert np.allclose(quality_gam.features(*chunk(texts)), [naive_features(t) for t in texts])
+
+
+def test_additive_scores_are_sums_of_table_entries():
+    rng = np.random.default_rng(6)
+    x = np.round(rng.random((900, 5)), 2)
+    model = quality_gam.AdditiveModel().fit(x, (x[:, 0] + x[:, 1] * x[:, 2] > 0.8).astype(float), rounds=20)
+    assert model.pairs and any(t.any() for t in model.tables)
+    for row, score in zip(x[:100], model.scores(x[:100]), strict=True):
+        logit = model.base + sum(table[sum(e <= v for e in edges)] for v, edges, table in zip(row, model.edges, model.tables, strict=True))
+        logit += sum(grid[sum(e <= row[i] for e in model.coarse[i]), sum(e <= row[j] for e in model.coarse[j])] for (i, j), grid in zip(model.pairs, model.grids, strict=True))
+        assert np.isclose(score, 1 / (1 + np.exp(-logit)))
+
+
 def test_additive_model_learns_an_interaction():
     rng = np.random.default_rng(1)
     x = rng.random((4000, 4))
