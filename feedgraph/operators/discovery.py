@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from itertools import count
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -11,7 +12,7 @@ from feedgraph.operators import lifecycle
 from feedgraph.operators.authorship import author_flags
 from feedgraph.operators.normalize import discovered_rows
 from feedgraph.operators.upsert import upsert_channels
-from feedgraph.schemas import FIRST_PERSON, MIN_SUBSCRIBERS, PRONOUNS_NEEDED, READY
+from feedgraph.schemas import FIRST_PERSON, MIN_SUBSCRIBERS, PRONOUNS_NEEDED, READY, REJECTED
 from feedgraph.sources.store import shared_folder
 
 
@@ -42,11 +43,12 @@ def first_finds(found: DataFrame) -> DataFrame:
     return first.select("id", *[F.col(f"_row.{c}").alias(c) for c in ("claim_order", "pos", *rest)])
 
 
-def expand_round(
+def round_changes(
     channels: DataFrame, raw_channels: DataFrame, edges: DataFrame, messages: DataFrame, ids: DataFrame, now: Column,
     least: int = MIN_SUBSCRIBERS, lexicon: Sequence[str] = FIRST_PERSON, needed: int = PRONOUNS_NEEDED,
-) -> DataFrame:
-    """The channel table after the claimed ids (id, claim_order) have been expanded once.
+) -> tuple[DataFrame, DataFrame]:
+    """What one expansion of the claimed ids (id, claim_order) finds: rows of new channels, and the new states (id,
+    new_status) of the claimed ones.
 
     Cheap filters come first: the gate and the anti join cut the candidates before any message is read."""
     rejected = lifecycle.unresolved(ids, raw_channels)
@@ -56,19 +58,27 @@ def expand_round(
     found = first_finds(found.join(sources, "src_id"))
     flags = author_flags(found, messages.join(found.select(F.col("id").alias("channel_id")), "channel_id", "left_semi"), lexicon, needed)
     rows = discovered_rows(found.join(flags, "id"), F.col("is_author_blog")).withColumns({"created_at": now, "updated_at": now})
-    grown = upsert_channels(channels, rows)
-    ends = rejected.withColumn("new_status", F.lit("rejected")).union(sources.select("src_id", F.lit(READY)))
-    return lifecycle.transition(grown, ends, now)
+    return rows, rejected.withColumn("new_status", F.lit(REJECTED)).union(sources.select("src_id", F.lit(READY)))
+
+
+def expand_round(
+    channels: DataFrame, raw_channels: DataFrame, edges: DataFrame, messages: DataFrame, ids: DataFrame, now: Column,
+    least: int = MIN_SUBSCRIBERS, lexicon: Sequence[str] = FIRST_PERSON, needed: int = PRONOUNS_NEEDED,
+) -> DataFrame:
+    """The channel table after the claimed ids (id, claim_order) have been expanded once."""
+    rows, ends = round_changes(channels, raw_channels, edges, messages, ids, now, least, lexicon, needed)
+    return lifecycle.transition(upsert_channels(channels, rows), ends, now)
 
 
-def expand(seeds: DataFrame, edges: DataFrame, max_rounds: int) -> DataFrame:
-    """id, depth of all that seeds (id) reach along edges (src_id, id) in so many rounds.
+def expand(seeds: DataFrame, edges: DataFrame, max_rounds: int | None = None) -> DataFrame:
+    """id, depth of all that seeds (id) reach along edges (src_id, id), until a round finds nothing new (or, as a guard,
+    after so many rounds).
 
     Each round meets the whole visited set by an anti join, and is written before the next begins, which cuts lineage."""
     spark, folder = seeds.sparkSession, shared_folder(seeds.sparkSession, "expand")
     schema = "id long, depth int"
     seeds.select("id", F.lit(0).alias("depth")).distinct().write.parquet(f"{folder}/depth=0")
-    for depth in range(1, max_rounds + 1):
+    for depth in count(1) if max_rounds is None else range(1, max_rounds + 1):
         visited = spark.read.schema(schema).option("basePath", folder).parquet(folder)
         frontier = visited.where(F.col("depth") == depth - 1).select(F.col("id").alias("src_id"))
         reached = edges.join(frontier, "src_id", "left_semi").select("id").distinct()

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from feedgraph.functions.columns import has_text
 from feedgraph.schemas import DIMENSION
@@ -15,20 +19,33 @@ from feedgraph.schemas import DIMENSION
 Encoder = Callable[[Sequence[str]], np.ndarray]
 
 
-def hash_counts(texts: DataFrame, key: str, text: str, dimension: int = DIMENSION) -> DataFrame:
-    """key, bucket, n: how many of a text's words fall in each hash bucket. Counted where the text lies, then summed."""
-    words = texts.select(key, F.explode(F.split(F.lower(text), r"[^\p{L}\p{N}]+")).alias("word")).where("word <> ''")
-    bucket = (F.conv(F.substring(F.md5("word"), 1, 8), 16, 10).cast("long") % dimension).cast("int")
-    return words.groupBy(key, bucket.alias("bucket")).agg(F.count("*").alias("n"))
+def _hashed(batches: Iterator[pa.RecordBatch], dimension: int) -> Iterator[pa.RecordBatch]:
+    """Puts a vector of word counts by hash bucket, of length one, in the place of the words; null without words."""
+    for batch in batches:
+        words = batch.column("_words")
+        flat = words.flatten().dictionary_encode()
+        buckets = np.array([int(hashlib.md5(w.encode()).hexdigest()[:8], 16) % dimension if w else -1 for w in flat.dictionary.to_pylist()], dtype=np.int64)
+        row = np.repeat(np.arange(batch.num_rows), pc.fill_null(pc.list_value_length(words), 0).to_numpy())
+        bucket = buckets[flat.indices.to_numpy()] if len(row) else np.zeros(0, dtype=np.int64)
+        good = bucket >= 0
+        counts = np.bincount(row[good] * dimension + bucket[good], minlength=batch.num_rows * dimension).reshape(batch.num_rows, dimension).astype(np.float64)
+        norms = np.sqrt((counts * counts).sum(axis=1))
+        values = pa.array((counts / np.maximum(norms, 1)[:, None]).ravel())
+        vectors = pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1) * dimension, type=pa.int32()), values, mask=pa.array(norms == 0))
+        columns = {n: batch.column(n) for n in batch.schema.names if n != "_words"}
+        yield pa.RecordBatch.from_pydict(columns | {"vector": vectors})
+
+
+def with_hash_vectors(texts: DataFrame, text: str, dimension: int = DIMENSION) -> DataFrame:
+    """Adds vector (double), computed in the row: neither shuffle nor join. Null where a text has no words."""
+    words = F.split(F.lower(text), r"[^\p{L}\p{N}]+")
+    schema = StructType([*texts.schema.fields, StructField("vector", ArrayType(DoubleType()))])
+    return texts.withColumn("_words", words).mapInArrow(lambda it: _hashed(it, dimension), schema)
 
 
 def hash_vectors(texts: DataFrame, key: str, text: str, dimension: int = DIMENSION) -> DataFrame:
-    """key, vector (double) of every text that has words: L2-normalised bucket counts. key must be unique."""
-    counts = hash_counts(texts, key, text, dimension).groupBy(key).agg(
-        F.map_from_entries(F.collect_list(F.struct("bucket", "n"))).alias("counts"), F.sqrt(F.sum(F.col("n") * F.col("n")).cast("double")).alias("norm")
-    )
-    dense = F.transform(F.sequence(F.lit(0), F.lit(dimension - 1)), lambda b: F.coalesce(F.element_at("counts", b), F.lit(0)) / F.col("norm"))
-    return counts.select(key, dense.alias("vector"))
+    """key, vector (double) of every text that has words: L2-normalised bucket counts."""
+    return with_hash_vectors(texts.select(key, text), text, dimension).select(key, "vector").where("vector is not null")
 
 
 def encode(texts: DataFrame, encoder: Callable[[], Encoder], dimension: int, text: str = "text") -> DataFrame:
@@ -66,9 +83,8 @@ def vector_points(posts: DataFrame) -> DataFrame:
 
 
 def embed_posts(posts: DataFrame, dimension: int = DIMENSION) -> DataFrame:
-    """Points of all posts (unique post_id) with text, each encoded once: post_id, vector, channel_id, text. A text
+    """Points of all posts with text, each encoded once: post_id, vector, channel_id, text. A text
     without words has a zero vector."""
-    kept = embeddable(posts)
-    vectors = hash_vectors(kept, "post_id", "content", dimension)
-    vector = F.coalesce(F.col("vector"), F.array_repeat(F.lit(0.0), dimension)).cast("array<float>")
-    return kept.join(vectors, "post_id", "left").select("post_id", vector.alias("vector"), "channel_id", F.col("content").alias("text"))
+    kept = with_hash_vectors(embeddable(posts).select("post_id", "channel_id", "content"), "content", dimension)
+    vector = F.coalesce("vector", F.array_repeat(F.lit(0.0), dimension)).cast("array<float>")
+    return kept.select("post_id", vector.alias("vector"), "channel_id", F.col("content").alias("text"))

@@ -19,11 +19,12 @@ def rows_by_keys(rows: DataFrame, wanted: DataFrame, keys: Sequence[str]) -> Dat
     return rows.join(wanted.select(*keys).distinct(), list(keys), "left_semi")
 
 
-def claim(channels: DataFrame, n: int, seed: str, eligible: Column | None = None) -> DataFrame:
-    """The ids of n eligible channels in a seeded random order (claim_order from 1); pending ones by default."""
+def claim(channels: DataFrame, n: int | None, seed: str, eligible: Column | None = None) -> DataFrame:
+    """The ids of n eligible channels (all, if None) in a seeded random order (claim_order); pending ones by default."""
     chosen = channels.where(F.col("status") == PENDING if eligible is None else eligible)
     draw = F.md5(F.concat(F.lit(f"{seed}-"), F.col("id").cast("string")))
-    top = chosen.select("id", draw.alias("draw")).orderBy("draw", "id").limit(n)
+    drawn = chosen.select("id", draw.alias("draw"))
+    top = drawn if n is None else drawn.orderBy("draw", "id").limit(n)
     return top.select("id", F.struct("draw", "id").alias("claim_order"))
 
 

@@ -27,11 +27,11 @@ def real_messages(raw: DataFrame) -> DataFrame:
     return raw.where("kind = 'message' and id is not null and date is not null")
 
 
-def post_rows(raw: DataFrame) -> DataFrame:
-    """One row per message; content may be null and is kept."""
+def post_rows(raw: DataFrame, *more: str) -> DataFrame:
+    """One row per message, with more of its columns; content may be null and is kept."""
     return raw.select(
         "channel_id", F.col("id").alias("message_id"), F.col("message").alias("content"), as_utc(F.col("date")).alias("published_at"), "views",
-        comments_count(F.col("replies")).alias("comments_count"), F.col("forwards").alias("shares_count"), reactions_total(F.col("reactions")).alias("reactions_count"),
+        comments_count(F.col("replies")).alias("comments_count"), F.col("forwards").alias("shares_count"), reactions_total(F.col("reactions")).alias("reactions_count"), *more,
     )
 
 

@@ -12,53 +12,55 @@ from pyspark.sql import functions as F
 HITS = "query_id long, post_id long, score double"
 
 
-def _best(batches: Iterator[pa.RecordBatch], ids: np.ndarray, queries: np.ndarray, k: int) -> Iterator[pa.RecordBatch]:
-    """The k best points of a task for each query, kept as a running top list."""
-    score = np.full((len(ids), 0), 0.0)
-    post = np.zeros((len(ids), 0), dtype=np.int64)
+def _packed(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    """Blocks of unit vectors as one row each: ids and matrix. Zero vectors are left out."""
     for batch in batches:
-        vectors = batch.column("vector").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, -1)
-        norms = np.linalg.norm(vectors, axis=1)
-        good = norms > 0
-        here = queries @ (vectors[good] / norms[good, None]).T
-        score = np.concatenate((score, here), axis=1)
-        post = np.concatenate((post, np.broadcast_to(batch.column("post_id").to_numpy()[good], here.shape)), axis=1)
-        order = np.lexsort((post, -score), axis=1)[:, :k]
-        score, post = np.take_along_axis(score, order, axis=1), np.take_along_axis(post, order, axis=1)
-    n = score.shape[1]
-    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, n)), pa.array(post.ravel()), pa.array(score.ravel())], names=["query_id", "post_id", "score"])
+        for at in range(0, batch.num_rows, rows):
+            own = batch.slice(at, rows)
+            vectors = own.column("vector").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(own.num_rows, -1)
+            norms = np.linalg.norm(vectors, axis=1)
+            good = norms > 0
+            ids = own.column("id").to_numpy()[good]
+            if len(ids):
+                matrix = vectors[good] / norms[good, None]
+                yield pa.RecordBatch.from_arrays([pa.array([ids.tobytes()], type=pa.binary()), pa.array([matrix.tobytes()], type=pa.binary())], names=["ids", "matrix"])
 
 
-def cosine_topk(points: DataFrame, queries: DataFrame, k: int, channel_id: int | None = None, block: int = 1024) -> DataFrame:
+def blocks(vectors: DataFrame, rows: int, prefix: str) -> DataFrame:
+    """Vectors (id, vector) by blocks of so many rows, as they lie: nothing is shuffled."""
+    packed = vectors.where("id is not null and vector is not null").mapInArrow(lambda it: _packed(it, rows), "ids binary, matrix binary")
+    return packed.select(F.col("ids").alias(f"{prefix}_ids"), F.col("matrix").alias(f"{prefix}_matrix"))
+
+
+def _best(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+    """Of each pair of a block of queries and one of points: the k best points of each query."""
+    for batch in batches:
+        for row in range(batch.num_rows):
+            queries, points = (np.frombuffer(batch.column(f"{c}_ids")[row].as_buffer(), dtype=np.int64) for c in "qp")
+            left, right = (np.frombuffer(batch.column(f"{c}_matrix")[row].as_buffer(), dtype=np.float64).reshape(len(ids), -1) for c, ids in (("q", queries), ("p", points)))
+            score = left @ right.T
+            if len(points) > k:  # the k-th best score, then ties at it by the smaller id
+                least = np.partition(score, len(points) - k, axis=1)[:, len(points) - k]
+                q, p = np.nonzero(score >= least[:, None])
+            else:
+                q, p = np.divmod(np.arange(score.size), len(points))
+            order = np.lexsort((points[p], -score[q, p], q))
+            q, p = q[order], p[order]
+            keep = np.arange(len(q)) - np.searchsorted(q, q) < k
+            q, p = q[keep], p[keep]
+            yield pa.RecordBatch.from_arrays([pa.array(queries[q]), pa.array(points[p]), pa.array(score[q, p])], names=["query_id", "post_id", "score"])
+
+
+def cosine_topk(points: DataFrame, queries: DataFrame, k: int, channel_id: int | None = None, block: int = 1024, point_block: int = 8192) -> DataFrame:
     """query_id, post_id, score, rank of the k most similar points (post_id, vector, channel_id) of each query
     (query_id, vector). Zero vectors are never ranked.
 
-    Queries pass in blocks of bounded size against all points; a task returns its own k best for each, so what is
-    shuffled is tasks x queries x k rows. A channel filter is applied at the scan."""
+    Queries and points are packed into blocks where they lie, and every block of queries meets every block of points:
+    a matrix product each, of which k points a query are left. Blocks are bounded rows, none passes through the driver,
+    and Spark broadcasts one side only if its size allows. A channel filter is applied at the scan."""
     chosen = points if channel_id is None else points.where(F.col("channel_id") == channel_id)
-    chosen = chosen.where("post_id is not null and vector is not null").select("post_id", "vector")
-    parts, ids, rows = [], [], []
-
-    def flush() -> None:
-        matrix = np.array(rows, dtype=np.float64)
-        norms = np.linalg.norm(matrix, axis=1)
-        own = np.array(ids, dtype=np.int64)[norms > 0]
-        unit = matrix[norms > 0] / norms[norms > 0, None]
-        parts.append(chosen.mapInArrow(lambda it: _best(it, own, unit, k), HITS))
-        ids.clear()
-        rows.clear()
-
-    for row in queries.select("query_id", "vector").where("vector is not null").toLocalIterator():
-        ids.append(row["query_id"])
-        rows.append(row["vector"])
-        if len(ids) == block:
-            flush()
-    if ids:
-        flush()
-    if not parts:
-        return chosen.sparkSession.createDataFrame([], HITS + ", rank int")
-    hits = parts[0]
-    for more in parts[1:]:
-        hits = hits.union(more)
+    asked = blocks(queries.select(F.col("query_id").alias("id"), "vector"), block, "q")
+    met = blocks(chosen.select(F.col("post_id").alias("id"), "vector"), point_block, "p").crossJoin(asked)
+    hits = met.mapInArrow(lambda it: _best(it, k), HITS)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "post_id"))
     return hits.withColumn("rank", rank).where(F.col("rank") <= k)

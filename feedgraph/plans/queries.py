@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from feedgraph.functions import columns as C
 from feedgraph.operators import authorship, constraints, discovery, embed, lifecycle, metrics, normalize, search, topk, upsert
 from feedgraph.plans import bindings as B
-from feedgraph.schemas import MAX_LENGTHS
+from feedgraph.schemas import CHANNELS, MAX_LENGTHS, POST_VECTORS
 from feedgraph.sources import bronze, refs
 from feedgraph.sources.store import Store, shared_folder
 from feedgraph.streaming import jobs
@@ -51,9 +51,9 @@ def clock(text: str = B.LATER) -> F.Column:
 
 
 def written_refs(spark: SparkSession, sf_dir: str) -> str:
-    """The bound references as one text file, a line each in order."""
+    """The bound references as text files, a line each in order."""
     path = shared_folder(spark, "refs")
-    B.refs(spark, sf_dir).repartition(1).sortWithinPartitions("line").select("value").write.text(path)
+    B.refs(spark, sf_dir).repartitionByRange(8, "line").sortWithinPartitions("line").select("value").write.text(path)
     return path
 
 
@@ -229,16 +229,16 @@ def new_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return discovery.new_candidates(found, B.parts(spark, sf_dir).where("id % 3 = 0")).select("src_id", "id", "username", "title")
 
 
-@query(f"select id, title, status from ({CHANNEL}) where id in (select o_custkey from orders where o_orderkey % 50 = 0)")
+@query(f"select id, title, status from ({CHANNEL}) where id in (select o_custkey from orders)")
 def channels_by_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    wanted = B.load(spark, sf_dir, "orders").where("o_orderkey % 50 = 0").select(F.col("o_custkey").alias("id"))
+    wanted = B.load(spark, sf_dir, "orders").select(F.col("o_custkey").alias("id"))
     return lifecycle.rows_by_keys(B.channels(spark, sf_dir), wanted, ["id"]).select("id", "title", "status")
 
 
-@query(f"select channel_id, message_id, views from ({POST_ROWS}) where (channel_id, message_id) in (select user_id, event_id from events where event_id % 7 = 0)")
+@query(f"select channel_id, message_id, views from ({POST_ROWS}) where (channel_id, message_id) in (select user_id, event_id from events)")
 def posts_by_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     posts = normalize.post_rows(normalize.real_messages(B.event_messages(spark, sf_dir)))
-    wanted = B.load(spark, sf_dir, "events").where("event_id % 7 = 0").select(F.col("user_id").alias("channel_id"), F.col("event_id").alias("message_id"))
+    wanted = B.load(spark, sf_dir, "events").select(F.col("user_id").alias("channel_id"), F.col("event_id").alias("message_id"))
     return lifecycle.rows_by_keys(posts, wanted, ["channel_id", "message_id"]).select("channel_id", "message_id", "views")
 
 
@@ -286,6 +286,14 @@ def embed_batch_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- upserts -------------------------------------------------------------------------------------------------------
 
 
+def stored(spark: SparkSession, name: str, schema: str, keys: list[str], put: Callable[[DataFrame, DataFrame], DataFrame], *batches: DataFrame) -> DataFrame:
+    """The table after the batches have been merged into it one by one."""
+    table = Store(spark, f"{shared_folder(spark, name)}/table", schema, keys, 8).create()
+    for batch in batches:
+        table.merge(batch, put)
+    return table.read().drop("bucket")
+
+
 def parsed_again(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Known channels, and fresh rows without status and flag, of which some are new."""
     fresh = normalize.channel_rows(normalize.channel_entities(B.raw_channels(spark, sf_dir))).where("id % 2 = 0").withColumn("updated_at", clock())
@@ -304,7 +312,7 @@ from ({base}) b full outer join (select * from ({CHANNEL_ROWS}) where id % 2 = 0
 
 @query(channel_upsert_sql("case when i.id is not null then 'pending' else b.status end", "case when i.id is null then b.is_author_blog end"))
 def channel_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shown(upsert.upsert_channels(*parsed_again(spark, sf_dir)))
+    return shown(stored(spark, "channels", CHANNELS, ["id"], upsert.upsert_channels, *parsed_again(spark, sf_dir)))
 
 
 @query(channel_upsert_sql("case when b.id is not null then b.status else 'pending' end", "case when b.id is not null then b.is_author_blog end"))
@@ -351,7 +359,7 @@ def vector_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = points.where("post_id % 8 not in (3, 4)")
     doubled = F.transform("vector", lambda v: (v * 2).cast("float"))
     incoming = points.where("post_id % 4 = 0").withColumns({"vector": doubled, "channel_id": F.lit(-1).cast("long"), "text": F.lit("again")})
-    merged = upsert.upsert_vectors(base, incoming)
+    merged = stored(spark, "vectors", POST_VECTORS, ["post_id"], upsert.upsert_vectors, base, incoming)
     return merged.select("post_id", "text", "channel_id", F.round(F.element_at("vector", 1).cast("double"), 5).alias("first"))
 
 
@@ -442,8 +450,15 @@ def unresolved_rejected(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rejected.join(ids.select("id"), "id", "left_semi").where("status = 'rejected'").select("id")
 
 
-@query(f"""
-with part_channels as ({B.sql(B.PART, 'part')}), claimed as ({CLAIMED}), unresolved as ({UNRESOLVED}),
+def known_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return B.parts(spark, sf_dir).where("id % 3 = 0").select("id", "username", "title", "description", "subscribers_count", "avatar_url", "status", "is_author_blog", "created_at", "updated_at")
+
+
+def expansion_sql(claimed: str) -> str:
+    """The known part channels after an expansion of the claimed ones, and what it finds."""
+    unresolved = f"select id from ({claimed}) where id % 23 = 0 or id not in (select id from ({B.sql(B.PART, 'part')}) where broadcast)"
+    return f"""
+with part_channels as ({B.sql(B.PART, 'part')}), claimed as ({claimed}), unresolved as ({unresolved}),
 sources as (select * from claimed where id not in (select id from unresolved)),
 found as (
   select e.id, e.title, p.subscribers_count, row_number() over (partition by e.id order by s.o, e.id) as n
@@ -454,9 +469,12 @@ select id, title, case when id in (select id from unresolved) then 'rejected' wh
 from part_channels where id % 3 = 0
 union all
 select f.id, f.title, 'pending', coalesce(a.is_author_blog, false) from found f left join authors a on a.id = f.id where n = 1
-""")
+"""
+
+
+@query(expansion_sql(CLAIMED))
 def expand_round(spark: SparkSession, sf_dir: str) -> DataFrame:
-    channels = B.parts(spark, sf_dir).where("id % 3 = 0").select("id", "username", "title", "description", "subscribers_count", "avatar_url", "status", "is_author_blog", "created_at", "updated_at")
+    channels = known_parts(spark, sf_dir)
     ids = lifecycle.claim(channels, 200, SEED)
     grown = discovery.expand_round(channels, B.raw_parts(spark, sf_dir), B.edges(spark, sf_dir), B.document_messages(spark, sf_dir), ids, clock(), B.MIN_PRICE, B.LEXICON, B.WORDS_NEEDED)
     return grown.select("id", "title", "status", "is_author_blog")
@@ -464,16 +482,17 @@ def expand_round(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""
 with recursive links as (select src_id, id from ({CANDIDATES})),
-walk as (select p_partkey as id, 0 as depth from part where p_partkey <= 10
-         union select l.id, w.depth + 1 from walk w join links l on l.src_id = w.id where w.depth < 3)
+seeds as (select id from ({B.sql(B.PART, 'part')}) where status = 'pending' and username is null),
+walk as (select id, 0 as depth from seeds
+         union select l.id, w.depth + 1 from walk w join links l on l.src_id = w.id where w.depth < 60)
 select id, min(depth) as depth from walk group by id
 """)
 def expand_bfs(spark: SparkSession, sf_dir: str) -> DataFrame:
     links = discovery.candidates(B.edges(spark, sf_dir)).select("src_id", "id")
     path = shared_folder(spark, "links")
     links.write.parquet(path)
-    seeds = B.parts(spark, sf_dir).where("id <= 10").select("id")
-    return discovery.expand(seeds, spark.read.schema(links.schema).parquet(path), 3)
+    seeds = B.parts(spark, sf_dir).where("status = 'pending' and username is null").select("id")
+    return discovery.expand(seeds, spark.read.schema(links.schema).parquet(path))
 
 
 # --- embedding and search ------------------------------------------------------------------------------------------
@@ -554,26 +573,45 @@ def cosine_topk_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- streaming -----------------------------------------------------------------------------------------------------
 
 
-@query(f"select channel_id, message_id, content, published_at, views, reactions_count, created_at, updated_at from (select *, {NOW} as created_at, {NOW} as updated_at from ({POST_ROWS}))")
-def stream_post_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Messages arrive in files, the first part of them twice; the final state is that of one batch."""
+def ingested(spark: SparkSession, sf_dir: str, embed: bool) -> tuple[Store, Store | None]:
+    """Posts and vectors after messages have arrived in files, some of them twice; the final state is that of one batch."""
     landed, home = shared_folder(spark, "landed"), shared_folder(spark, "posts")
     messages = B.event_messages(spark, sf_dir)
     for part in ("id % 2 = 0", "id % 2 = 1", "id % 10 = 0"):
         messages.where(part).write.mode("append").parquet(landed)
     posts = Store(spark, f"{home}/posts", jobs.POSTS_WITH_SEQ, ["channel_id", "message_id"], 8).create()
-    started = jobs.start_ingest(bronze.stream_raw(spark, "raw_messages", landed), posts, None, f"{home}/checkpoint", B.NOW, DIMENSION)
-    started.awaitTermination()
+    vectors = Store(spark, f"{home}/vectors", POST_VECTORS, ["post_id"], 8).create() if embed else None
+    jobs.start_ingest(bronze.stream_raw(spark, "raw_messages", landed), posts, vectors, f"{home}/checkpoint", B.NOW, DIMENSION).awaitTermination()
+    return posts, vectors
+
+
+@query(f"select channel_id, message_id, content, published_at, views, reactions_count, created_at, updated_at from (select *, {NOW} as created_at, {NOW} as updated_at from ({POST_ROWS}))")
+def stream_post_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    posts, _ = ingested(spark, sf_dir, False)
     return shown(posts.read()).select("channel_id", "message_id", "content", "published_at", "views", "reactions_count", "created_at", "updated_at")
 
 
-@query(f"select id, min(src_id) as src_id from ({CANDIDATES}) c where (select subscribers_count from ({B.sql(B.PART, 'part')}) p where p.id = c.id) >= {B.MIN_PRICE} group by id")
-def stream_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
-    landed, home = shared_folder(spark, "edges"), shared_folder(spark, "visited")
-    B.edges(spark, sf_dir).write.parquet(landed)
-    gate = discovery.subscriber_gate(B.parts(spark, sf_dir), B.MIN_PRICE).select("id")
-    visited = Store(spark, f"{home}/visited", "id long, src_id long, pos int", ["id"], 8).create()
-    jobs.start_expansion(bronze.stream_raw(spark, "recommendations", landed), visited, f"{home}/checkpoint", gate).awaitTermination()
-    return visited.read().select("id", "src_id")
+@query(f"""
+select channel_id, message_id, bucket, round((n / sqrt(sum(n * n) over (partition by message_id)))::float::double, 5) as weight, content as text from (
+  select channel_id, message_id, content, (('0x' || substr(md5(word), 1, 8))::bigint % {DIMENSION})::int as bucket, count(*) as n
+  from (select channel_id, message_id, content, unnest(regexp_split_to_array(lower(content), '{WORDS}')) as word from ({POST_ROWS}) where trim(content) <> '') where word <> '' group by all)
+""")
+def stream_post_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The embedding leg of the ingest: the points of posts with text."""
+    posts, vectors = ingested(spark, sf_dir, True)
+    keys = posts.read().select(F.col("id").alias("post_id"), "message_id")
+    rows = vectors.read().join(keys, "post_id").select("channel_id", "message_id", F.posexplode("vector").alias("bucket", "weight"), "text").where("weight <> 0")
+    return rows.withColumn("weight", F.round(F.col("weight").cast("double"), 5))
 
 
+@query(expansion_sql(f"select id, row_number() over (order by md5('{SEED}-' || id), id) as o from ({B.sql(B.PART, 'part')}) where id % 3 = 0 and status = 'pending' and id in (select src_id from ({B.EDGE_SQL}))"))
+def stream_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recommendations arrive in files and expand the pending channels that they come from."""
+    landed, home = shared_folder(spark, "edges"), shared_folder(spark, "grown")
+    B.edges(spark, sf_dir).write.parquet(landed)
+    channels = Store(spark, f"{home}/channels", CHANNELS, ["id"], 8).create()
+    channels.merge(known_parts(spark, sf_dir), upsert.upsert_channels)
+    feed = bronze.stream_raw(spark, "recommendations", landed)
+    raw, messages = B.raw_parts(spark, sf_dir), B.document_messages(spark, sf_dir)
+    jobs.start_expansion(feed, channels, raw, messages, f"{home}/checkpoint", B.LATER, SEED, B.MIN_PRICE, B.LEXICON, B.WORDS_NEEDED).awaitTermination()
+    return channels.read().select("id", "title", "status", "is_author_blog")

@@ -3,22 +3,27 @@
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from feedgraph.functions.columns import canonical_ref, stripped
 
 
 def read_refs(spark: SparkSession, path: str) -> DataFrame:
-    """line, value of a reference list; a missing file is an empty list."""
+    """line (from 0), value of a reference list, in order; a missing file is an empty list. Files of any size are read in splits:
+    lines are numbered within a split, and splits, in the order of files and bytes, by the lines before them."""
     try:
-        whole = spark.read.text(path, wholetext=True)
+        read = spark.read.text(path)
     except AnalysisException as error:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise
         return spark.createDataFrame([], "line long, value string")
-    lines = whole.select(F.posexplode(F.split("value", "\r\n|\r|\n")).alias("line", "value"))
-    return lines.select(F.col("line").cast("long").alias("line"), "value")
+    split = ["file", "start"]
+    rows = read.select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("id"))
+    splits = rows.groupBy(*split).agg(F.count("*").alias("n"), F.min("id").alias("first"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy(*split).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # one row a split
+    placed = rows.join(splits.select(*split, "first", before.alias("before")), split)
+    return placed.select((F.col("before") + F.col("id") - F.col("first")).alias("line"), "value").orderBy("line")
 
 
 def channel_refs(spark: SparkSession, inline: str | None, path: str) -> DataFrame:

@@ -1,7 +1,8 @@
 """Tables stored as Parquet, partitioned by a bucket of their key.
 
 An upsert reads and rewrites the touched buckets only. The new state of a bucket is written beside the old one first
-and then put in place by dynamic partition overwrite, so a failed merge leaves the table as it was.
+and then put in place by dynamic partition overwrite: a merge that fails before that leaves the table as it was, and
+one that fails while its files are moved is made good by merging the same rows again, as an upsert may run twice.
 """
 
 from __future__ import annotations
@@ -55,16 +56,19 @@ class Store:
         return self.spark.read.schema(whole).parquet(self.path)
 
     def merge(self, incoming: DataFrame, upsert: Callable[[DataFrame, DataFrame], DataFrame]) -> None:
-        """Put incoming rows in. The list of touched buckets is bounded by their number."""
-        incoming = incoming.withColumn("bucket", self.bucket())
-        touched = sorted(r["bucket"] for r in incoming.select("bucket").distinct().collect())
-        if not touched:
-            return
-        base = self.read().where(F.col("bucket").isin(touched)).drop("bucket")
-        merged = upsert(base, incoming.drop("bucket")).select(*self.schema.names).withColumn("bucket", self.bucket())
+        """Put incoming rows in. The list of touched buckets is bounded by their number; incoming is computed once."""
         beside = f"{self.path}.merge-{uuid.uuid4().hex}"
-        merged.repartition("bucket").write.partitionBy("bucket").parquet(beside)
-        ready = self.spark.read.schema(self.read().schema).parquet(beside)
-        ready.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(self.path)
-        old = self.spark._jvm.org.apache.hadoop.fs.Path(beside)
-        old.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(old, True)
+        try:
+            incoming.withColumn("bucket", self.bucket()).write.parquet(f"{beside}/in")
+            whole = T.StructType([*incoming.schema.fields, T.StructField("bucket", T.IntegerType())])
+            incoming = self.spark.read.schema(whole).parquet(f"{beside}/in")
+            touched = sorted(r["bucket"] for r in incoming.select("bucket").distinct().collect())
+            if touched:
+                base = self.read().where(F.col("bucket").isin(touched)).drop("bucket")
+                merged = upsert(base, incoming.drop("bucket")).select(*[F.col(f.name).cast(f.dataType) for f in self.schema.fields])
+                merged.withColumn("bucket", self.bucket()).repartition("bucket").write.partitionBy("bucket").parquet(f"{beside}/out")
+                ready = self.spark.read.schema(self.read().schema).parquet(f"{beside}/out")
+                ready.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(self.path)
+        finally:
+            old = self.spark._jvm.org.apache.hadoop.fs.Path(beside)
+            old.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(old, True)

@@ -5,16 +5,19 @@ after a failure changes nothing; no watermark is needed, as late rows lose by nu
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from feedgraph.functions.columns import post_key
-from feedgraph.operators import discovery
+from feedgraph.operators import discovery, lifecycle
 from feedgraph.operators.embed import embed_posts
 from feedgraph.operators.normalize import post_rows, real_messages
-from feedgraph.operators.upsert import last_arrival, upsert_posts, upsert_vectors
-from feedgraph.sources.store import Store
+from feedgraph.operators.upsert import last_arrival, upsert_channels, upsert_posts, upsert_vectors
+from feedgraph.schemas import FIRST_PERSON, MIN_SUBSCRIBERS, PRONOUNS_NEEDED
+from feedgraph.sources.store import Store, shared_folder
 
 POSTS_WITH_SEQ = (
     "id long, channel_id long, message_id long, content string, published_at timestamp, views int, comments_count int, shares_count int, reactions_count int, "
@@ -26,11 +29,13 @@ def ingest_batch(messages: DataFrame, posts: Store, vectors: Store | None, now:
     """Put one batch of raw messages into the posts, and points of those with text into the vectors."""
     raw = last_arrival(real_messages(messages), ["channel_id", "id"])
     clock = F.lit(now).cast("timestamp")
-    rows = post_rows(raw.select("*")).join(raw.select("channel_id", F.col("id").alias("message_id"), "seq"), ["channel_id", "message_id"])
-    rows = rows.select(post_key(F.col("channel_id"), F.col("message_id")).alias("id"), "*", clock.alias("created_at"), clock.alias("updated_at"))
+    rows = post_rows(raw, "seq").select(post_key(F.col("channel_id"), F.col("message_id")).alias("id"), "*", clock.alias("created_at"), clock.alias("updated_at"))
     rows = rows.select(*posts.schema.names)
     posts.merge(rows, lambda base, new: upsert_posts(base, new, newer_by="seq"))
     if vectors is not None:
+        # Of a replayed batch only rows that are still the posts' latest are embedded.
+        latest = posts.read().select("channel_id", "message_id", F.col("id").alias("key"), F.col("seq").alias("latest"))
+        rows = rows.join(latest, ["channel_id", "message_id"]).where("seq = latest").withColumn("id", F.col("key"))
         vectors.merge(embed_posts(rows.withColumnRenamed("id", "post_id"), dimension), upsert_vectors)
 
 
@@ -44,18 +49,31 @@ def start_ingest(messages: DataFrame, posts: Store, vectors: Store | None, check
     return (writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="30 seconds")).start()
 
 
-def start_expansion(edges: DataFrame, visited: Store, checkpoint: str, gate: DataFrame, available_now: bool = True) -> StreamingQuery:
-    """Newly arrived edges (src_id, pos, cand) make known what passes the gate (id); visited has id and its first find."""
+def expand_batch(
+    edges: DataFrame, channels: Store, raw_channels: DataFrame, messages: DataFrame, now: str, seed: str, least: int = MIN_SUBSCRIBERS,
+    lexicon: Sequence[str] = FIRST_PERSON, needed: int = PRONOUNS_NEEDED,
+) -> None:
+    """Expand the pending channels whose recommendations have come: claim them, reject what cannot be resolved, filter
+    and judge what the others recommend, save what is new, and only then set the claimed ones ready."""
+    clock, known = F.lit(now).cast("timestamp"), channels.read().drop("bucket")
+    ids = lifecycle.claim(known.join(edges.select(F.col("src_id").alias("id")).distinct(), "id", "left_semi"), None, seed)
+    rows, ends = discovery.round_changes(known, raw_channels, edges, messages, ids, clock, least, lexicon, needed)
+    folder = shared_folder(channels.spark, "expansion")
+    ends.write.parquet(folder)  # before the table changes that they are read from
+    channels.merge(rows, upsert_channels)
+    channels.merge(channels.spark.read.schema(ends.schema).parquet(folder), lambda base, new: lifecycle.transition(base, new, clock))
+
+
+def start_expansion(
+    edges: DataFrame, channels: Store, raw_channels: DataFrame, messages: DataFrame, checkpoint: str, now: str, seed: str, least: int = MIN_SUBSCRIBERS,
+    lexicon: Sequence[str] = FIRST_PERSON, needed: int = PRONOUNS_NEEDED, available_now: bool = True,
+) -> StreamingQuery:
+    """Newly arrived edges (src_id, pos, cand) expand the channels that they come from."""
 
     def run(batch: DataFrame, _: int) -> None:
-        found = discovery.candidates(batch).join(gate, "id", "left_semi")
-        first = found.groupBy("id").agg(F.min(F.struct("src_id", "pos")).alias("at")).select("id", "at.src_id", "at.pos")
-        visited.merge(first, _keep_first)
+        kept = batch.persist()
+        expand_batch(kept, channels, raw_channels, messages, now, seed, least, lexicon, needed)
+        kept.unpersist()
 
     writer = edges.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="30 seconds")).start()
-
-
-def _keep_first(base: DataFrame, new: DataFrame) -> DataFrame:
-    both = base.union(new.select(*base.columns))
-    return both.groupBy("id").agg(F.min(F.struct("src_id", "pos")).alias("at")).select("id", "at.src_id", "at.pos")
