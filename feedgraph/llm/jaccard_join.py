@@ -15,8 +15,9 @@ difference, so a rejected pair surely is no link. What passes is verified on the
 
 A family of thousands of near copies must not yield all its pairs. In a first round every document is tied to two at
 most of those that come first in its buckets; the verified links are united. A second round takes all pairs of small
-buckets that are still apart, and of each large one a spanning forest of pairs that pass. A third round takes every
-passing pair of large buckets that is apart even then, by pairs of blocks, so no link between different groups is lost.
+buckets, and all ties to first members of large ones, that are still apart. A third one takes a spanning forest of
+passing pairs of each large bucket that still holds several groups, and the last one every passing pair across the
+groups of such a bucket, by pairs of blocks, so no link between different groups is lost.
 
 Defined results. Null and wordless texts have an empty set and link with nothing. Rows without doc_id link with
 nothing; rows that share a doc_id are one document for links. Repeated rows get one result row each. Extra columns,
@@ -361,17 +362,15 @@ def jaccard_join(docs: DataFrame, words: int = WORDS) -> DataFrame:
     stars = stars.select("b", F.explode(F.array_distinct(F.array("low", "high"))).alias("s")).select("s.a", "b", "s.band")
     tried = [scratch.keep(passing(stars, usable), "tried-0")]
     links = scratch.keep(verify(tried[0], texts_of(texts, tried[0], scratch, "texts-0"), words), "links-0")
-    for k, forest in ((1, True), (2, False)):
+    for k, forest in ((1, None), (2, True), (3, False)):
         names = scratch.keep(grouped(names, components(links, scratch, f"united-{k}")), f"names-{k}")
-        found = propose(members, names, usable, forest)
-        if forest:
-            found = found.union(passing(named(pairs.drop("star"), names), usable)).distinct()
+        found = passing(named(pairs.drop("star"), names), usable) if forest is None else propose(members, names, usable, forest)
         for before in tried:
             found = found.join(before, ["a", "b"], "left_anti")
         tried.append(scratch.keep(found, f"tried-{k}"))
         links = scratch.keep(links.union(verify(tried[k], texts_of(texts, tried[k], scratch, f"texts-{k}"), words)), f"links-{k}")
         scratch.drop(f"texts-{k - 1}", f"texts-{k}", f"links-{k - 1}", "pairs")
-    scratch.drop("buckets", "names-1", "names-2", "tried-0", "tried-1", "tried-2")
+    scratch.drop("buckets", *[f"{t}-{k}" for t in ("names", "tried") for k in range(4)])
     groups = components(links, scratch, "groups")
     degree = links.select(F.explode(F.array("a", "b")).alias("first")).groupBy("first").agg(F.count("*").alias("n_verified"))
     classes = sets.join(groups.withColumnRenamed("node", "first"), "first", "left").join(degree, "first", "left")
