@@ -19,6 +19,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from feedgraph.llm.scratch import Scratch
+
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>"
 
 
@@ -55,7 +57,7 @@ def rendered(role: Column, text: Column) -> Column:
 
 def chat_format(conversations: DataFrame) -> DataFrame:
     """Maximal conversations as prompts: conv_id, n_turns, n_copies, prompt."""
-    rows = turns(conversations)
+    rows = Scratch(conversations.sparkSession, "chat-format").keep(turns(conversations), "turns")  # read twice, hashes alone first
     prompts = (
         rows.join(maximal(rows), "conv_id").groupBy("conv_id", "n_turns", "n_copies")
         .agg(F.sort_array(F.collect_list(F.struct("position", rendered(F.col("role"), F.col("text")).alias("line")))).alias("lines"))
