@@ -13,6 +13,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
+from feedgraph.llm import class_lm
 from feedgraph.llm import decontaminate as decontaminate_module
 from feedgraph.llm import suffix_dedup as suffix_module
 from feedgraph.llm.chat import chat_format
@@ -138,7 +139,7 @@ def test_class_lm_beats_unigrams_on_two_languages(spark):
 
 
 def brute_lm(training, texts, n_classes, rounds):
-    """The class model in plain steps: all words move at once, or by shares of their checksums after a round that fails.
+    """The class model in plain steps: all words move at once, or by shares of their hashes after a round that fails.
     A text's probability is summed over the classes of its unseen words by the forward algorithm."""
     counts = Counter(w for t in training for w in t)
     ranked = sorted(counts, key=lambda w: (-counts[w], w))
@@ -172,7 +173,7 @@ def brute_lm(training, texts, n_classes, rounds):
                     gain[y] += left[:, best[x]]
         new = dict(best)
         for w, g in gain.items():
-            if zlib.crc32(w.encode()) % shares == turn % shares:
+            if class_lm.rare_number(w.encode(), 0) % shares == turn % shares:
                 new[w] = 1 + int(np.argmax(np.round(g[1:], 6)))
         turn += 1
         now = level(bigrams(new))
@@ -205,8 +206,6 @@ def brute_lm(training, texts, n_classes, rounds):
 
 @pytest.mark.parametrize("known", [5, 1000])
 def test_class_lm_scores_against_brute_force(spark, monkeypatch, known):
-    from feedgraph.llm import class_lm
-
     kept = []
     run = class_lm.Clustering.run
     monkeypatch.setattr(class_lm.Clustering, "run", lambda self, *a: (run(self, *a), kept.append(self.levels))[0])
