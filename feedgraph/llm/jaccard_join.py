@@ -362,16 +362,18 @@ def jaccard_join(docs: DataFrame, words: int = WORDS) -> DataFrame:
     stars = stars.select("b", F.explode(F.array_distinct(F.array("low", "high"))).alias("s")).select("s.a", "b", "s.band")
     tried = [scratch.keep(passing(stars, usable), "tried-0")]
     links = scratch.keep(verify(tried[0], texts_of(texts, tried[0], scratch, "texts-0"), words), "links-0")
+    groups = components(links, scratch, "united-0")
     for k, forest in ((1, None), (2, True), (3, False)):
-        names = scratch.keep(grouped(names, components(links, scratch, f"united-{k}")), f"names-{k}")
+        names = scratch.keep(grouped(names, groups), f"names-{k}")
         found = passing(named(pairs.drop("star"), names), usable) if forest is None else propose(members, names, usable, forest)
         for before in tried:
             found = found.join(before, ["a", "b"], "left_anti")
         tried.append(scratch.keep(found, f"tried-{k}"))
-        links = scratch.keep(links.union(verify(tried[k], texts_of(texts, tried[k], scratch, f"texts-{k}"), words)), f"links-{k}")
-        scratch.drop(f"texts-{k - 1}", f"texts-{k}", f"links-{k - 1}", "pairs")
-    scratch.drop("buckets", *[f"{t}-{k}" for t in ("names", "tried") for k in range(4)])
-    groups = components(links, scratch, "groups")
+        if not tried[k].isEmpty():
+            links = scratch.keep(links.union(verify(tried[k], texts_of(texts, tried[k], scratch, f"texts-{k}"), words)), f"links-{k}")
+            groups = components(links, scratch, f"united-{k}")
+            scratch.drop(f"texts-{k}")
+    scratch.drop("buckets", "pairs", "texts-0", *[f"{t}-{k}" for t in ("names", "tried") for k in range(4)])
     degree = links.select(F.explode(F.array("a", "b")).alias("first")).groupBy("first").agg(F.count("*").alias("n_verified"))
     classes = sets.join(groups.withColumnRenamed("node", "first"), "first", "left").join(degree, "first", "left")
     found = features.where("main").select("doc_id", *key).join(classes, key, "left")
