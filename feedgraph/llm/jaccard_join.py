@@ -84,8 +84,8 @@ def signatures(elements: np.ndarray, band: int) -> np.ndarray:
 
 
 def odd_sketch(elements: np.ndarray, band: int) -> np.ndarray:
-    """Parity bits of the set's elements over cells, 4 for each element of the band's least size."""
-    cells = max(64, 4 * band)
+    """Parity bits of the set's elements over cells, 4 for each element of the band's least size and 512 at least."""
+    cells = max(512, 4 * band)
     at = ((kernel.mix(elements) >> np.uint64(32)) * np.uint64(cells)) >> np.uint64(32)
     return np.packbits((np.bincount(at.astype(np.int64), minlength=cells) & 1).astype(np.uint8))
 
