@@ -38,6 +38,7 @@ from itertools import repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -52,7 +53,7 @@ RARE, BUCKET_TOKENS, BATCH_TOKENS = 1 << 62, 250_000, 1 << 20  # the least numbe
 STATS = "block long, cells binary, counts binary"
 TOKENS = "part long, doc_ids array<long>, held binary, lengths binary, ids binary, rare binary"
 ENTRIES = "bucket long, ids binary, codes binary, ns binary, pair_ids binary, sides binary, others binary, pair_ns binary"
-STATE = "bucket long, ids binary, counts binary, at binary, codes binary, ns binary, pair_at binary, sides binary, others binary, pair_ns binary"
+STATE = "bucket long, ids binary, counts binary, at binary, codes binary, ns binary, pair_at binary, sides binary, others binary, pair_ns binary, n_words long"
 NEAR = "bucket long, classes binary, ids binary, offsets binary, near binary, near_ns binary, block long, cells binary, counts binary"
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, score double, logs double"
 
@@ -87,6 +88,14 @@ def array(value: object, dtype: type) -> np.ndarray:
     return np.frombuffer(value.as_buffer(), dtype=dtype)
 
 
+def packed(values: np.ndarray, dtype: type) -> bytes:
+    return zstandard.compress(values.astype(dtype).tobytes(), 1)
+
+
+def unpacked(value: object, dtype: type) -> np.ndarray:
+    return np.frombuffer(zstandard.decompress(value.as_buffer()), dtype=dtype)
+
+
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     schema = pa.schema([pa.field("word", pa.binary()), pa.field("n", pa.int64())])
     counts: Counter[bytes] = Counter()
@@ -175,8 +184,8 @@ def _entries(batches: Iterator[pa.RecordBatch], vocabulary: Vocabulary, buckets:
         there = np.unique(np.concatenate((one, two)))
         cuts = [np.searchsorted(b[o], there, side=s) for b, o in ((one, first), (two, second)) for s in ("left", "right")]
         rows = [(first[a:b], second[c:d]) for a, b, c, d in zip(*[c.tolist() for c in cuts], strict=True)]
-        columns = {k: [v[x].astype(t).tobytes() for x, _ in rows] for k, v, t in (("ids", ids, np.int64), ("codes", codes, np.int32), ("ns", ns, np.int32))}
-        columns |= {k: [v[x].astype(t).tobytes() for _, x in rows] for k, v, t in (("pair_ids", pair_ids, np.int64), ("sides", sides, np.int8), ("others", others, np.int64), ("pair_ns", pair_ns, np.int32))}
+        columns = {k: [packed(v[x], t) for x, _ in rows] for k, v, t in (("ids", ids, np.int64), ("codes", codes, np.int32), ("ns", ns, np.int32))}
+        columns |= {k: [packed(v[x], t) for _, x in rows] for k, v, t in (("pair_ids", pair_ids, np.int64), ("sides", sides, np.int8), ("others", others, np.int64), ("pair_ns", pair_ns, np.int32))}
         yield from kernel.batches(schema, [columns | {"bucket": there}])
 
     for sequence in _training(batches, vocabulary.end):
@@ -191,7 +200,7 @@ def _entries(batches: Iterator[pa.RecordBatch], vocabulary: Vocabulary, buckets:
 
 def _bucket(table: pa.Table, first_rare: int) -> pa.Table:
     """A bucket's rare words with all that stands beside them: at and pair_at point to the word."""
-    whole = lambda name, dtype: np.concatenate([array(v, dtype) for v in table.column(name)])
+    whole = lambda name, dtype: np.concatenate([unpacked(v, dtype) for v in table.column(name)])
     ids, codes, ns = merged(whole("ids", np.int64), whole("codes", np.int32), n=whole("ns", np.int32).astype(np.int64))
     pair_ids, sides, others, pair_ns = merged(whole("pair_ids", np.int64), whole("sides", np.int8), whole("others", np.int64), n=whole("pair_ns", np.int32).astype(np.int64))
     own = np.unique(np.concatenate((ids, pair_ids)))
@@ -199,8 +208,8 @@ def _bucket(table: pa.Table, first_rare: int) -> pa.Table:
     counts = np.zeros(len(own), dtype=np.int64)  # every occurrence has one right neighbour
     np.add.at(counts, at[codes < first_rare], ns[codes < first_rare])
     np.add.at(counts, pair_at[sides == 0], pair_ns[sides == 0])
-    values = (own, counts, at.astype(np.int32), codes, ns, pair_at.astype(np.int32), sides, others, pair_ns)
-    columns = {f.name: [v.tobytes()] for f, v in zip(list(kernel.arrow_schema(STATE))[1:], values, strict=True)}
+    values = ((own, np.int64), (counts, np.int64), (at, np.int32), (codes, np.int32), (ns, np.int64), (pair_at, np.int32), (sides, np.int8), (others, np.int64), (pair_ns, np.int64))
+    columns = {f.name: [packed(*v)] for f, v in zip(list(kernel.arrow_schema(STATE))[1:-1], values, strict=True)} | {"n_words": [len(own)]}
     kernel.release()
     return pa.Table.from_batches(kernel.batches(kernel.arrow_schema(STATE), [columns | {"bucket": [table.column("bucket")[0].as_py()]}]))
 
@@ -212,7 +221,7 @@ class Cells:
         self.n_classes, self.total = n_classes, np.zeros(n_words * 2 * n_classes, dtype=np.int32)
 
     def add(self, word: np.ndarray, side: int, classes: np.ndarray, n: np.ndarray | int = 1) -> None:
-        np.add.at(self.total, (word.astype(np.int64) * 2 + side) * self.n_classes + classes, n)
+        np.add.at(self.total, (word.astype(np.int64) * 2 + side) * self.n_classes + classes, np.asarray(n, dtype=np.int32))  # of one type: else slow
 
     def blocks(self) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         size = STATS_BLOCK * 2 * self.n_classes
@@ -220,7 +229,7 @@ class Cells:
             own = self.total[block * size : (block + 1) * size]
             cells = np.flatnonzero(own)
             if len(cells):
-                yield {"block": [block], "cells": [cells.astype(np.int32).tobytes()], "counts": [own[cells].tobytes()]}
+                yield {"block": [block], "cells": [packed(cells, np.int32)], "counts": [packed(own[cells], np.int32)]}
 
 
 def _neighbours(batches: Iterator[pa.RecordBatch], vocabulary: Vocabulary, classes: np.ndarray, n_classes: int) -> Iterator[pa.RecordBatch]:
@@ -240,8 +249,9 @@ def _messages(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.Re
     schema = kernel.arrow_schema("bucket long, told binary, told_classes binary")
     for batch in batches:
         for row in range(batch.num_rows):
-            ids, classes, others = array(batch.column("ids")[row], np.int64), array(batch.column("classes")[row], np.int8), array(batch.column("others")[row], np.int64)
-            to = np.unique(np.stack((bucket_of(others, buckets), array(batch.column("pair_at")[row], np.int32)), axis=1), axis=0)
+            ids, classes, others = unpacked(batch.column("ids")[row], np.int64), array(batch.column("classes")[row], np.int8), unpacked(batch.column("others")[row], np.int64)
+            of, own = np.divmod(np.unique(bucket_of(others, buckets) * len(ids) + unpacked(batch.column("pair_at")[row], np.int32)), max(1, len(ids)))
+            to = np.stack((of, own), axis=1)
             cuts = np.flatnonzero(np.concatenate(([True], to[1:, 0] != to[:-1, 0]))) if len(to) else []
             parts = np.split(to[:, 1], cuts[1:]) if len(to) else []
             yield from kernel.batches(schema, [{"bucket": to[cuts, 0] if len(to) else [], "told": [ids[p].tobytes() for p in parts], "told_classes": [classes[p].tobytes() for p in parts]}])
@@ -253,11 +263,11 @@ def _rare(batches: Iterator[pa.RecordBatch], vocabulary: Vocabulary, listed: np.
     schema, cells, first_rare = kernel.arrow_schema(NEAR), Cells(vocabulary.first_rare, n_classes), vocabulary.first_rare
     for batch in batches:
         for row in range(batch.num_rows):
-            get = lambda name, dtype, row=row, batch=batch: array(batch.column(name)[row], dtype)
-            ids, classes, at, codes, ns = get("ids", np.int64), get("classes", np.int8), get("at", np.int32), get("codes", np.int32), get("ns", np.int64)
+            get = lambda name, dtype, row=row, batch=batch: unpacked(batch.column(name)[row], dtype)
+            ids, classes, at, codes, ns = get("ids", np.int64), array(batch.column("classes")[row], np.int8), get("at", np.int32), get("codes", np.int32), get("ns", np.int64)
             own = np.zeros((len(ids), 2 * n_classes), dtype=np.int32)
             side, word = codes // first_rare, codes % first_rare
-            np.add.at(own, (at, side * n_classes + listed[word]), ns)
+            np.add.at(own.reshape(-1), at.astype(np.int64) * 2 * n_classes + side * n_classes + listed[word], ns.astype(np.int32))
             for k in (0, 1):
                 of = np.flatnonzero(side == k)
                 cells.add(word[of], 1 - k, classes[at[of]], ns[of])
@@ -267,11 +277,10 @@ def _rare(batches: Iterator[pa.RecordBatch], vocabulary: Vocabulary, listed: np.
                 order = np.argsort(known)
                 known, known_classes = known[order], np.concatenate([array(v, np.int8) for v in batch.column("told_classes")[row].values])[order]
                 beside = known_classes[np.searchsorted(known, get("others", np.int64))]
-                np.add.at(own, (get("pair_at", np.int32), get("sides", np.int8).astype(np.int64) * n_classes + beside), get("pair_ns", np.int64))
+                np.add.at(own.reshape(-1), (get("pair_at", np.int32).astype(np.int64) * 2 + get("sides", np.int8)) * n_classes + beside, get("pair_ns", np.int64).astype(np.int32))
             there, cell = np.nonzero(own)
             offsets = np.searchsorted(there, np.arange(len(ids) + 1)).astype(np.int32)
-            values = (classes, ids, offsets, cell.astype(np.int16), own[there, cell])
-            columns = {k: [v.tobytes()] for k, v in zip(("classes", "ids", "offsets", "near", "near_ns"), values, strict=True)}
+            columns = {"classes": [classes.tobytes()], "ids": [packed(ids, np.int64)], "offsets": [packed(offsets, np.int32)], "near": [packed(cell, np.int16)], "near_ns": [packed(own[there, cell], np.int32)]}
             yield from kernel.batches(schema, [columns | {"bucket": [batch.column("bucket")[row].as_py()], "block": [None], "cells": [None], "counts": [None]}])
     nothing = {f.name: [None] for f in schema}
     yield from kernel.batches(schema, (nothing | b for b in cells.blocks()))
@@ -285,7 +294,7 @@ def _sum_blocks(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.Rec
 
     def done() -> Iterator[pa.RecordBatch]:
         cells = np.flatnonzero(total)
-        yield from kernel.batches(schema, [{"block": [block], "cells": [cells.astype(np.int32).tobytes()], "counts": [total[cells].tobytes()]}])
+        yield from kernel.batches(schema, [{"block": [block], "cells": [packed(cells, np.int32)], "counts": [packed(total[cells], np.int64)]}])
 
     for batch in batches:
         for at, cells, counts in zip(batch.column("block").to_pylist(), batch.column("cells"), batch.column("counts"), strict=True):
@@ -294,7 +303,7 @@ def _sum_blocks(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.Rec
                     yield from done()
                 block = at
                 total[:] = 0
-            total[array(cells, np.int32)] += array(counts, np.int32)
+            total[unpacked(cells, np.int32)] += unpacked(counts, np.int32)
     if block is not None:
         yield from done()
 
@@ -318,9 +327,8 @@ def likelihood(bigrams: np.ndarray) -> float:
 
 
 def class_bigrams(stats: np.ndarray, classes: np.ndarray) -> np.ndarray:
-    out = np.zeros((stats.shape[2], stats.shape[2]), dtype=np.int64)
-    np.add.at(out, classes, stats[:, 0, :])
-    return out
+    of_class = (classes[:, None] == np.arange(stats.shape[2])).astype(np.float64)
+    return np.rint(of_class.T @ stats[:, 0, :].astype(np.float64)).astype(np.int64)
 
 
 def exchange(stats: np.ndarray, classes: np.ndarray, bigrams: np.ndarray | None = None) -> np.ndarray:
@@ -338,7 +346,7 @@ def _by_block(batches: Iterator[pa.RecordBatch], n_classes: int) -> Iterator[tup
     for batch in batches:
         for row in range(batch.num_rows):
             own = np.zeros(STATS_BLOCK * 2 * n_classes, dtype=np.int64)
-            own[array(batch.column("cells")[row], np.int32)] = array(batch.column("counts")[row], np.int64)
+            own[unpacked(batch.column("cells")[row], np.int32)] = unpacked(batch.column("counts")[row], np.int64)
             yield batch.column("block")[row].as_py(), own.reshape(STATS_BLOCK, 2, n_classes)
 
 
@@ -346,11 +354,11 @@ def _by_bucket(batches: Iterator[pa.RecordBatch], n_classes: int) -> Iterator[tu
     """Buckets of rare words: number, words, classes, and word, side, class."""
     for batch in batches:
         for row in range(batch.num_rows):
-            get = lambda name, dtype, row=row, batch=batch: array(batch.column(name)[row], dtype)
+            get = lambda name, dtype, row=row, batch=batch: unpacked(batch.column(name)[row], dtype)
             ids, offsets = get("ids", np.int64), get("offsets", np.int32)
             own = np.zeros((len(ids), 2 * n_classes), dtype=np.int64)
             own[np.repeat(np.arange(len(ids)), np.diff(offsets)), get("near", np.int16)] = get("near_ns", np.int32)
-            yield batch.column("bucket")[row].as_py(), ids, get("classes", np.int8).astype(np.int64), own.reshape(-1, 2, n_classes)
+            yield batch.column("bucket")[row].as_py(), ids, array(batch.column("classes")[row], np.int8).astype(np.int64), own.reshape(-1, 2, n_classes)
 
 
 def total_bigrams(stats: DataFrame, near: DataFrame, listed: np.ndarray, n_classes: int) -> np.ndarray:
@@ -438,7 +446,8 @@ def by_bucket(rare: np.ndarray, buckets: int) -> dict[int, np.ndarray]:
 
 def _answers(asked: pa.Table, known: pa.Table) -> pa.Table:
     """Counts and classes of the words asked for (unseen: 0 and -1)."""
-    ids, counts, classes = (array(known.column(k)[0], t) if len(known) else np.zeros(0, dtype=t) for k, t in (("ids", np.int64), ("counts", np.int64), ("classes", np.int8)))
+    ids, counts = (unpacked(known.column(k)[0], np.int64) if len(known) else np.zeros(0, dtype=np.int64) for k in ("ids", "counts"))
+    classes = array(known.column("classes")[0], np.int8) if len(known) else np.zeros(0, dtype=np.int8)
     ids, counts, classes = np.append(ids, 0), np.append(counts, 0), np.append(classes, -1)
     out: dict[str, list] = {"counts": [], "classes": []}
     for wanted in asked.column("wanted"):
@@ -551,7 +560,7 @@ def first_classes(state: DataFrame, seeds: dict[int, int], n_classes: int) -> Da
     def start(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(batch.num_rows):
-                ids = array(batch.column("ids")[row], np.int64)
+                ids = unpacked(batch.column("ids")[row], np.int64)
                 classes = np.full(len(ids), n_classes - 1, dtype=np.int8)
                 for word, k in seeds.items():
                     classes[ids == word] = k
@@ -597,7 +606,7 @@ def class_lm_scores(docs: DataFrame, n_classes: int = CLASSES, known_words: int
         tokens = scratch.keep(rows.mapInArrow(lambda it, s=seed: _encode(it, vocabulary.value, s), TOKENS), f"tokens-{seed}")
         entries = tokens.select("held", "lengths", "ids", "rare").mapInArrow(lambda it: _entries(it, vocabulary.value, buckets), ENTRIES)
         state = scratch.keep(entries.groupBy("bucket").applyInArrow(lambda t: _bucket(t, first_rare), STATE), f"state-{seed}")
-        n_rare = state.agg(F.coalesce(F.sum(F.length("ids")), F.lit(0))).first()[0] // 8
+        n_rare = state.agg(F.coalesce(F.sum("n_words"), F.lit(0))).first()[0]
         if n_rare == n_distinct - end:
             break
         scratch.drop(f"tokens-{seed}", f"state-{seed}")  # two rare words share a number
