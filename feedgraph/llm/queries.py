@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from feedgraph.llm import chat, oracles, warc
+from feedgraph.llm import chat, mixing, oracles, warc
+from feedgraph.llm.alignment import cross_alignment
 from feedgraph.llm.chat import chat_format
 from feedgraph.llm.class_lm import class_lm_scores
 from feedgraph.llm.decontaminate import decontaminate
 from feedgraph.llm.jaccard_join import jaccard_join
+from feedgraph.llm.mixing import weighted_mix
 from feedgraph.llm.packing import pack
 from feedgraph.llm.quality_gam import quality_gam
 from feedgraph.llm.quality_rules import quality_rules
@@ -18,6 +20,7 @@ from feedgraph.llm.scratch import table
 from feedgraph.llm.sharding import shard_by_bytes
 from feedgraph.llm.suffix_dedup import suffix_dedup
 from feedgraph.llm.warc import archive_pages
+from feedgraph.llm.whitening import whiten
 
 
 def word_tokenizer() -> str:
@@ -26,6 +29,12 @@ def word_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def byte_and_piece_tokenizers() -> tuple[str, str]:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+
+
 def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format(table(spark, sf_dir, "conversations"))
 
@@ -67,6 +76,19 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op12_weighted_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents, _ = weighted_mix(table(spark, sf_dir, "documents"))
+    return documents.select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cross_alignment(table(spark, sf_dir, "documents"), *byte_and_piece_tokenizers())
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_format": op1_chat_format,
     "op2_jaccard_join": op2_jaccard_join,
@@ -78,6 +100,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_warc_index": op8_warc_index,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_decontaminate": op10_decontaminate,
+    "op11_embedding_whitening": op11_embedding_whitening,
+    "op12_weighted_mix": op12_weighted_mix,
+    "op13_token_alignment": op13_token_alignment,
 }
 
 ORACLES: dict[str, str] = {
@@ -86,4 +111,5 @@ ORACLES: dict[str, str] = {
     "op4_quality_rules": oracles.RULES,
     "op8_warc_index": warc.ORACLE,
     "op10_decontaminate": oracles.DECONTAMINATE,
+    "op12_weighted_mix": mixing.ORACLE,
 }

@@ -444,4 +444,4 @@ def test_pipeline_keeps_clean_documents(spark, tmp_path):
 
 
 def test_queries_are_registered_once_by_number():
-    assert sorted(int(re.match(r"op(\d+)_", q)[1]) for q in QUERIES) == list(range(1, 11))
+    assert sorted(int(re.match(r"op(\d+)_", q)[1]) for q in QUERIES) == list(range(1, 14))
