@@ -6,8 +6,9 @@ that double while they are equal, and the first difference is found by halving:
 logarithm of its length in comparisons. At a difference both arrays are walked until they meet again; the tokens walked
 over are one irregular group, and its size changes the shift.
 
-Both tokenizers split before a single space between characters that are no white space: what lies between such places is
-encoded once and then looked up in a bounded cache; a document's arrays are made of these parts, and are aligned whole.
+Both tokenizers split before a single space between characters that are no white space, so tokens of both end there and no
+group crosses it. What lies between such places is encoded and aligned when it is new (thousands of parts end to end in one
+pair of arrays) and then looked up in a bounded cache; a document is the sequence of its parts.
 
 How many documents hold a pair is counted by Spark. The commonest pairs, 2^17 at most, are sent to all tasks; the others,
 each of which is in few documents by comparison, meet their counts in a join, so no join key is hot. The number of
@@ -22,6 +23,7 @@ from __future__ import annotations
 
 import os
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -31,10 +33,16 @@ from pyspark.sql import functions as F
 from feedgraph.llm import kernel
 from feedgraph.llm.scratch import Scratch
 
-CHUNK, CACHE_BYTES, KNOWN_PAIRS = 1 << 18, 64 << 20, 1 << 17
+CHUNK, CACHE_BYTES, KNOWN_PAIRS = 1 << 19, 160 << 20, 1 << 17
 ALIGNED = "row long, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups string, pairs array<long>, times array<int>"
 MET = "row long, n_best long, count_sum long, pairs array<long>, times array<int>"
 
+TOGETHER, UNBROKEN = 4000, 512  # parts at once; bytes of a part
+BLOCK = "▁".encode()  # the sign that pieces have for a space
+
+#: Where a byte-level tokenizer splits before it merges (a fixed value of its format).
+SPLITS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
 #: Bytes that can follow a splitting space: ASCII signs, and first bytes of letters of alphabets without white space.
 FOLLOWS = np.zeros(256, dtype=bool)
 FOLLOWS[[*range(0x21, 0x7F), *range(0xC3, 0xE0), *range(0xE4, 0xF5)]] = True
@@ -55,19 +63,16 @@ class Ragged:
         self.flat, self.ends = np.zeros(1024, dtype=np.int64), np.zeros(1024, dtype=np.int64)
         self.n = 0
 
-    def extend(self, lists: list[list[int]]) -> None:
-        sizes = np.fromiter(map(len, lists), dtype=np.int64, count=len(lists))
-        ends = self.upto(self.n) + np.cumsum(sizes)
-        while len(self.ends) < self.n + len(lists) + 1:
+    def extend(self, flat: np.ndarray, sizes: np.ndarray) -> None:
+        """Append arrays that lie end to end."""
+        start = int(self.ends[self.n])
+        while len(self.ends) < self.n + len(sizes) + 1:
             self.ends = np.concatenate((self.ends, np.zeros_like(self.ends)))
-        while len(self.flat) < (ends[-1] if len(ends) else 0):
+        while len(self.flat) < start + len(flat):
             self.flat = np.concatenate((self.flat, np.zeros_like(self.flat)))
-        self.flat[self.upto(self.n) : ends[-1] if len(ends) else 0] = [x for own in lists for x in own]
-        self.ends[self.n + 1 : self.n + 1 + len(lists)] = ends
-        self.n += len(lists)
-
-    def upto(self, k: int) -> int:
-        return int(self.ends[k])
+        self.flat[start : start + len(flat)] = flat
+        self.ends[self.n + 1 : self.n + 1 + len(sizes)] = start + np.cumsum(sizes)
+        self.n += len(sizes)
 
     def gather(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The chosen arrays end to end, and their sizes."""
@@ -78,41 +83,110 @@ class Ragged:
 
 
 class Encoders:
-    """Both tokenizers' ids of texts that begin with a space."""
+    """Both tokenizers' ids of texts that begin with a space.
+
+    A's ids come from an engine without the offsets that nobody asks for, made from A's own vocabulary; unbroken
+    stretches, for which it would take long, go to A's own."""
 
     def __init__(self, path_a: str, path_b: str) -> None:
         from sentencepiece import SentencePieceProcessor
+        from tiktoken import Encoding
         from tokenizers import Tokenizer
 
         self.a, self.b = Tokenizer.from_file(path_a), SentencePieceProcessor(model_file=path_b)
         self.a.encode_special_tokens = True  # their strings are plain text
-        letters, size_b = byte_letters(), self.b.get_piece_size()
+        letters = byte_letters()
+        plain = {bytes(letters[c] for c in token): i for token, i in self.a.get_vocab(with_added_tokens=False).items() if all(c in letters for c in token)}
+        self.fast = Encoding("a", pat_str=SPLITS, mergeable_ranks=plain, special_tokens={})
         vocabulary = self.a.get_vocab(with_added_tokens=True)
         self.bytes_a = [b""] * (max(vocabulary.values()) + 1)
         for token, i in vocabulary.items():
-            self.bytes_a[i] = bytes(letters[c] for c in token) if all(c in letters for c in token) else token.encode()
-        self.bytes_b = [bytes([int(self.b.id_to_piece(i)[3:5], 16)]) if self.b.is_byte(i) else self.b.id_to_piece(i).replace("▁", " ").encode() for i in range(size_b)]
+            self.bytes_a[i] = token.encode()
+        for token, i in plain.items():
+            self.bytes_a[i] = token
+        self.bytes_b = [bytes([int(self.b.id_to_piece(i)[3:5], 16)]) if self.b.is_byte(i) else self.b.id_to_piece(i).replace("▁", " ").encode() for i in range(self.b.get_piece_size())]
         self.length_a, self.length_b = (np.fromiter(map(len, t), dtype=np.int64) for t in (self.bytes_a, self.bytes_b))
+
+    def encode(self, text: str, unbroken: bool) -> tuple[list[int], list[int]]:
+        ids = self.a.encode_batch_fast([text], add_special_tokens=False)[0].ids if unbroken else self.fast.encode_ordinary(text)
+        return ids, self.b.encode(text[1:])
+
+    def joined(self, ids_a: list[int], ids_b: list[int]) -> tuple[bytes, bytes]:
+        return b"".join(map(self.bytes_a.__getitem__, ids_a)), b"".join(map(self.bytes_b.__getitem__, ids_b))
+
+
+@lru_cache(1)
+def loaded(path_a: str, path_b: str) -> Encoders:
+    """A worker reads the vocabularies once."""
+    return Encoders(path_a, path_b)
+
+
+class Aligned:
+    """Aligned parts of texts, in a bounded cache: what each has of tokens, groups, linked pairs, and its written form."""
+
+    def __init__(self, encoders: Encoders) -> None:
+        self.enc = encoders
+        n_a, n_b = len(encoders.bytes_a), len(encoders.bytes_b)
+        self.n_a, self.n_b, self.bits = n_a, n_b, n_b.bit_length()
+        self.written = [f"{i}{end}" for n, ends in ((n_a, ",|"), (n_b, ",;\n")) for end in ends for i in range(n)]
         self.clear()
 
     def clear(self) -> None:
         self.index: dict[bytes, int] = {}
-        self.ids_a, self.ids_b, self.broken, self.held = Ragged(), Ragged(), [], 0
+        self.forms: list[str] = []
+        self.pairs, self.counts, self.broken, self.held = Ragged(), np.zeros((1024, 3), dtype=np.int64), [], 0
 
     def learn(self, parts: list[bytes]) -> None:
-        texts = [p.decode("utf-8", "replace") for p in parts]
-        ids_a = [e.ids for e in self.a.encode_batch_fast(texts, add_special_tokens=False)]
-        ids_b = self.b.encode([t[1:] for t in texts], num_threads=1)
-        for p, a, b in zip(parts, ids_a, ids_b, strict=True):
-            self.index[p] = len(self.index)
-            if not b"".join(map(self.bytes_a.__getitem__, a)) == p == b"".join(map(self.bytes_b.__getitem__, b)):
-                self.broken.append(self.index[p])
-            self.held += len(p) + 8 * (len(a) + len(b)) + 200
-        self.ids_a.extend(ids_a)
-        self.ids_b.extend(ids_b)
-
-    def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """A's and B's ids of all texts end to end, and how many each text has: none where its bytes don't come back."""
+        """Parts that begin and end as splitting places ask for go to the tokenizers, and are aligned, many at once: laid end
+        to end they are split where one begins. The others go one by one."""
+        plain = [p for p in parts if 1 < len(p) <= UNBROKEN and FOLLOWS[p[1]] and p[-1] != 0x20 and BLOCK not in p]
+        for at in range(0, len(plain), TOGETHER):
+            self._learn(plain[at : at + TOGETHER])
+        for p in parts:
+            if p not in self.index and not self._learn([p]):
+                self.broken.append(len(self.index))
+                self._add([p], np.zeros((1, 3), dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(1, dtype=np.int64), [""])
+
+    def _learn(self, parts: list[bytes]) -> bool:
+        """False if the parts' bytes don't come back."""
+        whole = b"".join(parts)
+        ids = self.enc.encode(whole.decode("utf-8", "replace"), len(parts) == 1 and len(whole) > UNBROKEN)
+        if self.enc.joined(*ids) != (whole, whole):
+            return False
+        ids_a, ids_b = (np.array(x, dtype=np.int64) for x in ids)
+        ends_a, ends_b = np.cumsum(self.enc.length_a[ids_a]), np.cumsum(self.enc.length_b[ids_b])
+        link_a, link_b, group_a, group_b = align(ends_a, ends_b)
+        stops = np.cumsum(np.fromiter(map(len, parts), dtype=np.int64))
+        of_a, of_b, of_group = (np.diff(np.searchsorted(ends, stops, side="right"), prepend=0) for ends in (ends_a, ends_b, ends_a[group_a - 1]))
+
+        # Each token's place in the written form: after the other side's tokens of earlier groups (A), of groups up to its own (B).
+        codes = np.empty(len(ids_a) + len(ids_b), dtype=np.int64)
+        last_a, last_b = np.zeros(len(ids_a), dtype=np.int64), np.zeros(len(ids_b), dtype=np.int64)
+        last_a[group_a - 1], last_b[group_b - 1] = 1, 1
+        last_b[np.cumsum(of_b) - 1] = 2
+        earlier_b, upto_a = np.concatenate(([0], group_b)), group_a
+        codes[np.arange(len(ids_a)) + earlier_b[np.cumsum(last_a) - last_a]] = ids_a + self.n_a * last_a
+        codes[np.arange(len(ids_b)) + upto_a[np.cumsum(last_b > 0) - (last_b > 0)]] = ids_b + self.n_b * last_b + 2 * self.n_a
+        forms = "".join(map(self.written.__getitem__, codes.tolist())).split("\n")[:-1]
+
+        order = np.argsort(link_a, kind="stable")
+        links = np.diff(np.searchsorted(link_a[order], np.cumsum(of_a)), prepend=0)
+        self._add(parts, np.stack((of_a, of_b, of_group), axis=1), ((ids_a[link_a] << self.bits) | ids_b[link_b])[order], links, forms)
+        return True
+
+    def _add(self, parts: list[bytes], counts: np.ndarray, pairs: np.ndarray, links: np.ndarray, forms: list[str]) -> None:
+        at = len(self.index)
+        self.index.update(zip(parts, range(at, at + len(parts)), strict=True))
+        while len(self.counts) < at + len(parts):
+            self.counts = np.concatenate((self.counts, np.zeros_like(self.counts)))
+        self.counts[at : at + len(parts)] = counts
+        self.pairs.extend(pairs, links)
+        self.forms += forms
+        self.held += sum(map(len, parts)) + sum(map(len, forms)) + 8 * len(pairs) + 400 * len(parts)
+
+    def align(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, list[str], np.ndarray, np.ndarray]:
+        """Of texts end to end: tokens of A, of B and groups (a row a text), written forms, and all linked pairs with their
+        text's number. Nothing of texts whose bytes don't come back."""
         split = np.zeros(len(data) + 1, dtype=bool)
         split[1 : len(data) - 1] = (data[1:-1] == 0x20) & (data[:-2] != 0x20) & FOLLOWS[data[2:]]
         split[offsets] = True
@@ -124,18 +198,17 @@ class Encoders:
         if fresh := [p for p in dict.fromkeys(parts) if p not in self.index]:
             self.learn(fresh)
         which = np.fromiter(map(self.index.__getitem__, parts), dtype=np.int64, count=len(parts))
+        docs = len(offsets) - 1
         owner = np.searchsorted(offsets, cuts[:-1], side="right") - 1
-        doubtful = np.unique(owner[np.isin(which, self.broken)]) if self.broken else owner[:0]
-        for doc in doubtful.tolist():  # parts differ; does the text?
-            own = which[owner == doc]
-            joined = [b"".join(map(table.__getitem__, ids.gather(own)[0].tolist())) for table, ids in ((self.bytes_a, self.ids_a), (self.bytes_b, self.ids_b))]
-            if not joined[0] == raw[offsets[doc] : offsets[doc + 1]] == joined[1]:
-                which, owner = which[owner != doc], owner[owner != doc]
-        found = []
-        for ids in (self.ids_a, self.ids_b):
-            flat, sizes = ids.gather(which)
-            found += [flat, np.bincount(owner, sizes, minlength=len(offsets) - 1).astype(np.int64)]
-        return tuple(found)
+        if self.broken:
+            spoilt = np.isin(owner, owner[np.isin(which, self.broken)])
+            which, owner = which[~spoilt], owner[~spoilt]
+        counts = np.stack([np.bincount(owner, self.counts[which, c], minlength=docs) for c in range(3)], axis=1).astype(np.int64)
+        at = np.searchsorted(owner, np.arange(docs + 1)).tolist()
+        chosen = which.tolist()
+        forms = [";".join(map(self.forms.__getitem__, chosen[s:e])) for s, e in zip(at[:-1], at[1:], strict=True)]
+        pairs, links = self.pairs.gather(which)
+        return counts, forms, pairs, np.repeat(owner, links)
 
 
 def diagonal_runs(a: list[int], b: list[int]) -> tuple[list[int], list[int], list[int], list[int], list[int], list[int], list[int]]:
@@ -182,58 +255,38 @@ def diagonal_runs(a: list[int], b: list[int]) -> tuple[list[int], list[int], lis
     return run_a, run_b, run_n, walk_a, walk_b, stop_a, stop_b
 
 
-def align_chunk(ids_a: np.ndarray, ids_b: np.ndarray, length_a: np.ndarray, length_b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Linked index pairs (of A, of B), in no order, and the groups' ends in A and B, in order. Texts lie end to end;
-    both tokenizers' tokens end with each, so no group spans two."""
-    found = diagonal_runs(np.cumsum(length_a[ids_a]).tolist(), np.cumsum(length_b[ids_b]).tolist())
+def align(ends_a: np.ndarray, ends_b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Linked index pairs (of A, of B), in no order, and how far the groups go in A and B, in order."""
+    found = diagonal_runs(ends_a.tolist(), ends_b.tolist())
     run_a, run_b, run_n, walk_a, walk_b, stop_a, stop_b = (np.array(x, dtype=np.int64) for x in found)
     along = np.arange(int(run_n.sum())) - np.repeat(np.cumsum(run_n) - run_n, run_n)
     one_a, one_b = np.repeat(run_a, run_n) + along, np.repeat(run_b, run_n) + along
-    ends_a, ends_b = np.sort(np.concatenate((one_a + 1, stop_a))), np.sort(np.concatenate((one_b + 1, stop_b)))
-    return np.concatenate((one_a, walk_a)), np.concatenate((one_b, walk_b)), ends_a, ends_b
+    group_a, group_b = np.sort(np.concatenate((one_a + 1, stop_a))), np.sort(np.concatenate((one_b + 1, stop_b)))
+    return np.concatenate((one_a, walk_a)), np.concatenate((one_b, walk_b)), group_a, group_b
 
 
 def _aligned(batches: Iterator[pa.RecordBatch], path_a: str, path_b: str) -> Iterator[pa.RecordBatch]:
     from pyspark import TaskContext
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-    enc, schema = Encoders(path_a, path_b), kernel.arrow_schema(ALIGNED)
-    n_a, n_b = len(enc.bytes_a), len(enc.bytes_b)
-    written = [f"{i}{end}" for n, ends in ((n_a, ",|"), (n_b, ",;")) for end in ends for i in range(n)]
-    bits = n_b.bit_length()
+    parts, schema = Aligned(loaded(path_a, path_b)), kernel.arrow_schema(ALIGNED)
     row = TaskContext.get().partitionId() << 40
     for batch in batches:
         for first, data, offsets in kernel.byte_chunks(batch.column("text"), CHUNK):
-            some = offsets[1:] > offsets[:-1]
-            spaced, starts = np.insert(data, offsets[:-1][some], 0x20), offsets + np.concatenate(([0], np.cumsum(some)))
-            held = np.concatenate((starts[:-1][some], starts[-1:]))
-            docs = len(some)
-            of_a, of_b = np.zeros(docs, dtype=np.int64), np.zeros(docs, dtype=np.int64)
-            ids_a = ids_b = np.zeros(0, dtype=np.int64)
-            if some.any():
-                ids_a, of_a[some], ids_b, of_b[some] = enc.encode(spaced, held)
-            link_a, link_b, ends_a, ends_b = align_chunk(ids_a, ids_b, enc.length_a, enc.length_b)
-            upto_a = np.cumsum(of_a)
-            group_doc = np.searchsorted(upto_a, ends_a, side="left")
-            groups = np.bincount(group_doc, minlength=docs)
-
-            # Each token's place in the written form: after the other side's tokens of earlier groups (A), of groups up to its own (B).
-            group_a, group_b = (np.searchsorted(ends, np.arange(len(ids)), side="right") for ends, ids in ((ends_a, ids_a), (ends_b, ids_b)))
-            codes = np.empty(len(ids_a) + len(ids_b), dtype=np.int64)
-            last_a, last_b = np.zeros(len(ids_a), dtype=np.int64), np.zeros(len(ids_b), dtype=np.int64)
-            last_a[ends_a - 1], last_b[ends_b - 1] = 1, 1
-            codes[np.arange(len(ids_a)) + np.concatenate(([0], ends_b))[group_a]] = ids_a + n_a * last_a
-            codes[np.arange(len(ids_b)) + ends_a[group_b]] = ids_b + n_b * last_b + 2 * n_a
-            cuts = np.concatenate(([0], np.cumsum(of_a + of_b)))
-
-            link_doc = np.searchsorted(upto_a, link_a, side="right")
-            keys, times = np.unique((link_doc << 40) | (ids_a[link_a] << bits) | ids_b[link_b], return_counts=True)
-            at = np.searchsorted(keys >> 40, np.arange(docs + 1))
+            docs = len(offsets) - 1
+            some = np.flatnonzero(offsets[1:] > offsets[:-1])
+            spaced, starts = np.insert(data, offsets[some], 0x20), np.append(offsets[some] + np.arange(len(some)), len(data) + len(some))
+            counts, forms = np.zeros((docs, 3), dtype=np.int64), np.full(docs, "", dtype=object)
+            pairs = owner = np.zeros(0, dtype=np.int64)
+            if len(some):
+                counts[some], forms[some], pairs, owner = parts.align(spaced, starts)
+                owner = some[owner]
+            keys, times = np.unique((owner << 40) | pairs, return_counts=True)
+            at = pa.array(np.searchsorted(keys >> 40, np.arange(docs + 1)), type=pa.int32())
             yield from kernel.batches(schema, [{
-                "row": row + np.arange(docs), "doc_id": batch.column("doc_id").slice(first, docs), "n_a": of_a, "n_b": of_b, "n_groups": groups, "n_links": np.bincount(link_doc, minlength=docs),
-                "groups": ["".join(map(written.__getitem__, codes[s:e].tolist()))[:-1] for s, e in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)],
-                "pairs": pa.ListArray.from_arrays(pa.array(at, type=pa.int32()), pa.array(keys & ((1 << 40) - 1))),
-                "times": pa.ListArray.from_arrays(pa.array(at, type=pa.int32()), pa.array(times.astype(np.int32))),
+                "row": row + np.arange(docs), "doc_id": batch.column("doc_id").slice(first, docs), "n_a": counts[:, 0], "n_b": counts[:, 1], "n_groups": counts[:, 2],
+                "n_links": np.bincount(owner, minlength=docs), "groups": forms.tolist(), "pairs": pa.ListArray.from_arrays(at, pa.array(keys & ((1 << 40) - 1))),
+                "times": pa.ListArray.from_arrays(at, pa.array(times.astype(np.int32))),
             }])
             row += docs
     kernel.release()

@@ -247,20 +247,15 @@ def whole_alignment(enc, text):
     return a, b, groups, links
 
 
-def test_ids_by_parts_are_those_of_whole_texts():
+def test_both_engines_of_the_byte_level_tokenizer_agree():
     enc = Encoders(*byte_and_piece_tokenizers())
-    texts = odd_texts()
-    data = [(" " + t).encode() for t in texts]
-    offsets = np.concatenate(([0], np.cumsum([len(d) for d in data])))
-    ids_a, n_a, ids_b, n_b = enc.encode(np.frombuffer(b"".join(data), dtype=np.uint8), offsets)
-    at_a, at_b = np.cumsum(n_a), np.cumsum(n_b)
     whole = 0
-    for k, t in enumerate(texts):
-        a, b = whole_ids(enc, t)
-        assert ids_a[at_a[k] - n_a[k] : at_a[k]].tolist() == a, t
-        assert ids_b[at_b[k] - n_b[k] : at_b[k]].tolist() == b, t
-        whole += bool(a)
-    assert 100 < whole < len(texts)
+    for t in [*odd_texts(), "x" * 3000, " " * 700 + "y"]:
+        for unbroken in (False, True):
+            a, b = enc.encode(" " + t, unbroken)
+            assert a == enc.a.encode(" " + t, add_special_tokens=False).ids and b == enc.b.encode(t)
+        whole += enc.joined(a, b) == ((" " + t).encode(),) * 2
+    assert 100 < whole < len(odd_texts())
 
 
 @pytest.mark.parametrize(("known", "cache"), [(1 << 17, 1 << 26), (40, 1 << 12), (0, 1 << 26)])
