@@ -42,6 +42,8 @@ WORDS, BLOCK, SMALL = 5, 1024, 24
 SECOND = 3  # second-level parts in a first-level one
 FEATURES = "doc_id long, n long, d1 long, d2 long, band int, main boolean, sketch binary"
 SIGNED = "signature long, id long, n int, band int"
+COUNTERS, FAN_IN = 1 << 18, 16
+COUNTED = "slot long, counters binary"
 BUCKETS = "signature long, a long, b long, band int, block long, star boolean"
 
 
@@ -219,18 +221,49 @@ class Forest:
         return a != b
 
 
-def bucket_pairs(docs: np.ndarray, groups: np.ndarray, blocks: np.ndarray | None, sizes: np.ndarray, sketches: np.ndarray, forest: bool) -> Iterator[tuple[int, int]]:
-    """Pairs of a bucket across groups whose sizes and sketches allow a link: a spanning forest of the groups, or all."""
-    order = np.argsort(sizes, kind="stable")
-    docs, groups, sizes, sketches = docs[order], groups[order], sizes[order], sketches[order]
-    blocks = blocks[order] if blocks is not None else None
-    upto = np.searchsorted(sizes, (5 * sizes) // 4, side="right")
+def rarest(elements: np.ndarray, counters: np.ndarray) -> bytes:
+    """The prefix of a set in the order from rare to frequent elements that every similar set must meet, as 32-bit hashes
+    in that order. Any one order of all elements is right; equal hashes of different elements only add candidates."""
+    n = len(elements)
+    order = np.lexsort((elements, counters[(elements % np.uint64(len(counters))).astype(np.int64)]))
+    return (elements[order[: n - least_common(n, -(-4 * n // 5)) + 1]] >> np.uint64(32)).astype(np.uint32).tobytes()
+
+
+def least_common(x: np.ndarray | int, y: np.ndarray | int) -> np.ndarray | int:
+    """What sets of two sizes have in common at least, if they are similar."""
+    return -(-4 * (x + y) // 9)
+
+
+def bucket_pairs(docs: np.ndarray, groups: np.ndarray, blocks: np.ndarray | None, sizes: np.ndarray, sketches: np.ndarray, prefixes: list[np.ndarray], forest: bool) -> Iterator[tuple[int, int]]:
+    """Pairs of a bucket across groups that sizes, prefixes and sketches allow: a spanning forest of the groups, or all.
+
+    Documents meet by the elements of their prefixes. If two are similar, the first element of the common order that both
+    have leaves room behind it, in both, for all that they must have in common. Documents of one body with endings of their
+    own meet nobody, as their rare elements fill their prefixes."""
+    lengths = np.array([len(p) for p in prefixes], dtype=np.int64)
+    flat = np.concatenate(prefixes) if len(prefixes) else np.zeros(0, dtype=np.uint32)
+    row = np.repeat(np.arange(len(docs)), lengths)
+    left = sizes[row] - (np.arange(len(flat)) - np.repeat(np.cumsum(lengths) - lengths, lengths))  # elements from here on
+    order = np.lexsort((row, flat))
+    flat, row, left = flat[order], row[order], left[order]
+    starts = np.flatnonzero(np.concatenate(([True], flat[1:] != flat[:-1])))
+    stops = np.append(starts[1:], len(flat))
+    own: list[list[tuple[int, int, int]]] = [[] for _ in docs]  # of each document: its lists, and its place there
+    for start, stop in zip(starts.tolist(), stops.tolist(), strict=True):
+        if stop - start > 1 and (groups[row[start:stop]] != groups[row[start]]).any():
+            for at in range(start, stop - 1):
+                own[row[at]].append((at, at + 1, stop))
     trees = Forest()
-    for i in range(len(docs)):
-        j = np.arange(i + 1, upto[i])
-        j = j[groups[j] != groups[i]]
+    for i, lists in enumerate(own):
+        met = []
+        for at, start, stop in lists:
+            j = row[start:stop]
+            need = least_common(sizes[i], sizes[j])
+            met.append(j[(np.minimum(left[at], left[start:stop]) >= need) & (groups[j] != groups[i])])
+        j = np.unique(np.concatenate(met)) if met else np.zeros(0, dtype=np.int64)
         if blocks is not None:
             j = j[blocks[j] != blocks[i]]
+        j = j[fits(sizes[j], sizes[i])]
         if len(j):
             apart = np.bitwise_count(sketches[j] ^ sketches[i]).sum(axis=1, dtype=np.int64)
             for k in j[9 * apart <= sizes[j] + sizes[i]].tolist():
@@ -248,13 +281,14 @@ def _propose(batches: Iterator[pa.RecordBatch], forest: bool) -> Iterator[pa.Rec
         keys = np.stack([table.column(c).to_numpy() for c in ("signature", "low", "high")], axis=1)
         cuts = np.concatenate(([0], np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1, [len(keys)]))
         docs, groups, sizes, block = (table.column(c).to_numpy() for c in ("doc_id", "group", "n", "block"))
-        sketches = table.column("sketch").combine_chunks()
+        sketches, rare = (table.column(c).combine_chunks() for c in ("sketch", "rare"))
         pairs = []
         for start, end in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
             if end - start > 1 and (groups[start:end] != groups[start]).any():
                 bits = np.stack([np.frombuffer(s.as_buffer(), dtype=np.uint64) for s in sketches.slice(start, end - start)])
                 across = block[start:end] if keys[start, 1] != keys[start, 2] else None
-                pairs += [p for p in bucket_pairs(docs[start:end], groups[start:end], across, sizes[start:end], bits, forest) if p not in seen]
+                prefixes = [np.frombuffer(r.as_buffer(), dtype=np.uint32) for r in rare.slice(start, end - start)]
+                pairs += [p for p in bucket_pairs(docs[start:end], groups[start:end], across, sizes[start:end], bits, prefixes, forest) if p not in seen]
                 seen.update(pairs[-BLOCK:])
                 if len(seen) > 200_000:
                     seen.clear()
@@ -296,13 +330,65 @@ def _verify(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.Record
     kernel.release()
 
 
-def propose(members: DataFrame, names: DataFrame, features: DataFrame, forest: bool) -> DataFrame:
-    """Pairs (a, b) of large buckets (signature, id, band, block) that still hold several groups."""
+def _counted(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
+    """How many sets of a task hold an element, in COUNTERS counters by hash; a row a task."""
+    from pyspark import TaskContext
+
+    total = None
+    for batch in batches:
+        for _, data, offsets in kernel.byte_chunks(batch.column("text")):
+            for elements in kernel.shingle_sets(data, offsets, words):
+                total = np.zeros(COUNTERS, dtype=np.int64) if total is None else total
+                np.add.at(total, (elements % np.uint64(COUNTERS)).astype(np.int64), 1)
+    if total is not None:
+        yield from kernel.batches(kernel.arrow_schema(COUNTED), [{"slot": [TaskContext.get().partitionId()], "counters": [total.tobytes()]}])
+    kernel.release()
+
+
+def _added(table: pa.Table) -> pa.Table:
+    total = sum(np.frombuffer(c.as_buffer(), dtype=np.int64) for c in table.column("counters"))
+    return pa.table({"slot": table.column("slot").slice(0, 1), "counters": pa.array([total.tobytes()], type=pa.binary())})
+
+
+def counters_of(texts: DataFrame, scratch: Scratch, name: str, words: int) -> np.ndarray:
+    """How often elements occur in the texts' sets, by hash: COUNTERS numbers, whatever the texts."""
+    level = scratch.keep(texts.mapInArrow(lambda it: _counted(it, words), COUNTED), f"{name}-counters")
+    width, k = level.agg(F.max("slot")).first()[0], 0
+    while width:
+        width, k = width // FAN_IN, k + 1
+        level = scratch.keep(level.withColumn("slot", F.floor(F.col("slot") / FAN_IN).cast("long")).groupBy("slot").applyInArrow(_added, COUNTED), f"{name}-counters-{k}")
+    found = level.toArrow()
+    return np.frombuffer(found.column("counters")[0].as_buffer(), dtype=np.int64) if found.num_rows else np.zeros(COUNTERS, dtype=np.int64)
+
+
+def _rare(batches: Iterator[pa.RecordBatch], words: int, counters: object) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for first, data, offsets in kernel.byte_chunks(batch.column("text")):
+            sets = kernel.shingle_sets(data, offsets, words)
+            ids, found = pa.array([set_names(e)[0] for e in sets], type=pa.int64()), pa.array([rarest(e, counters.value) if len(e) else b"" for e in sets], type=pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(first, len(sets)), ids, found], names=["doc_id", "id", "rare"])
+    kernel.release()
+
+
+def mixed_members(members: DataFrame, names: DataFrame, texts: DataFrame, features: DataFrame, scratch: Scratch, k: int, words: int) -> DataFrame:
+    """The rows of large buckets (signature, id, band, block) that still hold several groups, with what tells them apart:
+    group, n, sketch and rare elements."""
     rows = members.join(names, "id")
     mixed = rows.groupBy("signature").agg(F.min("group").alias("low"), F.max("group").alias("high"), F.max("block").alias("last")).where("low < high").select("signature", "last")
-    rows = rows.join(mixed, "signature").join(features.select("doc_id", "band", "n", "sketch"), ["doc_id", "band"])
+    rows = scratch.keep(rows.join(mixed, "signature").select("signature", "id", "doc_id", "band", "block", "last", "group"), f"mixed-{k}")
+    own = scratch.keep(texts.join(rows.select("doc_id").distinct(), "doc_id", "left_semi"), f"mixed-texts-{k}")
+    counters = texts.sparkSession.sparkContext.broadcast(counters_of(own, scratch, f"mixed-{k}", words))
+    rare = own.mapInArrow(lambda it: _rare(it, words, counters), "doc_id long, id long, rare binary")
+    told = features.select("doc_id", F.col("d1").alias("id"), "band", "n", "sketch").join(rare, ["doc_id", "id"]).dropDuplicates(["doc_id", "id", "band"])
+    told = scratch.keep(told, f"told-{k}")
+    scratch.drop(f"mixed-texts-{k}")
+    return rows.join(told, ["doc_id", "id", "band"])
+
+
+def propose(rows: DataFrame, forest: bool) -> DataFrame:
+    """Pairs (a, b) of mixed members."""
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("last"))))
-    rows = rows.select("signature", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "doc_id", "group", "n", "sketch")
+    rows = rows.select("signature", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "doc_id", "group", "n", "sketch", "rare")
     dealt = rows.repartition("signature", "low", "high").sortWithinPartitions("signature", "low", "high", "doc_id")
     return dealt.mapInArrow(lambda it: _propose(it, forest), "a long, b long").distinct()
 
@@ -365,7 +451,10 @@ def jaccard_join(docs: DataFrame, words: int = WORDS) -> DataFrame:
     groups = components(links, scratch, "united-0")
     for k, forest in ((1, None), (2, True), (3, False)):
         names = scratch.keep(grouped(names, groups), f"names-{k}")
-        found = passing(named(pairs.drop("star"), names), usable) if forest is None else propose(members, names, usable, forest)
+        if forest is None:
+            found = passing(named(pairs.drop("star"), names), usable)
+        else:
+            found = propose(mixed_members(members, names, texts, usable, scratch, k, words), forest)
         for before in tried:
             found = found.join(before, ["a", "b"], "left_anti")
         tried.append(scratch.keep(found, f"tried-{k}"))
