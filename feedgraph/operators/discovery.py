@@ -13,7 +13,7 @@ from feedgraph.operators.authorship import author_flags
 from feedgraph.operators.normalize import discovered_rows
 from feedgraph.operators.upsert import upsert_channels
 from feedgraph.schemas import FIRST_PERSON, MIN_SUBSCRIBERS, PRONOUNS_NEEDED, READY, REJECTED
-from feedgraph.sources.store import shared_folder
+from feedgraph.sources.store import Store, shared_folder
 
 
 def candidates(edges: DataFrame) -> DataFrame:
@@ -45,17 +45,22 @@ def first_finds(found: DataFrame) -> DataFrame:
 
 def round_changes(
     channels: DataFrame, raw_channels: DataFrame, edges: DataFrame, messages: DataFrame, ids: DataFrame, now: Column,
-    least: int = MIN_SUBSCRIBERS, lexicon: Sequence[str] = FIRST_PERSON, needed: int = PRONOUNS_NEEDED,
+    least: int = MIN_SUBSCRIBERS, lexicon: Sequence[str] = FIRST_PERSON, needed: int = PRONOUNS_NEEDED, more: DataFrame | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """What one expansion of the claimed ids (id, claim_order) finds: rows of new channels, and the new states (id,
-    new_status) of the claimed ones.
+    new_status) of the claimed ones. more: edges of channels that have been expanded before, with their claim_order.
 
-    Cheap filters come first: the gate and the anti join cut the candidates before any message is read."""
+    Cheap filters come first: the gate and the anti join cut the candidates before any message is read. The candidates
+    that pass are written, as both the judging and the saving read them."""
     rejected = lifecycle.unresolved(ids, raw_channels)
     sources = ids.join(rejected, "id", "left_anti").withColumnRenamed("id", "src_id")
-    found = new_candidates(candidates(edges.join(sources.select("src_id"), "src_id", "left_semi")), channels)
-    found = subscriber_gate(with_full_info(found, raw_channels), least)
-    found = first_finds(found.join(sources, "src_id"))
+    reached = candidates(edges).join(sources, "src_id")
+    if more is not None:
+        reached = reached.unionByName(candidates(more).join(more.select("src_id", "claim_order").distinct(), "src_id"))
+    found = first_finds(subscriber_gate(with_full_info(new_candidates(reached, channels), raw_channels), least))
+    path = shared_folder(channels.sparkSession, "found")
+    found.write.parquet(path)
+    found = channels.sparkSession.read.schema(found.schema).parquet(path)
     flags = author_flags(found, messages.join(found.select(F.col("id").alias("channel_id")), "channel_id", "left_semi"), lexicon, needed)
     rows = discovered_rows(found.join(flags, "id"), F.col("is_author_blog")).withColumns({"created_at": now, "updated_at": now})
     return rows, rejected.withColumn("new_status", F.lit(REJECTED)).union(sources.select("src_id", F.lit(READY)))
@@ -70,6 +75,32 @@ def expand_round(
     return lifecycle.transition(upsert_channels(channels, rows), ends, now)
 
 
+def expand_all(
+    channels: Store, raw_channels: DataFrame, edges: DataFrame, messages: DataFrame, now: Column, seed: str,
+    least: int = MIN_SUBSCRIBERS, lexicon: Sequence[str] = FIRST_PERSON, needed: int = PRONOUNS_NEEDED,
+) -> DataFrame:
+    """Expand every pending channel of the table, then what that finds, until no channel is pending; id and round of the
+    channels found (claimed channels of the table are round 0's work, and what they find is of round 1).
+
+    Each round is one write to the table, new channels and new states together, so that a run that breaks off goes on where
+    it was. edges are dealt to their sources once: a round's join shuffles its frontier alone."""
+    spark, home = channels.spark, shared_folder(channels.spark, "expand-all")
+    edges.repartition("src_id").sortWithinPartitions("src_id").write.parquet(f"{home}/edges")
+    edges = spark.read.schema(edges.schema).parquet(f"{home}/edges")
+    spark.createDataFrame([], "id long").write.parquet(f"{home}/rounds/round=0")
+    for k in count(1):
+        known = channels.read()
+        lifecycle.claim(known, None, seed).write.parquet(f"{home}/claimed-{k}")
+        ids = spark.read.schema("id long, claim_order struct<draw: string, id: long>").parquet(f"{home}/claimed-{k}")
+        if ids.isEmpty():
+            break
+        rows, ends = round_changes(known, raw_channels, edges, messages, ids, now, least, lexicon, needed)
+        rows.write.parquet(f"{home}/rounds/round={k}")
+        rows = spark.read.schema(rows.schema).parquet(f"{home}/rounds/round={k}")
+        channels.append(rows, ends.select("id", F.col("new_status").alias("status"), now.alias("updated_at")))
+    return spark.read.schema("id long, round int").option("basePath", f"{home}/rounds").parquet(f"{home}/rounds")
+
+
 def expand(seeds: DataFrame, edges: DataFrame, max_rounds: int | None = None) -> DataFrame:
     """id, depth of all that seeds (id) reach along edges (src_id, id), until a round finds nothing new (or, as a guard,
     after so many rounds).

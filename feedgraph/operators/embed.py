@@ -6,15 +6,14 @@ import hashlib
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
+from pyspark.sql.types import ArrayType, DoubleType, FloatType, StringType, StructField, StructType
 
 from feedgraph.functions.columns import has_text
-from feedgraph.schemas import DIMENSION
+from feedgraph.schemas import DIMENSION, VECTOR_BATCH
 
 Encoder = Callable[[Sequence[str]], np.ndarray]
 
@@ -48,22 +47,38 @@ def hash_vectors(texts: DataFrame, key: str, text: str, dimension: int = DIMENSI
     return with_hash_vectors(texts.select(key, text), text, dimension).select(key, "vector").where("vector is not null")
 
 
-def encode(texts: DataFrame, encoder: Callable[[], Encoder], dimension: int, text: str = "text") -> DataFrame:
-    """Adds vector and error. encoder() is called once for each worker's task and encodes a batch; where a batch fails,
-    its rows are tried one by one, and a failing row gets its error instead of a vector."""
-
-    @F.pandas_udf("vector array<float>, error string")
-    def encoded(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        model = encoder()
-        for batch in batches:
-            try:
-                vectors = list(np.asarray(model(batch.tolist()), dtype=np.float32).reshape(len(batch), dimension))
-                yield pd.DataFrame({"vector": vectors, "error": [None] * len(batch)})
-            except Exception:  # noqa: BLE001  any failure of a plug-in is a row's failure
-                rows = [_one(model, value, dimension) for value in batch]
-                yield pd.DataFrame(rows, columns=["vector", "error"])
-
-    return texts.withColumn("_out", encoded(F.col(text))).select("*", "_out.vector", "_out.error").drop("_out")
+def encode(texts: DataFrame, encoder: Callable[[], Encoder], dimension: int, text: str = "text", batch: int = VECTOR_BATCH) -> DataFrame:
+    """Adds vector and error. encoder() is called once for each task; it encodes batch rows at a time, whatever the Arrow
+    batches are, and what is left at the end. Where a batch fails, its rows are tried one by one, and a failing row gets
+    its error instead of a vector."""
+
+    def encoded(own: pa.Table, model: Encoder) -> pa.Table:
+        values = own.column(text).to_pylist()
+        try:
+            found = [(v, None) for v in np.asarray(model(values), dtype=np.float32).reshape(len(values), dimension)]
+        except Exception:  # noqa: BLE001  any failure of a plug-in is a row's failure
+            found = [_one(model, value, dimension) for value in values]
+        vectors = pa.array([None if v is None else v.tolist() for v, _ in found], type=pa.list_(pa.float32()))
+        return own.append_column("vector", vectors).append_column("error", pa.array([e for _, e in found], type=pa.string()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model, held = encoder(), None
+        for more in batches:
+            held = pa.Table.from_batches([more]) if held is None else pa.concat_tables([held, pa.Table.from_batches([more])])
+            while held.num_rows >= batch:
+                yield from encoded(held.slice(0, batch), model).combine_chunks().to_batches()
+                held = held.slice(batch)
+        if held is not None and held.num_rows:
+            yield from encoded(held, model).combine_chunks().to_batches()
+
+    schema = StructType([*texts.schema.fields, StructField("vector", ArrayType(FloatType())), StructField("error", StringType())])
+    return texts.mapInArrow(run, schema)
+
+
+def encode_posts(posts: DataFrame, encoder: Callable[[], Encoder], dimension: int, batch: int = VECTOR_BATCH) -> DataFrame:
+    """Posts (post_id, channel_id, content) with text, encoded in one pass: points where error is null, failures elsewhere."""
+    texts = embeddable(posts).select("post_id", "channel_id", F.col("content").alias("text"))
+    return encode(texts, encoder, dimension, batch=batch)
 
 
 def _one(model: Encoder, value: str, dimension: int) -> tuple[np.ndarray | None, str | None]:

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from feedgraph.schemas import PENDING, PROCESSING, READY, REJECTED
+from feedgraph.sources.store import Store, shared_folder
+
+CLAIM = "claim"  # the tag of claims
 
 
 def ready_author_channels(channels: DataFrame) -> DataFrame:
@@ -32,6 +36,28 @@ def claim_for_parsing(channels: DataFrame, n: int, seed: str) -> DataFrame:
     return claim(channels, n, seed, (F.col("status") == READY) & F.col("is_author_blog"))
 
 
+def claim_exclusively(
+    store: Store, n: int | None, seed: str, now: Column, eligible: Column | None = None, patience: float = 600.0, pause: float = 0.2
+) -> DataFrame:
+    """Claim n channels of a stored table for one worker and set them processing; ids and claim_order, as written.
+
+    Claims are numbered. Whoever creates the marker file of the next number claims; the others wait until that claim can
+    be read and draw again among what is left, so no two workers get the same channel."""
+    until = time.monotonic() + patience
+    while True:
+        number = store.applied(CLAIM) + 1
+        if store.exclusive(f"claims/{number:012d}"):
+            break
+        if time.monotonic() > until:
+            raise TimeoutError(f"claim {number} has a marker, but has not been written: delete claims/{number:012d} if its worker is dead")
+        time.sleep(pause)
+    path = shared_folder(store.spark, "claim")
+    claim(store.read(), n, f"{seed}-{number}", eligible).write.parquet(path)
+    drawn = store.spark.read.schema("id long, claim_order struct<draw: string, id: long>").parquet(path)
+    store.append(patches=drawn.select("id", F.lit(PROCESSING).alias("status"), now.alias("updated_at")), tag=(CLAIM, number))
+    return drawn
+
+
 def transition(channels: DataFrame, changes: DataFrame, now: Column) -> DataFrame:
     """Set statuses by (id, new_status), whatever the state before; unknown ids change nothing."""
     moved = channels.join(changes.select("id", "new_status"), "id", "left")

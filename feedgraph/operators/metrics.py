@@ -2,12 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from feedgraph.functions.columns import has_text
 
 
+def post_counters() -> dict[str, Column]:
+    """Counters of a run of post rows (content): written, saved (with content) and with text to embed."""
+    return {"n_rows": F.count(F.lit(1)), "n_saved": F.count_if(F.col("content") != ""), "n_valid": F.count_if(has_text(F.col("content")))}
+
+
+def observed(rows: DataFrame, name: str, counters: dict[str, Column]) -> tuple[DataFrame, Observation]:
+    """Rows that count themselves while they are written: after that the observation's get has the counters."""
+    seen = Observation(name)
+    return rows.observe(seen, *[c.alias(n) for n, c in counters.items()]), seen
+
+
 def posts_saved(posts: DataFrame) -> DataFrame:
     """Posts with content for each channel; white space counts."""
     return posts.groupBy("channel_id").agg(F.count_if(F.col("content") != "").alias("n_saved"))

@@ -1,4 +1,12 @@
-"""Exact cosine search."""
+"""Exact cosine search by pivots.
+
+Points are grouped around pivots, a bounded sample of them, by the smallest angle, and within a group by rings of that
+angle; a ring of many points is dealt to tiles of bounded size. For angles the triangle inequality holds: a point of a
+ring whose angles to the pivot are between a and b is at least max(t - b, a - t) from a query whose angle to the pivot is
+t. A query first visits the nearest groups that hold k points, which bounds its k-th angle; then it visits the rings that
+may hold a nearer point, and no others. Queries and tiles meet by key in an equi-join; blocks of both are bounded, and
+every point that is skipped is skipped by proof.
+"""
 
 from __future__ import annotations
 
@@ -9,27 +17,102 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from feedgraph.sources.store import shared_folder
+
 HITS = "query_id long, post_id long, score double"
+PIVOTS, RINGS = 128, 16
+SLACK = 1e-6  # radians; angles near zero are known to about 1e-8 only
+
+
+def unit(vectors: pa.Array, rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """Unit vectors, and which rows have one (zero vectors do not)."""
+    matrix = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(rows, -1)
+    norms = np.linalg.norm(matrix, axis=1)
+    good = norms > 0
+    return matrix[good] / norms[good, None], good
+
+
+def angles(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.arccos(np.clip(a @ b.T, -1.0, 1.0))
+
+
+def _placed(batches: Iterator[pa.RecordBatch], pivots: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Adds to each point that has a direction its pivot and the angle to it."""
+    for batch in batches:
+        if batch.num_rows:
+            own, good = unit(batch.column("vector"), batch.num_rows)
+            theta = angles(own, pivots)
+            nearest = theta.argmin(axis=1) if len(own) else np.zeros(0, dtype=np.int64)
+            kept = batch.filter(pa.array(good))
+            angle = theta[np.arange(len(own)), nearest]
+            yield pa.RecordBatch.from_arrays([kept.column("id"), kept.column("vector"), pa.array(nearest.astype(np.int32)), pa.array(angle)], names=["id", "vector", "pivot", "angle"])
+
+
+class Index:
+    """Points (id, vector) in tiles, written as a table: tile number within a ring, pivot, ring; and the rings' bounds, at
+    most PIVOTS times RINGS rows, on the driver."""
+
+    def __init__(self, points: DataFrame, rows: int, pivots: int = PIVOTS) -> None:
+        spark = points.sparkSession
+        self.spark, home = spark, shared_folder(spark, "pivots")
+        good = points.where("id is not null and vector is not null and size(vector) > 0")
+        drawn = good.orderBy(F.md5(F.col("id").cast("string")), "id").limit(pivots).toArrow()
+        if drawn.num_rows == 0:
+            self.rings = []
+            return
+        self.pivots = unit(drawn.column("vector").combine_chunks(), drawn.num_rows)[0]
+        if len(self.pivots) == 0:
+            self.pivots = np.eye(1, len(drawn.column("vector")[0]))
+        centres = self.pivots
+        kind = points.schema["vector"].dataType.simpleString()
+        good.select("id", "vector").mapInArrow(lambda it: _placed(it, centres), f"id long, vector {kind}, pivot int, angle double").write.parquet(f"{home}/placed")
+        placed = spark.read.parquet(f"{home}/placed")
+        spread = placed.groupBy("pivot").agg(F.min("angle").alias("low"), F.max("angle").alias("high"))  # a row for each pivot
+        ring = F.when(F.col("high") > F.col("low"), F.least(F.floor((F.col("angle") - F.col("low")) / (F.col("high") - F.col("low")) * RINGS), F.lit(RINGS - 1))).otherwise(0).cast("int")
+        ringed = placed.join(F.broadcast(spread), "pivot").withColumn("ring", ring)
+        counted = ringed.groupBy("pivot", "ring").agg(F.count("*").alias("n"), F.min("angle").alias("low"), F.max("angle").alias("high"))
+        self.rings = sorted((r["pivot"], r["ring"], r["n"], r["low"], r["high"]) for r in counted.collect())
+        sizes = spark.createDataFrame([(p, r, -(-n // rows)) for p, r, n, _, _ in self.rings], "pivot int, ring int, tiles long")
+        tile = F.pmod(F.xxhash64("id"), F.col("tiles"))
+        dealt = ringed.join(F.broadcast(sizes), ["pivot", "ring"]).select("pivot", "ring", tile.alias("tile"), "id", "vector")
+        packed(dealt, ["pivot", "ring", "tile"], rows, "p").write.parquet(f"{home}/tiles")
+        self.tiles = spark.read.parquet(f"{home}/tiles")
 
 
-def _packed(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
-    """Blocks of unit vectors as one row each: ids and matrix. Zero vectors are left out."""
+def _pack(batches: Iterator[pa.RecordBatch], keys: list[str], rows: int) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by key -> a row for each run of at most so many: key, ids and matrix of unit vectors."""
+    held: pa.Table | None = None
+
+    def block(table: pa.Table) -> pa.RecordBatch:
+        matrix, good = unit(table.column("vector").combine_chunks(), table.num_rows)
+        ids = table.column("id").to_numpy()[good]
+        key = [pa.array([table.column(k)[0].as_py()], type=table.schema.field(k).type) for k in keys]
+        return pa.RecordBatch.from_arrays([*key, pa.array([ids.tobytes()], type=pa.binary()), pa.array([matrix.tobytes()], type=pa.binary())], names=[*keys, "ids", "matrix"])
+
+    def cut(table: pa.Table, last: bool) -> tuple[list[pa.RecordBatch], pa.Table | None]:
+        values = np.stack([table.column(k).to_numpy() for k in keys], axis=1)
+        starts = [0, *(np.flatnonzero((values[1:] != values[:-1]).any(axis=1)) + 1).tolist(), table.num_rows]
+        out = []
+        for a, b in zip(starts[:-1], starts[1:], strict=True):
+            whole = b if last or b < table.num_rows else a + (b - a) // rows * rows
+            out += [block(table.slice(at, min(rows, whole - at))) for at in range(a, whole, rows)]
+        return out, None if last or whole == table.num_rows else table.slice(whole)
+
     for batch in batches:
-        for at in range(0, batch.num_rows, rows):
-            own = batch.slice(at, rows)
-            vectors = own.column("vector").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(own.num_rows, -1)
-            norms = np.linalg.norm(vectors, axis=1)
-            good = norms > 0
-            ids = own.column("id").to_numpy()[good]
-            if len(ids):
-                matrix = vectors[good] / norms[good, None]
-                yield pa.RecordBatch.from_arrays([pa.array([ids.tobytes()], type=pa.binary()), pa.array([matrix.tobytes()], type=pa.binary())], names=["ids", "matrix"])
+        if batch.num_rows:
+            more = pa.Table.from_batches([batch])
+            out, held = cut(more if held is None else pa.concat_tables([held, more]), False)
+            yield from out
+    if held is not None:
+        yield from cut(held, True)[0]
 
 
-def blocks(vectors: DataFrame, rows: int, prefix: str) -> DataFrame:
-    """Vectors (id, vector) by blocks of so many rows, as they lie: nothing is shuffled."""
-    packed = vectors.where("id is not null and vector is not null").mapInArrow(lambda it: _packed(it, rows), "ids binary, matrix binary")
-    return packed.select(F.col("ids").alias(f"{prefix}_ids"), F.col("matrix").alias(f"{prefix}_matrix"))
+def packed(rows: DataFrame, keys: list[str], block: int, prefix: str) -> DataFrame:
+    """Vectors (id, vector) with the same keys in blocks of bounded rows."""
+    kinds = ", ".join(f"{k} {rows.schema[k].dataType.simpleString()}" for k in keys)
+    dealt = rows.select(*keys, "id", "vector").repartition(*keys).sortWithinPartitions(*keys)
+    blocks = dealt.mapInArrow(lambda it: _pack(it, keys, block), f"{kinds}, ids binary, matrix binary")
+    return blocks.withColumnsRenamed({"ids": f"{prefix}_ids", "matrix": f"{prefix}_matrix"})
 
 
 def _best(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
@@ -51,16 +134,76 @@ def _best(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]
             yield pa.RecordBatch.from_arrays([pa.array(queries[q]), pa.array(points[p]), pa.array(score[q, p])], names=["query_id", "post_id", "score"])
 
 
-def cosine_topk(points: DataFrame, queries: DataFrame, k: int, channel_id: int | None = None, block: int = 1024, point_block: int = 8192) -> DataFrame:
-    """query_id, post_id, score, rank of the k most similar points (post_id, vector, channel_id) of each query
-    (query_id, vector). Zero vectors are never ranked.
+def _visits(batches: Iterator[pa.RecordBatch], pivots: np.ndarray, rings: np.ndarray, k: int, second: bool) -> Iterator[pa.RecordBatch]:
+    """The rings that each query visits: first those of the nearest pivots that hold k points, then the others whose lower
+    bound is not above the bound found."""
+    pivot, _, count, low, high = rings.T
+    of_pivot = pivot.astype(np.int64)
+    per_pivot = np.bincount(of_pivot, count, minlength=len(pivots))
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        own, good = unit(batch.column("vector"), batch.num_rows)
+        kept = batch.filter(pa.array(good))
+        theta = angles(own, pivots)
+        order = np.argsort(theta, axis=1)
+        before = np.cumsum(per_pivot[order], axis=1) - per_pivot[order]
+        near = np.zeros(theta.shape, dtype=bool)
+        np.put_along_axis(near, order, before < k, axis=1)
+        visited = near[:, of_pivot]
+        if second:
+            to = theta[:, of_pivot]
+            bound = kept.column("bound").to_numpy()
+            least = np.maximum(np.maximum(to - high, low - to), 0.0)
+            visited = ~visited & (least <= bound[:, None] + SLACK)
+        q, r = np.nonzero(visited)
+        yield pa.RecordBatch.from_arrays([
+            kept.column("query_id").take(pa.array(q)), kept.column("vector").take(pa.array(q)), pa.array(of_pivot[r].astype(np.int32)), pa.array(rings[r, 1].astype(np.int32)),
+        ], names=["id", "vector", "pivot", "ring"])
 
-    Queries and points are packed into blocks where they lie, and every block of queries meets every block of points:
-    a matrix product each, of which k points a query are left. Blocks are bounded rows, none passes through the driver,
-    and Spark broadcasts one side only if its size allows. A channel filter is applied at the scan."""
-    chosen = points if channel_id is None else points.where(F.col("channel_id") == channel_id)
-    asked = blocks(queries.select(F.col("query_id").alias("id"), "vector"), block, "q")
-    met = blocks(chosen.select(F.col("post_id").alias("id"), "vector"), point_block, "p").crossJoin(asked)
-    hits = met.mapInArrow(lambda it: _best(it, k), HITS)
+
+def _ranked(hits: DataFrame, k: int) -> DataFrame:
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "post_id"))
     return hits.withColumn("rank", rank).where(F.col("rank") <= k)
+
+
+def search(index: Index, queries: DataFrame, k: int, block: int) -> tuple[DataFrame, DataFrame]:
+    """(hits, visits): the best points of each query, and the (query, ring) visits that were made (with pivot, ring, pass)."""
+    spark, home = index.spark, shared_folder(index.spark, "search")
+    kind = queries.schema["vector"].dataType.simpleString()
+    pivots, rings = index.pivots, np.array(index.rings, dtype=np.float64)
+    asked = queries.where("query_id is not null and vector is not null and size(vector) > 0").select("query_id", "vector")
+    salt = F.pmod(F.xxhash64("id"), F.lit(max(1, -(-asked.count() // block))))
+
+    def met(asked: DataFrame, second: bool, name: str) -> None:
+        visits = asked.mapInArrow(lambda it: _visits(it, pivots, rings, k, second), f"id long, vector {kind}, pivot int, ring int")
+        visits.write.parquet(f"{home}/visits-{name}")
+        visits = spark.read.parquet(f"{home}/visits-{name}").withColumn("salt", salt)
+        pairs = packed(visits, ["pivot", "ring", "salt"], block, "q").join(index.tiles, ["pivot", "ring"]).select("q_ids", "q_matrix", "p_ids", "p_matrix")
+        _ranked(pairs.mapInArrow(lambda it: _best(it, k), HITS), k).drop("rank").write.parquet(f"{home}/hits-{name}")
+
+    met(asked, False, "1")
+    first = spark.read.parquet(f"{home}/hits-1")
+    bound = first.groupBy("query_id").agg(F.count("*").alias("n"), F.min("score").alias("worst"))
+    angle = F.when(F.col("n") >= k, F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("worst"))))).otherwise(F.lit(4.0))
+    met(asked.join(bound, "query_id", "left").select("query_id", "vector", F.coalesce(angle, F.lit(4.0)).alias("bound")), True, "2")
+    both = [spark.read.parquet(f"{home}/visits-{n}").select(F.col("id").alias("query_id"), "pivot", "ring", F.lit(int(n)).alias("pass")) for n in "12"]
+    return first.union(spark.read.parquet(f"{home}/hits-2")), both[0].union(both[1])
+
+
+def cosine_topk(points: DataFrame, queries: DataFrame, k: int, channel_id: int | None = None, block: int = 1024, point_block: int = 8192) -> DataFrame:
+    """query_id, post_id, score, rank of the k most similar points (post_id, vector, channel_id) of each query
+    (query_id, vector). Zero vectors are never ranked. A channel filter is applied before points are grouped, so bounds
+    are those of the channel's points."""
+    chosen = points if channel_id is None else points.where(F.col("channel_id") == channel_id)
+    index = Index(chosen.select(F.col("post_id").alias("id"), "vector"), point_block)
+    if not index.rings:
+        return points.sparkSession.createDataFrame([], f"{HITS}, rank int")
+    return _ranked(search(index, queries, k, block)[0], k)
+
+
+def tiles_visited(index: Index, visits: DataFrame, n_queries: int) -> float:
+    """The share of all pairs of query and point that the visits compared."""
+    sizes = index.spark.createDataFrame([(p, r, n) for p, r, n, _, _ in index.rings], "pivot int, ring int, n long")
+    compared = visits.join(F.broadcast(sizes), ["pivot", "ring"]).agg(F.sum("n")).first()[0] or 0
+    return compared / max(1, n_queries * sum(n for _, _, n, _, _ in index.rings))

@@ -44,10 +44,15 @@ CHANNEL_UPDATE = ("username", "title", "description", "subscribers_count", "avat
 POST_UPDATE = ("content", "published_at", "views", "comments_count", "shares_count", "reactions_count", "updated_at")
 
 
-def upsert_channels(base: DataFrame, incoming: DataFrame, preserve: Sequence[str] = ()) -> DataFrame:
-    """By id; created_at stays. Columns that incoming lacks take insert defaults: pending, and an unknown author flag."""
+def with_channel_defaults(incoming: DataFrame) -> DataFrame:
+    """Columns that incoming lacks take insert defaults: pending, and an unknown author flag."""
     defaults = {"status": F.lit("pending"), "is_author_blog": F.lit(None).cast("boolean"), "created_at": F.col("updated_at")}
-    incoming = incoming.withColumns({c: v for c, v in defaults.items() if c not in incoming.columns})
+    return incoming.withColumns({c: v for c, v in defaults.items() if c not in incoming.columns})
+
+
+def upsert_channels(base: DataFrame, incoming: DataFrame, preserve: Sequence[str] = ()) -> DataFrame:
+    """By id; created_at stays."""
+    incoming = with_channel_defaults(incoming)
     return upsert(base, incoming, ["id"], [c for c in CHANNEL_UPDATE if c not in preserve], ["created_at"], preserve)
 
 

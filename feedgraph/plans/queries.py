@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from feedgraph.functions import columns as C
 from feedgraph.operators import authorship, constraints, discovery, embed, lifecycle, metrics, normalize, search, topk, upsert
 from feedgraph.plans import bindings as B
-from feedgraph.schemas import CHANNELS, MAX_LENGTHS, POST_VECTORS
+from feedgraph.schemas import MAX_LENGTHS
 from feedgraph.sources import bronze, refs
 from feedgraph.sources.store import Store, shared_folder
 from feedgraph.streaming import jobs
@@ -110,6 +110,24 @@ def rec_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return B.edges(spark, sf_dir).select("src_id", "cand.id", "cand.broadcast", "cand.username", "cand.title")
 
 
+@query(f"select line, value, 'file' as source from (select line - (select min(c_custkey) from customer) as line, value from ({B.sql(B.REFS, 'customer')})) union all select 0, string_agg(n_name, ',' order by n_nationkey), 'inline' from nation")
+def ref_precedence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """References from the file where there is no inline list, and from a list where there is one."""
+    path = written_refs(spark, sf_dir)
+    nations = B.load(spark, sf_dir, "nation").select("n_nationkey", "n_name").orderBy("n_nationkey").collect()  # 25 names
+    named = ",".join(r["n_name"] for r in nations)
+    listed = refs.channel_refs(spark, named, path).withColumn("source", F.lit("inline"))
+    return refs.channel_refs(spark, None, path).where("value <> ''").withColumn("source", F.lit("file")).unionByName(listed)
+
+
+@query(f"select id, username, title, status from ({CHANNEL})")
+def create_if_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A second creation leaves a filled table alone."""
+    path = home(spark, "channels")
+    filled(jobs.channel_store(spark, path, 8), B.channels(spark, sf_dir))
+    return jobs.channel_store(spark, path, 8).read().select("id", "username", "title", "status")
+
+
 # --- projections ---------------------------------------------------------------------------------------------------
 
 NORMAL_NAME = "case when username = '' then null when starts_with(username, '@') then substr(username, 2) else username end"
@@ -232,14 +250,14 @@ def new_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"select id, title, status from ({CHANNEL}) where id in (select o_custkey from orders)")
 def channels_by_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     wanted = B.load(spark, sf_dir, "orders").select(F.col("o_custkey").alias("id"))
-    return lifecycle.rows_by_keys(B.channels(spark, sf_dir), wanted, ["id"]).select("id", "title", "status")
+    channels = filled(jobs.channel_store(spark, home(spark, "channels"), 8), B.channels(spark, sf_dir))
+    return channels.lookup(wanted).select("id", "title", "status")
 
 
 @query(f"select channel_id, message_id, views from ({POST_ROWS}) where (channel_id, message_id) in (select user_id, event_id from events)")
 def posts_by_key(spark: SparkSession, sf_dir: str) -> DataFrame:
-    posts = normalize.post_rows(normalize.real_messages(B.event_messages(spark, sf_dir)))
     wanted = B.load(spark, sf_dir, "events").select(F.col("user_id").alias("channel_id"), F.col("event_id").alias("message_id"))
-    return lifecycle.rows_by_keys(posts, wanted, ["channel_id", "message_id"]).select("channel_id", "message_id", "views")
+    return filled_posts(spark, sf_dir).lookup(wanted).select("channel_id", "message_id", "views")
 
 
 @query(f"""
@@ -286,12 +304,21 @@ def embed_batch_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- upserts -------------------------------------------------------------------------------------------------------
 
 
-def stored(spark: SparkSession, name: str, schema: str, keys: list[str], put: Callable[[DataFrame, DataFrame], DataFrame], *batches: DataFrame) -> DataFrame:
-    """The table after the batches have been merged into it one by one."""
-    table = Store(spark, f"{shared_folder(spark, name)}/table", schema, keys, 8).create()
+def filled(store: Store, *batches: DataFrame) -> Store:
+    """The table after the batches have been appended one by one."""
     for batch in batches:
-        table.merge(batch, put)
-    return table.read().drop("bucket")
+        store.append(batch)
+    return store
+
+
+def home(spark: SparkSession, name: str) -> str:
+    return shared_folder(spark, name)
+
+
+def filled_posts(spark: SparkSession, sf_dir: str) -> Store:
+    rows = normalize.post_rows(normalize.real_messages(B.event_messages(spark, sf_dir)), "seq")
+    at = {"created_at": clock(B.NOW), "updated_at": clock(B.NOW)}
+    return filled(jobs.post_store(spark, home(spark, "posts"), 8), rows.withColumns({"id": C.post_key(F.col("channel_id"), F.col("message_id"))} | at))
 
 
 def parsed_again(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -312,7 +339,11 @@ from ({base}) b full outer join (select * from ({CHANNEL_ROWS}) where id % 2 = 0
 
 @query(channel_upsert_sql("case when i.id is not null then 'pending' else b.status end", "case when i.id is null then b.is_author_blog end"))
 def channel_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shown(stored(spark, "channels", CHANNELS, ["id"], upsert.upsert_channels, *parsed_again(spark, sf_dir)))
+    """Through the table, which is compacted in between."""
+    known, fresh = parsed_again(spark, sf_dir)
+    table = filled(jobs.channel_store(spark, home(spark, "channels"), 8), known)
+    table.compact()
+    return shown(filled(table, upsert.with_channel_defaults(fresh)).read())
 
 
 @query(channel_upsert_sql("case when b.id is not null then b.status else 'pending' end", "case when b.id is not null then b.is_author_blog end"))
@@ -332,8 +363,8 @@ def last_arrival(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""
 select channel_id, message_id, case when i.seq is not null then i.content else b.content end as content, case when i.seq is not null then i.views else b.views end as views,
   coalesce(b.created_at, i.updated_at) as created_at, coalesce(i.updated_at, b.updated_at) as updated_at
-from (select *, 'old' as content, {NOW} as created_at, {NOW} as updated_at from {LATEST.format(f"select * from ({REKEYED}) where seq % 3 <> 0 and channel_id % 5 <> 0")}) b
-full outer join (select *, case when seq % 2 = 0 then 'new' end as content, {LATER} as updated_at from {LATEST.format(f"select * from ({REKEYED}) where seq % 3 = 0 and channel_id % 7 <> 0")}) i
+from (select *, 'old' as content, {NOW} as created_at, {NOW} as updated_at from {LATEST.format(f"select * from ({REKEYED}) where seq % 3 <> 0")}) b
+full outer join (select *, case when seq % 2 = 0 then 'new' end as content, {LATER} as updated_at from {LATEST.format(f"select * from ({REKEYED}) where seq % 3 = 0")}) i
 using (channel_id, message_id)
 """)
 def post_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -344,23 +375,22 @@ def post_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
         nothing = {c: F.lit(None).cast("int") for c in ("comments_count", "shares_count", "reactions_count")}
         return latest.withColumns(nothing | {"content": content, "published_at": clock(B.NOW), "created_at": clock(at), "updated_at": clock(at)}).drop("seq")
 
-    base = posts(rows.where("seq % 3 <> 0 and channel_id % 5 <> 0"), F.lit("old"), B.NOW)
-    incoming = posts(rows.where("seq % 3 = 0 and channel_id % 7 <> 0"), F.when(F.col("seq") % 2 == 0, F.lit("new")), B.LATER)
+    base = posts(rows.where("seq % 3 <> 0"), F.lit("old"), B.NOW)
+    incoming = posts(rows.where("seq % 3 = 0"), F.when(F.col("seq") % 2 == 0, F.lit("new")), B.LATER)
     return shown(upsert.upsert_posts(base, incoming)).select("channel_id", "message_id", "content", "views", "created_at", "updated_at")
 
 
 @query("""
 select vec_id as post_id, case when vec_id % 4 = 0 then 'again' else 'text ' || vec_id end as text, case when vec_id % 4 = 0 then -1 else label::bigint end as channel_id,
   round(embedding[1]::double * case when vec_id % 4 = 0 then 2 else 1 end, 5) as first
-from embeddings where vec_id % 8 <> 3
+from embeddings
 """)
 def vector_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     points = B.vectors(spark, sf_dir)
-    base = points.where("post_id % 8 not in (3, 4)")
+    base = points.where("post_id % 8 <> 4")
     doubled = F.transform("vector", lambda v: (v * 2).cast("float"))
     incoming = points.where("post_id % 4 = 0").withColumns({"vector": doubled, "channel_id": F.lit(-1).cast("long"), "text": F.lit("again")})
-    merged = stored(spark, "vectors", POST_VECTORS, ["post_id"], upsert.upsert_vectors, base, incoming)
-    return merged.select("post_id", "text", "channel_id", F.round(F.element_at("vector", 1).cast("double"), 5).alias("first"))
+    return filled(jobs.vector_store(spark, home(spark, "vectors"), 8), base, incoming).read().select("post_id", "text", "channel_id", F.round(F.element_at("vector", 1).cast("double"), 5).alias("first"))
 
 
 # --- windows and claims --------------------------------------------------------------------------------------------
@@ -381,10 +411,17 @@ def claim_sql(where: str, n: int) -> str:
     return f"select id, case when id in ({chosen}) then 'processing' else status end as status from ({CHANNEL})"
 
 
-@query(claim_sql("status = 'pending'", 50))
+@query(f"""
+with first as (select id from ({CHANNEL}) where status = 'pending' order by md5('{SEED}-0-' || id), id limit 25),
+second as (select id from ({CHANNEL}) where status = 'pending' and id not in (select id from first) order by md5('{SEED}-1-' || id), id limit 25)
+select id, case when id in (select id from first) or id in (select id from second) then 'processing' else status end as status from ({CHANNEL})
+""")
 def claim_pending(spark: SparkSession, sf_dir: str) -> DataFrame:
-    channels = B.channels(spark, sf_dir)
-    return lifecycle.claimed(channels, lifecycle.claim(channels, 50, SEED), clock()).select("id", "status")
+    """Two workers' claims through the table."""
+    channels = filled(jobs.channel_store(spark, home(spark, "channels"), 8), B.channels(spark, sf_dir))
+    for _ in range(2):
+        lifecycle.claim_exclusively(channels, 25, SEED, clock())
+    return channels.read().select("id", "status")
 
 
 @query(claim_sql("status = 'ready_for_parsing' and is_author_blog", 20))
@@ -407,10 +444,22 @@ def fk_orphans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return constraints.split_by_parent(events, customers, "user_id", "c_custkey")[1].select("event_id", "user_id")
 
 
-@query("select event_id, user_id from events where user_id % 4 <> 0")
+@query(f"""
+select 'channel' as kind, id, null as channel_id from ({CHANNEL}) where id % 4 <> 0
+union all select 'post', id, channel_id from ({B.EVENT_SQL}) where kind = 'message' and channel_id % 4 <> 0
+union all select 'vector', id, channel_id from ({B.EVENT_SQL}) where kind = 'message' and channel_id % 4 <> 0
+""")
 def cascade_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
-    deleted = B.load(spark, sf_dir, "events").where("user_id % 4 = 0").select("user_id").distinct()
-    return constraints.cascade_delete(B.load(spark, sf_dir, "events"), deleted, "user_id").select("event_id", "user_id")
+    """Every fourth channel goes, and its posts and their points with it; what the three tables hold then."""
+    channels, posts = filled(jobs.channel_store(spark, home(spark, "channels"), 8), B.channels(spark, sf_dir)), filled_posts(spark, sf_dir)
+    points = posts.read().select(F.col("id").alias("post_id"), F.array(F.lit(1.0)).alias("vector"), "channel_id", F.lit("").alias("text"))
+    vectors = filled(jobs.vector_store(spark, home(spark, "vectors"), 8), points)
+    constraints.delete_channels(B.channels(spark, sf_dir).where("id % 4 = 0").select("id"), channels, posts, vectors)
+    channels.compact()
+    kept = B.event_messages(spark, sf_dir).select(F.col("id").alias("event_id"), C.post_key(F.col("channel_id"), F.col("id")).alias("post_id"))
+    left = channels.read().select(F.lit("channel").alias("kind"), "id", F.lit(None).cast("long").alias("channel_id"))
+    left = left.union(posts.read().select(F.lit("post"), "message_id", "channel_id"))
+    return left.union(vectors.read().join(kept, "post_id").select(F.lit("vector"), "event_id", "channel_id"))
 
 
 @query(f"""
@@ -495,6 +544,32 @@ def expand_bfs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return discovery.expand(seeds, spark.read.schema(links.schema).parquet(path))
 
 
+#: All that pending part channels reach: with the table's other channels, the round of discovery and the author flag.
+WALK = f"""
+with recursive part_channels as ({B.sql(B.PART, 'part')}), all_edges as ({B.EDGE_SQL}),
+links as (select e.src_id, e.id from all_edges e join part_channels p on p.id = e.id
+          where e.broadcast and e.username <> '' and e.id % 3 <> 0 and e.id % 23 <> 0 and p.subscribers_count >= {B.MIN_PRICE}),
+walk as (select id, 0 as round from part_channels where id % 3 = 0 and status = 'pending' and id % 23 <> 0 and broadcast
+         union select l.id, w.round + 1 from walk w join links l on l.src_id = w.id where w.round < 60),
+first as (select id, min(round) as round from walk group by id),
+walked as (
+  select id, title, status, cast(null as boolean) as is_author_blog, 0 as round, status = 'pending' as claimed, id % 23 = 0 or not broadcast as odd from part_channels where id % 3 = 0
+  union all
+  select p.id, p.title, 'pending', coalesce(a.is_author_blog, false), f.round, true, false
+  from first f join part_channels p on p.id = f.id left join ({AUTHORS}) a on a.id = f.id where f.round > 0)
+"""
+WALK_STATUS = "case when claimed {0} then (case when odd then 'rejected' else 'ready_for_parsing' end) else status end"
+
+
+@query(f"{WALK} select id, title, {WALK_STATUS.format('')} as status, is_author_blog, round from walked")
+def expand_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole rounds through the table until no channel is pending."""
+    channels = filled(jobs.channel_store(spark, home(spark, "grown"), 8), known_parts(spark, sf_dir))
+    raw, messages = B.raw_parts(spark, sf_dir), B.document_messages(spark, sf_dir)
+    found = discovery.expand_all(channels, raw, B.edges(spark, sf_dir), messages, clock(), SEED, B.MIN_PRICE, B.LEXICON, B.WORDS_NEEDED)
+    return channels.read().join(found, "id", "left").select("id", "title", "status", "is_author_blog", F.coalesce("round", F.lit(0)).alias("round"))
+
+
 # --- embedding and search ------------------------------------------------------------------------------------------
 
 WEIGHTS = f"""
@@ -538,11 +613,21 @@ def letter_encoder() -> embed.Encoder:
     return run
 
 
-@query()
+FALLBACK = """
+select doc_id as post_id, not contains(text, '$$$') as encoded, case when not contains(text, '$$$') then length(regexp_replace(lower(text), '[^a-z]', '', 'g'))::double end as letters,
+  case when contains(text, '$$$') then 'unreadable text' end as error
+from documents where trim(text) <> ''
+"""
+
+
+@query(FALLBACK)
 def embed_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
-    posts = document_posts(spark, sf_dir)
-    done = embed.encode(posts, letter_encoder, 26, "content")
-    return done.select("post_id", F.col("error").isNull().alias("encoded"), F.aggregate("vector", F.lit(0.0), lambda acc, v: acc + v.cast("double")).alias("letters"), "error")
+    """The embedding job with a plugged-in encoder: points and failures come from two tables."""
+    vectors, failures = jobs.vector_store(spark, home(spark, "vectors"), 8), jobs.failure_store(spark, home(spark, "failures"), 8)
+    jobs.embed_into(document_posts(spark, sf_dir), vectors, failures, letter_encoder, 26)
+    letters = F.aggregate("vector", F.lit(0.0), lambda acc, v: acc + v.cast("double"))
+    good = vectors.read().select("post_id", F.lit(True).alias("encoded"), letters.alias("letters"), F.lit(None).cast("string").alias("error"))
+    return good.union(failures.read().select("post_id", F.lit(False), F.lit(None).cast("double"), "error"))
 
 
 def topk_sql(where: str) -> str:
@@ -575,13 +660,13 @@ def cosine_topk_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def ingested(spark: SparkSession, sf_dir: str, embed: bool) -> tuple[Store, Store | None]:
     """Posts and vectors after messages have arrived in files, some of them twice; the final state is that of one batch."""
-    landed, home = shared_folder(spark, "landed"), shared_folder(spark, "posts")
+    landed, own = home(spark, "landed"), home(spark, "posts")
     messages = B.event_messages(spark, sf_dir)
     for part in ("id % 2 = 0", "id % 2 = 1", "id % 10 = 0"):
         messages.where(part).write.mode("append").parquet(landed)
-    posts = Store(spark, f"{home}/posts", jobs.POSTS_WITH_SEQ, ["channel_id", "message_id"], 8).create()
-    vectors = Store(spark, f"{home}/vectors", POST_VECTORS, ["post_id"], 8).create() if embed else None
-    jobs.start_ingest(bronze.stream_raw(spark, "raw_messages", landed), posts, vectors, f"{home}/checkpoint", B.NOW, DIMENSION).awaitTermination()
+    posts = jobs.post_store(spark, f"{own}/posts", 8)
+    vectors = jobs.vector_store(spark, f"{own}/vectors", 8) if embed else None
+    jobs.start_ingest(bronze.stream_raw(spark, "raw_messages", landed), posts, vectors, f"{own}/checkpoint", B.NOW, DIMENSION).awaitTermination()
     return posts, vectors
 
 
@@ -604,14 +689,14 @@ def stream_post_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("weight", F.round(F.col("weight").cast("double"), 5))
 
 
-@query(expansion_sql(f"select id, row_number() over (order by md5('{SEED}-' || id), id) as o from ({B.sql(B.PART, 'part')}) where id % 3 = 0 and status = 'pending' and id in (select src_id from ({B.EDGE_SQL}))"))
+@query(f"{WALK} select id, title, {WALK_STATUS.format('and id in (select src_id from all_edges)')} as status, is_author_blog from walked")
 def stream_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Recommendations arrive in files and expand the pending channels that they come from."""
-    landed, home = shared_folder(spark, "edges"), shared_folder(spark, "grown")
-    B.edges(spark, sf_dir).write.parquet(landed)
-    channels = Store(spark, f"{home}/channels", CHANNELS, ["id"], 8).create()
-    channels.merge(known_parts(spark, sf_dir), upsert.upsert_channels)
-    feed = bronze.stream_raw(spark, "recommendations", landed)
+    """Recommendations arrive in files, a source's in several of them, and expand all that they reach."""
+    landed, own = home(spark, "edges"), home(spark, "grown")
+    B.edges(spark, sf_dir).repartition(3, F.col("cand.id")).write.parquet(landed)
+    channels = filled(jobs.channel_store(spark, f"{own}/channels", 8), known_parts(spark, sf_dir))
+    stores = channels, jobs.edge_store(spark, f"{own}/edges", 8), jobs.id_store(spark, f"{own}/expanded", 8)
+    feed = bronze.stream_raw(spark, "recommendations", landed, files_per_batch=1)
     raw, messages = B.raw_parts(spark, sf_dir), B.document_messages(spark, sf_dir)
-    jobs.start_expansion(feed, channels, raw, messages, f"{home}/checkpoint", B.LATER, SEED, B.MIN_PRICE, B.LEXICON, B.WORDS_NEEDED).awaitTermination()
+    jobs.start_expansion(feed, *stores, raw, messages, f"{own}/checkpoint", B.LATER, SEED, B.MIN_PRICE, B.LEXICON, B.WORDS_NEEDED).awaitTermination()
     return channels.read().select("id", "title", "status", "is_author_blog")

@@ -19,6 +19,8 @@ POSTS = (
     "id long, channel_id long, message_id long, content string, published_at timestamp, views int, comments_count int, shares_count int, reactions_count int, "
     "created_at timestamp, updated_at timestamp"
 )
+POSTS_WITH_SEQ = f"{POSTS}, seq long"
+FAILED_POSTS = "post_id long, channel_id long, text string, error string"
 POST_VECTORS = "post_id long, vector array<float>, channel_id long, text string"
 
 # Lifecycle states (fixed values).
