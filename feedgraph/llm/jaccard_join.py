@@ -240,33 +240,43 @@ def bucket_pairs(docs: np.ndarray, groups: np.ndarray, blocks: np.ndarray | None
     Documents meet by the elements of their prefixes. If two are similar, the first element of the common order that both
     have leaves room behind it, in both, for all that they must have in common. Documents of one body with endings of their
     own meet nobody, as their rare elements fill their prefixes."""
+    by_size = np.argsort(sizes, kind="stable")
+    docs, groups, sizes, sketches = docs[by_size], groups[by_size], sizes[by_size], sketches[by_size]
+    prefixes = [prefixes[k] for k in by_size.tolist()]
+    blocks = blocks[by_size] if blocks is not None else None
     lengths = np.array([len(p) for p in prefixes], dtype=np.int64)
-    flat = np.concatenate(prefixes) if len(prefixes) else np.zeros(0, dtype=np.uint32)
-    row = np.repeat(np.arange(len(docs)), lengths)
+    flat, row = np.concatenate(prefixes), np.repeat(np.arange(len(docs)), lengths)
     left = sizes[row] - (np.arange(len(flat)) - np.repeat(np.cumsum(lengths) - lengths, lengths))  # elements from here on
-    order = np.lexsort((row, flat))
-    flat, row, left = flat[order], row[order], left[order]
-    starts = np.flatnonzero(np.concatenate(([True], flat[1:] != flat[:-1])))
-    stops = np.append(starts[1:], len(flat))
-    own: list[list[tuple[int, int, int]]] = [[] for _ in docs]  # of each document: its lists, and its place there
-    for start, stop in zip(starts.tolist(), stops.tolist(), strict=True):
-        if stop - start > 1 and (groups[row[start:stop]] != groups[row[start]]).any():
-            for at in range(start, stop - 1):
-                own[row[at]].append((at, at + 1, stop))
+
+    # Only what documents of several groups have in their prefixes matters; most have nothing of that kind.
+    order = np.argsort(flat, kind="stable")
+    starts = np.flatnonzero(np.concatenate((np.ones(min(1, len(flat)), dtype=bool), flat[order][1:] != flat[order][:-1])))
+    if not len(starts):
+        return
+    own = groups[row[order]]
+    several = np.minimum.reduceat(own, starts) != np.maximum.reduceat(own, starts)
+    shared = np.zeros(len(flat), dtype=bool)
+    shared[order] = np.repeat(several, np.diff(np.append(starts, len(flat))))
+    flat, row, left = flat[shared], row[shared], left[shared]
+    at = np.searchsorted(row, np.arange(len(docs) + 1))
+    alive = np.flatnonzero(np.diff(at))
+    upto = np.searchsorted(sizes, (5 * sizes) // 4, side="right")
     trees = Forest()
-    for i, lists in enumerate(own):
-        met = []
-        for at, start, stop in lists:
-            j = row[start:stop]
-            need = least_common(sizes[i], sizes[j])
-            met.append(j[(np.minimum(left[at], left[start:stop]) >= need) & (groups[j] != groups[i])])
-        j = np.unique(np.concatenate(met)) if met else np.zeros(0, dtype=np.int64)
+    for i in alive.tolist():
+        j = alive[np.searchsorted(alive, i) + 1 : np.searchsorted(alive, upto[i])]
+        j = j[groups[j] != groups[i]]
         if blocks is not None:
             j = j[blocks[j] != blocks[i]]
-        j = j[fits(sizes[j], sizes[i])]
         if len(j):
             apart = np.bitwise_count(sketches[j] ^ sketches[i]).sum(axis=1, dtype=np.int64)
-            for k in j[9 * apart <= sizes[j] + sizes[i]].tolist():
+            j = j[9 * apart <= sizes[j] + sizes[i]]
+        if len(j):
+            mine = np.argsort(flat[at[i] : at[i + 1]], kind="stable") + at[i]
+            n = at[j + 1] - at[j]
+            theirs = np.repeat(at[j] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+            place = np.minimum(np.searchsorted(flat[mine], flat[theirs]), len(mine) - 1)
+            meets = (flat[mine[place]] == flat[theirs]) & (np.minimum(left[mine[place]], left[theirs]) >= least_common(sizes[i], sizes[row[theirs]]))
+            for k in np.unique(row[theirs[meets]]).tolist():
                 if not forest or trees.unite(int(groups[i]), int(groups[k])):
                     yield min(docs[i], docs[k]), max(docs[i], docs[k])
 

@@ -1,23 +1,17 @@
 """Intermediate tables in the folder that driver and executors share.
 
 A written Parquet table cuts lineage, is computed once, and survives lost executors. The folder is the session's
-checkpoint directory (``spark.checkpoint.dir``); only where none is set, as in tests, is one made here.
+checkpoint directory (``spark.checkpoint.dir``).
 """
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def shared_dir(spark: SparkSession) -> str:
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-checkpoints-"))
-    return context.getCheckpointDir()
+from feedgraph.sources.store import checkpoint_folder
 
 
 def unused(taken: list[str], *names: str) -> dict[str, str]:
@@ -45,7 +39,7 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, name: str) -> None:
         self.spark = spark
-        self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        self.root = f"{checkpoint_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
     def path(self, table: str) -> str:
         return f"{self.root}/{table}"

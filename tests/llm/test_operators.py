@@ -24,7 +24,7 @@ from feedgraph.llm.packing import bin_completion, lower_bound, pack, sequences
 from feedgraph.llm.quality_gam import drop_low_quality, quality_gam
 from feedgraph.llm.quality_rules import quality_rules
 from feedgraph.llm.queries import QUERIES, word_tokenizer
-from feedgraph.llm.sharding import PrefixGrid, minimax_cuts, shard_by_bytes
+from feedgraph.llm.sharding import minimax_cuts, shard_by_bytes
 from feedgraph.llm.suffix_dedup import remove_repeats, suffix_dedup
 from feedgraph.llm.warc import archive_pages, read_archives, with_types, write_archives
 
@@ -243,20 +243,46 @@ def test_sharding(spark):
     assert all(by[int(r.doc_id)] == (r["size"], r.text_crc32) for _, r in found[found.doc_id.notna()].iterrows())
 
 
+def fewest_bytes(sizes, shards):
+    """The smallest possible largest shard, over all ways to cut the sequence."""
+    best = [0, *[math.inf] * len(sizes)]
+    for _ in range(shards):
+        best = [0, *[min(max(best[k], sum(sizes[k:n])) for k in range(n)) for n in range(1, len(sizes) + 1)]]
+    return best[-1]
+
+
 @pytest.mark.parametrize("cells", [3, 50])
 def test_minimax_is_the_smallest_capacity(spark, cells):
     rng = random.Random(cells)
     for shards in (1, 3, 7):
         sizes = [rng.randint(1, 90) for _ in range(60)]
-        sums = np.cumsum(sizes)
-
-        def greedy(capacity, shards=shards, sums=sums):
-            grid = PrefixGrid(sums, sums)
-            return grid.cuts(capacity, shards, False)[1:]
-
-        best = next(c for c in range(1, int(sums[-1]) + 1) if greedy(c)[-1] == sums[-1])
-        groups = spark.createDataFrame([(int(s),) for s in sums], "upto long")
-        assert minimax_cuts(groups, int(sums[-1]), shards, cells) == greedy(best)
+        sums = np.cumsum(sizes).tolist()
+        ends = minimax_cuts(spark.createDataFrame([(s,) for s in sums], "upto long"), sums[-1], shards, cells)
+        assert len(ends) == shards and set(ends) <= {0, *sums} and ends[-1] == sums[-1] and ends == sorted(ends)
+        assert max(np.diff([0, *ends])) == fewest_bytes(sizes, shards)
+
+
+@pytest.mark.parametrize("hot", [1, 40])
+def test_shards_of_whole_documents_are_minimax(spark, hot):
+    """By brute force over groups in the order of their digests, with a group that no equal share can hold, or without."""
+    rng = random.Random(hot)
+    texts = [words(rng, rng.randint(1, 30)) for _ in range(40)]
+    rows = list(enumerate([*texts, *texts[:10], *[texts[0] + " hot"] * hot]))
+    found = shard_by_bytes(frame(spark, rows), 5).toPandas()
+    size = Counter()
+    for _, t in rows:
+        size[hashlib.md5(t.encode()).hexdigest()] += len(t.encode()) + 16
+    rest, left = dict(size), 5
+    while max(rest.values()) * left > sum(rest.values()) and left > 1:
+        rest.pop(max(rest, key=lambda d: (rest[d], d)))
+        left -= 1
+    assert (left < 5) == (hot > 1)
+    own = found.groupby("shard")["size"].sum()
+    whole = {d: found.shard[found.text_crc32 == zlib.crc32(t.encode())].unique().tolist() for d, t in ((hashlib.md5(t.encode()).hexdigest(), t) for _, t in rows)}
+    assert all(len(s) == 1 for s in whole.values())
+    for d in size.keys() - rest.keys():  # alone
+        assert own[whole[d][0]] == size[d]
+    assert max(own[s] for s in {whole[d][0] for d in rest}) == fewest_bytes([rest[d] for d in sorted(rest)], left)
 
 
 def test_packing(spark):
