@@ -2,7 +2,8 @@
 
 All stages but the last return the columns of ``documents``: low-quality documents go, one document of each near-copy
 group stays, repeated passages are cut out (and ``n_chars`` follows), documents with benchmark passages go, and what is
-left is packed into sequences.
+left is packed into sequences: a row a piece, with its token ids, its sequence and its place there. Sorted by sequence_id
+and offset the pieces are what training reads (``packing.sequences`` puts them together).
 """
 
 from __future__ import annotations
@@ -41,7 +42,7 @@ def leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return pack(docs, word_tokenizer()).drop("ids")
+    return pack(docs, word_tokenizer())
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
