@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import uuid
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 from itertools import count
 
 from pyspark.sql import Column, DataFrame
@@ -75,6 +77,18 @@ def expand_round(
     return lifecycle.transition(upsert_channels(channels, rows), ends, now)
 
 
+@contextmanager
+def by_source(edges: DataFrame, folder: str, buckets: int = 64) -> Iterator[DataFrame]:
+    """Edges bucketed by src_id, written once under the folder: a join on src_id shuffles the other side alone."""
+    name = f"edges_{uuid.uuid4().hex}"
+    dealt = edges.repartition(buckets, "src_id").write.bucketBy(buckets, "src_id").sortBy("src_id")
+    dealt.option("path", folder).saveAsTable(name)
+    try:
+        yield edges.sparkSession.table(name)
+    finally:
+        edges.sparkSession.sql(f"drop table {name}")  # what is external keeps its files
+
+
 def expand_all(
     channels: Store, raw_channels: DataFrame, edges: DataFrame, messages: DataFrame, now: Column, seed: str,
     least: int = MIN_SUBSCRIBERS, lexicon: Sequence[str] = FIRST_PERSON, needed: int = PRONOUNS_NEEDED,
@@ -85,19 +99,18 @@ def expand_all(
     Each round is one write to the table, new channels and new states together, so that a run that breaks off goes on where
     it was. edges are dealt to their sources once: a round's join shuffles its frontier alone."""
     spark, home = channels.spark, shared_folder(channels.spark, "expand-all")
-    edges.repartition("src_id").sortWithinPartitions("src_id").write.parquet(f"{home}/edges")
-    edges = spark.read.schema(edges.schema).parquet(f"{home}/edges")
     spark.createDataFrame([], "id long").write.parquet(f"{home}/rounds/round=0")
-    for k in count(1):
-        known = channels.read()
-        lifecycle.claim(known, None, seed).write.parquet(f"{home}/claimed-{k}")
-        ids = spark.read.schema("id long, claim_order struct<draw: string, id: long>").parquet(f"{home}/claimed-{k}")
-        if ids.isEmpty():
-            break
-        rows, ends = round_changes(known, raw_channels, edges, messages, ids, now, least, lexicon, needed)
-        rows.write.parquet(f"{home}/rounds/round={k}")
-        rows = spark.read.schema(rows.schema).parquet(f"{home}/rounds/round={k}")
-        channels.append(rows, ends.select("id", F.col("new_status").alias("status"), now.alias("updated_at")))
+    with by_source(edges, f"{home}/edges") as dealt:
+        for k in count(1):
+            known = channels.read()
+            lifecycle.claim(known, None, seed).write.parquet(f"{home}/claimed-{k}")
+            ids = spark.read.schema("id long, claim_order struct<draw: string, id: long>").parquet(f"{home}/claimed-{k}")
+            if ids.isEmpty():
+                break
+            rows, ends = round_changes(known, raw_channels, dealt, messages, ids, now, least, lexicon, needed)
+            rows.write.parquet(f"{home}/rounds/round={k}")
+            rows = spark.read.schema(rows.schema).parquet(f"{home}/rounds/round={k}")
+            channels.append(rows, ends.select("id", F.col("new_status").alias("status"), now.alias("updated_at")))
     return spark.read.schema("id long, round int").option("basePath", f"{home}/rounds").parquet(f"{home}/rounds")
 
 
@@ -105,16 +118,18 @@ def expand(seeds: DataFrame, edges: DataFrame, max_rounds: int | None = None) ->
     """id, depth of all that seeds (id) reach along edges (src_id, id), until a round finds nothing new (or, as a guard,
     after so many rounds).
 
-    Each round meets the whole visited set by an anti join, and is written before the next begins, which cuts lineage."""
+    Each round meets the whole visited set by an anti join, and is written before the next begins, which cuts lineage. Edges
+    are dealt to their sources once; a round shuffles its frontier."""
     spark, folder = seeds.sparkSession, shared_folder(seeds.sparkSession, "expand")
     schema = "id long, depth int"
     seeds.select("id", F.lit(0).alias("depth")).distinct().write.parquet(f"{folder}/depth=0")
-    for depth in count(1) if max_rounds is None else range(1, max_rounds + 1):
-        visited = spark.read.schema(schema).option("basePath", folder).parquet(folder)
-        frontier = visited.where(F.col("depth") == depth - 1).select(F.col("id").alias("src_id"))
-        reached = edges.join(frontier, "src_id", "left_semi").select("id").distinct()
-        fresh = reached.join(visited.select("id"), "id", "left_anti")
-        fresh.write.parquet(f"{folder}/depth={depth}")
-        if spark.read.schema("id long").parquet(f"{folder}/depth={depth}").isEmpty():
-            break
+    with by_source(edges.select("src_id", "id"), f"{folder}-edges") as dealt:
+        for depth in count(1) if max_rounds is None else range(1, max_rounds + 1):
+            visited = spark.read.schema(schema).option("basePath", folder).parquet(folder)
+            frontier = visited.where(F.col("depth") == depth - 1).select(F.col("id").alias("src_id"))
+            reached = dealt.join(frontier, "src_id", "left_semi").select("id").distinct()
+            fresh = reached.join(visited.select("id"), "id", "left_anti")
+            fresh.write.parquet(f"{folder}/depth={depth}")
+            if spark.read.schema("id long").parquet(f"{folder}/depth={depth}").isEmpty():
+                break
     return spark.read.schema(schema).option("basePath", folder).parquet(folder)

@@ -13,6 +13,12 @@ def post_counters() -> dict[str, Column]:
     return {"n_rows": F.count(F.lit(1)), "n_saved": F.count_if(F.col("content") != ""), "n_valid": F.count_if(has_text(F.col("content")))}
 
 
+def message_counters() -> dict[str, Column]:
+    """Counters of raw messages as they arrive: all, those that become posts, and those with text to embed."""
+    real = F.col("kind") == "message"
+    return {"n_messages": F.count(F.lit(1)), "n_real": F.count_if(real), "n_valid": F.count_if(real & has_text(F.col("message")))}
+
+
 def observed(rows: DataFrame, name: str, counters: dict[str, Column]) -> tuple[DataFrame, Observation]:
     """Rows that count themselves while they are written: after that the observation's get has the counters."""
     seen = Observation(name)

@@ -301,6 +301,16 @@ def embed_batch_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.embed_batch_stats(messages, "batch", "message")
 
 
+@query(f"select count(*) as n_rows, count(*) filter (where content <> '') as n_saved, count(*) filter (where trim(content) <> '') as n_valid from ({POST_ROWS})")
+def run_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counters of a run, taken while its posts are written: the table is not read again."""
+    rows = normalize.post_rows(normalize.real_messages(B.event_messages(spark, sf_dir)), "seq")
+    at = {"created_at": clock(B.NOW), "updated_at": clock(B.NOW), "id": C.post_key(F.col("channel_id"), F.col("message_id"))}
+    counted, seen = metrics.observed(rows.withColumns(at), "posts", metrics.post_counters())
+    jobs.post_store(spark, home(spark, "posts"), 8).append(counted)
+    return spark.createDataFrame([seen.get], "n_rows long, n_saved long, n_valid long")
+
+
 # --- upserts -------------------------------------------------------------------------------------------------------
 
 
@@ -537,11 +547,8 @@ walk as (select id, 0 as depth from seeds
 select id, min(depth) as depth from walk group by id
 """)
 def expand_bfs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    links = discovery.candidates(B.edges(spark, sf_dir)).select("src_id", "id")
-    path = shared_folder(spark, "links")
-    links.write.parquet(path)
     seeds = B.parts(spark, sf_dir).where("status = 'pending' and username is null").select("id")
-    return discovery.expand(seeds, spark.read.schema(links.schema).parquet(path))
+    return discovery.expand(seeds, discovery.candidates(B.edges(spark, sf_dir)))
 
 
 #: All that pending part channels reach: with the table's other channels, the round of discovery and the author flag.

@@ -15,6 +15,7 @@ from pyspark.sql.streaming import StreamingQuery
 from feedgraph.functions.columns import post_key
 from feedgraph.operators import discovery, lifecycle
 from feedgraph.operators.embed import Encoder, embed_posts, encode_posts
+from feedgraph.operators.metrics import message_counters
 from feedgraph.operators.normalize import post_rows, real_messages
 from feedgraph.operators.upsert import last_arrival
 from feedgraph.schemas import CHANNELS, FAILED_POSTS, FIRST_PERSON, MIN_SUBSCRIBERS, POST_VECTORS, POSTS_WITH_SEQ, PRONOUNS_NEEDED, VECTOR_BATCH
@@ -106,7 +107,9 @@ def start_ingest(
     messages: DataFrame, posts: Store, vectors: Store | None, checkpoint: str, now: str, dimension: int, available_now: bool = True,
     encoder: Callable[[], Encoder] | None = None, failures: Store | None = None,
 ) -> StreamingQuery:
-    return start(messages, lambda batch, number: ingest_batch(batch, posts, vectors, now, dimension, number, encoder, failures), checkpoint, available_now)
+    """Each micro-batch's counters are in the query's progress, as observedMetrics["messages"]."""
+    counted = messages.observe("messages", *[c.alias(n) for n, c in message_counters().items()])
+    return start(counted, lambda batch, number: ingest_batch(batch, posts, vectors, now, dimension, number, encoder, failures), checkpoint, available_now)
 
 
 def expand_batch(

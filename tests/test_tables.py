@@ -129,6 +129,18 @@ def test_frontier_on_a_cycle(spark):
     assert discovery.expand(seeds, edges, 1).count() == 2
 
 
+def test_rounds_shuffle_their_frontier_only(spark, tmp_path):
+    edges = spark.range(1000).selectExpr("id % 100 as src_id", "id")
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        with discovery.by_source(edges, str(tmp_path / "edges"), 4) as dealt:
+            joined = dealt.join(spark.range(5).withColumnRenamed("id", "src_id").repartition(3), "src_id", "left_semi")
+            assert joined.count() == 50 and joined._jdf.queryExecution().executedPlan().toString().partition("Initial Plan")[0].count("hashpartitioning(src_id") == 1
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+
+
 def test_embedding_stays_on_its_post(spark):
     posts = spark.createDataFrame([(1, 7, "A a b"), (2, 7, "  "), (3, 7, "B"), (4, 7, None), (5, 7, "..")], "post_id long, channel_id long, content string")
     found = {r.post_id: np.array(r.vector) for r in embed.embed_posts(posts, 16).collect()}
@@ -296,7 +308,10 @@ def test_stream_ends_as_one_batch(spark, tmp_path):
     latest = landed_messages(spark, str(tmp_path / "landed"))
     posts, points = jobs.post_store(spark, str(tmp_path / "posts"), 2), jobs.vector_store(spark, str(tmp_path / "points"), 2)
     feed = bronze.stream_raw(spark, "raw_messages", str(tmp_path / "landed"), files_per_batch=1)
-    jobs.start_ingest(feed, posts, points, str(tmp_path / "check"), "2024-01-01 00:00:00", 8).awaitTermination()
+    query = jobs.start_ingest(feed, posts, points, str(tmp_path / "check"), "2024-01-01 00:00:00", 8)
+    query.awaitTermination()
+    counted = [p.observedMetrics["messages"] for p in query.recentProgress if p.observedMetrics]
+    assert [(c.n_messages, c.n_real, c.n_valid) for c in counted] == [(20, 20, 20)] * 3 + [(5, 5, 5)]
     assert {(r.channel_id, r.message_id): r.seq for r in posts.read().collect()} == {k: r[10] for k, r in latest.items()}
     assert points.read().count() == len(latest)
 
