@@ -380,19 +380,24 @@ def _rare(batches: Iterator[pa.RecordBatch], words: int, counters: object) -> It
     kernel.release()
 
 
-def mixed_members(members: DataFrame, names: DataFrame, texts: DataFrame, features: DataFrame, scratch: Scratch, k: int, words: int) -> DataFrame:
-    """The rows of large buckets (signature, id, band, block) that still hold several groups, with what tells them apart:
-    group, n, sketch and rare elements."""
+def mixed_members(members: DataFrame, names: DataFrame, scratch: Scratch, k: int) -> DataFrame:
+    """The rows of large buckets (signature, id, band, block) that still hold several groups, with doc_id, group and the
+    bucket's last block."""
     rows = members.join(names, "id")
     mixed = rows.groupBy("signature").agg(F.min("group").alias("low"), F.max("group").alias("high"), F.max("block").alias("last")).where("low < high").select("signature", "last")
-    rows = scratch.keep(rows.join(mixed, "signature").select("signature", "id", "doc_id", "band", "block", "last", "group"), f"mixed-{k}")
-    own = scratch.keep(texts.join(rows.select("doc_id").distinct(), "doc_id", "left_semi"), f"mixed-texts-{k}")
-    counters = texts.sparkSession.sparkContext.broadcast(counters_of(own, scratch, f"mixed-{k}", words))
+    return scratch.keep(rows.join(mixed, "signature").select("signature", "id", "doc_id", "band", "block", "last", "group"), f"mixed-{k}")
+
+
+def told_apart(rows: DataFrame, texts: DataFrame, features: DataFrame, scratch: Scratch, words: int) -> DataFrame:
+    """n, sketch and rare elements of the documents of mixed buckets. What is joined to texts is a table of ids only."""
+    ids = scratch.keep(rows.select("doc_id").distinct(), "mixed-ids")
+    own = scratch.keep(texts.join(ids, "doc_id", "left_semi"), "mixed-texts")
+    counters = texts.sparkSession.sparkContext.broadcast(counters_of(own, scratch, "mixed", words))
     rare = own.mapInArrow(lambda it: _rare(it, words, counters), "doc_id long, id long, rare binary")
-    told = features.select("doc_id", F.col("d1").alias("id"), "band", "n", "sketch").join(rare, ["doc_id", "id"]).dropDuplicates(["doc_id", "id", "band"])
-    told = scratch.keep(told, f"told-{k}")
-    scratch.drop(f"mixed-texts-{k}")
-    return rows.join(told, ["doc_id", "id", "band"])
+    sketches = features.join(ids, "doc_id", "left_semi").select("doc_id", F.col("d1").alias("id"), "band", "n", "sketch")
+    told = scratch.keep(sketches.join(rare, ["doc_id", "id"]).dropDuplicates(["doc_id", "id", "band"]), "told")
+    scratch.drop("mixed-texts")
+    return told
 
 
 def propose(rows: DataFrame, forest: bool) -> DataFrame:
@@ -458,13 +463,17 @@ def jaccard_join(docs: DataFrame, words: int = WORDS) -> DataFrame:
     stars = stars.select("b", F.explode(F.array_distinct(F.array("low", "high"))).alias("s")).select("s.a", "b", "s.band")
     tried = [scratch.keep(passing(stars, usable), "tried-0")]
     links = scratch.keep(verify(tried[0], texts_of(texts, tried[0], scratch, "texts-0"), words), "links-0")
-    groups = components(links, scratch, "united-0")
+    groups, told = components(links, scratch, "united-0"), None
     for k, forest in ((1, None), (2, True), (3, False)):
         names = scratch.keep(grouped(names, groups), f"names-{k}")
         if forest is None:
             found = passing(named(pairs.drop("star"), names), usable)
         else:
-            found = propose(mixed_members(members, names, texts, usable, scratch, k, words), forest)
+            rows = mixed_members(members, names, scratch, k)
+            if rows.isEmpty():
+                break
+            told = told if told is not None else told_apart(rows, texts, usable, scratch, words)  # later mixed buckets are some of these
+            found = propose(rows.join(told, ["doc_id", "id", "band"]), forest)
         for before in tried:
             found = found.join(before, ["a", "b"], "left_anti")
         tried.append(scratch.keep(found, f"tried-{k}"))
@@ -472,7 +481,7 @@ def jaccard_join(docs: DataFrame, words: int = WORDS) -> DataFrame:
             links = scratch.keep(links.union(verify(tried[k], texts_of(texts, tried[k], scratch, f"texts-{k}"), words)), f"links-{k}")
             groups = components(links, scratch, f"united-{k}")
             scratch.drop(f"texts-{k}")
-    scratch.drop("buckets", "pairs", "texts-0", *[f"{t}-{k}" for t in ("names", "tried") for k in range(4)])
+    scratch.drop("buckets", "pairs", "texts-0", "told", *[f"{t}-{k}" for t in ("names", "tried", "mixed") for k in range(4)])
     degree = links.select(F.explode(F.array("a", "b")).alias("first")).groupBy("first").agg(F.count("*").alias("n_verified"))
     classes = sets.join(groups.withColumnRenamed("node", "first"), "first", "left").join(degree, "first", "left")
     found = features.where("main").select("doc_id", *key).join(classes, key, "left")
@@ -481,7 +490,8 @@ def jaccard_join(docs: DataFrame, words: int = WORDS) -> DataFrame:
 
 
 def texts_of(texts: DataFrame, pairs: DataFrame, scratch: Scratch, name: str) -> DataFrame:
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    """The texts of pairs. Their ids are written first, so that Spark knows how few they are."""
+    ids = scratch.keep(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), f"{name}-ids")
     return scratch.keep(texts.join(ids, "doc_id", "left_semi"), name)
 
 
