@@ -111,6 +111,8 @@ def expand_all(
             rows.write.parquet(f"{home}/rounds/round={k}")
             rows = spark.read.schema(rows.schema).parquet(f"{home}/rounds/round={k}")
             channels.append(rows, ends.select("id", F.col("new_status").alias("status"), now.alias("updated_at")))
+            if rows.isEmpty():
+                break
     return spark.read.schema("id long, round int").option("basePath", f"{home}/rounds").parquet(f"{home}/rounds")
 
 

@@ -141,10 +141,10 @@ def expand_batch(
         rows, ends = discovery.round_changes(channels.lookup(reached), raw_channels, own, messages, ids, now, least, lexicon, needed, late)
         rows.write.parquet(f"{home}/found-{k}")
         rows = spark.read.schema(rows.schema).parquet(f"{home}/found-{k}")
-        ends.write.parquet(f"{home}/ends-{k}")
-        ends = spark.read.schema(ends.schema).parquet(f"{home}/ends-{k}")
         expanded.append(ends.where(F.col("new_status") == lifecycle.READY).select("id", F.lit(number).alias("since")))
         channels.append(rows, ends.select("id", F.col("new_status").alias("status"), now.alias("updated_at")))
+        if rows.isEmpty():
+            break
         pending = landed.lookup(rows.select(F.col("id").alias("src_id"))).select(F.col("src_id").alias("id")).distinct()
     tidy(channels, landed, expanded)
 
