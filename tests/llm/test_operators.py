@@ -220,6 +220,12 @@ def test_class_lm_scores_against_brute_force(spark, monkeypatch, known):
     assert np.allclose(kept[0], levels) and kept[0] == sorted(kept[0]) and len(levels) > 2
 
 
+def test_class_lm_without_training_documents(spark):
+    ids = [i for i in range(200) if zlib.crc32(str(i).encode()) % 5 == 1][:20]
+    found = class_lm_scores(frame(spark, [(i, f"word{i} and more") for i in ids]), n_classes=4, known_words=20, rounds=1).collect()
+    assert len(found) == 20 and all(r.held_out and r.n_known == 0 and r.train_tokens == 0 and r.n_tokens == 4 and r.base_score == 0 and math.isfinite(r.score) for r in found)
+
+
 def test_class_lm_gives_every_word_its_own_class(spark):
     """Words of two languages, all with one ending, keep apart however few are listed."""
     rng = random.Random(4)
