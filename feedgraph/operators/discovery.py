@@ -78,9 +78,10 @@ def expand_round(
 
 
 @contextmanager
-def by_source(edges: DataFrame, folder: str, buckets: int = 64) -> Iterator[DataFrame]:
-    """Edges bucketed by src_id, written once under the folder: a join on src_id shuffles the other side alone."""
-    name = f"edges_{uuid.uuid4().hex}"
+def by_source(edges: DataFrame, folder: str, buckets: int | None = None) -> Iterator[DataFrame]:
+    """Edges bucketed by src_id (as many buckets as shuffles have partitions), written once under the folder: a join on
+    src_id shuffles the other side alone."""
+    name, buckets = f"edges_{uuid.uuid4().hex}", buckets or int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = edges.repartition(buckets, "src_id").write.bucketBy(buckets, "src_id").sortBy("src_id")
     dealt.option("path", folder).saveAsTable(name)
     try:

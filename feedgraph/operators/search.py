@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from feedgraph.sources.store import shared_folder
 
 HITS = "query_id long, post_id long, score double"
-PIVOTS, RINGS = 128, 16
+PIVOTS, RINGS = 128, 64  # rings from an angle of zero to half a turn
 SLACK = 1e-6  # radians; angles near zero are known to about 1e-8 only
 
 
@@ -50,7 +50,7 @@ def _placed(batches: Iterator[pa.RecordBatch], pivots: np.ndarray) -> Iterator[p
 
 class Index:
     """Points (id, vector) in tiles, written as a table: tile number within a ring, pivot, ring; and the rings' bounds, at
-    most PIVOTS times RINGS rows, on the driver."""
+    most PIVOTS times RINGS + 1 rows, on the driver."""
 
     def __init__(self, points: DataFrame, rows: int, pivots: int = PIVOTS) -> None:
         spark = points.sparkSession
@@ -66,10 +66,7 @@ class Index:
         centres = self.pivots
         kind = points.schema["vector"].dataType.simpleString()
         good.select("id", "vector").mapInArrow(lambda it: _placed(it, centres), f"id long, vector {kind}, pivot int, angle double").write.parquet(f"{home}/placed")
-        placed = spark.read.parquet(f"{home}/placed")
-        spread = placed.groupBy("pivot").agg(F.min("angle").alias("low"), F.max("angle").alias("high"))  # a row for each pivot
-        ring = F.when(F.col("high") > F.col("low"), F.least(F.floor((F.col("angle") - F.col("low")) / (F.col("high") - F.col("low")) * RINGS), F.lit(RINGS - 1))).otherwise(0).cast("int")
-        ringed = placed.join(F.broadcast(spread), "pivot").withColumn("ring", ring)
+        ringed = spark.read.parquet(f"{home}/placed").withColumn("ring", F.floor(F.col("angle") / (np.pi / RINGS)).cast("int"))
         counted = ringed.groupBy("pivot", "ring").agg(F.count("*").alias("n"), F.min("angle").alias("low"), F.max("angle").alias("high"))
         self.rings = sorted((r["pivot"], r["ring"], r["n"], r["low"], r["high"]) for r in counted.collect())
         sizes = spark.createDataFrame([(p, r, -(-n // rows)) for p, r, n, _, _ in self.rings], "pivot int, ring int, tiles long")
@@ -175,20 +172,21 @@ def search(index: Index, queries: DataFrame, k: int, block: int) -> tuple[DataFr
     asked = queries.where("query_id is not null and vector is not null and size(vector) > 0").select("query_id", "vector")
     salt = F.pmod(F.xxhash64("id"), F.lit(max(1, -(-asked.count() // block))))
 
-    def met(asked: DataFrame, second: bool, name: str) -> None:
-        visits = asked.mapInArrow(lambda it: _visits(it, pivots, rings, k, second), f"id long, vector {kind}, pivot int, ring int")
-        visits.write.parquet(f"{home}/visits-{name}")
-        visits = spark.read.parquet(f"{home}/visits-{name}").withColumn("salt", salt)
-        pairs = packed(visits, ["pivot", "ring", "salt"], block, "q").join(index.tiles, ["pivot", "ring"]).select("q_ids", "q_matrix", "p_ids", "p_matrix")
-        _ranked(pairs.mapInArrow(lambda it: _best(it, k), HITS), k).drop("rank").write.parquet(f"{home}/hits-{name}")
+    def visits(asked: DataFrame, second: bool) -> DataFrame:
+        return asked.mapInArrow(lambda it: _visits(it, pivots, rings, k, second), f"id long, vector {kind}, pivot int, ring int")
 
-    met(asked, False, "1")
-    first = spark.read.parquet(f"{home}/hits-1")
+    def met(visited: DataFrame) -> DataFrame:
+        pairs = packed(visited.withColumn("salt", salt), ["pivot", "ring", "salt"], block, "q").join(index.tiles, ["pivot", "ring"])
+        return pairs.select("q_ids", "q_matrix", "p_ids", "p_matrix").mapInArrow(lambda it: _best(it, k), HITS)
+
+    near = visits(asked, False)
+    _ranked(met(near), k).drop("rank").write.parquet(f"{home}/near")
+    first = spark.read.parquet(f"{home}/near")
     bound = first.groupBy("query_id").agg(F.count("*").alias("n"), F.min("score").alias("worst"))
     angle = F.when(F.col("n") >= k, F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("worst"))))).otherwise(F.lit(4.0))
-    met(asked.join(bound, "query_id", "left").select("query_id", "vector", F.coalesce(angle, F.lit(4.0)).alias("bound")), True, "2")
-    both = [spark.read.parquet(f"{home}/visits-{n}").select(F.col("id").alias("query_id"), "pivot", "ring", F.lit(int(n)).alias("pass")) for n in "12"]
-    return first.union(spark.read.parquet(f"{home}/hits-2")), both[0].union(both[1])
+    further = visits(asked.join(bound, "query_id", "left").select("query_id", "vector", F.coalesce(angle, F.lit(4.0)).alias("bound")), True)
+    both = [v.select(F.col("id").alias("query_id"), "pivot", "ring", F.lit(n).alias("pass")) for n, v in ((1, near), (2, further))]
+    return first.union(met(further)), both[0].union(both[1])
 
 
 def cosine_topk(points: DataFrame, queries: DataFrame, k: int, channel_id: int | None = None, block: int = 1024, point_block: int = 8192) -> DataFrame:
