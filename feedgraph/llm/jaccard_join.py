@@ -327,10 +327,10 @@ def _propose(batches: Iterator[pa.RecordBatch], forest: bool) -> Iterator[pa.Rec
 def _verify(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
     schema = kernel.arrow_schema("a long, b long")
     for batch in batches:
-        for first, data, offsets in kernel.byte_chunks(batch.column("text_a"), 4 * kernel.CHUNK_BYTES):
+        for first, data, offsets in kernel.byte_chunks(batch.column("text_a")):
             own = batch.slice(first, len(offsets) - 1)
             left = kernel.shingle_sets(data, offsets, words)
-            right = [s for _, d, o in kernel.byte_chunks(own.column("text_b"), 4 * kernel.CHUNK_BYTES) for s in kernel.shingle_sets(d, o, words)]
+            right = [s for _, d, o in kernel.byte_chunks(own.column("text_b")) for s in kernel.shingle_sets(d, o, words)]
             linked = []
             for x, y in zip(left, right, strict=True):
                 both = len(np.intersect1d(x, y, assume_unique=True))
