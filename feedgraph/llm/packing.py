@@ -270,16 +270,19 @@ def places(plan: Plan) -> list[tuple[int, int, int, int, int, int]]:
     return out
 
 
-def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFrame:
-    """One row per piece with its ids (little-endian, four bytes each), their checksum, its sequence and its offset.
-    tokenizer: path of a tokenizer file that all executors have. Who leaves out ids does not read them."""
+def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, ids: bool = True) -> DataFrame:
+    """One row per piece with its ids (little-endian, four bytes each; or without), their checksum, its sequence and its
+    offset. tokenizer: path of a tokenizer file that all executors have. Places are found without the ids, which meet them
+    once at the end."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "packing")
     pieces = scratch.keep(docs.select("doc_id", "text").mapInArrow(lambda it: _pieces(it, tokenizer, capacity), PIECES), "pieces")
     counts = np.zeros(capacity + 1, dtype=np.int64)
     for row in pieces.groupBy("length").count().collect():  # at most one row for each length
         counts[row["length"]] = row["count"]
-    return place(pieces, places(bin_completion(counts, capacity)), scratch)
+    placed = place(pieces.drop("ids"), places(bin_completion(counts, capacity)), scratch)
+    whole = placed.join(pieces.select("row", "piece", "ids"), ["row", "piece"]) if ids else placed
+    return whole.select("doc_id", "piece", "start", "length", *(["ids"] if ids else []), "ids_crc32", "sequence_id", "offset")
 
 
 def sequences(packed: DataFrame) -> DataFrame:
@@ -309,7 +312,7 @@ def place(pieces: DataFrame, plan: list[tuple[int, int, int, int, int, int]], sc
     return (
         ranked.join(runs, "length").withColumn("run", run)
         .select(
-            "doc_id", "piece", "start", "length", "ids", "ids_crc32",
+            "row", "doc_id", "piece", "start", "length", "ids_crc32",
             (F.col("run.sequence") + F.floor(nth / F.col("run.n")).cast("long")).alias("sequence_id"),
             (F.col("run.at") + F.pmod(nth, F.col("run.n")) * F.col("length")).cast("long").alias("offset"),
         )

@@ -57,7 +57,7 @@ def op5_minimax_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack(table(spark, sf_dir, "documents"), word_tokenizer()).drop("ids")
+    return pack(table(spark, sf_dir, "documents"), word_tokenizer(), ids=False)
 
 
 def op7_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
