@@ -213,6 +213,31 @@ def test_search_skips_tiles_and_loses_nothing(spark):
     assert search.tiles_visited(index, visits, 100) < 0.5
 
 
+def test_search_sends_a_query_once_to_a_shard(spark, monkeypatch):
+    monkeypatch.setattr(search, "HELD", 8 * 16 * 100)  # shards of at most 100 points, shares of 100 queries
+    vectors = np.random.default_rng(2).standard_normal((1500, 16)).astype(np.float32)
+    vectors[200:600] = vectors[200]  # one ring of several shards
+    points = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(vectors)], "id long, vector array<float>").repartition(3)
+    queries = points.where("id % 5 = 1").select(F.col("id").alias("query_id"), "vector")
+    index = search.Index(points, 64)
+    hits, visits = search.search(index, queries, 4, 32)
+    sizes = [r["count"] for r in index.points.groupBy("shard").count().collect()]
+    assert len(sizes) == index.shards < len(index.rings) and max(sizes) < 150
+    sent = list(search._routed(iter(queries.withColumn("least", F.lit(search.NOTHING)).toArrow().to_batches()), index.table, 4, True, True))
+    assert sum(b.num_rows for b in sent) == 300 * index.shards  # all rings are visited, but a vector travels by shards
+    assert visits.where("pass = 2").count() > 300 * index.shards
+    unit = vectors.astype(np.float64)
+    unit /= np.linalg.norm(unit, axis=1)[:, None]
+    got = {}
+    for r in search._ranked(hits, 4).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.post_id))
+    assert sorted(got) == list(range(1, 1500, 5))
+    for q, found in got.items():
+        scores = unit @ unit[q]
+        assert np.allclose([scores[p] for _, p in sorted(found)], np.sort(scores)[::-1][:4], atol=1e-12)
+    assert sorted(got[201]) == [(1, 200), (2, 201), (3, 202), (4, 203)]
+
+
 def rows_of(spark, pairs):
     return spark.createDataFrame(pairs, "k long, v int")
 
