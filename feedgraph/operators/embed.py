@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable, Iterator, Sequence
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -18,28 +19,43 @@ from feedgraph.schemas import DIMENSION, VECTOR_BATCH
 Encoder = Callable[[Sequence[str]], np.ndarray]
 
 
-def _hashed(batches: Iterator[pa.RecordBatch], dimension: int) -> Iterator[pa.RecordBatch]:
-    """Puts a vector of word counts by hash bucket, of length one, in the place of the words; null without words."""
-    for batch in batches:
-        words = batch.column("_words")
-        flat = words.flatten().dictionary_encode()
-        buckets = np.array([int(hashlib.md5(w.encode()).hexdigest()[:8], 16) % dimension if w else -1 for w in flat.dictionary.to_pylist()], dtype=np.int64)
-        row = np.repeat(np.arange(batch.num_rows), pc.fill_null(pc.list_value_length(words), 0).to_numpy())
+WORDS = 1 << 18  # counted at once
+
+
+@lru_cache(1 << 16)
+def _hash(word: str) -> int:
+    return int(hashlib.md5(word.encode()).hexdigest()[:8], 16)
+
+
+def _hashed(words: pa.Array, dimension: int) -> pa.Array:
+    """Of each list of words a vector of counts by hash bucket, of length one; null without words. Rows are taken as many at
+    a time as hold a bounded number of words."""
+    counts = np.zeros((len(words), dimension))
+    lengths = pc.fill_null(pc.list_value_length(words), 0).to_numpy()
+    ends, at = np.cumsum(lengths), 0
+    while at < len(words):
+        to = max(at + 1, int(np.searchsorted(ends, ends[at] - lengths[at] + WORDS, side="right")))
+        flat = words.slice(at, to - at).flatten().dictionary_encode()
+        buckets = np.array([_hash(w) % dimension if w else -1 for w in flat.dictionary.to_pylist()], dtype=np.int64)
+        row = np.repeat(np.arange(to - at), lengths[at:to])
         bucket = buckets[flat.indices.to_numpy()] if len(row) else np.zeros(0, dtype=np.int64)
         good = bucket >= 0
-        counts = np.bincount(row[good] * dimension + bucket[good], minlength=batch.num_rows * dimension).reshape(batch.num_rows, dimension).astype(np.float64)
-        norms = np.sqrt((counts * counts).sum(axis=1))
-        values = pa.array((counts / np.maximum(norms, 1)[:, None]).ravel())
-        vectors = pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1) * dimension, type=pa.int32()), values, mask=pa.array(norms == 0))
-        columns = {n: batch.column(n) for n in batch.schema.names if n != "_words"}
-        yield pa.RecordBatch.from_pydict(columns | {"vector": vectors})
+        counts[at:to] = np.bincount(row[good] * dimension + bucket[good], minlength=(to - at) * dimension).reshape(to - at, dimension)
+        at = to
+    norms = np.sqrt((counts * counts).sum(axis=1))
+    counts /= np.maximum(norms, 1)[:, None]
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(words) + 1) * dimension, type=pa.int32()), pa.array(counts.ravel()), mask=pa.array(norms == 0))
 
 
 def with_hash_vectors(texts: DataFrame, text: str, dimension: int = DIMENSION) -> DataFrame:
-    """Adds vector (double), computed in the row: neither shuffle nor join. Null where a text has no words."""
-    words = F.split(F.lower(text), r"[^\p{L}\p{N}]+")
-    schema = StructType([*texts.schema.fields, StructField("vector", ArrayType(DoubleType()))])
-    return texts.withColumn("_words", words).mapInArrow(lambda it: _hashed(it, dimension), schema)
+    """Adds vector (double), computed in the row: neither shuffle nor join. Null where a text has no words. Only words go to
+    Python; the row's other columns stay behind. (Said to be non-deterministic, so that filters don't compute it twice.)"""
+
+    def hashed(words: pa.Array) -> pa.Array:
+        return _hashed(words, dimension)
+
+    vector = F.arrow_udf(hashed, ArrayType(DoubleType())).asNondeterministic()
+    return texts.withColumn("vector", vector(F.split(F.lower(text), r"[^\p{L}\p{N}]+")))
 
 
 def hash_vectors(texts: DataFrame, key: str, text: str, dimension: int = DIMENSION) -> DataFrame:

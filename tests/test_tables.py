@@ -7,6 +7,7 @@ import random
 from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
@@ -150,6 +151,20 @@ def test_embedding_stays_on_its_post(spark):
     assert not found[5].any()
 
 
+def test_embedding_sends_words_alone_and_counts_few_at_once(spark, monkeypatch):
+    posts = spark.createDataFrame([(1, 7, "A a b")], "post_id long, channel_id long, content string")
+    shown = embed.embed_posts(posts, 16).select("post_id", F.posexplode("vector"), "text").where("col <> 0")._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" not in shown and shown.count("ArrowEvalPython") == 1  # the text stays, and vectors are computed once
+    lists = [["a", "b", "a"], None, [], [""], ["c"] * 7, ["b", ""], ["d", "a", "c", "b"]]
+    whole = embed._hashed(pa.array(lists, type=pa.list_(pa.string())), 8).to_pylist()
+    counted = []
+    monkeypatch.setattr(np, "bincount", lambda a, f=np.bincount, **more: counted.append(len(a)) or f(a, **more))
+    monkeypatch.setattr(embed, "WORDS", 4)
+    assert embed._hashed(pa.array([["x"], *lists], type=pa.list_(pa.string())).slice(1), 8).to_pylist() == whole
+    assert [v is None for v in whole] == [False, True, True, True, False, False, False]
+    assert len(counted) > 2 and sum(counted) == 15 and max(counted) == 7  # one row alone may be longer
+
+
 def test_one_failing_row_does_not_take_its_batch(spark):
     def failing():
         def run(texts):
