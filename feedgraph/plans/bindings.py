@@ -135,13 +135,21 @@ def raw_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parts(spark, sf_dir).where("id % 23 <> 0").select("id", F.lit("channel").alias("kind"), (F.col("id") * 3).alias("access_hash"), "username", "title", "broadcast", full.alias("full_chat"))
 
 
-def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+LINES_A_TASK = 250_000
+
+
+def edges(spark: SparkSession, sf_dir: str, lines_a_task: int = LINES_A_TASK) -> DataFrame:
     """Parts bought together in two orders or more: src_id, pos, cand.
 
-    The orders' distinct parts meet on the order key; an order is a few lines, so the join grows with the lines."""
-    lines = load(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey").distinct()
-    a, b = lines.withColumnRenamed("l_partkey", "src_id"), lines.withColumnRenamed("l_partkey", "id")
-    pairs = a.join(b, "l_orderkey").where("src_id <> id").groupBy("src_id", "id").agg(F.count("*").alias("n")).where("n >= 2").select("src_id", "id")
+    The orders' distinct parts meet on the order key; an order is a few lines, so the join grows with the lines. A pair is
+    counted once for both directions. Lines and pairs are dealt to as many tasks as the lines ask for, so what one task
+    sorts and counts doesn't grow with them (few bytes of lines are many pairs, so partitions are not put together by bytes)."""
+    lines = load(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey")
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-lines.count() // lines_a_task))
+    lines = lines.repartition(tasks, "l_orderkey").distinct()
+    a, b = lines.withColumnRenamed("l_partkey", "one"), lines.withColumnRenamed("l_partkey", "other")
+    met = a.join(b, "l_orderkey").where("one < other").select("one", "other").repartition(tasks, "one", "other")
+    pairs = met.groupBy("one", "other").agg(F.count("*").alias("n")).where("n >= 2").selectExpr("inline(array(struct(one as src_id, other as id), struct(other as src_id, one as id)))")
     cand = F.struct("id", F.lit("channel").alias("kind"), "broadcast", "username", "title").alias("cand")
     return pairs.join(parts(spark, sf_dir).select("id", "broadcast", "username", "title"), "id").select("src_id", F.col("id").cast("int").alias("pos"), cand)
 

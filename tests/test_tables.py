@@ -253,6 +253,21 @@ def test_search_sends_a_query_once_to_a_shard(spark, monkeypatch):
     assert sorted(got[201]) == [(1, 200), (2, 201), (3, 202), (4, 203)]
 
 
+def test_edges_are_dealt_to_as_many_tasks_as_lines_ask_for(spark, tmp_path):
+    from feedgraph.plans import bindings
+
+    rng = np.random.default_rng(3)
+    lines = list(zip(rng.integers(0, 60, 300).tolist(), rng.integers(0, 15, 300).tolist(), strict=True))
+    spark.createDataFrame(lines, "l_orderkey long, l_partkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(k, f"p{k}", 1000.0, 1) for k in range(15)], "p_partkey long, p_name string, p_retailprice double, p_size int").write.parquet(f"{tmp_path}/part.parquet")
+    found = bindings.edges(spark, str(tmp_path), 20)
+    assert "hashpartitioning(one" in (plan := found._jdf.queryExecution().executedPlan().toString()) and ", 15), REPARTITION_BY_NUM" in plan  # four by default
+    orders = [{p for o, p in lines if o == k} for k in range(60)]
+    often = {(a, b) for a in range(15) for b in range(15) if a != b and sum(a in o and b in o for o in orders) >= 2}
+    got = [(r.src_id, r.id) for r in found.select("src_id", "cand.id").collect()]
+    assert len(got) == len(often) and set(got) == often
+
+
 def rows_of(spark, pairs):
     return spark.createDataFrame(pairs, "k long, v int")
 
