@@ -133,10 +133,19 @@ def _residues(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, powers:
 
 
 def span_hashes(symbols: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Rolling-hash value of symbols[start:end] for each span of bytes; equal spans have equal values wherever they lie."""
-    values = symbols.astype(np.int64) + 1
-    first, second = (_residues(values, starts, ends, p).astype(np.uint64) for p in PRIME_POWERS)
-    return mix(((first << np.uint64(31)) | second) + (ends - starts).astype(np.uint64) * np.uint64(BASE))
+    """Rolling-hash value of symbols[start:end] for each span of bytes, by rising start; equal spans have equal values
+    wherever they lie. More than a chunk is hashed piece by piece, so neither arrays nor kept powers grow with it."""
+    out = np.zeros(len(starts), dtype=np.uint64)
+    piece = CHUNK_BYTES // 2 if len(symbols) > CHUNK_BYTES else CHUNK_BYTES  # spans begin in a piece and may end behind it
+    cuts = [0, *np.searchsorted(starts, np.arange(piece, len(symbols), piece)).tolist(), len(starts)]
+    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+        if a < b:
+            low, high = int(starts[a:b].min()), int(ends[a:b].max())
+            values = symbols[low:high].astype(np.int64)
+            values += 1
+            first, second = (_residues(values, starts[a:b] - low, ends[a:b] - low, p).astype(np.uint64) for p in PRIME_POWERS)
+            out[a:b] = mix(((first << np.uint64(31)) | second) + (ends[a:b] - starts[a:b]).astype(np.uint64) * np.uint64(BASE))
+    return out
 
 
 def word_spans(data: np.ndarray, offsets: np.ndarray, white: np.ndarray = WHITE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -38,7 +38,7 @@ from feedgraph.llm.scratch import Scratch, text_digest, unused
 
 WINDOW, GRAM = 200, 40
 SEGMENTS_PER_SHARD = 2048
-SHARD_BYTES = 1 << 20
+SHARD_BYTES = 1 << 19
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 KIND = ("anchor", "k1", "k2")
 
@@ -80,19 +80,24 @@ def segments(data: np.ndarray, offsets: np.ndarray, window: int = WINDOW, gram:
     return text, starts - offsets[text], ends - starts + window - 1, grams[owner[starts].astype(np.int64)].view(np.int64)
 
 
+def places_type(n: int) -> type:
+    """The least type that holds places and ranks of so many bytes."""
+    return np.int32 if n < 1 << 30 else np.int64
+
+
 def suffix_order(data: np.ndarray, last: np.ndarray, depth: int, wanted: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Suffixes by their first depth bytes (less where their text, whose end is last, ends sooner), and ranks. wanted:
     which suffixes are to be ordered; others are followed only as far as those need their ranks.
 
     Larsson-Sadakane: groups of equal ranks are refined by the rank h further on, h doubling; sorted groups rest."""
-    n = len(data)
+    n, small = len(data), places_type(len(data))
     h = 7
-    room = last - np.arange(n)
-    padded = np.concatenate((data.astype(np.int64) + 1, np.zeros(h, dtype=np.int64)))
+    room = last.astype(small) - np.arange(n, dtype=small)
+    padded = np.concatenate((data.astype(np.int16) + np.int16(1), np.zeros(h, dtype=np.int16)))
     key = np.zeros(n, dtype=np.int64)
     for k in range(h):
         key <<= 9
-        key += np.where(room > k, padded[k : k + n], 0)
+        key += np.where(room > k, padded[k : k + n], np.int16(0))
     steps = [h]
     while steps[-1] < depth:
         steps.append(2 * steps[-1])
@@ -101,11 +106,12 @@ def suffix_order(data: np.ndarray, last: np.ndarray, depth: int, wanted: np.ndar
         more = needed[0].copy()
         more[step:] |= needed[0][:-step]
         needed.insert(0, more)
-    order = np.argsort(key, kind="stable")
+    order = np.argsort(key, kind="stable").astype(small)
     key = key[order]
     new = np.concatenate(([True], key[1:] != key[:-1]))
-    rank = np.zeros(n, dtype=np.int64)
-    rank[order] = np.cumsum(new)
+    del key, padded
+    rank = np.zeros(n, dtype=small)
+    rank[order] = np.cumsum(new, dtype=small)
     for h, need in zip(steps[:-1], needed[1:], strict=True):
         if not need.all():
             order = order[need[order]]
@@ -116,8 +122,8 @@ def suffix_order(data: np.ndarray, last: np.ndarray, depth: int, wanted: np.ndar
         if not len(where):
             break
         suffix = order[where]
-        after = np.where(room[suffix] > h, rank[np.minimum(suffix + h, n - 1)], 0)
-        composite = np.cumsum(new)[where] * np.int64(n + 1) + after
+        composite = np.cumsum(new)[where] * np.int64(n + 1)
+        composite += np.where(room[suffix] > h, rank[np.minimum(suffix.astype(np.int64) + h, n - 1)], 0)
         if n < 1 << 21:  # with the place in the list it still fits one number
             packed = composite * len(where) + np.arange(len(where))
             packed.sort()
@@ -127,7 +133,7 @@ def suffix_order(data: np.ndarray, last: np.ndarray, depth: int, wanted: np.ndar
         order[where] = suffix[refined]
         composite = composite[refined]
         new[where] = np.concatenate(([True], composite[1:] != composite[:-1]))
-        rank[order] = np.cumsum(new)
+        rank[order] = np.cumsum(new, dtype=small)
     return order, rank
 
 
@@ -137,16 +143,17 @@ def common_prefixes(data: np.ndarray, last: np.ndarray, order: np.ndarray, most:
 
     A prefix loses at most one byte from a suffix to the next. Places are taken by halving strides, so each starts from
     the bound of one already known; what is missing is compared eight bytes at a time, for all places of a stride."""
-    n = len(data)
-    before, place = np.full(n, -1, dtype=np.int64), np.full(n, n, dtype=np.int64)
+    n, small = len(data), places_type(len(data))
+    last = last.astype(small)
+    before, place = np.full(n, -1, dtype=small), np.full(n, n, dtype=small)
     before[order[1:]] = order[:-1]
-    place[order] = np.arange(len(order))
+    place[order] = np.arange(len(order), dtype=small)
     padded = np.concatenate((data, np.zeros(8, dtype=np.uint8)))
     eight = np.zeros(n, dtype=np.uint64)
     for k in range(8):
         eight |= padded[k : k + n].astype(np.uint64) << np.uint64(8 * k)
-    prefix = np.zeros(n, dtype=np.int64)
-    listed = np.flatnonzero(before >= 0)
+    prefix = np.zeros(n, dtype=small)
+    listed = np.flatnonzero(before >= 0).astype(small)
     stride = 256
     while True:
         a = listed[listed % (2 * stride) == stride] if stride < 256 else listed[listed % 256 == 0]
@@ -154,7 +161,7 @@ def common_prefixes(data: np.ndarray, last: np.ndarray, order: np.ndarray, most:
         room = np.minimum(last[a] - a, last[b] - b)
         if most is not None:
             room = np.minimum(room, most)
-        known = np.zeros(len(a), dtype=np.int64)
+        known = np.zeros(len(a), dtype=small)
         if stride < 256:
             # The bound holds where the earlier pair, moved on by the stride, is in the order in that order, in its texts.
             earlier = a - stride
@@ -180,8 +187,9 @@ def repeated_windows(texts: list[bytes], copies: np.ndarray, window: int = WINDO
     """Of a shard's distinct texts: their bytes, which places start a repeated window, and which a whole one."""
     data = np.frombuffer(b"".join(texts), dtype=np.uint8)
     lengths = np.array([len(t) for t in texts], dtype=np.int64)
-    last = np.repeat(np.cumsum(lengths), lengths)
-    whole = last - np.arange(len(data)) >= window
+    small = places_type(len(data))
+    last = np.repeat(np.cumsum(lengths, dtype=small), lengths)
+    whole = last - np.arange(len(data), dtype=small) >= window
     order, _ = suffix_order(data, last, window, whole)
     reach = common_prefixes(data, last, order, window)[order] >= window
     repeated = np.zeros(len(data), dtype=bool)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 from itertools import combinations
@@ -264,6 +265,32 @@ def test_hashes_of_long_chunks(monkeypatch):
     assert (kernel.span_hashes(data, starts, ends) == whole).all()
 
 
+def test_blocks_are_hashed_by_pieces(monkeypatch):
+    monkeypatch.setattr(kernel, "CHUNK_BYTES", 1024)
+    monkeypatch.setattr(kernel, "PRIME_POWERS", tuple(kernel.PrimePowers(b) for b in kernel.BASES))
+    rng = np.random.default_rng(10)
+    data = rng.integers(0, 256, 20_000).astype(np.uint8)
+    starts = np.sort(rng.integers(0, 19_900, 500))
+    ends = starts + rng.integers(0, 100, 500)
+    got = kernel.span_hashes(data, starts, ends)
+    assert max(len(t) for p in kernel.PRIME_POWERS for t in p.tables) <= 1025
+    assert got.tolist() == [kernel.span_hashes(data[a:b], np.array([0]), np.array([b - a]))[0] for a, b in zip(starts, ends, strict=True)]
+
+
+def test_shards_stay_small():
+    rng = np.random.default_rng(11)
+    texts = [bytes(rng.integers(97, 101, 300).astype(np.uint8)) for _ in range(700)]
+    texts += [t[:250] + b"-" * 30 for t in texts[:100]]
+    tracemalloc.start()
+    try:
+        _, repeated, _ = suffix_dedup.repeated_windows(texts, np.ones(len(texts), dtype=np.int64))
+        assert tracemalloc.get_traced_memory()[1] < 80 * sum(map(len, texts))
+    finally:
+        tracemalloc.stop()
+    runs = [r.sum() for r in np.split(repeated, np.cumsum([len(t) for t in texts])[:-1])]
+    assert runs == [51] * 100 + [0] * 600 + [51] * 100
+
+
 @given(st.lists(st.lists(st.integers(0, 50), max_size=8), max_size=6))
 def test_loser_tree(runs):
     rows = [sorted((v, k, i) for i, v in enumerate(r)) for k, r in enumerate(runs)]
